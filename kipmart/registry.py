@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kipmart import params as P
+from kipmart.operators import catalog as C
+from kipmart.operators import orders as O
 from kipmart.operators import reports as R
+from pyspark.sql import functions as F
 from kipmart.plans.wire import to_wire
 from kipmart.sources.tables import load_shop
 
@@ -53,6 +56,39 @@ register("preorder_summary", R.preorder_summary)
 register("preorder_lines", R.preorder_lines)
 register("preorder_by_product", R.preorder_by_product)
 
+# catalogue
+register("category_by_id", lambda T: C.category_by_id(T, C.category_requests(T)))
+register("category_product_counts", C.category_product_counts)
+register("deletable_categories", C.deletable_categories)
+register("category_name_duplicates", C.category_name_duplicates)
+register("category_name_conflicts", C.category_name_conflicts)
+register("category_list_numbered", C.category_list_numbered)
+register("product_listing", lambda T: C.listing_as_text(C.product_listing(T)))
+register("product_search", lambda T: C.listing_as_text(C.product_listing(T, search=P.SEARCH)))
+register("product_listing_category",
+         lambda T: C.listing_as_text(C.product_listing(T, active_only=False, category=P.CATEGORY)))
+register("product_listing_total", C.product_listing_total)
+register("product_gallery", lambda T: C.product_gallery(T).select(
+    "product_id", F.array_join("images", "|").alias("gallery")))
+register("product_single", lambda T: C.product_single(T))
+register("check_stock", lambda T: C.check_stock(T, C.stock_check_requests(T)))
+register("product_colors", C.product_colors)
+register("product_sizes", C.product_sizes)
+register("colors_hex", C.colors_hex)
+
+# order reads
+register("orders_by_member", O.orders_by_member)
+register("orders_by_phone", O.orders_by_phone)
+register("orders_bucketed", O.orders_bucketed)
+register("orders_by_status", lambda T: O.orders_by_status(T, P.STATUS))
+register("order_detail", O.order_detail)
+register("orders_with_preorder_count", O.orders_with_preorder_count)
+register("phones_normalised", O.phones_normalised)
+register("money_text", O.money_text)
+register("order_status_labels", O.order_status_labels)
+register("display_dates", O.display_dates)
+register("order_numbers", O.order_numbers)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: _shop_query(fn, wire) for k, (fn, wire) in REGISTRY.items()}
