@@ -412,5 +412,303 @@ from shop_orders
 """)
 
 
+
+# ------------------------------------------------------------------ members and codes
+NOBLANK = "regexp_replace(trim({c}), '\\s+', '', 'g')"
+DIGITS = "regexp_replace(trim({c}), '[^0-9]', '', 'g')"
+OTP_LATEST = f"""(select phone, otp, requested_at + interval 5 minute as expires_at
+   from (select {NOBLANK.format(c='phone')} as phone, otp, requested_at,
+                row_number() over (partition by {NOBLANK.format(c='phone')} order by seq desc) as rn
+         from otp_requests) x
+   where rn = 1 and phone <> '')"""
+OTP_CHECKED = f"""(select a.seq, a.phone, a.otp, a.attempted_at,
+          (a.phone <> '' and length(trim(a.otp)) = 6 and coalesce(ol.expires_at > a.attempted_at, false)) as valid
+   from (select seq, {NOBLANK.format(c='phone')} as phone, otp, attempted_at from otp_attempts) a
+   left join {OTP_LATEST} ol on ol.phone = a.phone and ol.otp = a.otp)"""
+
+q("latest_otp_per_phone", ["otp_requests"],
+  f"select phone, otp, {TS('expires_at')} as expires_at from {OTP_LATEST} t")
+q("otp_attempts_checked", ["otp_requests", "otp_attempts"],
+  f"select seq, phone, otp, {TS('attempted_at')} as attempted_at, valid from {OTP_CHECKED} t")
+q("otps_remaining", ["otp_requests", "otp_attempts"], f"""
+select phone, otp, {TS('expires_at')} as expires_at from {OTP_LATEST} t
+where phone not in (select phone from {OTP_CHECKED} c where valid)
+""")
+q("known_phone_requests", ["otp_requests", "shop_members"], f"""
+select seq, phone from (select seq, {DIGITS.format(c='phone')} as phone from otp_requests) r
+where length(phone) >= 8 and phone in (select phone from shop_members)
+""")
+q("new_phone_requests", ["otp_requests", "shop_members"], f"""
+select seq, phone from (select seq, {DIGITS.format(c='phone')} as phone from otp_requests) r
+where length(phone) >= 8 and phone not in (select phone from shop_members)
+""")
+_MEMBER_CH = f"""(select {NOBLANK.format(c='phone')} as phone, arg_max(shipping_company, seq) as sc,
+          arg_max(member_number, seq) as mn, min(seq) as first_seq
+   from chg_members group by 1)"""
+q("members_upserted", ["shop_members", "chg_members"], f"""
+select m.id, m.phone, m.name,
+       case when c.phone is not null then c.sc else m.shipping_company end as shipping_company,
+       case when c.phone is not null then c.mn else m.member_number end as member_number
+from shop_members m left join {_MEMBER_CH} c on c.phone = m.phone
+union all
+select {I('(select max(id) from shop_members) + row_number() over (order by first_seq, phone)')},
+       phone, cast(null as varchar), sc, mn
+from {_MEMBER_CH} c where phone not in (select phone from shop_members)
+""")
+q("member_display_name", ["shop_members"], """
+select id, case when name is null or name in ('', '0') then phone else name end as display_name from shop_members
+""")
+q("member_initials", ["shop_members"], """
+select id, coalesce(upper(left(nullif(trim(name), ''), 1)), right(nullif(phone, ''), 2), '?') as initial
+from shop_members
+""")
+
+# ------------------------------------------------------------------ change batches
+q("orders_with_shipping_defaults", ["shop_orders"], f"""
+select id, cast(0 as double) as items_total, {M('shipping_fee')} as shipping_fee, shipping_company,
+       cast(null as varchar) as member_number, payment_method, member_id,
+       cast(null as varchar) as customer_address, cast(null as varchar) as note,
+       cast(null as varchar) as payment_slip
+from shop_orders
+""")
+
+ITEM_SUMS = "(select order_id, sum(price * quantity) as s from {items} group by order_id)"
+
+
+def totals_sql(items, orders_filter="1=1"):
+    return f"""
+select o.id, {I('trunc(coalesce(x.s, 0))')} as items_total,
+       {I('trunc(coalesce(x.s, 0)) + trunc(coalesce(o.shipping_fee, 0))')} as total_amount
+from shop_orders o left join {ITEM_SUMS.format(items=items)} x on x.order_id = o.id
+where {orders_filter}
+"""
+
+
+q("order_totals_recomputed", ["shop_orders", "shop_items"], totals_sql("shop_items"))
+q("order_total_mismatch", ["shop_orders", "shop_items"], f"""
+select o.id, {M('o.total_amount')} as total_amount, {M('coalesce(x.s, 0)')} as lines_total,
+       {M('o.shipping_fee')} as shipping_fee,
+       {M('o.total_amount - (coalesce(x.s, 0) + coalesce(o.shipping_fee, 0))')} as diff
+from shop_orders o left join {ITEM_SUMS.format(items='shop_items')} x on x.order_id = o.id
+where o.total_amount <> coalesce(x.s, 0) + coalesce(o.shipping_fee, 0)
+""")
+
+PLACED = """(select request_id, name, phone, member_id,
+          (select max(id) from shop_orders) + row_number() over (order by request_id) as id,
+          cast(trunc(items_total) as bigint) as it,
+          cast(coalesce(trunc(shipping_fee), 0) as bigint) as fee
+   from req_orders)"""
+_AS_OF_DAY = P.AS_OF.strftime("%Y%m%d")
+_AS_OF_TS = P.AS_OF.strftime("%Y-%m-%d %H:%M:%S")
+q("orders_placed", ["req_orders", "shop_orders"], f"""
+select request_id, id, 'BUN-{_AS_OF_DAY}-' || right(lpad(upper(hex(id)), 7, '0'), 7) as order_number,
+       trim(coalesce(name, '')) as customer_name,
+       regexp_replace(trim(coalesce(phone, '')), '[^0-9]', '', 'g') as customer_phone,
+       '' as customer_address, it + fee as total_amount, it as items_total, fee as shipping_fee,
+       '' as shipping_company, '' as member_number, 'transfer' as payment_method,
+       '' as payment_slip, '' as note,
+       case when member_id <> 0 then {I('member_id')} end as member_id,
+       'pending' as status, '{_AS_OF_TS}' as created_at
+from {PLACED} p
+""")
+PLACED_LINES = f"""(select p.id as order_id, i.product_id, i.quantity, i.price,
+          case when coalesce(cast(i.is_preorder as varchar), '') in ('', '0') then 0 else 1 end as is_preorder
+   from req_order_items i join {PLACED} p on p.request_id = i.request_id)"""
+q("order_lines_placed", ["req_orders", "req_order_items", "shop_orders"], f"""
+select order_id, product_id, quantity, {M('price')} as price, {I('is_preorder')} as is_preorder
+from {PLACED_LINES} l
+""")
+
+
+def stock_sql(moves):
+    return f"""
+select p.id, {I('p.stock + coalesce(m.d, 0)')} as stock
+from shop_products p left join (select product_id, sum(d) as d from {moves} mv group by product_id) m
+  on m.product_id = p.id
+"""
+
+
+MOVES_PLACED = f"(select product_id, -quantity as d from {PLACED_LINES} l where is_preorder = 0)"
+q("stock_after_orders", ["req_orders", "req_order_items", "shop_orders", "shop_products"],
+  stock_sql(MOVES_PLACED))
+
+CANCEL_OK = """(select c.id from (select id, min(seq) as s from chg_cancel group by id) c
+   join shop_orders o on o.id = c.id and o.status = 'pending' where c.id <> 0)"""
+MOVES_CANCEL = f"(select product_id, quantity as d from shop_items where order_id in (select id from {CANCEL_OK} a))"
+q("orders_after_cancel", ["chg_cancel", "shop_orders"], f"""
+select o.id, case when o.id in (select id from {CANCEL_OK} a) then 'cancelled' else o.status end as status
+from shop_orders o
+""")
+q("stock_after_cancel", ["chg_cancel", "shop_orders", "shop_items", "shop_products"],
+  stock_sql(MOVES_CANCEL))
+q("cancel_rejected", ["chg_cancel", "shop_orders"], """
+select c.seq, c.id,
+       case when c.id = 0 then 'missing id' when o.id is null then 'not found' else 'not pending' end as reason
+from chg_cancel c left join shop_orders o on o.id = c.id
+where not (coalesce(o.status = 'pending', false)
+           and c.seq = (select min(seq) from chg_cancel d where d.id = c.id))
+""")
+q("orders_readdressed", ["shop_orders", "chg_address"], """
+select o.id, case when a.id is not null then trim(coalesce(a.address, '')) end as customer_address
+from shop_orders o left join (select id, arg_max(address, seq) as address from chg_address where id <> 0 group by id) a
+  on a.id = o.id
+""")
+
+EDITS_OK = "(select * from chg_item_qty where item_id <> 0 and quantity >= 1 and order_id <> 0)"
+ITEMS_EDITED = f"""(select i.id, i.order_id, i.product_id, coalesce(e.q, i.quantity) as quantity, i.price
+   from shop_items i left join (select item_id, arg_max(quantity, seq) as q from {EDITS_OK} v group by item_id) e
+     on e.item_id = i.id)"""
+q("items_after_edit", ["shop_items", "chg_item_qty"],
+  f"select id, order_id, quantity from {ITEMS_EDITED} t")
+q("totals_after_edit", ["shop_orders", "shop_items", "chg_item_qty"],
+  totals_sql(ITEMS_EDITED, f"o.id in (select order_id from {EDITS_OK} v)"))
+q("order_edits_rejected", ["shop_items", "chg_item_qty"], """
+select * from (
+  select item_id, order_id, quantity, seq,
+         case when item_id = 0 then 'missing item id' when quantity < 1 then 'quantity below 1'
+              when order_id = 0 then 'missing order id' end as reason
+  from chg_item_qty) t
+where reason is not null
+""")
+
+DELETES_OK = "(select * from chg_item_delete where item_id <> 0 and order_id <> 0)"
+ITEMS_LEFT = f"(select * from shop_items where id not in (select item_id from {DELETES_OK} v))"
+MOVES_DELETE = f"""(select product_id, quantity as d from shop_items
+   where is_preorder = 0 and id in (select item_id from {DELETES_OK} v))"""
+q("items_after_delete", ["shop_items", "chg_item_delete"],
+  f"select id, order_id, product_id, quantity from {ITEMS_LEFT} t")
+q("stock_after_item_delete", ["shop_items", "chg_item_delete", "shop_products"], stock_sql(MOVES_DELETE))
+q("totals_after_delete", ["shop_orders", "shop_items", "chg_item_delete"],
+  totals_sql(ITEMS_LEFT, f"o.id in (select order_id from {DELETES_OK} v)"))
+q("orders_status_set", ["shop_orders", "chg_status"], """
+select o.id, case when c.id is not null then c.status else o.status end as status
+from shop_orders o left join (select id, arg_max(status, seq) as status from chg_status group by id) c on c.id = o.id
+""")
+q("stock_ledger", ["req_orders", "req_order_items", "shop_orders", "shop_items", "chg_cancel",
+                   "chg_item_delete"], f"""
+select product_id, {I('sum(placed)')} as placed, {I('sum(cancelled)')} as cancelled,
+       {I('sum(deleted)')} as deleted, {I('sum(placed + cancelled + deleted)')} as net
+from (select product_id, d as placed, 0 as cancelled, 0 as deleted from {MOVES_PLACED} a
+      union all select product_id, 0, d, 0 from {MOVES_CANCEL} b
+      union all select product_id, 0, 0, d from {MOVES_DELETE} c) t
+group by product_id
+""")
+q("product_images_replaced", ["shop_product_images", "chg_product_images"], f"""
+select product_id, {I('sort_order')} as sort_order, image_path from shop_product_images
+where product_id not in (select product_id from chg_product_images)
+union all
+select product_id, {I('pos')}, image_path from chg_product_images
+where image_path is not null and image_path not in ('', '0')
+""")
+q("products_inserted", ["new_products", "shop_products"], f"""
+select {I('(select max(id) from shop_products) + row_number() over (order by seq)')} as id,
+       {I('category_id')} as category_id, name, {M('price')} as price,
+       {M('coalesce(cost_price, 0)')} as cost_price, {I('stock')} as stock,
+       '[]' as colors, '[]' as sizes, {I('0')} as pre_order
+from new_products
+""")
+q("products_after_delete", ["shop_products", "chg_product_delete"],
+  "select id, name from shop_products where id not in (select id from chg_product_delete)")
+q("product_images_after_delete", ["shop_product_images", "shop_products", "chg_product_delete"], f"""
+select id, product_id, {I('sort_order')} as sort_order, image_path from shop_product_images
+where product_id not in (select id from chg_product_delete)
+""")
+q("stock_set", ["shop_products", "chg_stock"], f"""
+select p.id, {I('case when c.id is not null then c.stock else p.stock end')} as stock
+from shop_products p left join (select id, arg_max(stock, seq) as stock from chg_stock group by id) c on c.id = p.id
+""")
+q("products_reordered", ["shop_products", "chg_sort"], f"""
+select p.id, {I('case when c.id is not null then c.sort_order else p.sort_order end')} as sort_order
+from shop_products p left join (select id, arg_max(sort_order, seq) as sort_order from chg_sort group by id) c
+  on c.id = p.id
+""")
+q("category_changes_applied", ["chg_categories", "shop_categories", "shop_products"], f"""
+select {I('seq')} as seq, op, {I('id')} as id, case when op = 'delete' then name else trim(name) end as name,
+       case when reason is null then 'applied' else 'rejected' end as status, reason
+from (select ch.*, case
+        when op = 'insert' and (name is null or name in ('', '0')) then 'name required'
+        when op = 'insert' and exists (select 1 from shop_categories k
+                                        where lower(rtrim(k.name)) = lower(rtrim(ch.name))) then 'duplicate name'
+        when op = 'update' and (id is null or id = 0 or name is null or name in ('', '0')) then 'missing data'
+        when op = 'update' and exists (select 1 from shop_categories k
+                                        where lower(rtrim(k.name)) = lower(rtrim(ch.name)) and k.id <> ch.id)
+             then 'duplicate name'
+        when op = 'delete' and (id is null or id = 0) then 'missing id'
+        when op = 'delete' and exists (select 1 from shop_products p where p.category_id = ch.id) then 'has products'
+        when op not in ('insert', 'update', 'delete') then 'unknown op' end as reason
+      from chg_categories ch) t
+""")
+
+# ------------------------------------------------------------------ carts
+# Window restatement of the fold (different from the aggregate plan in Spark).
+_LINE = "partition by cart_id, product_id, color"
+_RUN = "order by seq rows between unbounded preceding and current row"
+CART_REPLAY = f"""(
+  with w as (
+    select cart_id, seq, product_id, coalesce(color, '') as color, action, qty, price,
+           count(case when action = 'clear' then 1 end) over (partition by cart_id {_RUN}) as clr_run,
+           count(case when action = 'clear' then 1 end) over (partition by cart_id) as clr_tot,
+           count(case when action = 'remove' or (action = 'set' and qty < 1) then 1 end)
+             over (partition by cart_id, product_id, coalesce(color, '') {_RUN}) as kill_run,
+           count(case when action = 'remove' or (action = 'set' and qty < 1) then 1 end)
+             over (partition by cart_id, product_id, coalesce(color, '')) as kill_tot
+    from cart_events),
+  s as (select * from w where clr_run = clr_tot and kill_run = kill_tot
+                          and (action = 'add' or (action = 'set' and qty >= 1))),
+  a as (select *, count(case when action = 'add' then 1 end) over ({_LINE} {_RUN}) as add_run from s),
+  b as (select * from a where not (action = 'set' and add_run = 0)),
+  c as (select *, count(case when action = 'set' then 1 end) over ({_LINE} {_RUN}) as set_run,
+                  count(case when action = 'set' then 1 end) over ({_LINE}) as set_tot from b),
+  price as (select cart_id, product_id, color, arg_min(price, seq) as price from b where action = 'add'
+            group by 1, 2, 3),
+  qty as (select cart_id, product_id, color, sum(qty) as qty from c where set_run = set_tot group by 1, 2, 3)
+  select q.cart_id, q.product_id, q.color, q.qty, p.price
+  from qty q join price p using (cart_id, product_id, color))"""
+q("cart_replay", ["cart_events"],
+  f"select cart_id, product_id, color, {I('qty')} as qty, {M('price')} as price from {CART_REPLAY} r")
+q("cart_totals", ["cart_events"], f"""
+select cart_id, {I('sum(qty)')} as count, {M('sum(price * qty)')} as total from {CART_REPLAY} r group by cart_id
+""")
+q("cart_key_slug", ["cart_events"], """
+select cart_id, product_id, color,
+       regexp_replace(cast(product_id as varchar) || '_' || color, '[^a-zA-Z0-9]', '-', 'g') as slug
+from """ + CART_REPLAY + " r")
+q("cart_lines_normalised", ["cart_events", "shop_products"], f"""
+select r.cart_id, r.product_id, r.color, cast(r.product_id as varchar) || '_' || r.color as key,
+       {I('case when coalesce(r.qty, 0) <> 0 then r.qty else 1 end')} as quantity,
+       case when p.name_lo is null or p.name_lo = '' then p.name else p.name_lo end as name_lo,
+       case when p.image is null or p.image = '' then '' else p.image end as image_url,
+       {M('r.price')} as price,
+       {M('r.price * case when coalesce(r.qty, 0) <> 0 then r.qty else 1 end')} as line_total
+from {CART_REPLAY} r left join shop_products p on p.id = r.product_id
+""")
+q("cart_merged", ["cart_events", "shop_products"], f"""
+select e.cart_id, e.product_id, coalesce(e.color, '') as color, {I('sum(e.qty)')} as qty,
+       {M('arg_min(e.price, e.seq)')} as price, {I('max(coalesce(p.pre_order, 0))')} as is_preorder,
+       {I('count(*)')} as adds
+from cart_events e left join shop_products p on p.id = e.product_id
+where e.action = 'add'
+group by 1, 2, 3
+""")
+q("carrier_map", ["carrier_events"], """
+select * from (select user_id, carrier, arg_max(member_number, seq) as member_number
+               from carrier_events group by 1, 2) t
+where trim(coalesce(member_number, '')) <> ''
+""")
+
+# ------------------------------------------------------------------ sources / scalar helpers
+q("order_requests_parsed", ["req_orders", "req_order_items"], f"""
+select r.request_id, r.name, r.phone, i.product_id, i.quantity as qty, {M('i.price')} as price,
+       {I('i.is_preorder')} as is_preorder
+from req_orders r join req_order_items i on i.request_id = r.request_id
+""")
+q("fit_ratio", ["image_sizes"], f"""
+select id, least(1.0, 1920.0 / w, 700.0 / h) as ratio,
+       {I('floor(w * least(1.0, 1920.0 / w, 700.0 / h) + 0.5)')} as w2,
+       {I('floor(h * least(1.0, 1920.0 / w, 700.0 / h) + 0.5)')} as h2
+from image_sizes
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: oracle_with(v, body) for k, (v, body) in Q.items()}

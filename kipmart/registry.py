@@ -11,11 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kipmart import params as P
+from kipmart.operators import cart as K
 from kipmart.operators import catalog as C
+from kipmart.operators import changes as U
+from kipmart.operators import members as M
 from kipmart.operators import orders as O
 from kipmart.operators import reports as R
 from pyspark.sql import functions as F
-from kipmart.plans.wire import to_wire
+from kipmart.functions import text as X
+from kipmart.plans.wire import as_json, to_wire
+from kipmart.sources import requests as S
 from kipmart.sources.tables import load_shop
 
 REGISTRY: dict[str, Callable] = {}
@@ -89,6 +94,103 @@ register("order_status_labels", O.order_status_labels)
 register("display_dates", O.display_dates)
 register("order_numbers", O.order_numbers)
 
+# members and codes
+def _otps(T):
+    return M.latest_otp_per_phone(T.table("otp_requests"))
+
+
+def _checked(T):
+    return M.otp_attempts_checked(_otps(T), T.table("otp_attempts"))
+
+
+register("latest_otp_per_phone", _otps)
+register("otp_attempts_checked", _checked)
+register("otps_remaining", lambda T: M.otps_remaining(_otps(T), _checked(T)))
+register("known_phone_requests",
+         lambda T: M.known_phone_requests(T.table("otp_requests"), T.members).select("seq", "phone"))
+register("new_phone_requests",
+         lambda T: M.new_phone_requests(T.table("otp_requests"), T.members).select("seq", "phone"))
+register("members_upserted", lambda T: M.members_upserted(T.members, T.table("chg_members")))
+register("member_display_name", lambda T: M.member_display_name(T.members))
+register("member_initials", lambda T: M.member_initials(T.members))
+
+
+# order and catalogue change batches
+def _placed(T):
+    return U.place_orders(T, T.table("req_orders"), T.table("req_order_items"), P.AS_OF)
+
+
+def _cancel(T):
+    return U.cancel_orders(T, T.table("chg_cancel"))
+
+
+def _edit(T):
+    return U.edit_item_quantities(T, T.table("chg_item_qty"))
+
+
+def _delete(T):
+    return U.delete_items(T, T.table("chg_item_delete"))
+
+
+register("orders_with_shipping_defaults", U.orders_with_shipping_defaults)
+register("order_totals_recomputed", U.order_totals_recomputed)
+register("order_total_mismatch", U.order_total_mismatch)
+register("orders_placed", lambda T: _placed(T)["orders"])
+register("order_lines_placed", lambda T: _placed(T)["lines"])
+register("stock_after_orders", lambda T: _placed(T)["products"].select("id", "stock"))
+register("orders_after_cancel", lambda T: _cancel(T)["orders"].select("id", "status"))
+register("stock_after_cancel", lambda T: _cancel(T)["products"].select("id", "stock"))
+register("cancel_rejected", lambda T: _cancel(T)["rejected"])
+register("orders_readdressed",
+         lambda T: U.readdress_orders(T, T.table("chg_address")).select("id", "customer_address"))
+register("items_after_edit", lambda T: _edit(T)["items"].select("id", "order_id", "quantity"))
+register("totals_after_edit", lambda T: _edit(T)["totals"])
+register("order_edits_rejected", lambda T: _edit(T)["rejected"])
+register("items_after_delete",
+         lambda T: _delete(T)["items"].select("id", "order_id", "product_id", "quantity"))
+register("stock_after_item_delete", lambda T: _delete(T)["products"].select("id", "stock"))
+register("totals_after_delete", lambda T: _delete(T)["totals"])
+register("orders_status_set", lambda T: U.set_status(T, T.table("chg_status")).select("id", "status"))
+register("stock_ledger", lambda T: U.stock_ledger(_placed(T)["moves"], _cancel(T)["moves"],
+                                                  _delete(T)["moves"]))
+register("product_images_replaced", lambda T: U.replace_product_images(T, T.table("chg_product_images")))
+register("products_inserted", lambda T: U.insert_products(T, T.table("new_products")))
+register("products_after_delete",
+         lambda T: U.delete_products(T, T.table("chg_product_delete"))["products"].select("id", "name"))
+register("product_images_after_delete",
+         lambda T: U.delete_products(T, T.table("chg_product_delete"))["product_images"])
+register("stock_set", lambda T: U.set_stock(T, T.table("chg_stock")).select("id", "stock"))
+register("products_reordered",
+         lambda T: U.reorder_products(T, T.table("chg_sort")).select("id", "sort_order"))
+register("category_changes_applied", lambda T: U.apply_category_changes(T, T.table("chg_categories")))
+
+# carts
+register("cart_replay", lambda T: K.cart_replay(T.table("cart_events")))
+register("cart_totals", lambda T: K.cart_totals(K.cart_replay(T.table("cart_events"))))
+register("cart_key_slug", lambda T: K.cart_key_slug(K.cart_replay(T.table("cart_events"))))
+register("cart_lines_normalised",
+         lambda T: K.cart_lines_normalised(K.cart_replay(T.table("cart_events")), T.products))
+register("cart_merged", lambda T: K.cart_merged(T.table("cart_events"), T.products))
+register("carrier_map", lambda T: K.carrier_map(T.table("carrier_events")))
+
+
+# sources, sinks, scalar helpers
+def _parsed_requests(T):
+    bodies = S.order_request_bodies(T.table("req_orders"), T.table("req_order_items"))
+    _, lines = S.order_request_lines(S.parse_order_requests(bodies))
+    heads = S.parse_order_requests(bodies).select("request_id", "name", "phone")
+    return heads.join(lines, "request_id").select(
+        "request_id", "name", "phone", "product_id", F.col("quantity").alias("qty"), "price",
+        "is_preorder")
+
+
+register("order_requests_parsed", _parsed_requests)
+register("orders_as_json", lambda T: as_json(T.orders), wire=False)
+register("fit_ratio", lambda T: T.table("image_sizes").select(
+    "id", X.fit_ratio(F.col("w"), F.col("h")).alias("ratio"),
+    X.js_round(F.col("w") * X.fit_ratio(F.col("w"), F.col("h"))).alias("w2"),
+    X.js_round(F.col("h") * X.fit_ratio(F.col("w"), F.col("h"))).alias("h2")))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: _shop_query(fn, wire) for k, (fn, wire) in REGISTRY.items()}
