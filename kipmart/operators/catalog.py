@@ -54,8 +54,10 @@ def category_product_counts(T) -> DataFrame:
 
 def deletable_categories(T) -> DataFrame:
     """Categories with no product of any status (delete allowed)."""
-    used = T.products.select(F.col("category_id").alias("id")).where(F.col("id").isNotNull())
-    return T.categories.join(used, "id", "left_anti").select("id", "name", "description")
+    used = (T.products.where(F.col("category_id").isNotNull())
+            .groupBy(F.col("category_id").alias("id")).agg(F.count(F.lit(1)).alias("__n")))
+    return (T.categories.join(used, "id", "left").filter(F.col("__n").isNull())
+            .select("id", "name", "description"))
 
 
 # ------------------------------------------------------------------- A6 / J8

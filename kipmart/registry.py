@@ -30,9 +30,21 @@ def register(key: str, fn: Callable, wire: bool = True):
     REGISTRY[key] = (fn, wire)
 
 
+_SHOPS: dict = {}
+
+
+def _shop(spark: SparkSession, sf_dir: str):
+    """One table namespace per (session, folder), so the adapter views are
+    analysed once and shared by every query of a run."""
+    key = (id(spark), sf_dir)
+    if key not in _SHOPS:
+        _SHOPS[key] = load_shop(spark, sf_dir)
+    return _SHOPS[key]
+
+
 def _shop_query(fn, wire):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = fn(load_shop(spark, sf_dir))
+        df = fn(_shop(spark, sf_dir))
         return to_wire(df) if wire else df
     return run
 

@@ -95,3 +95,13 @@ def read_jdbc(spark: SparkSession, table: str, url: str, properties: dict | None
                   .option("lowerBound", lower_bound).option("upperBound", upper_bound)
                   .option("numPartitions", num_partitions))
     return reader.load()
+
+
+class InlineShop(Shop):
+    """A namespace over given DataFrames (tests and callers holding their own
+    tables); names not given fall back to an underlying folder when one is set."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], path: str = ""):
+        super().__init__(spark, path or "/nonexistent", "fixture")
+        for k, v in tables.items():
+            self._cache[ALIASES.get(k, k)] = v
