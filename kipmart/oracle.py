@@ -702,6 +702,11 @@ select r.request_id, r.name, r.phone, i.product_id, i.quantity as qty, {M('i.pri
        {I('i.is_preorder')} as is_preorder
 from req_orders r join req_order_items i on i.request_id = r.request_id
 """)
+q("escaped_text", [], """
+select doc_id, replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+                       '"', '&quot;') as escaped
+from documents
+""")
 q("fit_ratio", ["image_sizes"], f"""
 select id, least(1.0, 1920.0 / w, 700.0 / h) as ratio,
        {I('floor(w * least(1.0, 1920.0 / w, 700.0 / h) + 0.5)')} as w2,

@@ -197,6 +197,8 @@ def _parsed_requests(T):
 
 
 register("order_requests_parsed", _parsed_requests)
+register("escaped_text", lambda T: T.table("documents").select(
+    "doc_id", X.html_escape(F.col("text")).alias("escaped")))
 register("orders_as_json", lambda T: as_json(T.orders), wire=False)
 register("fit_ratio", lambda T: T.table("image_sizes").select(
     "id", X.fit_ratio(F.col("w"), F.col("h")).alias("ratio"),
