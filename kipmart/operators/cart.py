@@ -16,6 +16,7 @@ remove, set < 1) is the first add after it (creation and price), the last set
 after that add, and the adds after that set. Aggregates are partial (map-side),
 and each join meets one aggregate row per key, so a cart holding a third of
 all events is split by AQE's skew handling instead of landing in one task.
+The events are read three times; no pass sorts them.
 """
 
 from __future__ import annotations
@@ -29,34 +30,48 @@ LINE = ["cart_id", "product_id", "color"]
 
 
 def cart_replay(events: DataFrame) -> DataFrame:
-    """Final cart lines: cart_id, product_id, color, qty, price."""
+    """Final cart lines: cart_id, product_id, color, qty, price.
+
+    Three passes over the events, each an aggregate joined back by key:
+
+    1. per cart the last ``clear``; per line the last kill (``remove``,
+       ``set`` < 1);
+    2. events after the line's cutoff ``K`` = max(last clear, last kill):
+       first add (creation, price), last set ``S`` and its quantity;
+    3. adds after ``S`` (only lines whose last set follows the first add).
+    """
     ev = events.select("cart_id", "seq", "product_id",
                        F.coalesce(F.col("color"), F.lit("")).alias("color"),
                        "action", "qty", "price")
-    clears = (ev.filter(F.col("action") == "clear").groupBy("cart_id")
-              .agg(F.max("seq").alias("clear_seq")))
-    is_kill = (F.col("action") == "remove") | ((F.col("action") == "set") & (F.col("qty") < 1))
+    act, seq = F.col("action"), F.col("seq")
+    is_kill = (act == "remove") | ((act == "set") & (F.col("qty") < 1))
+    clears = ev.filter(act == "clear").groupBy("cart_id").agg(F.max("seq").alias("clear_seq"))
     kills = ev.filter(is_kill).groupBy(*LINE).agg(F.max("seq").alias("kill_seq"))
-    live = (ev.filter((F.col("action") == "add") | ((F.col("action") == "set") & (F.col("qty") >= 1)))
+    cutoff = F.greatest(F.coalesce(F.col("clear_seq"), F.lit(-1)),
+                        F.coalesce(F.col("kill_seq"), F.lit(-1)))
+    live = (ev.filter((act == "add") | ((act == "set") & (F.col("qty") >= 1)))
             .join(clears, "cart_id", "left").join(kills, LINE, "left")
-            .filter((F.col("seq") > F.coalesce(F.col("clear_seq"), F.lit(-1)))
-                    & (F.col("seq") > F.coalesce(F.col("kill_seq"), F.lit(-1))))
-            .select(*LINE, "seq", "action", "qty", "price"))
-    adds = live.filter(F.col("action") == "add")
-    created = adds.groupBy(*LINE).agg(F.min("seq").alias("first_add"),
-                                      F.min_by("price", "seq").alias("price"))
-    last_set = (live.filter(F.col("action") == "set").join(created, LINE)
-                .filter(F.col("seq") > F.col("first_add"))
-                .groupBy(*LINE).agg(F.max("seq").alias("set_seq"),
-                                    F.max_by("qty", "seq").alias("set_qty")))
-    tail_adds = (adds.join(last_set, LINE, "left")
-                 .filter(F.col("set_seq").isNull() | (F.col("seq") > F.col("set_seq")))
-                 .groupBy(*LINE).agg(F.sum("qty").alias("add_qty")))
-    return (created.join(last_set, LINE, "left").join(tail_adds, LINE, "left")
-            .select(*LINE,
-                    (F.coalesce(F.col("set_qty"), F.lit(0)) + F.coalesce(F.col("add_qty"), F.lit(0)))
-                    .alias("qty"),
-                    "price"))
+            .withColumn("cut", cutoff)
+            .filter(seq > F.col("cut")))
+    is_add, is_set = act == "add", act == "set"
+    stats = (live.groupBy(*LINE)
+             .agg(F.max("cut").alias("cut"),
+                  F.min(F.when(is_add, seq)).alias("first_add"),
+                  F.min_by(F.when(is_add, F.col("price")), F.when(is_add, seq)).alias("price"),
+                  F.max(F.when(is_set, seq)).alias("set_seq"),
+                  F.max_by(F.when(is_set, F.col("qty")), F.when(is_set, seq)).alias("set_qty"),
+                  F.sum(F.when(is_add, F.col("qty"))).alias("add_qty"))
+             .filter(F.col("first_add").isNotNull()))
+    # a set before the first add hit a missing line (no-op); the last set after it rules
+    valid_set = F.col("set_seq") > F.col("first_add")
+    reset = stats.filter(valid_set).select(*LINE, "cut", "set_seq")
+    tail = (ev.filter(is_add).join(reset, LINE)
+            .filter((seq > F.col("cut")) & (seq > F.col("set_seq")))
+            .groupBy(*LINE).agg(F.sum("qty").alias("tail_qty")))
+    out = stats.join(tail, LINE, "left")
+    qty = (F.when(valid_set, F.col("set_qty") + F.coalesce(F.col("tail_qty"), F.lit(0)))
+           .otherwise(F.col("add_qty")))
+    return out.select(*LINE, qty.alias("qty"), "price")
 
 
 def cart_totals(lines: DataFrame) -> DataFrame:
