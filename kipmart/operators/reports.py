@@ -146,15 +146,20 @@ def profit_by_product(T, month: str | None = None, n: int = 15) -> DataFrame:
             .limit(n))
 
 
-def profit_by_month(T, n: int = 12) -> DataFrame:
-    """Profit per month over all time, newest ``n`` months."""
+def _month_product_base(T) -> DataFrame:
+    """Live lines collapsed to one row per (month, product), with cost."""
     o = (T.orders.filter(_live())
          .select(F.col("id").alias("order_id"), cal.month_key(F.col("created_at")).alias("month")))
     lines = T.items.select("order_id", "product_id", "quantity", "price").join(o, "order_id")
     q = F.col("quantity")
     per = lines.groupBy("month", "product_id").agg(
         F.sum(q).alias("qty"), F.sum(q * F.col("price")).alias("revenue"))
-    j = _with_cost(per, T)
+    return _with_cost(per, T)
+
+
+def profit_by_month(T, n: int = 12) -> DataFrame:
+    """Profit per month over all time, newest ``n`` months."""
+    j = _month_product_base(T)
     return (j.groupBy("month")
             .agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"))
             .withColumn("profit", F.col("revenue") - F.col("cost"))
@@ -162,11 +167,36 @@ def profit_by_month(T, n: int = 12) -> DataFrame:
             .limit(n))
 
 
-def profit(T, month: str | None = None) -> dict[str, DataFrame]:
-    """The ``profit`` report bundle: three lazy plans over the same line base."""
-    return {"overall": profit_overall(T, month),
-            "by_product": profit_by_product(T, month),
-            "by_month": profit_by_month(T)}
+def profit(T, month: str | None = None, n_products: int = 15, n_months: int = 12,
+           materialize: bool = False) -> dict[str, DataFrame]:
+    """The ``profit`` report bundle over one shared base.
+
+    The line ⋈ order ⋈ product work is done once, down to one row per
+    (month, product); the three parts are small aggregates of that base. With
+    ``materialize=True`` the base is checkpointed (reliable storage) so the
+    three parts do not recompute it.
+    """
+    base = _month_product_base(T)
+    if materialize:
+        from kipmart.plans.materialize import cut_lineage
+        base = cut_lineage(base)
+    in_month = base
+    if month and cal._MONTH_RE.match(month):  # malformed month = no filter
+        in_month = base.filter(F.col("month") == month)
+    rev = F.coalesce(F.sum("revenue"), F.lit(0))
+    cost = F.coalesce(F.sum("cost"), F.lit(0))
+    overall = in_month.agg(rev.alias("revenue"), cost.alias("cost"), (rev - cost).alias("profit"),
+                           F.coalesce(F.sum("qty"), F.lit(0)).alias("units_sold"))
+    by_product = (in_month.groupBy(F.col("product_id").alias("id"), "name", "sku", "image", "cost_price")
+                  .agg(F.sum("qty").alias("qty"), F.sum("revenue").alias("revenue"),
+                       F.sum("cost").alias("cost"))
+                  .withColumn("profit", F.col("revenue") - F.col("cost"))
+                  .orderBy(F.col("profit").desc(), F.col("id").asc()).limit(n_products))
+    by_month = (base.groupBy("month")
+                .agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"))
+                .withColumn("profit", F.col("revenue") - F.col("cost"))
+                .orderBy(F.col("month").desc()).limit(n_months))
+    return {"overall": overall, "by_product": by_product, "by_month": by_month}
 
 
 # --------------------------------------------------------------------------- R9

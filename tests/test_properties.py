@@ -56,3 +56,13 @@ def test_duplicate_requests_do_not_change_overwrites(spark, shop):
 def test_recomputed_totals_agree_with_mismatch_view(shop):
     n_mismatch = U.order_total_mismatch(shop).count()
     assert 0 < n_mismatch <= shop.orders.count()
+
+
+def test_profit_bundle_equals_single_reports(shop):
+    for month in (None, "1998-03", "2024-13", "abc"):
+        b = R.profit(shop, month)
+        assert b["overall"].collect() == R.profit_overall(shop, month).collect()
+        assert b["by_product"].collect() == R.profit_by_product(shop, month).collect()
+        assert b["by_month"].collect() == R.profit_by_month(shop).collect()
+    m = R.profit(shop, "1998-03", materialize=True)
+    assert m["overall"].collect() == R.profit_overall(shop, "1998-03").collect()
