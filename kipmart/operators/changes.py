@@ -120,7 +120,16 @@ def order_number(created_at: Column, order_id: Column) -> Column:
     return F.concat(F.lit("BUN-"), F.date_format(created_at, "yyyyMMdd"), F.lit("-"), suffix)
 
 
-def place_orders(T, requests: DataFrame, lines: DataFrame, as_of: _dt.datetime) -> dict:
+def _next_id(table: DataFrame, start_id: int | None):
+    """First free id: the caller's high-water mark when known (no scan), else
+    ``max(id) + 1`` as a scalar subquery (one pass over the id column)."""
+    if start_id is not None:
+        return F.lit(start_id).cast("bigint")
+    return table.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+
+
+def place_orders(T, requests: DataFrame, lines: DataFrame, as_of: _dt.datetime,
+                 start_id: int | None = None) -> dict:
     """O1: headers, lines and stock after a batch of order requests.
 
     ``requests``: request_id, name, phone, member_id, items_total, shipping_fee
@@ -136,8 +145,7 @@ def place_orders(T, requests: DataFrame, lines: DataFrame, as_of: _dt.datetime)
     fee = F.coalesce(_int(F.col("shipping_fee")), F.lit(0).cast("bigint"))
     member = _int(F.col("member_id"))
     now = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    start = T.orders.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    numbered = sequence_number(r, [F.col("request_id").asc()], start, "id")
+    numbered = sequence_number(r, [F.col("request_id").asc()], _next_id(T.orders, start_id), "id")
     headers = numbered.select(
         "request_id", "id",
         order_number(now, F.col("id")).alias("order_number"),
@@ -301,10 +309,10 @@ def images_from_lists(products: DataFrame, list_col: str = "extra_images") -> Da
             .filter(~X.is_falsy(F.col("image_path"))))
 
 
-def insert_products(T, new: DataFrame) -> DataFrame:
+def insert_products(T, new: DataFrame, start_id: int | None = None) -> DataFrame:
     """New products get ids after the current highest, in request
     order; lists are stored as JSON text; missing cost/pre-order default to 0."""
-    start = T.products.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    start = _next_id(T.products, start_id)
     r = with_defaults(new, {"colors": ("array<string>", None), "sizes": ("array<string>", None),
                             "pre_order": ("int", None), "cost_price": ("decimal(12,2)", None)})
     numbered = sequence_number(r, [F.col("seq").asc()], start, "id")

@@ -80,7 +80,7 @@ def new_phone_requests(requests: DataFrame, members: DataFrame) -> DataFrame:
     return r.join(members.select("phone"), "phone", "left_anti")
 
 
-def members_upserted(members: DataFrame, changes: DataFrame) -> DataFrame:
+def members_upserted(members: DataFrame, changes: DataFrame, start_id: int | None = None) -> DataFrame:
     """Upsert by unique phone. Known phones get the latest carrier and
     member number; unknown phones are inserted with new ids, numbered in the
     order of their first request after the current highest id."""
@@ -97,7 +97,8 @@ def members_upserted(members: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(F.col("__hit"), F.col("__sc")).otherwise(F.col("shipping_company")).alias("shipping_company"),
         F.when(F.col("__hit"), F.col("__mn")).otherwise(F.col("member_number")).alias("member_number"))
     new = latest.join(members.select("phone"), "phone", "left_anti")
-    start = members.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    start = (F.lit(start_id).cast("bigint") if start_id is not None
+             else members.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar())
     new = sequence_number(new, [F.col("first_seq").asc(), F.col("phone").asc()], start, "id")
     inserted = new.select("id", "phone", F.lit(None).cast("string").alias("name"),
                           "shipping_company", "member_number")

@@ -63,8 +63,9 @@ def apply_job_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, honouring the cluster's ``spark.checkpoint.dir``.
 
-    Only when neither the session nor the context names one (local tests) is a
-    scratch folder created.
+    Only when neither the session nor the context names one and the master is
+    local (tests) is a scratch folder created; on a cluster a missing setting
+    is an error, never a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -73,6 +74,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a driver-local folder is not visible to executors on a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...)")
         configured = tempfile.mkdtemp(prefix="kipmart-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
