@@ -434,6 +434,13 @@ q("otps_remaining", ["otp_requests", "otp_attempts"], f"""
 select phone, otp, {TS('expires_at')} as expires_at from {OTP_LATEST} t
 where phone not in (select phone from {OTP_CHECKED} c where valid)
 """)
+q("otps_rearmed", ["otp_requests", "otp_attempts"], f"""
+select o.phone, o.otp,
+       {TS("case when v.at is not null then v.at + interval 10 minute else o.expires_at end")} as expires_at
+from {OTP_LATEST} o
+left join (select phone, max(attempted_at) as at from {OTP_CHECKED} c where valid group by phone) v
+  on v.phone = o.phone
+""")
 q("known_phone_requests", ["otp_requests", "shop_members"], f"""
 select seq, phone from (select seq, {DIGITS.format(c='phone')} as phone from otp_requests) r
 where length(phone) >= 8 and phone in (select phone from shop_members)

@@ -118,6 +118,7 @@ def _checked(T):
 register("latest_otp_per_phone", _otps)
 register("otp_attempts_checked", _checked)
 register("otps_remaining", lambda T: M.otps_remaining(_otps(T), _checked(T)))
+register("otps_rearmed", lambda T: M.otps_rearmed(_otps(T), _checked(T)))
 register("known_phone_requests",
          lambda T: M.known_phone_requests(T.table("otp_requests"), T.members).select("seq", "phone"))
 register("new_phone_requests",

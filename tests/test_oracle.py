@@ -69,3 +69,22 @@ def test_rows_only_queries(spark, shop, key):
         assert n == shop.products.count()
     else:
         assert n == shop.orders.count()
+
+
+# keys whose output order is part of the answer and total (ties broken by id)
+ORDERED = ["sales_monthly", "top_products", "profit_by_product", "profit_by_month", "sales_daily",
+           "day_orders", "preorder_by_day", "preorder_by_week", "preorder_by_year",
+           "preorder_by_month", "preorder_years", "preorder_lines", "category_product_counts",
+           "product_listing", "product_search", "orders_by_status", "orders_with_preorder_count"]
+
+
+@pytest.mark.parametrize("key", ORDERED)
+def test_order_matches_oracle(spark, con, key):
+    sdf = QUERIES[key](spark, SF_SMALL)
+    cols = sdf.columns
+    srows = ["|".join(_norm(v) for v in r) for r in sdf.collect()]
+    res = con.execute(ORACLE[key])
+    ocols = [d[0] for d in res.description]
+    idx = [ocols.index(c) for c in cols]
+    orows = ["|".join(_norm(r[i]) for i in idx) for r in res.fetchall()]
+    assert srows == orows
