@@ -21,3 +21,18 @@ def test_write_outputs_and_cut_lineage(spark, shop):
     base = cut_lineage(shop.products.select("id", "stock"))
     out = write_outputs({"stock": base}, tempfile.mkdtemp(prefix="out-"))
     assert spark.read.parquet(out["stock"]).count() == shop.products.count()
+
+
+def test_json_request_files_round_trip(spark, shop):
+    from kipmart.plans.wire import write_json
+    from kipmart.sources.requests import (order_request_bodies, order_request_lines,
+                                          read_order_requests)
+    path = tempfile.mkdtemp(prefix="req-")
+    bodies = order_request_bodies(shop.table("req_orders"), shop.table("req_order_items"))
+    bodies.write.mode("overwrite").text(path + "/bodies")
+    parsed = read_order_requests(spark, path + "/bodies")
+    heads, lines = order_request_lines(parsed)
+    assert heads.count() == shop.table("req_orders").count()
+    assert lines.count() == shop.table("req_order_items").count()
+    write_json(shop.orders, path + "/orders_json")
+    assert spark.read.json(path + "/orders_json").count() == shop.orders.count()
