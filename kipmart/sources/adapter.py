@@ -128,31 +128,38 @@ from {customer}
 
 # ---- change batches and event inputs (``seq`` = request order) -------------
 
+# every order is asked to be cancelled twice: the first request of a pending
+# order is applied, the second is refused
 _v("chg_cancel", ["orders"], """
-select o_orderkey as id, o_orderkey * 2 as seq from {orders} where o_orderkey % 11 = 0
-union all select o_orderkey, o_orderkey * 2 + 1 from {orders} where o_orderkey % 33 = 0
+select o_orderkey as id, o_orderkey * 2 as seq from {orders}
+union all select o_orderkey, o_orderkey * 2 + 1 from {orders}
 """)
 
+# the quantity of every pre-order line is edited (0 is refused)
 _v("chg_item_qty", ["shop_items"], """
-select id as item_id, order_id, id % 5 as quantity, id as seq from {shop_items} where id % 17 = 0
+select id as item_id, order_id, id % 5 as quantity, id as seq from {shop_items} where is_preorder = 1
 """)
 
-_v("chg_item_delete", ["shop_items"], """
-select id as item_id, order_id, id as seq from {shop_items} where id % 19 = 0
+# lines of inactive products are deleted from their orders
+_v("chg_item_delete", ["shop_items", "shop_products"], """
+select i.id as item_id, i.order_id, i.id as seq
+from {shop_items} i join {shop_products} p on p.id = i.product_id
+where p.status = 'inactive'
 """)
 
 _v("chg_status", ["shop_orders"], """
 select id, case id % 3 when 0 then 'confirmed' when 1 then 'cancelled' else 'anything' end as status, id as seq
-from {shop_orders} where id % 13 = 0
+from {shop_orders} where status = 'pending'
 """)
 
 _v("chg_stock", ["shop_products"], """
-select id, 50 as stock, id as seq from {shop_products} where id % 23 = 0
+select id, 50 as stock, id as seq from {shop_products} where stock < 5
 """)
 
+# every product gets a position; unpositioned ones get a second, later one
 _v("chg_sort", ["shop_products"], """
-select id, cast(id % 7 as int) as sort_order, id as seq from {shop_products} where id % 29 = 0
-union all select id, cast(id % 11 as int), id + 1000000 from {shop_products} where id % 58 = 0
+select id, cast(id % 7 as int) as sort_order, id as seq from {shop_products}
+union all select id, cast(id % 11 as int), id + 1000000 from {shop_products} where sort_order is null
 """)
 
 _v("chg_members", ["events"], """
@@ -168,11 +175,11 @@ select o_orderkey as request_id, concat('Customer#', cast(o_custkey as string))
        case when o_orderkey % 4 = 0 then 0 else o_custkey end as member_id,
        cast(o_totalprice as decimal(15,2)) as items_total,
        case when o_orderkey % 3 = 0 then null else 25 end as shipping_fee
-from {orders} where o_orderkey % 50 = 0
+from {orders}
 """)
 
 _v("req_order_items", ["shop_items"], """
-select order_id as request_id, product_id, quantity, price, is_preorder from {shop_items} where order_id % 50 = 0
+select order_id as request_id, product_id, quantity, price, is_preorder from {shop_items}
 """)
 
 _v("otp_requests", ["events"], """
@@ -200,34 +207,32 @@ from {events}
 """)
 
 _v("chg_address", ["shop_orders"], """
-select id, concat('  addr ', cast(id as string), ' ') as address, id as seq from {shop_orders} where id % 37 = 0
+select id, concat('  addr ', cast(id as string), ' ') as address, id as seq from {shop_orders}
+where shipping_company = 'anousith'
 """)
 
 _v("chg_product_images", ["shop_products"], """
 select p.id as product_id, n as pos, case when n = 1 then '' else concat('uploads/new_', cast(p.id as string), '_', cast(n as string), '.jpg') end as image_path
-from {shop_products} p, (select 0 as n union all select 1 union all select 2) t where p.id % 43 = 0
+from {shop_products} p, (select 0 as n union all select 1 union all select 2) t where p.image is null
 """, spark_sql="""
 select p.id as product_id, n as pos, case when n = 1 then '' else concat('uploads/new_', cast(p.id as string), '_', cast(n as string), '.jpg') end as image_path
-from {shop_products} p lateral view explode(array(0, 1, 2)) t as n where p.id % 43 = 0
+from {shop_products} p lateral view explode(array(0, 1, 2)) t as n where p.image is null
 """)
 
 _v("new_products", ["shop_products"], """
-select id as seq, category_id, concat('new ', name) as name, price, cost_price, 5 as stock from {shop_products} where id % 101 = 0
+select id as seq, category_id, concat('new ', name) as name, price, cost_price, 5 as stock from {shop_products}
 """)
 
 _v("chg_product_delete", ["shop_products"], """
-select id, id as seq from {shop_products} where id % 47 = 0
+select id, id as seq from {shop_products} where status = 'inactive'
 """)
 
-_v("chg_categories", [], """
-select 1 as seq, 'insert' as op, cast(null as int) as id, ' Fresh ' as name
-union all select 2, 'insert', null, 'Brand#3'
-union all select 3, 'insert', null, ''
-union all select 4, 'update', 4, 'Brand#4'
-union all select 5, 'update', 5, 'brand#6'
-union all select 6, 'delete', 7, null
-union all select 7, 'delete', 99, null
-union all select 8, 'delete', 25, null
+# for every category: an insert named by its description (NULL → refused),
+# a rename to the lower-cased name (clashes with the case/blank variant), a delete
+_v("chg_categories", ["shop_categories"], """
+select id * 3 as seq, 'insert' as op, cast(null as int) as id, description as name from {shop_categories}
+union all select id * 3 + 1, 'update', id, lower(name) from {shop_categories}
+union all select id * 3 + 2, 'delete', id, cast(null as string) from {shop_categories}
 """)
 
 _v("carrier_events", ["events"], """

@@ -247,12 +247,21 @@ def test_localise(spark):
 
 
 def test_category_changes(spark, shop):
-    res = {r.seq: (r.status, r.reason, r.name)
-           for r in U.apply_category_changes(shop, shop.table("chg_categories")).collect()}
+    chg = spark.createDataFrame([
+        (1, "insert", None, " Fresh "), (2, "insert", None, "Brand#3"), (3, "insert", None, ""),
+        (4, "update", 4, "Brand#4"), (5, "update", 5, "brand#6"), (6, "delete", 7, None),
+        (7, "delete", 99, None), (8, "delete", 25, None), (9, "update", 1, "BRAND#1")],
+        "seq int, op string, id int, name string")
+    res = {r.seq: (r.status, r.reason, r.name) for r in U.apply_category_changes(shop, chg).collect()}
     assert res[1] == ("applied", None, "Fresh")
+    assert res[2] == ("rejected", "duplicate name", "Brand#3")
     assert res[3] == ("rejected", "name required", "")
-    assert res[7] == ("applied", None, None)          # 'Empty' has no product
-    assert res[5][1] == "duplicate name"              # brand#6 exists under another id
+    assert res[4] == ("applied", None, "Brand#4")      # its own name: no clash
+    assert res[5][1] == "duplicate name"               # brand#6 exists under another id
+    assert res[6][1] == "has products"
+    assert res[7] == ("applied", None, None)           # 'Empty' has no product
+    assert res[8][1] == "has products"                 # inactive products still count
+    assert res[9][1] == "duplicate name"               # 'brand#1 ' (id 98) differs only by case/blank
 
 
 def test_listing_search_is_case_insensitive_pattern(spark, shop):
