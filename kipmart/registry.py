@@ -190,11 +190,11 @@ register("carrier_map", lambda T: K.carrier_map(T.table("carrier_events")))
 # sources, sinks, scalar helpers
 def _parsed_requests(T):
     bodies = S.order_request_bodies(T.table("req_orders"), T.table("req_order_items"))
-    _, lines = S.order_request_lines(S.parse_order_requests(bodies))
-    heads = S.parse_order_requests(bodies).select("request_id", "name", "phone")
-    return heads.join(lines, "request_id").select(
-        "request_id", "name", "phone", "product_id", F.col("quantity").alias("qty"), "price",
-        "is_preorder")
+    parsed = S.parse_order_requests(bodies)
+    return (parsed.select("request_id", "name", "phone", F.explode("items").alias("i"))
+            .select("request_id", "name", "phone", F.col("i.id").alias("product_id"),
+                    F.col("i.qty").alias("qty"), F.col("i.price").alias("price"),
+                    F.col("i.is_preorder").alias("is_preorder")))
 
 
 register("order_requests_parsed", _parsed_requests)
