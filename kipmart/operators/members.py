@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kipmart.functions import text as X
-from kipmart.plans.ids import sequence_number
-from kipmart.plans.upsert import latest_per_key
+from kipmart.plans.upsert import latest_per_key, upsert
 
 OTP_TTL_MINUTES = 5
 OTP_REARM_MINUTES = 10
@@ -85,24 +84,8 @@ def members_upserted(members: DataFrame, changes: DataFrame, start_id: int | Non
     member number; unknown phones are inserted with new ids, numbered in the
     order of their first request after the current highest id."""
     ch = changes.withColumn("phone", X.phone_no_blanks(F.col("phone")))
-    latest = latest_per_key(ch.select("phone", "shipping_company", "member_number", "seq"),
-                            ["phone"])
-    first = ch.groupBy("phone").agg(F.min("seq").alias("first_seq"))
-    latest = latest.join(first, "phone")
-    upd = latest.select("phone", F.col("shipping_company").alias("__sc"),
-                        F.col("member_number").alias("__mn"), F.lit(True).alias("__hit"))
-    j = members.join(upd, "phone", "left")
-    updated = j.select(
-        "id", "phone", "name",
-        F.when(F.col("__hit"), F.col("__sc")).otherwise(F.col("shipping_company")).alias("shipping_company"),
-        F.when(F.col("__hit"), F.col("__mn")).otherwise(F.col("member_number")).alias("member_number"))
-    new = latest.join(members.select("phone"), "phone", "left_anti")
-    start = (F.lit(start_id).cast("bigint") if start_id is not None
-             else members.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar())
-    new = sequence_number(new, [F.col("first_seq").asc(), F.col("phone").asc()], start, "id")
-    inserted = new.select("id", "phone", F.lit(None).cast("string").alias("name"),
-                          "shipping_company", "member_number")
-    return updated.unionByName(inserted)
+    return upsert(members.select("id", "phone", "name", "shipping_company", "member_number"), ch,
+                  ["phone"], ["shipping_company", "member_number"], start_id=start_id)
 
 
 def member_display_name(members: DataFrame) -> DataFrame:

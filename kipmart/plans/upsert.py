@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kipmart.plans.ids import sequence_number
+
 
 def latest_per_key(df: DataFrame, keys: list[str], seq: str = "seq",
                    earliest: bool = False) -> DataFrame:
@@ -44,3 +46,29 @@ def split_valid(df: DataFrame, rules: list[tuple[Column, str]]):
     tagged = df.withColumn("reason", reason)
     return (tagged.filter(F.col("reason").isNull()).drop("reason"),
             tagged.filter(F.col("reason").isNotNull()))
+
+
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str],
+           seq: str = "seq", id_col: str | None = "id", start_id: Column | int | None = None
+           ) -> DataFrame:
+    """Insert-or-update by a unique key.
+
+    Keys present in ``base`` get the latest change's ``columns``; other base
+    columns stay. Unknown keys are inserted (missing columns NULL) and, with
+    ``id_col``, numbered after the current highest id in the order of their
+    first request.
+    """
+    latest = latest_per_key(changes.select(*keys, *columns, seq), keys)
+    first = changes.groupBy(*keys).agg(F.min(seq).alias("__first"))
+    latest = latest.join(first, keys)
+    updated = merge_update(base, latest.select(*keys, *columns), keys, columns)
+    new = latest.join(base.select(*keys), keys, "left_anti")
+    if id_col:
+        if start_id is None:
+            start_id = base.agg(F.coalesce(F.max(id_col), F.lit(0)) + 1).scalar()
+        new = sequence_number(new, [F.col("__first").asc(), *[F.col(k).asc() for k in keys]],
+                              start_id, id_col)
+    types = dict(base.dtypes)
+    inserted = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(types[c]).alias(c)
+                            for c in base.columns])
+    return updated.unionByName(inserted)

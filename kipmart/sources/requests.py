@@ -66,3 +66,9 @@ def order_request_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         "request_id", F.col("i.id").alias("product_id"), F.col("i.qty").alias("quantity"),
         F.col("i.price").alias("price"), F.col("i.is_preorder").alias("is_preorder"))
     return headers, lines
+
+
+def read_changes(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
+    """A change batch (one request per record) with an explicit schema; JSON
+    lines by default, any file format Spark reads otherwise."""
+    return spark.read.schema(schema).format(fmt).load(path)

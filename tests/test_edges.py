@@ -271,3 +271,13 @@ def test_listing_search_is_case_insensitive_pattern(spark, shop):
     # V14: '%' in user text is a wildcard; '' keeps rows whose name or description is set
     assert C.product_listing(shop, search="", decoded=False).count() == \
         shop.products.filter("status = 'active'").count()
+
+
+def test_generic_upsert_by_name(spark):
+    """The same upsert with another key."""
+    from kipmart.plans.upsert import upsert
+    base = spark.createDataFrame([(1, "alice", "x"), (2, "bob", "y")], "id bigint, name string, role string")
+    ch = spark.createDataFrame([("bob", "z", 5), ("carol", "w", 3), ("carol", "v", 4), ("dan", "u", 1)],
+                               "name string, role string, seq bigint")
+    got = {r.name: (r.id, r.role) for r in upsert(base, ch, ["name"], ["role"]).collect()}
+    assert got == {"alice": (1, "x"), "bob": (2, "z"), "dan": (3, "u"), "carol": (4, "v")}
