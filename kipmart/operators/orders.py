@@ -15,6 +15,7 @@ from kipmart.functions import text as X
 PENDING_BUCKET = ("pending", "confirmed", "shipped")
 DONE_BUCKET = ("delivered",)
 
+
 def _newest():
     return [F.col("created_at").desc(), F.col("id").asc()]
 

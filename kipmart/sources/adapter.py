@@ -14,7 +14,7 @@ reads them directly; this module only exists to turn the test data into them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,6 @@ class View:
     deps: tuple[str, ...]
     sql: str
     spark_sql: str | None = None
-    raw: tuple[str, ...] = field(default=())
 
     def text(self, engine: str) -> str:
         if engine == "spark" and self.spark_sql is not None:
