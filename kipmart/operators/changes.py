@@ -302,6 +302,27 @@ def replace_product_images(T, changes: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
+PRODUCT_EDIT_COLUMNS = ["category_id", "name", "description", "price", "cost_price", "stock",
+                        "image", "sku", "colors", "sizes", "status", "pre_order"]
+
+
+def update_products(T, changes: DataFrame) -> DataFrame:
+    """U6 (record part): the latest edit per product overwrites every edited
+    column; lists are stored as JSON text (absent → ``[]``), a missing cost or
+    pre-order flag becomes 0. Columns not in the form (sort order, created) stay."""
+    r = with_defaults(changes, {"colors": ("array<string>", None), "sizes": ("array<string>", None),
+                                "cost_price": ("decimal(12,2)", None), "pre_order": ("int", None)})
+    r = r.select(
+        _int(F.col("id")).alias("id"), "seq", F.col("category_id").cast("int").alias("category_id"),
+        "name", "description", F.col("price").cast("decimal(12,2)").alias("price"),
+        F.coalesce(F.col("cost_price").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")).alias("cost_price"),
+        F.col("stock").cast("int").alias("stock"), "image", "sku",
+        X.encode_list("colors").alias("colors"), X.encode_list("sizes").alias("sizes"), "status",
+        F.coalesce(F.col("pre_order").cast("int"), F.lit(0)).alias("pre_order"))
+    latest = latest_per_key(r, ["id"])
+    return merge_update(T.products, latest.drop("seq"), ["id"], PRODUCT_EDIT_COLUMNS)
+
+
 def images_from_lists(products: DataFrame, list_col: str = "extra_images") -> DataFrame:
     """U6/U7 request form: an ``extra_images`` array per product → image rows."""
     return (products.select(F.col("id").alias("product_id"),

@@ -607,6 +607,21 @@ union all
 select product_id, {I('pos')}, image_path from chg_product_images
 where image_path is not null and image_path not in ('', '0')
 """)
+q("products_updated", ["shop_products", "chg_product_update"], f"""
+select p.id,
+       {I("case when c.id is not null then c.category_id else p.category_id end")} as category_id,
+       case when c.id is not null then c.name else p.name end as name,
+       {M("case when c.id is not null then c.price else p.price end")} as price,
+       {M("case when c.id is not null then coalesce(c.cost_price, 0) else p.cost_price end")} as cost_price,
+       {I("case when c.id is not null then c.stock else p.stock end")} as stock,
+       case when c.id is not null then '[]' else p.colors end as colors,
+       case when c.id is not null then '[]' else p.sizes end as sizes,
+       case when c.id is not null then c.status else p.status end as status,
+       {I("case when c.id is not null then coalesce(c.pre_order, 0) else p.pre_order end")} as pre_order
+from shop_products p
+left join (select * from chg_product_update u
+           where seq = (select max(seq) from chg_product_update v where v.id = u.id)) c on c.id = p.id
+""")
 q("products_inserted", ["new_products", "shop_products"], f"""
 select {I('(select max(id) from shop_products) + row_number() over (order by seq)')} as id,
        {I('category_id')} as category_id, name, {M('price')} as price,

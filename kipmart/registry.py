@@ -167,6 +167,8 @@ register("orders_status_set", lambda T: U.set_status(T, T.table("chg_status")).s
 register("stock_ledger", lambda T: U.stock_ledger(_placed(T)["moves"], _cancel(T)["moves"],
                                                   _delete(T)["moves"]))
 register("product_images_replaced", lambda T: U.replace_product_images(T, T.table("chg_product_images")))
+register("products_updated", lambda T: U.update_products(T, T.table("chg_product_update")).select(
+    "id", "category_id", "name", "price", "cost_price", "stock", "colors", "sizes", "status", "pre_order"))
 register("products_inserted", lambda T: U.insert_products(T, T.table("new_products")))
 register("products_after_delete",
          lambda T: U.delete_products(T, T.table("chg_product_delete"))["products"].select("id", "name"))

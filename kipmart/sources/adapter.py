@@ -218,6 +218,13 @@ select p.id as product_id, n as pos, case when n = 1 then '' else concat('upload
 from {shop_products} p lateral view explode(array(0, 1, 2)) t as n where p.image is null
 """)
 
+# products without an image get an edit of their whole record
+_v("chg_product_update", ["shop_products"], """
+select id, id as seq, category_id, concat(name, ' v2') as name, description, price, cost_price,
+       stock + 1 as stock, image, sku, status, pre_order
+from {shop_products} where image is null
+""")
+
 _v("new_products", ["shop_products"], """
 select id as seq, category_id, concat('new ', name) as name, price, cost_price, 5 as stock from {shop_products}
 """)
