@@ -36,7 +36,7 @@ _SHOPS: dict = {}
 def _shop(spark: SparkSession, sf_dir: str):
     """One table namespace per (session, folder), so the adapter views are
     analysed once and shared by every query of a run."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _SHOPS:
         _SHOPS[key] = load_shop(spark, sf_dir)
     return _SHOPS[key]

@@ -35,18 +35,20 @@ class Shop:
     """
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "fixture",
-                 jdbc: dict | None = None):
+                 jdbc: dict | None = None, raw_path: str | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self.kind = kind
         self.jdbc = jdbc or {}
+        # where the driver tables behind the change batches live (default: path)
+        self.raw_path = (raw_path or path).rstrip("/")
         self._cache: dict[str, DataFrame] = {}
 
     # raw driver table
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
         if key not in self._cache:
-            self._cache[key] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            self._cache[key] = self.spark.read.parquet(f"{self.raw_path}/{name}.parquet")
         return self._cache[key]
 
     def table(self, name: str) -> DataFrame:
@@ -75,8 +77,9 @@ class Shop:
             raise AttributeError(name) from e
 
 
-def load_shop(spark: SparkSession, path: str, kind: str = "fixture", **jdbc) -> Shop:
-    return Shop(spark, path, kind, jdbc or None)
+def load_shop(spark: SparkSession, path: str, kind: str = "fixture", raw_path: str | None = None,
+              **jdbc) -> Shop:
+    return Shop(spark, path, kind, jdbc or None, raw_path)
 
 
 def read_jdbc(spark: SparkSession, table: str, url: str, properties: dict | None = None,
