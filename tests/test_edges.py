@@ -281,3 +281,20 @@ def test_generic_upsert_by_name(spark):
                                "name string, role string, seq bigint")
     got = {r.name: (r.id, r.role) for r in upsert(base, ch, ["name"], ["role"]).collect()}
     assert got == {"alice": (1, "x"), "bob": (2, "z"), "dan": (3, "u"), "carol": (4, "v")}
+
+
+def test_orphan_lines(spark, shop):
+    """J2 keeps lines of deleted products (NULL name); J1 reports drop them."""
+    from kipmart.operators import orders as O
+    products = {r.id for r in shop.products.select("id").collect()}
+    detail = O.order_detail(shop).collect()
+    orphans = [r for r in detail if r.product_id not in products]
+    assert orphans and all(r.product_name is None and r.product_image is None for r in orphans)
+    top_ids = {r.id for r in R.profit_by_product(shop, n=100000).collect()}
+    assert top_ids <= products
+    # the pre-order summary has no product join: orphan pre-order lines still count
+    pre_orphans = [r for r in orphans if r.is_preorder == 1]
+    if pre_orphans:
+        with_orphans = R.preorder_summary(shop).collect()[0].total_lines
+        joined = R.preorder_lines(shop).count()
+        assert with_orphans >= joined
