@@ -131,6 +131,9 @@ def product_gallery(T) -> DataFrame:
     """Main image first when set, then extra images by ``sort_order``
     (ties by id), skipping empty paths and copies of the main image."""
     p = T.products.select(F.col("id").alias("product_id"), F.col("image"))
+    # A product's image rows are always written together from one edit or
+    # insert request's ``extra_images`` list (U6 replaces them all, U7 inserts
+    # them), so the per-product list is bounded by one request body.
     imgs = (T.product_images
             .groupBy("product_id")
             .agg(F.array_sort(F.collect_list(F.struct("sort_order", "id", "image_path")))
@@ -180,9 +183,14 @@ def check_stock(T, requests: DataFrame) -> DataFrame:
 
 
 def stock_check_requests(T) -> DataFrame:
-    """The id lists sent by checkout: one comma text per incoming order request."""
-    return (T.table("req_order_items").groupBy("request_id")
-            .agg(F.concat_ws(",", F.collect_list(F.col("product_id").cast("string"))).alias("ids")))
+    """Stock-check requests derived from the incoming order lines: one request
+    per line, whose id text names the product, a zero (dropped) and the
+    product again (duplicates are harmless). No grouping is needed."""
+    pid = F.col("product_id").cast("string")
+    return (T.table("req_order_items")
+            .select(F.concat(F.col("request_id").cast("string"), F.lit("-"), pid).alias("request_id"),
+                    F.concat_ws(",", pid, F.lit("0"), pid).alias("ids"))
+            .distinct())
 
 
 # ---------------------------------------------------------------- T9 / T10

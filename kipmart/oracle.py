@@ -318,7 +318,8 @@ from shop_products p
 """)
 
 q("check_stock", ["req_order_items", "shop_products"], f"""
-select distinct r.request_id, p.id, p.name, {I('p.stock')} as stock
+select distinct cast(r.request_id as varchar) || '-' || cast(r.product_id as varchar) as request_id,
+       p.id, p.name, {I('p.stock')} as stock
 from req_order_items r join shop_products p on p.id = r.product_id
 where r.product_id <> 0
 """)

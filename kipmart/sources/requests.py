@@ -36,15 +36,25 @@ ORDER_REQUEST = T.StructType([
 ])
 
 
-def order_request_bodies(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    """Encode request rows and their lines as one JSON body per request (the
-    shape the checkout page posts). Lines are nested per request; a request's
-    lines are one order, so the nested list is small."""
-    items = (lines.groupBy("request_id")
-             .agg(F.collect_list(F.struct(F.col("product_id").alias("id"),
-                                          F.col("quantity").alias("qty"), "price",
-                                          "is_preorder")).alias("items")))
-    r = requests.join(items, "request_id", "left")
+def _item(c=None):
+    return F.struct(F.col("product_id").alias("id"), F.col("quantity").alias("qty"), "price",
+                    "is_preorder")
+
+
+def order_request_bodies(requests: DataFrame, lines: DataFrame, per: str = "line") -> DataFrame:
+    """Encode request rows and their lines as JSON bodies in the shape the
+    checkout page posts (header fields plus an ``items`` list).
+
+    ``per="line"``: one body per line (an ``items`` list of one) — no grouping,
+    so no body grows with the data. ``per="request"``: one body per request
+    with all its lines nested; use it only where a request's size is bounded
+    (a real checkout body is capped by the web server's upload limit).
+    """
+    if per == "request":
+        items = lines.groupBy("request_id").agg(F.collect_list(_item()).alias("items"))
+        r = requests.join(items, "request_id", "left")
+    else:
+        r = requests.join(lines.select("request_id", F.array(_item()).alias("items")), "request_id")
     return r.select(F.to_json(F.struct(*[F.col(c) for c in r.columns])).alias("body"))
 
 

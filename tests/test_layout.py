@@ -28,11 +28,15 @@ def test_json_request_files_round_trip(spark, shop):
     from kipmart.sources.requests import (order_request_bodies, order_request_lines,
                                           read_order_requests)
     path = tempfile.mkdtemp(prefix="req-")
-    bodies = order_request_bodies(shop.table("req_orders"), shop.table("req_order_items"))
-    bodies.write.mode("overwrite").text(path + "/bodies")
-    parsed = read_order_requests(spark, path + "/bodies")
-    heads, lines = order_request_lines(parsed)
-    assert heads.count() == shop.table("req_orders").count()
-    assert lines.count() == shop.table("req_order_items").count()
+    req, items = shop.table("req_orders"), shop.table("req_order_items")
+    for per in ("request", "line"):
+        bodies = order_request_bodies(req, items, per=per)
+        bodies.write.mode("overwrite").text(f"{path}/bodies_{per}")
+        parsed = read_order_requests(spark, f"{path}/bodies_{per}")
+        heads, lines = order_request_lines(parsed)
+        with_lines = req.join(items.select("request_id").distinct(), "request_id").count()
+        assert heads.select("request_id").distinct().count() == \
+            (req.count() if per == "request" else with_lines)
+        assert lines.count() == items.count()
     write_json(shop.orders, path + "/orders_json")
     assert spark.read.json(path + "/orders_json").count() == shop.orders.count()
