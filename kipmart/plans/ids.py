@@ -4,9 +4,10 @@
 task. Instead the rows are range-partitioned by a global sort, each row takes
 its position inside its partition, and a per-partition offset (one row per
 partition, so its size is bounded by the partition count, not by the data) is
-added. The numbered sort is checkpointed first so that the positions and the
-partition counts are read from the same materialised partitioning, also when
-an executor is lost and a task re-runs.
+added. The sorted rows and their positions are written once as Parquet under
+``spark.checkpoint.dir`` (a lineage cut), so positions and partition counts
+are read from the same materialised data, also when an executor is lost and a
+task re-runs; later scans of it stay columnar.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kipmart.session import ensure_checkpoint_dir
+from kipmart.plans.materialize import write_temp_table
 
 
 def sequence_number(df: DataFrame, order: list[Column], start: Column | int = 1,
@@ -25,15 +26,13 @@ def sequence_number(df: DataFrame, order: list[Column], start: Column | int = 1,
     to be deterministic. ``start`` may be a literal or a one-row scalar column
     expression such as a scalar subquery result joined in by the caller.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     pid, pos = "__pid", "__pos"
     sorted_df = (df.orderBy(*order)
                  .withColumn(pid, F.spark_partition_id())
                  .withColumn(pos, F.monotonically_increasing_id()))
     # monotonically_increasing_id = partition index << 33 | position in partition
     sorted_df = sorted_df.withColumn(pos, F.col(pos) - F.shiftleft(F.col(pid).cast("bigint"), 33))
-    sorted_df = sorted_df.checkpoint(eager=True)
+    sorted_df = write_temp_table(sorted_df, "kipmart-seq")
     counts = sorted_df.groupBy(pid).agg(F.count(F.lit(1)).alias("__cnt"))
     # one row per partition: a window over it is tiny and bounded
     offsets = counts.select(
@@ -45,3 +44,31 @@ def sequence_number(df: DataFrame, order: list[Column], start: Column | int = 1,
            .withColumn(name, (base + F.col("__off") + F.col(pos)).cast("bigint"))
            .drop(pid, pos, "__off"))
     return out
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn"
+                  ) -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` without putting a
+    key's rows into one task.
+
+    The rows are range-partitioned by ``keys + order`` (a hot key is spread
+    over several partitions) and written once with their position inside the
+    partition. Per (partition, key) the first position and the row count are
+    aggregated; a key's offset in a partition is the count of its rows in the
+    partitions before it — a window over at most one row per partition the key
+    spans, so it stays small however hot the key is. ``order`` must make the
+    order total for the numbers to be deterministic.
+    """
+    pid, pos = "__pid", "__pos"
+    srt = (df.orderBy(*[F.col(k) for k in keys], *order)
+           .withColumn(pid, F.spark_partition_id())
+           .withColumn(pos, F.monotonically_increasing_id()))
+    srt = srt.withColumn(pos, F.col(pos) - F.shiftleft(F.col(pid).cast("bigint"), 33))
+    srt = write_temp_table(srt, "kipmart-rank")
+    per = (srt.groupBy(pid, *keys)
+           .agg(F.min(pos).alias("__start"), F.count(F.lit(1)).alias("__n")))
+    before = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return (srt.join(per.select(pid, *keys, "__start", "__off"), [pid, *keys])
+            .withColumn(name, (F.col(pos) - F.col("__start") + F.col("__off") + 1).cast("bigint"))
+            .drop(pid, pos, "__start", "__off"))

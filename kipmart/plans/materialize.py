@@ -9,6 +9,8 @@ output as Parquet.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from kipmart.session import ensure_checkpoint_dir
@@ -21,6 +23,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_temp_table(df: DataFrame, prefix: str = "kipmart") -> DataFrame:
+    """Materialise ``df`` as Parquet in a fresh folder under
+    ``spark.checkpoint.dir`` and return a DataFrame reading it back: the same
+    lineage cut as :func:`cut_lineage`, but later scans stay columnar (column
+    pruning, filter pushdown)."""
+    folder = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{folder}/{prefix}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_outputs(outputs: dict[str, DataFrame], path: str, mode: str = "overwrite",
                   partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
     """Write each named output to ``path/name`` (Parquet); returns the paths."""

@@ -14,8 +14,12 @@ reads them directly; this module only exists to turn the test data into them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class View:
@@ -23,6 +27,7 @@ class View:
     deps: tuple[str, ...]
     sql: str
     spark_sql: str | None = None
+    spark_fn: Callable[..., DataFrame] | None = None
 
     def text(self, engine: str) -> str:
         if engine == "spark" and self.spark_sql is not None:
@@ -37,8 +42,31 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lin
 VIEWS: dict[str, View] = {}
 
 
-def _v(name, deps, sql, spark_sql=None):
-    VIEWS[name] = View(name, tuple(deps), sql.strip(), spark_sql.strip() if spark_sql else None)
+def _v(name, deps, sql, spark_sql=None, spark_fn=None):
+    VIEWS[name] = View(name, tuple(deps), sql.strip(), spark_sql.strip() if spark_sql else None,
+                       spark_fn)
+
+
+def _shop_items(lineitem: DataFrame) -> DataFrame:
+    """Spark form of ``shop_items``: the per-order line number comes from
+    :func:`kipmart.plans.ids.number_within`, which spreads a hot order over
+    several tasks, instead of a window partitioned by order. The derived
+    table is written once (Parquet under ``spark.checkpoint.dir``) and every
+    query scans it with column pruning."""
+    from kipmart.plans.ids import number_within
+    order = [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+                                      "l_quantity", "l_shipdate")]
+    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                         "l_extendedprice", "l_returnflag", "l_shipdate")
+    from kipmart.plans.materialize import write_temp_table
+    n = number_within(li, ["l_orderkey"], order, "rn")
+    return write_temp_table(n.select((F.col("l_orderkey") * 1000 + F.col("rn")).alias("id"),
+                    F.col("l_orderkey").alias("order_id"),
+                    F.col("l_partkey").alias("product_id"),
+                    F.col("l_quantity").cast("bigint").alias("quantity"),
+                    F.col("l_extendedprice").cast("decimal(15,2)").alias("price"),
+                    F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("is_preorder")),
+                            "kipmart-shop-items")
 
 
 _v("shop_orders", ["orders"], """
@@ -76,7 +104,7 @@ select l_orderkey * 1000 + row_number() over (partition by l_orderkey
        cast(l_extendedprice as decimal(15,2)) as price,
        case when l_returnflag = 'N' then 1 else 0 end as is_preorder
 from {lineitem}
-""")
+""", spark_fn=_shop_items)
 
 _v("shop_products", ["part"], """
 select p_partkey as id,

@@ -64,7 +64,8 @@ class Shop:
         else:
             view = VIEWS[name]
             args = {d: self.table(d) for d in view.deps}
-            df = self.spark.sql(view.text("spark"), **args)
+            df = (view.spark_fn(**args) if view.spark_fn is not None
+                  else self.spark.sql(view.text("spark"), **args))
         self._cache[name] = df
         return df
 
