@@ -108,11 +108,11 @@ register("order_numbers", O.order_numbers)
 
 # members and codes
 def _otps(T):
-    return M.latest_otp_per_phone(T.table("otp_requests"))
+    return T.derived("otps", lambda T: M.latest_otp_per_phone(T.table("otp_requests")))
 
 
 def _checked(T):
-    return M.otp_attempts_checked(_otps(T), T.table("otp_attempts"))
+    return T.derived("otp_checked", lambda T: M.otp_attempts_checked(_otps(T), T.table("otp_attempts")))
 
 
 register("latest_otp_per_phone", _otps)
@@ -130,19 +130,20 @@ register("member_initials", lambda T: M.member_initials(T.members))
 
 # order and catalogue change batches
 def _placed(T):
-    return U.place_orders(T, T.table("req_orders"), T.table("req_order_items"), P.AS_OF)
+    return T.derived("placed", lambda T: U.place_orders(T, T.table("req_orders"),
+                                                        T.table("req_order_items"), P.AS_OF))
 
 
 def _cancel(T):
-    return U.cancel_orders(T, T.table("chg_cancel"))
+    return T.derived("cancel", lambda T: U.cancel_orders(T, T.table("chg_cancel")))
 
 
 def _edit(T):
-    return U.edit_item_quantities(T, T.table("chg_item_qty"))
+    return T.derived("edit", lambda T: U.edit_item_quantities(T, T.table("chg_item_qty")))
 
 
 def _delete(T):
-    return U.delete_items(T, T.table("chg_item_delete"))
+    return T.derived("delete", lambda T: U.delete_items(T, T.table("chg_item_delete")))
 
 
 register("orders_with_shipping_defaults", U.orders_with_shipping_defaults)

@@ -69,6 +69,14 @@ class Shop:
         self._cache[name] = df
         return df
 
+    def derived(self, name: str, build):
+        """A result derived from these tables, built once per namespace (e.g. a
+        change batch applied once and read by several outputs)."""
+        key = "derived:" + name
+        if key not in self._cache:
+            self._cache[key] = build(self)
+        return self._cache[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
