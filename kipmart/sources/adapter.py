@@ -210,7 +210,7 @@ select order_id as request_id, product_id, quantity, price, is_preorder from {sh
 """)
 
 _v("otp_requests", ["events"], """
-select concat('020', cast(55000000 + user_id as string)) as phone, lpad(cast(event_id % 1000000 as string),6,'0') as otp,
+select concat('020', cast(55000000 + user_id * 20 as string)) as phone, lpad(cast(event_id % 1000000 as string),6,'0') as otp,
        ts as requested_at, event_id as seq
 from {events} where event_type = 'signup'
 """)
