@@ -34,11 +34,13 @@ _SHOPS: dict = {}
 
 
 def _shop(spark: SparkSession, sf_dir: str):
-    """One table namespace per (session, folder), so the adapter views are
-    analysed once and shared by every query of a run."""
+    """One table namespace per (session, folder): the fixture adapter derives
+    each shop table once, writes it as clustered Parquet under
+    ``spark.checkpoint.dir``, and every query of the run scans that (the
+    production read path, with pushdown on the shop columns)."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _SHOPS:
-        _SHOPS[key] = load_shop(spark, sf_dir)
+        _SHOPS[key] = load_shop(spark, sf_dir, materialize=True)
     return _SHOPS[key]
 
 

@@ -50,23 +50,19 @@ def _v(name, deps, sql, spark_sql=None, spark_fn=None):
 def _shop_items(lineitem: DataFrame) -> DataFrame:
     """Spark form of ``shop_items``: the per-order line number comes from
     :func:`kipmart.plans.ids.number_within`, which spreads a hot order over
-    several tasks, instead of a window partitioned by order. The derived
-    table is written once (Parquet under ``spark.checkpoint.dir``) and every
-    query scans it with column pruning."""
+    several tasks, instead of a window partitioned by order."""
     from kipmart.plans.ids import number_within
     order = [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
                                       "l_quantity", "l_shipdate")]
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                          "l_extendedprice", "l_returnflag", "l_shipdate")
-    from kipmart.plans.materialize import write_temp_table
     n = number_within(li, ["l_orderkey"], order, "rn")
-    return write_temp_table(n.select((F.col("l_orderkey") * 1000 + F.col("rn")).alias("id"),
+    return n.select((F.col("l_orderkey") * 1000 + F.col("rn")).alias("id"),
                     F.col("l_orderkey").alias("order_id"),
                     F.col("l_partkey").alias("product_id"),
                     F.col("l_quantity").cast("bigint").alias("quantity"),
                     F.col("l_extendedprice").cast("decimal(15,2)").alias("price"),
-                    F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("is_preorder")),
-                            "kipmart-shop-items")
+                    F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("is_preorder"))
 
 
 _v("shop_orders", ["orders"], """

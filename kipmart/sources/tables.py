@@ -35,8 +35,12 @@ class Shop:
     """
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "fixture",
-                 jdbc: dict | None = None, raw_path: str | None = None):
+                 jdbc: dict | None = None, raw_path: str | None = None,
+                 materialize: bool = False):
         self.spark = spark
+        # fixture only: write each derived shop table once (clustered Parquet
+        # under spark.checkpoint.dir) and let every query scan that
+        self.materialize = materialize
         self.path = path.rstrip("/")
         self.kind = kind
         self.jdbc = jdbc or {}
@@ -66,9 +70,21 @@ class Shop:
             args = {d: self.table(d) for d in view.deps}
             df = (view.spark_fn(**args) if view.spark_fn is not None
                   else self.spark.sql(view.text("spark"), **args))
+            if self.materialize and name in SHOP_TABLES:
+                df = self._store(name, df)
         self._cache[name] = df
         return df
 
+    def _store(self, name: str, df: DataFrame) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        from kipmart.plans.materialize import write_temp_table
+        from kipmart.sources.layout import CLUSTER
+        key = CLUSTER[name]
+        n = self.spark.sparkContext.defaultParallelism
+        return write_temp_table(df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key),
+                                f"kipmart-{name}")
+
     def derived(self, name: str, build):
         """A result derived from these tables, built once per namespace (e.g. a
         change batch applied once and read by several outputs)."""
@@ -87,8 +103,8 @@ class Shop:
 
 
 def load_shop(spark: SparkSession, path: str, kind: str = "fixture", raw_path: str | None = None,
-              **jdbc) -> Shop:
-    return Shop(spark, path, kind, jdbc or None, raw_path)
+              materialize: bool = False, **jdbc) -> Shop:
+    return Shop(spark, path, kind, jdbc or None, raw_path, materialize)
 
 
 def read_jdbc(spark: SparkSession, table: str, url: str, properties: dict | None = None,
