@@ -189,8 +189,7 @@ def stock_check_requests(T) -> DataFrame:
     pid = F.col("product_id").cast("string")
     return (T.table("req_order_items")
             .select(F.concat(F.col("request_id").cast("string"), F.lit("-"), pid).alias("request_id"),
-                    F.concat_ws(",", pid, F.lit("0"), pid).alias("ids"))
-            .distinct())
+                    F.concat_ws(",", pid, F.lit("0"), pid).alias("ids")))
 
 
 # ---------------------------------------------------------------- T9 / T10
