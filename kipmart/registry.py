@@ -38,7 +38,11 @@ def _shop(spark: SparkSession, sf_dir: str):
     each shop table once, writes it as clustered Parquet under
     ``spark.checkpoint.dir``, and every query of the run scans that (the
     production read path, with pushdown on the shop columns)."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        app = spark.conf.get("spark.app.id", "")
+    key = (app, id(spark), sf_dir)
     if key not in _SHOPS:
         _SHOPS[key] = load_shop(spark, sf_dir, materialize=True)
     return _SHOPS[key]

@@ -86,16 +86,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local (tests) is a scratch folder created; on a cluster a missing setting
     is an error, never a machine-local folder.
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context on the client
+        sc = None
+    if sc is not None:
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (
+        sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None)
     if not configured:
-        if not sc.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             # a driver-local folder is not visible to executors on a cluster
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...)")
         configured = tempfile.mkdtemp(prefix="kipmart-ckpt-")
-    sc.setCheckpointDir(configured)
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+    else:
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured
