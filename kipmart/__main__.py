@@ -49,6 +49,8 @@ def main(argv=None) -> int:
             w = w.option("header", True)
         getattr(w, a.format)(f"{a.out.rstrip('/')}/{k}")
         print(f"{k}: written to {a.out.rstrip('/')}/{k}")
+    from kipmart.plans.materialize import drop_temp_tables
+    drop_temp_tables(spark)
     return 0
 
 

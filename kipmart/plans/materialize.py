@@ -34,6 +34,25 @@ def write_temp_table(df: DataFrame, prefix: str = "kipmart") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop_temp_tables(spark, prefix: str = "kipmart") -> int:
+    """Delete the folders :func:`write_temp_table` left under the checkpoint
+    folder (through the Hadoop file system of that folder, so it works on
+    HDFS/S3 too). Returns the number of folders removed. Call it after the
+    DataFrames that read them are no longer needed."""
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    removed = 0
+    for st in fs.listStatus(root):
+        if st.isDirectory() and st.getPath().getName().startswith(prefix + "-"):
+            fs.delete(st.getPath(), True)
+            removed += 1
+    return removed
+
+
 def write_outputs(outputs: dict[str, DataFrame], path: str, mode: str = "overwrite",
                   partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
     """Write each named output to ``path/name`` (Parquet); returns the paths."""

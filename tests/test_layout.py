@@ -40,3 +40,10 @@ def test_json_request_files_round_trip(spark, shop):
         assert lines.count() == items.count()
     write_json(shop.orders, path + "/orders_json")
     assert spark.read.json(path + "/orders_json").count() == shop.orders.count()
+
+
+def test_temp_tables_can_be_dropped(spark):
+    from kipmart.plans.materialize import drop_temp_tables, write_temp_table
+    write_temp_table(spark.range(10), "kipmart-droptest")
+    assert drop_temp_tables(spark, "kipmart-droptest") >= 1
+    assert drop_temp_tables(spark, "kipmart-droptest") == 0
