@@ -103,22 +103,22 @@ def product_listing(T, active_only: bool = True, category: int | None = None,
         p = p.filter(F.col("name").ilike(pat) | F.col("description").ilike(pat))
     c = T.categories.select(F.col("id").alias("cid"), F.col("name").alias("category_name"))
     j = p.join(c, p.category_id == c.cid, "left").drop("cid")
-    out = (j.withColumn("image_url", F.col("image"))
-           .withColumn("name_lo", F.col("name"))  # V15: overwrites the stored name_lo
-           .withColumn("category_name_lo", F.col("category_name"))
-           .withColumn("old_price", F.lit(None).cast("decimal(12,2)"))
-           .withColumn("is_new", F.lit(False)))
+    extra = {"image_url": F.col("image"),
+             "name_lo": F.col("name"),  # V15: overwrites the stored name_lo
+             "category_name_lo": F.col("category_name"),
+             "old_price": F.lit(None).cast("decimal(12,2)"),
+             "is_new": F.lit(False)}
     if decoded:
-        out = (out.withColumn("colors", X.decode_colors("colors"))
-               .withColumn("sizes", X.decode_sizes("sizes")))
+        extra.update(colors=X.decode_colors("colors"), sizes=X.decode_sizes("sizes"))
+    out = j.withColumns(extra)
     return out.orderBy(F.col("sort_order").asc_nulls_last(), F.col("created_at").desc(),
                        F.col("id").asc())
 
 
 def listing_as_text(df: DataFrame) -> DataFrame:
     """Lists as ``|``-joined text (for flat outputs and comparisons)."""
-    return (df.withColumn("colors", F.array_join("colors", "|"))
-            .withColumn("sizes", F.array_join("sizes", "|")))
+    return df.withColumns({"colors": F.array_join("colors", "|"),
+                           "sizes": F.array_join("sizes", "|")})
 
 
 def product_listing_total(T, **kw) -> DataFrame:
@@ -156,13 +156,13 @@ def product_single(T, ids: DataFrame | None = None) -> DataFrame:
     g = product_gallery(T).withColumnRenamed("product_id", "gid")
     j = (p.join(c, p.category_id == c.cid, "left").drop("cid")
          .join(g, F.col("id") == F.col("gid"), "left").drop("gid"))
-    return (j.withColumn("image_url", F.col("image"))
-            .withColumn("name_lo", F.col("name"))
-            .withColumn("category_name_lo", F.col("category_name"))
-            .withColumn("colors", X.decode_colors("colors"))
-            .withColumn("sizes", X.decode_sizes("sizes"))
-            .withColumn("old_price", F.lit(None).cast("decimal(12,2)"))
-            .withColumn("is_new", F.lit(False)))
+    return j.withColumns({"image_url": F.col("image"),
+                          "name_lo": F.col("name"),
+                          "category_name_lo": F.col("category_name"),
+                          "colors": X.decode_colors("colors"),
+                          "sizes": X.decode_sizes("sizes"),
+                          "old_price": F.lit(None).cast("decimal(12,2)"),
+                          "is_new": F.lit(False)})
 
 
 # ----------------------------------------------------------------------- F7

@@ -55,10 +55,9 @@ def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
     """Add each missing column with its default (existing columns, and
     their NULLs, are left alone)."""
     present = set(df.columns)
-    for name, (dtype, value) in defaults.items():
-        if name not in present:
-            df = df.withColumn(name, F.lit(value).cast(dtype))
-    return df
+    missing = {name: F.lit(value).cast(dtype) for name, (dtype, value) in defaults.items()
+               if name not in present}
+    return df.withColumns(missing) if missing else df
 
 
 def orders_with_shipping_defaults(T) -> DataFrame:

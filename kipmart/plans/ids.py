@@ -18,20 +18,24 @@ from pyspark.sql import functions as F
 from kipmart.plans.materialize import write_temp_table
 
 
+def _positions(pid: str, pos: str) -> dict:
+    """Partition index and 0-based position inside the partition
+    (``monotonically_increasing_id`` = partition index << 33 | position)."""
+    part = F.spark_partition_id()
+    return {pid: part,
+            pos: F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)}
+
+
 def sequence_number(df: DataFrame, order: list[Column], start: Column | int = 1,
                     name: str = "n") -> DataFrame:
     """Add ``name`` = ``start`` + 0-based rank of the row in ``order``.
 
     ``order`` must be a total order (add a unique tie-breaker) for the numbers
-    to be deterministic. ``start`` may be a literal or a one-row scalar column
-    expression such as a scalar subquery result joined in by the caller.
+    to be deterministic. ``start`` may be a literal or a scalar subquery
+    column (``DataFrame.scalar()``), e.g. the current highest id plus one.
     """
     pid, pos = "__pid", "__pos"
-    sorted_df = (df.orderBy(*order)
-                 .withColumn(pid, F.spark_partition_id())
-                 .withColumn(pos, F.monotonically_increasing_id()))
-    # monotonically_increasing_id = partition index << 33 | position in partition
-    sorted_df = sorted_df.withColumn(pos, F.col(pos) - F.shiftleft(F.col(pid).cast("bigint"), 33))
+    sorted_df = df.orderBy(*order).withColumns(_positions(pid, pos))
     sorted_df = write_temp_table(sorted_df, "kipmart-seq")
     counts = sorted_df.groupBy(pid).agg(F.count(F.lit(1)).alias("__cnt"))
     # one row per partition: a window over it is tiny and bounded
@@ -60,10 +64,7 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str
     order total for the numbers to be deterministic.
     """
     pid, pos = "__pid", "__pos"
-    srt = (df.orderBy(*[F.col(k) for k in keys], *order)
-           .withColumn(pid, F.spark_partition_id())
-           .withColumn(pos, F.monotonically_increasing_id()))
-    srt = srt.withColumn(pos, F.col(pos) - F.shiftleft(F.col(pid).cast("bigint"), 33))
+    srt = df.orderBy(*[F.col(k) for k in keys], *order).withColumns(_positions(pid, pos))
     srt = write_temp_table(srt, "kipmart-rank")
     per = (srt.groupBy(pid, *keys)
            .agg(F.min(pos).alias("__start"), F.count(F.lit(1)).alias("__n")))

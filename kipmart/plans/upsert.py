@@ -32,10 +32,8 @@ def merge_update(base: DataFrame, changes: DataFrame, keys: list[str],
     ch = changes.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in columns],
                         F.lit(True).alias("__hit"))
     j = base.join(ch, keys, "left")
-    out = j
-    for c in columns:
-        out = out.withColumn(c, F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)))
-    return out.select(*base.columns)
+    new = {c: F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in columns}
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in base.columns])
 
 
 def split_valid(df: DataFrame, rules: list[tuple[Column, str]]):
