@@ -122,3 +122,38 @@ def year_label(col: Column) -> Column:
 def day_label(col: Column) -> Column:
     """``%d/%m/%Y``."""
     return F.date_format(col, "dd/MM/yyyy")
+
+
+# ---- partition predicates for tables stored by order month -----------------
+MONTH_PARTITION = "order_month"
+
+
+def month_partition_filter(kind: str | None, value) -> Column | None:
+    """Predicate on the ``order_month`` partition column (``yyyy-MM``) that
+    matches the period filter of the same kind, so a month-partitioned table
+    is pruned at file listing. ``None`` when the period does not restrict."""
+    c = F.col(MONTH_PARTITION)
+    if kind == "month":
+        if not value or not _MONTH_RE.match(value):
+            return None
+        return c == value if month_bounds(value) else F.lit(False)
+    if kind == "strict_month":
+        return c == value if month_bounds(value) else F.lit(False)
+    if kind == "day":
+        return c == value[:7] if value and _DATE_RE.match(value) else F.lit(False)
+    if kind == "year":
+        return (c >= f"{int(value):04d}-01") & (c <= f"{int(value):04d}-12")
+    return None
+
+
+def period_filter(col: Column, kind: str | None, value) -> Column:
+    """The created-at predicate of a period (see the individual filters)."""
+    if kind == "month":
+        return month_filter(col, value)
+    if kind == "strict_month":
+        return strict_month_filter(col, value)
+    if kind == "day":
+        return day_filter(col, value)
+    if kind == "year":
+        return year_filter(col, value)
+    return F.lit(True)

@@ -34,10 +34,31 @@ def _amount_sum(cond, amount="total_amount"):
     return F.sum(F.when(cond, F.col(amount)).otherwise(F.lit(0)))
 
 
+def _orders_in(T, kind: str | None = None, value=None) -> DataFrame:
+    """Orders of a period. On tables stored by order month the matching
+    partition predicate is added, so other months are never listed."""
+    o = T.orders
+    pred = cal.period_filter(F.col("created_at"), kind, value)
+    part = cal.month_partition_filter(kind, value)
+    if part is not None and cal.MONTH_PARTITION in o.columns:
+        pred = pred & part
+    return o.filter(pred)
+
+
+def _items_in(T, kind: str | None = None, value=None) -> DataFrame:
+    """Order lines, pruned to the period's months when the line table is
+    stored by order month (the order join still decides exactly)."""
+    i = T.items
+    part = cal.month_partition_filter(kind, value)
+    if part is not None and cal.MONTH_PARTITION in i.columns:
+        i = i.filter(part)
+    return i
+
+
 # --------------------------------------------------------------------------- R1
 def sales_summary(T, month: str | None = None) -> DataFrame:
     """Eight conditional measures in one scan (V2, V3, V4)."""
-    o = T.orders.filter(cal.month_filter(F.col("created_at"), month))
+    o = _orders_in(T, "month", month)
     live = _live()
     transfer = (F.col("payment_method") == "transfer") & live
     cod = (F.col("payment_method") == "cod") & live
@@ -95,9 +116,8 @@ def sales_monthly(T, n: int = 12) -> DataFrame:
 def live_lines(T, month: str | None = None) -> DataFrame:
     """Order lines of non-cancelled orders (optionally one month), semi-joined:
     the order table only contributes its key."""
-    o = (T.orders.filter(_live() & cal.month_filter(F.col("created_at"), month))
-         .select(F.col("id").alias("order_id")))
-    return T.items.join(o, "order_id", "left_semi")
+    o = _orders_in(T, "month", month).filter(_live()).select(F.col("id").alias("order_id"))
+    return _items_in(T, "month", month).join(o, "order_id", "left_semi")
 
 
 def _per_product(lines: DataFrame) -> DataFrame:
@@ -202,7 +222,7 @@ def profit(T, month: str | None = None, n_products: int = 15, n_months: int = 12
 # --------------------------------------------------------------------------- R9
 def status_counts(T, month: str | None = None) -> DataFrame:
     """Count and total per status; the NULL status group is kept."""
-    o = T.orders.filter(cal.month_filter(F.col("created_at"), month))
+    o = _orders_in(T, "month", month)
     return o.groupBy("status").agg(F.count(F.lit(1)).alias("cnt"),
                                    F.sum("total_amount").alias("total"))
 
@@ -211,7 +231,7 @@ def status_counts(T, month: str | None = None) -> DataFrame:
 def sales_daily(T, month: str | None, as_of: _dt.date | None = None) -> DataFrame:
     """Per day of one month (default: the month of ``as_of``), ascending."""
     m = cal.month_or_current(month, as_of or _dt.date.today())
-    o = T.orders.filter(cal.strict_month_filter(F.col("created_at"), m))
+    o = _orders_in(T, "strict_month", m)
     return (o.groupBy(F.to_date("created_at").alias("day"))
             .agg(_amount_sum(_live()).alias("total"),
                  F.count(F.lit(1)).alias("orders"),
@@ -224,24 +244,21 @@ def day_orders(T, day: str | None, as_of: _dt.date | None = None) -> DataFrame:
     """F2 (R11): orders of one day, newest first (ties by id)."""
     if not day or not cal._DATE_RE.match(day):
         day = (as_of or _dt.date.today()).strftime("%Y-%m-%d")
-    o = T.orders.filter(cal.day_filter(F.col("created_at"), day))
+    o = _orders_in(T, "day", day)
     return (o.select("id", "order_number", "customer_name", "customer_phone", "total_amount",
                      "payment_method", "status", "created_at")
             .orderBy(F.col("created_at").desc(), F.col("id").asc()))
 
 
 # ------------------------------------------------------------------- R12 - R16
-def _preorder_per_order(T, period_filter=None) -> DataFrame:
+def _preorder_per_order(T, kind: str | None = None, value=None) -> DataFrame:
     """Pre-order lines of live orders, collapsed to one row per order before the
     join, so ``COUNT(DISTINCT o.id)`` becomes a plain count."""
     q = F.col("quantity")
-    per_order = (T.items.filter(F.col("is_preorder") == 1)
+    per_order = (_items_in(T, kind, value).filter(F.col("is_preorder") == 1)
                  .groupBy("order_id")
                  .agg(F.sum(q).alias("units"), F.sum(q * F.col("price")).alias("value")))
-    o = T.orders.filter(_live())
-    if period_filter is not None:
-        o = o.filter(period_filter)
-    o = o.select(F.col("id").alias("order_id"), "created_at")
+    o = _orders_in(T, kind, value).filter(_live()).select(F.col("id").alias("order_id"), "created_at")
     return per_order.join(o, "order_id")
 
 
@@ -257,7 +274,7 @@ def _period_agg(df: DataFrame, key, *labels) -> DataFrame:
 def preorder_by_day(T, month: str | None, as_of: _dt.date | None = None) -> DataFrame:
     """Pre-order activity per day of one month."""
     m = cal.month_or_current(month, as_of or _dt.date.today())
-    df = _preorder_per_order(T, cal.strict_month_filter(F.col("created_at"), m))
+    df = _preorder_per_order(T, "strict_month", m)
     return _period_agg(df, F.to_date("created_at"),
                        F.first(cal.day_label(F.col("created_at"))).alias("period_label"))
 
@@ -265,7 +282,7 @@ def preorder_by_day(T, month: str | None, as_of: _dt.date | None = None) -> Data
 def preorder_by_week(T, year: int) -> DataFrame:
     """Per ISO week of orders placed in calendar ``year`` (V7, V8). The label
     is taken from the group's first observed day, as the reference does."""
-    df = _preorder_per_order(T, cal.year_filter(F.col("created_at"), year))
+    df = _preorder_per_order(T, "year", year)
     return _period_agg(
         df, cal.iso_week_key(F.col("created_at")),
         F.min_by(cal.week_label(F.col("created_at")), F.col("created_at")).alias("period_label"),
@@ -281,7 +298,7 @@ def preorder_by_year(T) -> DataFrame:
 
 def preorder_by_month(T, year: int) -> DataFrame:
     """Per month of ``year`` with the Lao month label."""
-    df = _preorder_per_order(T, cal.year_filter(F.col("created_at"), year))
+    df = _preorder_per_order(T, "year", year)
     return _period_agg(df, cal.month_key(F.col("created_at")),
                        F.first(cal.lao_month_label(F.col("created_at"))).alias("period_label"))
 

@@ -47,3 +47,19 @@ def test_temp_tables_can_be_dropped(spark):
     write_temp_table(spark.range(10), "kipmart-droptest")
     assert drop_temp_tables(spark, "kipmart-droptest") >= 1
     assert drop_temp_tables(spark, "kipmart-droptest") == 0
+
+
+def test_month_partitioned_layout_prunes_and_agrees(spark, shop):
+    from kipmart import params as P
+    path = tempfile.mkdtemp(prefix="shop-month-")
+    write_shop(shop, path, files={"shop_orders": 4, "shop_items": 4}, by_month=True)
+    M = load_shop(spark, path, kind="parquet", raw_path="/root/testdata/sf0.001")
+    assert "order_month" in M.items.columns
+    for fn in (lambda T: R.sales_summary(T, P.MONTH), lambda T: R.profit_overall(T, P.MONTH),
+               lambda T: R.preorder_by_week(T, P.YEAR), lambda T: R.sales_daily(T, P.MONTH),
+               lambda T: R.preorder_by_day(T, P.MONTH)):
+        assert fn(shop).collect() == fn(M).collect()
+    plan = R.profit_overall(M, P.MONTH)._sc._jvm.PythonSQLUtils.explainString(
+        R.profit_overall(M, P.MONTH)._jdf.queryExecution(), "formatted")
+    parts = [ln for ln in plan.splitlines() if "PartitionFilters" in ln and "order_month" in ln]
+    assert len(parts) >= 2          # both the order and the line scan are pruned
