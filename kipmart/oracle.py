@@ -28,7 +28,6 @@ def I(x):  # noqa: E743
     return f"cast({x} as bigint)"
 
 
-LIVE = "status <> 'cancelled'"
 PRODUCT_COLS = (f"id, {I('category_id')} as category_id, name, name_lo, description, "
                 f"{M('price')} as price, {M('cost_price')} as cost_price, {I('stock')} as stock, "
                 f"image, sku, colors, sizes, status, {I('pre_order')} as pre_order, "

@@ -331,3 +331,27 @@ def test_cart_replay_with_a_hot_cart(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_small_library_helpers(spark, shop):
+    import tempfile
+
+    from kipmart.operators.cart import carrier_map_as_map
+    from kipmart.sources.requests import ORDER_REQUEST, read_changes
+    # S6 on products: missing migration columns appear with their defaults
+    bare = shop.products.drop("cost_price", "pre_order", "colors")
+    filled = U.with_defaults(bare, U.PRODUCT_DEFAULTS)
+    r = filled.select("cost_price", "pre_order", "colors").first()
+    assert (r.cost_price, r.pre_order, r.colors) == (Decimal("0.00"), 0, None)
+    # U6/U7 request form: list position becomes sort_order, empty paths skipped
+    req = spark.createDataFrame([(5, ["a.jpg", "", "c.jpg"])], "id bigint, extra_images array<string>")
+    assert [(r.sort_order, r.image_path) for r in U.images_from_lists(req).collect()] == \
+        [(0, "a.jpg"), (2, "c.jpg")]
+    # K5 map form: one map per user, emptied carriers dropped
+    ev = spark.createDataFrame([(1, 1, "a", "N-1"), (1, 2, "b", "N-2"), (1, 3, "b", "")],
+                               "user_id bigint, seq bigint, carrier string, member_number string")
+    assert carrier_map_as_map(ev).first().carriers == {"a": "N-1"}
+    # change batches from files with an explicit schema
+    path = tempfile.mkdtemp(prefix="chg-")
+    spark.createDataFrame([(1, "x")], "request_id bigint, name string").write.mode("overwrite").json(path)
+    assert read_changes(spark, path, ORDER_REQUEST).first().name == "x"
