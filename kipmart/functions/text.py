@@ -51,9 +51,13 @@ def request_phone8(x) -> Column:
 
 
 def php_intval(x) -> Column:
-    """T5: leading integer of a text, else 0 (``intval``)."""
-    digits = F.regexp_extract(_c(x), "^\\s*([+-]?\\d+)", 1)
-    return F.coalesce(F.when(digits != "", digits).cast("bigint"), F.lit(0).cast("bigint"))
+    """T5: leading integer of a text, else 0 (``intval``). A plain integer
+    text takes the cast; only other texts reach the regular expression."""
+    c = _c(x)
+    digits = F.regexp_extract(c, "^\\s*([+-]?\\d+)", 1)
+    return F.coalesce(F.trim(c).try_cast("bigint"),
+                      F.when(digits != "", digits).try_cast("bigint"),
+                      F.lit(0).cast("bigint"))
 
 
 def decode_colors(x) -> Column:
