@@ -355,3 +355,17 @@ def test_small_library_helpers(spark, shop):
     path = tempfile.mkdtemp(prefix="chg-")
     spark.createDataFrame([(1, "x")], "request_id bigint, name string").write.mode("overwrite").json(path)
     assert read_changes(spark, path, ORDER_REQUEST).first().name == "x"
+
+
+def test_week_functions_match_iso_calendar_1990_2035(spark):
+    """V7 over every day of 1990-2035 against Python's ISO calendar."""
+    start = dt.date(1990, 1, 1)
+    n = (dt.date(2035, 12, 31) - start).days + 1
+    days = spark.range(n).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("d"))
+    got = {r.d: (r.k, r.w) for r in days.select(
+        "d", cal.iso_week_key(F.col("d")).alias("k"), cal.week_of_year_mode1(F.col("d")).alias("w")).collect()}
+    assert len(got) == n
+    for d, (k, w) in got.items():
+        iy, iw, _ = d.isocalendar()
+        assert k == iy * 100 + iw
+        assert w == (0 if iy < d.year else 53 if iy > d.year else iw)
