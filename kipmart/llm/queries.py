@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kipmart.llm.op1_token_output import op1_token_output
+from kipmart.llm.op2_toxicity import op2_toxicity
 from kipmart.llm.op4_language_id import op4_language_id
 from kipmart.llm.op6_token_counts import op6_token_counts
 from kipmart.llm.op9_quality_classifier import op9_quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
