@@ -51,10 +51,11 @@ WRITER = {
 }
 
 
-def _lists(ids: list[bytes]) -> pa.ListArray:
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+def append_end(ids: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with the end id after each document, and their offsets."""
+    if end_id is None:
+        return ids, offsets
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json",
@@ -63,17 +64,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     """Encode every document and write the token files under ``path``."""
     from pyspark import TaskContext
 
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, at = coder(common.vocabulary(vocabulary)), TaskContext.get().partitionId(), 0
         for b in common.blocks(batches, "text", block_bytes):
-            ids = [x + end for x in code.ids(common.texts(b.column(1)))]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            start = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield common.out_batch(OUT, doc_id=b.column(0), part=np.full(len(ids), part, np.int32),
-                                   start_in_part=start, n_tokens=n, tokens=_lists(ids))
+            ids, offs = append_end(*code.encode(*common.text_buffer(b.column(1))), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield common.out_batch(OUT, doc_id=b.column(0), part=np.full(b.num_rows, part, np.int32),
+                                   start_in_part=at + offs[:-1], n_tokens=np.diff(offs), tokens=lists)
+            at += int(offs[-1])
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     (rows.repartitionByRange(common.parallelism(docs.sparkSession), "doc_id")

@@ -32,9 +32,9 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(common.vocabulary(vocabulary))
         for b in common.blocks(batches, "text", block_bytes):
-            n_bytes = np.diff(common.text_buffer(b.column(1))[1])
-            yield common.out_batch(OUT, id=b.column(0), n_bytes=n_bytes,
-                                   n_tokens=code.lengths(common.texts(b.column(1))))
+            buffer, offs = common.text_buffer(b.column(1))
+            yield common.out_batch(OUT, id=b.column(0), n_bytes=np.diff(offs),
+                                   n_tokens=code.lengths(buffer, offs))
 
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")) \
         .mapInArrow(count, "id long, n_bytes long, n_tokens long")

@@ -41,20 +41,13 @@ STATISTICS = ["log bytes", "log words", "log stored characters", "capitals", "di
 OUT = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 _FEATURES = pa.schema([("label", pa.int32()), ("ids", pa.list_(pa.int32())),
                        ("counts", pa.list_(pa.int32())), ("stats", pa.list_(pa.float64()))])
-_LINE = np.ones(256, bool)
-_LINE[10] = False
+_LINE = ~textvec.kind_of([10])
 
 
-def _kind(values: list[int]) -> np.ndarray:
-    k = np.zeros(256, bool)
-    k[values] = True
-    return k
-
-
-_CAPITAL, _DIGIT = _kind([*range(65, 91)]), _kind([*range(48, 58)])
-_SPACE, _PIPE, _STOP = _kind([9, 10, 11, 12, 13, 32]), _kind([124]), _kind([33, 46, 63])
+_CAPITAL, _DIGIT = textvec.kind_of([*range(65, 91)]), textvec.kind_of([*range(48, 58)])
+_SPACE, _PIPE, _STOP = textvec.kind_of([9, 10, 11, 12, 13, 32]), textvec.kind_of([124]), textvec.kind_of([33, 46, 63])
 _SYMBOL = ~(textvec.WORD | _SPACE)
-_BEYOND = _kind([*range(128, 256)])
+_BEYOND = textvec.kind_of([*range(128, 256)])
 
 
 

@@ -23,7 +23,8 @@ WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 #: bytes that are not white space
 INK = np.ones(256, bool)
 INK[[9, 10, 11, 12, 13, 32]] = False
-_BYTE = np.random.RandomState(17).randint(1, 1 << 62, 256).astype(np.uint64)[LOWER]
+_EXACT_BYTE = np.random.RandomState(17).randint(1, 1 << 62, 256).astype(np.uint64)
+_BYTE = _EXACT_BYTE[LOWER]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,6 +44,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def kind_of(values: list[int]) -> np.ndarray:
+    """A table of the bytes with these values."""
+    k = np.zeros(256, bool)
+    k[values] = True
+    return k
+
+
+def range_hash(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, exact: bool = False) -> np.ndarray:
+    """64-bit hashes of byte ranges; ASCII letters in lower case unless ``exact``."""
+    n = len(buffer)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((_EXACT_BYTE if exact else _BYTE)[buffer] * _power(n, 0)[:n], out=total[1:])
+    return mix((total[end] - total[start]) * _power(n, 1)[start])
+
+
 @dataclass
 class Words:
     """The words of a block: byte bounds, hashes, and each text's first word."""
@@ -76,11 +92,7 @@ def _edges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def words(buffer: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD) -> Words:
     """The words (runs of bytes of this kind) of every text of the block."""
     start, end = _edges(kind[buffer], offsets)
-    n = len(buffer)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[buffer] * _power(n, 0)[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * _power(n, 1)[start])
-    return Words(start, end, h, np.searchsorted(start, offsets))
+    return Words(start, end, range_hash(buffer, start, end), np.searchsorted(start, offsets))
 
 
 def letter_groups(buffer: np.ndarray, offsets: np.ndarray, size: int,

@@ -1,20 +1,22 @@
-"""Tokenizing whole texts with a public tokenizer, one distinct word at a time.
-
-The library is exact but slow (about 1 MB a second and core). Texts repeat
-their words, so a text is cut where no token can span the cut, each distinct
-piece is encoded by the library once per batch at most, and the pieces' ids are
-put together again. A cut between a character that is no white space and a
-following space, line feed or tab is safe for both kinds of vocabulary file:
-their splitting patterns never let one piece hold a non-space followed by white
-space, and matching from such a place on does not look back.
-
-A piece of Latin letters with punctuation behind it is two words to the
-library's splitting pattern, the letters and the punctuation; such words are
-given to the library's model one by one, which skips its normalizer and
-splitter. All other pieces go through the whole library. Texts with white space
-beyond space, line feed and tab (whose class may differ between the library and
-Python) go to the library in large blocks, cut only between an ASCII letter or
-digit and a following space, line feed or tab.
+"""Tokenizing whole texts with a public tokenizer, one distinct piece at a time.
+
+The library is exact but slow (about 1 MB a second and core). Texts repeat their
+words, so a block of texts is cut where no token can span the cut, each
+distinct piece is encoded by the library once per block at most, and the
+pieces' ids are put together again as arrays. Cuts are
+
+* before ASCII white space that follows a character which is no white space (in
+  neither the library's nor Python's sense);
+* before ASCII punctuation that follows an ASCII letter, unless the block holds
+  the beginning of a special token's string.
+
+Both are safe for both kinds of vocabulary file: their splitting patterns end a
+match at such places, and matching from there on does not look back.
+
+A piece of Latin letters with at most one space before it is one word to the
+splitting pattern, punctuation alone another; such words are given to the
+library's model one by one, which skips its normalizer and splitter. All other
+pieces go through the whole library.
 """
 
 from __future__ import annotations
@@ -23,94 +25,58 @@ import json
 import os
 import re
 import struct
-from collections.abc import Callable, Sequence
 
-#: Entries in each half of a worker's tables of known words and pieces (about
-#: 180 bytes each; the younger half of a table is a quarter as large).
+import numpy as np
+import pandas as pd
+
+from kipmart.llm import textvec
+
+#: Pieces a worker keeps (about 150 bytes each); a quarter more wait for a
+#: second block that holds them.
 KEEP = 600_000
 #: Longer pieces (no white space for so long) are encoded but not kept.
-KEEP_CHARS = 48
-#: Size of the blocks that texts with unusual white space are cut into.
-BLOCK_CHARS = 65_536
-
-_PIECE = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
-_UNUSUAL = re.compile(r"[^\S \n\t]")
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n\t])")
-_MARK = "\x02"
-_COMMA, _STOP, _LINE = f" {_MARK}, ", f" {_MARK}. ", f" {_MARK}\n {_MARK}"
-_STOP_LINE = f" {_MARK}.\n"
-_NO_WORD_STOP = re.compile(r"(?:^|[\W_])[,.][ \n]")
-_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-def safe_pieces(text: str) -> list[str]:
-    """The pieces of a text; their ids, put together, are the text's ids."""
-    if _UNUSUAL.search(text) is None:
-        return _PIECE.findall(text)
-    out, at = [], 0
-    while len(text) - at > BLOCK_CHARS:
-        cut = _SAFE.search(text, at + BLOCK_CHARS)
-        if cut is None:
-            break
-        out.append(text[at:cut.start()])
-        at = cut.start()
-    out.append(text[at:])
-    return out
-
-
-def quick_pieces(text: str) -> list[str] | None:
-    """The pieces of a text whose white space is single spaces and line feeds.
-    A piece beginning with the mark stands for the rest of itself, any other
-    for itself with a space before it. Commas and full stops behind a word, and
-    line feeds, are pieces of their own, so that there are fewer distinct ones.
-    None for other texts (``safe_pieces`` takes those)."""
-    n = text.count(" ") + text.count("\n") + 1
-    if (not text or text[0] in " \n" or text[-1] in " \n" or len(text.split()) != n or _MARK in text or "  " in text or "\n " in text
-            or " \n" in text or "\n\n" in text):
-        return None
-    if _NO_WORD_STOP.search(text) is None:
-        text = text.replace(", ", _COMMA).replace(". ", _STOP).replace(".\n", _STOP_LINE)
-    return (_MARK + text.replace("\n", _LINE)).split(" ")
-
-
-class _Known:
-    """Values of pieces, kept in two halves: a piece seen in a second batch
-    moves to the older half, so that words seen once do not push out others."""
-
-    def __init__(self, make: Callable[[str], object]):
-        self.make, self.young, self.old = make, {}, {}
-
-    def table(self, pieces: set[str]) -> dict:
-        """The values of these pieces."""
-        old, young = self.old, self.young
-        if len(old) > KEEP:
-            old.clear()
-        if len(young) > KEEP // 3:
-            young.clear()
-        out = {}
-        for p in pieces - old.keys():
-            v = young.pop(p, None)
-            if v is not None:
-                old[p] = v
-            else:
-                v = self.make(p)
-                if len(p) <= KEEP_CHARS:
-                    young[p] = v
-                out[p] = v
-        there = [*(pieces - out.keys())]
-        out.update(zip(there, map(old.__getitem__, there)))
-        return out
-
-
-def _byte_letters() -> list[str]:
+KEEP_BYTES = 48
+
+_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+_SPACE = textvec.kind_of([9, 10, 11, 12, 13, 32])
+_INK = textvec.kind_of([*range(33, 127), *range(128, 256)])
+_LETTER = textvec.kind_of([*range(65, 91), *range(97, 123)])
+_MARK = textvec.kind_of([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+
+
+def _ends_in_wide_space(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is white space beyond ASCII."""
+    b1, b2, b3 = (buffer[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    return ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0)) | (b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)
+            | (b3 == 0xE2) & (b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF))
+            | (b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F) | (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+
+
+def cuts(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First byte of every piece of the block, in order."""
+    n = len(buffer)
+    begins = np.zeros(n, bool)
+    if n > 1:
+        begins[1:] = _SPACE[buffer[1:]] & _INK[buffer[:-1]]
+        at = np.flatnonzero(begins)
+        at = at[buffer[at - 1] >= 128]
+        begins[at[_ends_in_wide_space(buffer, at)]] = False
+        if not ((buffer[:-1] == 60) & (buffer[1:] == 124)).any():  # "<|"
+            begins[1:] |= _MARK[buffer[1:]] & _LETTER[buffer[:-1]]
+    begins[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(begins)
+
+
+def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies use for each byte."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+    return {b: chr(b) if b in own else chr(next(other)) for b in range(256)}
 
 
 class WordCoder:
-    """Encodes batches of texts; ``lengths`` gives token counts only."""
+    """Encodes blocks of texts (bytes of all texts, offsets of each)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -121,44 +87,73 @@ class WordCoder:
         self._model = self._tok.model
         #: vocabularies with an end-of-word mark drop white space and take lower case
         self._marked = bool(model.get("end_of_word_suffix"))
-        letters = _byte_letters()
-        self._as_letters = {b: letters[b] for b in range(256)}
-        self._ids = _Known(self._quick_ids)
-        self._len = _Known(lambda p: len(self._quick_ids(p)) // 4)
+        self._letters = _byte_letters()
+        self._young: dict[int, bytes] = {}
+        self._old: dict[int, bytes] = {}
 
-    def _model_ids(self, word: str) -> bytes:
+    def _word_ids(self, word: str) -> bytes:
         if word.isascii():
-            word = word.replace(" ", self._as_letters[32])
+            word = word.replace(" ", self._letters[32])
         else:
-            word = word.encode().decode("latin-1").translate(self._as_letters)
+            word = word.encode().decode("latin-1").translate(self._letters)
         ids = [t.id for t in self._model.tokenize(word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _whole_ids(self, text: str) -> bytes:
-        ids = self._tok.encode(text, add_special_tokens=False).ids
+    def _piece_ids(self, piece: str) -> bytes:
+        m = _WORD.fullmatch(piece)
+        if m is not None:
+            return self._word_ids(m[2].lower() if self._marked else piece)
+        if _MARKS.fullmatch(piece) is not None:
+            return self._word_ids(piece)
+        ids = self._tok.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _quick_ids(self, piece: str) -> bytes:
-        text = piece[1:] if piece[0] == _MARK else " " + piece
-        m = _WORD.fullmatch(text)
-        if m is None:
-            return self._whole_ids(text)
-        word = m[2].lower() if self._marked else m[1] + m[2]
-        return self._model_ids(word) + self._model_ids(m[3]) if m[3] else self._model_ids(word)
-
-    def _values(self, texts: Sequence[str], known: _Known, join, length) -> list:
-        cut = [quick_pieces(t) for t in texts]
-        table = known.table(set().union(*(p for p in cut if p is not None)))
-        return [join(map(table.__getitem__, p)) if p is not None else
-                join(map(length, map(self._whole_ids, safe_pieces(t)))) for t, p in zip(texts, cut)]
-
-    def ids(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self._values(texts, self._ids, b"".join, bytes)
-
-    def lengths(self, texts: Sequence[str]) -> list[int]:
+    def _pieces(self, buffer: np.ndarray, offsets: np.ndarray):
+        """(bounds of the texts in pieces, distinct piece of each piece, ids of
+        each distinct piece)."""
+        start = cuts(buffer, offsets)
+        end = np.append(start[1:], len(buffer))
+        hashes = textvec.range_hash(buffer, start, end, exact=True)
+        long = np.flatnonzero(end - start > KEEP_BYTES)
+        hashes[long] = long.astype(np.uint64)  # each by itself
+        which, distinct = pd.factorize(hashes)
+        first = np.empty(len(distinct), np.int64)
+        first[which[::-1]] = np.arange(len(start))[::-1]
+        keys = distinct.tolist()
+        old, young = self._old, self._young
+        if len(old) > KEEP:
+            old.clear()
+        if len(young) > KEEP // 4:
+            young.clear()
+        ids = list(map(old.get, keys))
+        data = buffer.tobytes()
+        for i, v in enumerate(ids):
+            if v is None:
+                h, a, z = keys[i], start[first[i]], end[first[i]]
+                v = young.pop(h, None)
+                if v is not None:
+                    old[h] = v
+                else:
+                    v = self._piece_ids(data[a:z].decode())
+                    if z - a <= KEEP_BYTES:
+                        young[h] = v
+                ids[i] = v
+        return np.searchsorted(start, offsets), which, ids
+
+    def encode(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, offsets of the texts in them)."""
+        first, which, ids = self._pieces(buffer, offsets)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        lengths = size[which]
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        return table[np.repeat(begin[which] - at[:-1], lengths) + np.arange(at[-1])], at[first]
+
+    def lengths(self, buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Number of ids of each text."""
-        return self._values(texts, self._len, sum, lambda ids: len(ids) // 4)
+        first, which, ids = self._pieces(buffer, offsets)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.diff(np.concatenate([[0], np.cumsum(size[which])])[first])
 
 
 _CODERS: dict[str, WordCoder] = {}
