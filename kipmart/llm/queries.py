@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kipmart.llm.op1_token_output import op1_token_output
 from kipmart.llm.op2_toxicity import op2_toxicity
+from kipmart.llm.op3_packing import op3_packing
 from kipmart.llm.op4_language_id import op4_language_id
 from kipmart.llm import op5_decontamination as op5
 from kipmart.llm.op6_token_counts import op6_token_counts
@@ -16,6 +17,7 @@ from kipmart.llm.op9_quality_classifier import op9_quality_classifier
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5.op5_decontamination,
     "op6_token_counts": op6_token_counts,
