@@ -12,6 +12,7 @@ from kipmart.llm.op3_packing import op3_packing
 from kipmart.llm.op4_language_id import op4_language_id
 from kipmart.llm import op5_decontamination as op5
 from kipmart.llm.op6_token_counts import op6_token_counts
+from kipmart.llm.op7_html_extraction import op7_html_extraction
 from kipmart.llm import op8_jaccard_join as op8
 from kipmart.llm.op9_quality_classifier import op9_quality_classifier
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5.op5_decontamination,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extraction": op7_html_extraction,
     "op8_jaccard_join": op8.op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
 }
