@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kipmart.llm.op1_token_output import op1_token_output
+from kipmart.llm.op10_neighbour_graph import op10_neighbour_graph
 from kipmart.llm.op2_toxicity import op2_toxicity
 from kipmart.llm.op3_packing import op3_packing
 from kipmart.llm.op4_language_id import op4_language_id
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extraction": op7_html_extraction,
     "op8_jaccard_join": op8.op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_neighbour_graph": op10_neighbour_graph,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
