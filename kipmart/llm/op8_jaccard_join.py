@@ -21,10 +21,10 @@ is at least ``percent``; the result is each document's connected class.
 
 The first round compares each bucket's members with its member of most buckets
 only, which joins groups of near copies in a number of comparisons linear in
-their size. Later rounds search the buckets that still hold several classes;
-each member names its ``reach`` likeliest partners of another class, ``reach``
-grows fourfold each round, and the rounds end when no member has an untested
-partner left. So no link between classes is lost and no group yields all pairs.
+their size. Later rounds search the buckets that still hold several classes: all
+pairs of buckets no larger than a leaf, and each member's ``reach`` likeliest
+partners of another class in larger ones. Buckets with more than that come again
+with a ``reach`` four times as large, until no pair is left untested. So no link between classes is lost and no group yields all pairs.
 Large buckets are searched in blocks: the members outside a bucket's largest
 class against blocks of at most ``block`` members.
 
@@ -38,7 +38,7 @@ hashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -52,7 +52,7 @@ from kipmart.llm import common, textvec
 K, PERCENT = 4, 85
 GROUPS = 64
 SKETCH_BITS, SLICES = 17, 32
-BLOCK, REACH, LEAF = 4096, 4, 32
+BLOCK, REACH, LEAF = 4096, 16, 64
 #: Rows of at most this many nodes are sent to all executors (8 bytes each).
 BROADCAST_ROWS = 2_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -235,33 +235,59 @@ class RTree:
         return at[ok], bound[ok]
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.int64())])
 
 
-def search_block(node: np.ndarray, klass: np.ndarray, points: np.ndarray, minor: np.ndarray, role: np.ndarray,
-                 reach: int, percent: int) -> list[tuple[int, int, bool]]:
-    """Likeliest partners of another class for each query of a block. ``role``:
-    1 for queries, 0 for members that are only searched, 2 for both."""
+def _pairs_of(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+
+
+def search_leaves(klass: np.ndarray, points: np.ndarray, start: np.ndarray, size: np.ndarray,
+                  percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of different classes that may link, in groups no larger than
+    a leaf of the tree (given by first row and size), all groups at once."""
+    out_a, out_b, total = [], [], points.sum(1)
+    for s in np.unique(size):
+        i, j = np.triu_indices(s, 1)
+        base = start[size == s]
+        for part in np.array_split(base, 1 + len(base) * len(i) // 200_000):
+            a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+            other = klass[a] != klass[b]
+            a, b = a[other], b[other]
+            near = (100 * np.minimum(total[a], total[b]) >= percent * np.maximum(total[a], total[b]))
+            a, b = a[near], b[near]
+            ok = (100 + percent) * np.minimum(points[a], points[b]).sum(1) >= percent * (total[a] + total[b])
+            out_a.append(a[ok])
+            out_b.append(b[ok])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+def search_tree(klass: np.ndarray, points: np.ndarray, role: np.ndarray, reach: int,
+                percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Row pairs: the likeliest partners of another class of each query, and
+    whether some query has more. ``role``: 1 for queries, 0 for members that are
+    only searched, 2 for both."""
     tree_of = np.flatnonzero(role != 1)
-    tree = RTree(points[tree_of])
-    out = []
+    tree, a, b, cut = RTree(points[tree_of]), [], [], False
     for i in np.flatnonzero(role != 0):
         at, bound = tree.search(points[i], percent)
         at = tree_of[at]
         other = klass[at] != klass[i]
         at, bound = at[other], bound[other]
         if len(at) > reach:
-            score = bound / (points[i].sum() + points[at].sum(1) - bound)
-            best = np.argsort(-score, kind="stable")[:reach]
-            out += [(int(node[i]), int(node[j]), True) for j in at[best]]
-        else:
-            out += [(int(node[i]), int(node[j]), False) for j in at]
-    return out
+            likely = bound / (points[i].sum() + points[at].sum(1) - bound)
+            at, cut = at[np.argsort(-likely, kind="stable")[:reach]], True
+        a.append(np.full(len(at), i))
+        b.append(at)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), cut
 
 
 def search_buckets(members: DataFrame, reach: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b, cut) from (token, node, klass, point) rows of buckets with
-    several classes; cut: a has more partners than named."""
+    several classes: pairs to compare; and rows with the ``cut`` token of buckets in
+    which a member has more partners than named."""
     per_class = members.groupBy("token", "klass").count()
     per = per_class.groupBy("token").agg(F.max_by("klass", F.struct("count", "klass")).alias("major"),
                                          F.max("count").alias("n_major"), F.sum("count").alias("n_all"))
@@ -279,46 +305,57 @@ def search_buckets(members: DataFrame, reach: int, percent: int, block: int = BL
     minor_target = F.filter(minor_target, lambda s: s["i"] != F.col("home"))
     major_target = F.transform(F.sequence(F.lit(0), n_minor - 1), lambda i: F.struct(
         i.alias("i"), F.col("home").alias("j"), F.lit(0).alias("role")))
-    tasks = F.when(minor, F.concat(as_query, minor_target)).otherwise(major_target)
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role")))
+    tasks = F.when(F.col("n_all") <= block, whole).when(minor, F.concat(as_query, minor_target)).otherwise(major_target)
     spread = rows.withColumn("home", home).select("token", "node", "klass", "point", F.explode(tasks).alias("t")) \
         .select("token", "t.i", "t.j", "t.role", "node", "klass", "point")
     n = common.parallelism(members.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for group in _groups(batches):
-            points = np.frombuffer(b"".join(group["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-            node, klass, role = (group[c].to_numpy() for c in ("node", "klass", "role"))
-            got = [x for x in search_block(node, klass, points, None, role, reach, percent) if x[:2] not in seen]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(x[:2] for x in got)
-            if got:
-                a, b, cut = zip(*got)
-                yield common.out_batch(_PAIR, a=np.minimum(a, b), b=np.maximum(a, b), cut=list(cut))
+        for t in _whole_groups(batches):
+            token, node, klass, role = (t[c].to_numpy() for c in ("token", "node", "klass", "role"))
+            points = np.frombuffer(b"".join(t["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+            start = np.append(_starts(t), len(token))
+            size, start = np.diff(start), start[:-1]
+            small = size <= LEAF
+            a, b = search_leaves(klass, points, start[small], size[small], percent)
+            found, cuts = [_pairs_of(node, a, b)], []
+            for k, n in zip(start[~small], size[~small]):
+                at = slice(k, k + n)
+                a, b, cut = search_tree(klass[at], points[at], role[at], reach, percent)
+                found.append(_pairs_of(node[at], a, b))
+                if cut:
+                    cuts.append(token[k])
+            pairs = np.unique(np.concatenate([np.stack(x, 1) for x in found]), axis=0)
+            none = [None] * len(pairs)
+            yield common.out_batch(_PAIR, a=pairs[:, 0], b=pairs[:, 1], cut=none)
+            if cuts:
+                none = [None] * len(cuts)
+                yield common.out_batch(_PAIR, a=none, b=none, cut=cuts)
 
     return spread.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j") \
-        .mapInArrow(run, "a long, b long, cut boolean")
+        .mapInArrow(run, "a long, b long, cut long")
+
 
+def _starts(t: pa.Table) -> np.ndarray:
+    """First rows of the (token, i, j) groups of sorted rows."""
+    keys = np.stack([t[c].to_numpy().astype(np.int64) for c in ("token", "i", "j")], 1)
+    return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (token, i, j), from rows sorted by it."""
-    held: list[pa.RecordBatch] = []
-    held_key = None
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, cut only between (token, i, j) groups."""
+    held = None
     for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
-        edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for a, z in zip(edge, edge[1:]):
-            key = tuple(keys[a])
-            if held and key != held_key:
-                yield pa.Table.from_batches(held)
-                held = []
-            held_key = key
-            held.append(b.slice(a, z - a))
-    if held:
-        yield pa.Table.from_batches(held)
+        if b.num_rows:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = int(_starts(t)[-1])
+            if last:
+                yield t.slice(0, last)
+            held = t.slice(last)
+    if held is not None:
+        yield held
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -407,11 +444,10 @@ def _all_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, perc
     hubs = found.join(degree, "node").groupBy("token").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     star = found.join(hubs, "token").where("hub <> node") \
         .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    links, tested, sets, reach, more = [], [], [], REACH, True
+    links, tested, sets, reach = [], [], [], REACH
     pairs = common.stored(_bounded(star.distinct(), nodes, percent), "pairs")
     while True:
-        n_pairs = pairs.count()
-        if n_pairs:
+        if not pairs.isEmpty():
             tested.append(pairs)
             ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             for s in sets:
@@ -419,21 +455,24 @@ def _all_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, perc
             ids = common.stored(nodes.select("node", "id").join(ends, "node").select("id").distinct(), "ids")
             sets.append(common.stored(sets_of(docs, ids, k), "sets"))
             links.append(common.stored(verify(pairs, _union(sets), percent), "links"))
-        elif not more:
-            break
+        # classes so far; of the buckets, only those with several classes and,
+        # after the first search, with pairs that were not named yet
         some = [x for x in links if not x.isEmpty()]
         klass = common.stored(classes(_union(some)), "klass") if some else None
         members = found if klass is None else found.join(klass, "node", "left")
         members = members.withColumn("klass", F.coalesce("klass", "node") if klass is not None else F.col("node"))
         open_ = members.groupBy("token").agg(F.min("klass").alias("lo"), F.max("klass").alias("hi")).where("lo <> hi")
-        members = members.join(open_.select("token"), "token") \
-            .join(nodes.select("node", "point"), "node").select("token", "node", "klass", "point")
-        named = common.stored(search_buckets(common.stored(members, "members"), reach, percent, block), "named")
-        more = not named.where("cut").isEmpty()
-        fresh = named.select("a", "b").distinct()
+        members = common.stored(members.join(open_.select("token"), "token")
+                                .join(nodes.select("node", "point"), "node").select("token", "node", "klass", "point"), "members")
+        named = common.stored(search_buckets(members, reach, percent, block), "named")
+        found = members.join(named.where("cut is not null").select(F.col("cut").alias("token")).distinct(), "token") \
+            .select("token", "node")
+        fresh = named.where("a is not null").select("a", "b").distinct()
         for t in tested:
             fresh = fresh.join(t, ["a", "b"], "left_anti")
         pairs = common.stored(fresh, "pairs")
+        if pairs.isEmpty() and named.where("cut is not null").isEmpty():
+            break
         reach *= 4
     return _union(links) if links else None
 
@@ -459,6 +498,15 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT, id: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """The documents, all columns, without those of a class but its smallest id
+    (rows that share an id stay or go together)."""
+    gone = common.stored(jaccard_classes(docs, k, percent, id, text).where("id <> klass")
+                         .select(F.col("id").alias("_gone")).distinct(), "gone")
+    return docs.join(_small(gone, gone.count()), F.col(id) == F.col("_gone"), "left_anti")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents by 4-word shingles and a similarity of 0.85."""
     return jaccard_classes(common.read(spark, sf_dir, "documents")).select(
