@@ -189,25 +189,41 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, id:
     return fit(data)
 
 
+def label_block(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of the texts of a block."""
+    n = len(column)
+    buffer, offs = common.text_buffer(column)
+    known = [bool(model.languages) and bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()]
+    lang, score = model.predict(buffer, offs) if model.languages else (np.zeros(n, int), np.zeros(n))
+    return np.array([*model.languages, "und"], object)[np.where(known, lang, -1)], np.where(known, score, 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: LanguageModel = shared.value
         for b in common.blocks(batches, "text"):
-            buffer, offs = common.text_buffer(b.column(1))
-            known = [bool(m.languages) and bool(t) and _LETTER.search(t) is not None
-                     for t in b.column(1).to_pylist()]
-            lang, score = m.predict(buffer, offs) if m.languages else (np.zeros(b.num_rows, int), np.zeros(b.num_rows))
-            names = np.array([*m.languages, "und"], object)
-            yield common.out_batch(OUT, id=b.column(0), lang_pred=names[np.where(known, lang, -1)],
-                                   score=np.where(known, score, 0.0))
+            lang, score = label_block(shared.value, b.column(1))
+            yield common.out_batch(OUT, id=b.column(0), lang_pred=lang, score=score)
 
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")) \
         .mapInArrow(run, "id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents, all columns, with a predicted language (not ``und``)
+    whose score is at least ``least``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, text):
+            lang, score = label_block(shared.value, b.column(at))
+            yield b.filter(pa.array((lang != "und") & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn_rows(id: str = "doc_id") -> Column:
     """Rows that the query may learn from."""
     return common.crc_mod(id, 4) != 2

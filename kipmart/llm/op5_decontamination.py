@@ -13,14 +13,14 @@ so what is sent has a fixed size bound; more items make more blocks, whose hits
 are put together per document by word position.
 
 ``find_hits`` gives every document's hit words as runs (first and one past the
-last word, and their byte offsets) and the items found; ``remove_hits`` cuts
-them out of the texts.
+last word, and their byte offsets) and the items found; ``decontaminate`` cuts
+them out of the texts and drops documents that are mostly hit.
 
 Defined cases: null and empty texts have no words and no hits; items without a
 word (or null) match nothing; an empty benchmark or document table gives no
 hits or no rows; repeated items are all reported; an item id that is null is
 not reported, but its words count; repeated documents are judged each; other
-columns are not read (``remove_hits`` passes them on).
+columns are not read (``decontaminate`` passes them on).
 """
 
 from __future__ import annotations
@@ -261,38 +261,63 @@ def _merge_runs(runs: list) -> list:
     return [tuple(r) for r in out]
 
 
-def remove_hits(docs: DataFrame, hits: DataFrame, coverage: float = 0.5, id: str = "doc_id",
-                text: str = "text") -> DataFrame:
-    """The documents without their hit spans, and without the documents of which
-    more than the share ``coverage`` of the words is hit. Only documents with
-    hits take part in the join."""
-    found = hits.where("n_hit > 0").select(
-        F.col("id").alias("_hit_id"), (F.col("n_hit") > coverage * F.col("n_words")).alias("_drop"),
-        F.transform("runs", lambda r: F.struct(r["start"].alias("a"), r["end"].alias("z"))).alias("_spans"))
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        out = []
-        for t, s in zip(texts, spans):
-            if s is None or t is None:
-                out.append(t)
-                continue
-            b, at, keep = t.encode(), 0, []
-            for x in s:
-                keep.append(b[at:x["a"]])
-                at = x["z"]
-            out.append(b"".join([*keep, b[at:]]).decode())
-        return _series(out)
-
-    joined = docs.join(found, F.col(id).cast("long") == F.col("_hit_id"), "left") \
-        .where(~F.coalesce(F.col("_drop"), F.lit(False)))
-    clean = F.when(F.col("_spans").isNotNull(), cut(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    return joined.withColumn(text, clean).drop("_hit_id", "_drop", "_spans")
-
-
-def _series(values: list):
-    import pandas as pd
-    return pd.Series(values, dtype=object)
+def cut_text(text: bytes, automata: list[SuffixAutomaton], coverage: float) -> bytes | None:
+    """The text without its hit spans; None if more than the share ``coverage`` of
+    its words is hit. Cutting goes on until nothing is hit: what stood before
+    and after a span may together be a window."""
+    first = True
+    while True:
+        hits, n = [], 0
+        for a in automata:
+            h, _, n = match(text, a)
+            hits += h
+        hits = _merge(hits)
+        if first and sum(z - a for a, z in hits) > coverage * n:
+            return None
+        if not hits:
+            return text
+        first, at, keep = False, 0, []
+        for r in _runs(text, hits):
+            keep.append(text[at:r["start"]])
+            at = r["end"]
+        text = b"".join([*keep, text[at:]])
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.5,
+                  text: str = "text", item_text: str = "text", n_chars: str = "n_chars",
+                  block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents, all columns, without their hit spans, and without the
+    documents of which more than the share ``coverage`` of the words is hit. A changed
+    text gets its new length in the column ``n_chars``, if there is one. Items
+    beyond one broadcast block are handled block after block, each pass on what
+    the one before left."""
+    at, columns = docs.columns.index(text), docs.columns
+    ids = items.select(F.lit(None).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    for block in _item_blocks(ids, "item_id", "text", block_words):
+        docs = _cut_block(docs, block, window, coverage, at, columns.index(n_chars) if n_chars in columns else None)
+    return docs
+
+
+def _cut_block(docs: DataFrame, block: list, window: int, coverage: float, at: int, length_at: int | None) -> DataFrame:
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), docs.columns[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton(shared.value, window)
+        for b in common.blocks(batches, name):
+            old = b.column(at).to_pylist()
+            new = [None if t is None else cut_text(t.encode(), [automaton], coverage) for t in old]
+            stays = [t is None or n is not None for t, n in zip(old, new)]
+            texts = [None if n is None else n.decode() for n in new]
+            arrays = list(b.columns)
+            if any(s and t != o for s, t, o in zip(stays, texts, old)):
+                arrays[at] = pa.array(texts, b.schema.field(at).type)
+                if length_at is not None:
+                    lengths = [len(t) if s and t is not None and t != o else n for s, t, o, n in
+                               zip(stays, texts, old, b.column(length_at).to_pylist())]
+                    arrays[length_at] = pa.array(lengths, b.schema.field(length_at).type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,20 @@ def score(docs: DataFrame, model: FactorisationMachine, id: str = "doc_id", text
         .mapInArrow(run, "id long, score double")
 
 
+def keep_good(docs: DataFrame, model: FactorisationMachine, least: float = 0.7, text: str = "text",
+              n_chars: str = "n_chars") -> DataFrame:
+    """The documents, all columns, whose score is at least ``least``."""
+    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, text):
+            stored = _stored(b.column(columns.index(n_chars))) if n_chars in columns else np.full(b.num_rows, -1.0)
+            z = shared.value.margin(b.num_rows, *describe(b.column(columns.index(text)), stored))
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn_rows(id: str = "doc_id") -> Column:
     """Labels that the query may learn from."""
     return common.crc_mod(id, 4) != 2
