@@ -247,8 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     """Fit on about ``bound`` labelled documents that ``learn`` allows."""
     known = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull())
     kept = known.where(common.hash_sample(id, known.count(), bound)) \
-        .select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
-    rows = docs.join(F.broadcast(kept), F.col(id) == F.col("_id")).select("_label", F.col(text).alias("text"))
+        .select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(kept), "id") \
+        .select("label", "text")
     got = rows.mapInArrow(features, "label int, words array<long>, heads array<long>").toArrow().combine_chunks()
     data = []
     for i in range(got.num_rows):

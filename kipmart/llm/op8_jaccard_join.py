@@ -503,8 +503,8 @@ def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT, id: str = "
     """The documents, all columns, without those of a class but its smallest id
     (rows that share an id stay or go together)."""
     gone = common.stored(jaccard_classes(docs, k, percent, id, text).where("id <> klass")
-                         .select(F.col("id").alias("_gone")).distinct(), "gone")
-    return docs.join(_small(gone, gone.count()), F.col(id) == F.col("_gone"), "left_anti")
+                         .select(F.col("id").alias(id)).distinct(), "gone")
+    return docs.join(_small(gone, gone.count()), id, "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,9 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     """Fit on about ``bound`` labelled documents that ``learn`` allows."""
     known = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull())
     kept = known.where(common.hash_sample(id, known.count(), bound)) \
-        .select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
-    rows = docs.join(F.broadcast(kept), F.col(id) == F.col("_id")) \
-        .select("_label", *_columns(docs, text, n_chars))
+        .select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    rows = docs.select(F.col(id).alias("id"), *_columns(docs, text, n_chars)).join(F.broadcast(kept), "id") \
+        .select("label", "text", "n_chars")
     got = rows.mapInArrow(features, "label int, ids array<int>, counts array<int>, stats array<double>").toArrow()
     data = sorted(zip(got["stats"].to_pylist(), got["label"].to_pylist(), got["ids"].to_pylist(),
                       got["counts"].to_pylist()))  # the same model in any task order
