@@ -113,8 +113,16 @@ def initial(name, phone) -> Column:
 
 
 def pad_code(x, width: int = 6) -> Column:
-    """Left-pad a numeric code with zeros."""
-    return F.lpad(_c(x).cast("string"), width, "0")
+    """Left-pad a code with zeros; a longer one is never cut."""
+    code = _c(x).cast("string")
+    return F.lpad(code, F.greatest(F.length(code), F.lit(width)), F.lit("0"))
+
+
+def order_number(created_at, order_id) -> Column:
+    """O2: ``BUN-yyyyMMdd-`` and the order id in upper-case hex, at least 7
+    digits, instead of a clock-based suffix; reruns give the same numbers."""
+    return F.concat(F.lit("BUN-"), F.date_format(_c(created_at), "yyyyMMdd"), F.lit("-"),
+                    pad_code(F.upper(F.hex(_c(order_id))), 7))
 
 
 def fit_ratio(w, h, max_w: int = 1920, max_h: int = 700) -> Column:

@@ -75,9 +75,14 @@ def cart_replay(events: DataFrame) -> DataFrame:
 
 
 def cart_totals(lines: DataFrame) -> DataFrame:
-    """A5: badge count ``Σ qty`` and total ``Σ price × qty`` per cart."""
-    return lines.groupBy("cart_id").agg(F.sum("qty").alias("count"),
-                                        F.sum(F.col("price") * F.col("qty")).alias("total"))
+    """A5: badge count ``Σ qty`` and total ``Σ price × qty`` per cart; a line
+    without a quantity, or with 0, counts as one piece."""
+    q = _pieces()
+    return lines.groupBy("cart_id").agg(F.sum(q).alias("count"), F.sum(F.col("price") * q).alias("total"))
+
+
+def _pieces():
+    return F.when(F.coalesce(F.col("qty"), F.lit(0)) != 0, F.col("qty")).otherwise(F.lit(1))
 
 
 def cart_key(product_id, color):
@@ -95,7 +100,7 @@ def cart_lines_normalised(lines: DataFrame, products: DataFrame) -> DataFrame:
     back to the image or ''. Product attributes come from the catalogue."""
     p = products.select(F.col("id").alias("product_id"), "name", "name_lo", "image")
     j = lines.join(p, "product_id", "left")
-    q = F.when(F.coalesce(F.col("qty"), F.lit(0)) != 0, F.col("qty")).otherwise(F.lit(1))
+    q = _pieces()
     return j.select(*LINE,
                     cart_key("product_id", "color").alias("key"),
                     q.alias("quantity"),
@@ -109,22 +114,22 @@ def cart_merged(events: DataFrame, products: DataFrame) -> DataFrame:
     """K2: add events merged by line: quantities add, the first price stays,
     ``is_preorder`` latches once any add was for a pre-order product."""
     p = products.select(F.col("id").alias("product_id"), F.col("pre_order"))
-    a = (events.filter(F.col("action") == "add")
-         .withColumn("color", F.coalesce(F.col("color"), F.lit("")))
-         .join(p, "product_id", "left"))
-    return a.groupBy(*LINE).agg(
-        F.sum("qty").alias("qty"),
-        F.min_by("price", "seq").alias("price"),
-        F.max(F.coalesce(F.col("pre_order"), F.lit(0))).alias("is_preorder"),
-        F.count(F.lit(1)).alias("adds"))
+    # one row per line first, so the product join never meets single events
+    lines = (events.filter(F.col("action") == "add")
+             .withColumn("color", F.coalesce(F.col("color"), F.lit("")))
+             .groupBy(*LINE).agg(F.sum("qty").alias("qty"), F.min_by("price", "seq").alias("price"),
+                                 F.count(F.lit(1)).alias("adds")))
+    return lines.join(p, "product_id", "left").select(
+        *LINE, "qty", "price", F.coalesce(F.col("pre_order"), F.lit(0)).alias("is_preorder"), "adds")
 
 
 def carrier_map(events: DataFrame) -> DataFrame:
-    """K5: per user and carrier the latest member number; an empty number
-    deletes the entry. Returned exploded (user_id, carrier, member_number)."""
+    """K5: per user and carrier the latest member number, trimmed; an empty
+    number deletes the entry. Returned exploded (user_id, carrier, member_number)."""
     latest = (events.groupBy("user_id", "carrier")
               .agg(F.max_by("member_number", "seq").alias("member_number")))
-    return latest.filter(F.trim(F.coalesce(F.col("member_number"), F.lit(""))) != "")
+    return (latest.withColumn("member_number", F.trim(F.coalesce(F.col("member_number"), F.lit(""))))
+            .filter(F.col("member_number") != ""))
 
 
 def carrier_map_as_map(events: DataFrame) -> DataFrame:

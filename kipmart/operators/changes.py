@@ -112,11 +112,10 @@ def apply_stock(products: DataFrame, moves: DataFrame) -> DataFrame:
                     (F.col("stock") + F.coalesce(F.col("__d"), F.lit(0))).cast("int").alias("stock"))
 
 
-# ------------------------------------------------------------------ O1 / O2
-def order_number(created_at: Column, order_id: Column) -> Column:
-    """O2: ``BUN-yyyyMMdd-`` + 7 upper-case hex digits of the id."""
-    suffix = F.right(F.lpad(F.upper(F.hex(order_id)), 7, "0"), F.lit(7))
-    return F.concat(F.lit("BUN-"), F.date_format(created_at, "yyyyMMdd"), F.lit("-"), suffix)
+# ----------------------------------------------------------------------- O1
+def _in_stock() -> Column:
+    """Lines that are no pre-order (a missing flag counts as none)."""
+    return F.coalesce(F.col("is_preorder"), F.lit(0)) == 0
 
 
 def _next_id(table: DataFrame, start_id: int | None):
@@ -132,22 +131,22 @@ def place_orders(T, requests: DataFrame, lines: DataFrame, as_of: _dt.datetime,
     """O1: headers, lines and stock after a batch of order requests.
 
     ``requests``: request_id, name, phone, member_id, items_total, shipping_fee
-    (optional: address, note, slip, shipping_company, member_number,
+    (optional: total, which stands in for a missing items_total; address, note, slip, shipping_company, member_number,
     payment_method). ``lines``: request_id, product_id, quantity, price,
     is_preorder. New ids follow the current highest id in request order.
     """
-    r = with_defaults(requests, {"address": ("string", None), "note": ("string", None),
+    r = with_defaults(requests, {"total": ("decimal(15,2)", None), "address": ("string", None), "note": ("string", None),
                                  "slip": ("string", None), "shipping_company": ("string", None),
                                  "member_number": ("string", None),
                                  "payment_method": ("string", None)})
-    items_total = F.coalesce(_int(F.col("items_total")), F.lit(0).cast("bigint"))
+    items_total = F.coalesce(_int(F.coalesce(F.col("items_total"), F.col("total"))), F.lit(0).cast("bigint"))
     fee = F.coalesce(_int(F.col("shipping_fee")), F.lit(0).cast("bigint"))
     member = _int(F.col("member_id"))
     now = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     numbered = sequence_number(r, [F.col("request_id").asc()], _next_id(T.orders, start_id), "id")
     headers = numbered.select(
         "request_id", "id",
-        order_number(now, F.col("id")).alias("order_number"),
+        X.order_number(now, F.col("id")).alias("order_number"),
         X.php_trim(F.coalesce(F.col("name"), F.lit(""))).alias("customer_name"),
         X.phone_digits(X.php_trim(F.coalesce(F.col("phone"), F.lit("")))).alias("customer_phone"),
         X.php_trim(F.coalesce(F.col("address"), F.lit(""))).alias("customer_address"),
@@ -194,7 +193,7 @@ def cancel_orders(T, requests: DataFrame, mode: str = "reference") -> dict:
     orders = merge_update(T.orders, hit, ["id"], ["status"])
     li = T.items.join(accepted.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     if mode == "consistent":
-        li = li.filter(F.col("is_preorder") == 0)
+        li = li.filter(_in_stock())
     moves = li.select("product_id", F.col("quantity").alias("delta"))
     return {"accepted": accepted, "rejected": rejected, "orders": orders, "moves": moves,
             "products": apply_stock(T.products, moves)}
@@ -252,7 +251,7 @@ def delete_items(T, requests: DataFrame) -> dict:
                .select("item_id", "order_id", "seq", F.lit("not found").alias("reason")))
     rejected = bad.unionByName(missing)
     items = T.items.join(found.select(F.col("item_id").alias("id")), "id", "left_anti")
-    moves = (found.filter(F.col("is_preorder") == 0)
+    moves = (found.filter(_in_stock())
              .select("product_id", F.col("quantity").alias("delta")))
     touched = valid.select(F.col("order_id").alias("id")).distinct()
     orders = T.orders.join(touched, "id", "left_semi")

@@ -82,8 +82,9 @@ def new_phone_requests(requests: DataFrame, members: DataFrame) -> DataFrame:
 def members_upserted(members: DataFrame, changes: DataFrame, start_id: int | None = None) -> DataFrame:
     """Upsert by unique phone. Known phones get the latest carrier and
     member number; unknown phones are inserted with new ids, numbered in the
-    order of their first request after the current highest id."""
-    ch = changes.withColumn("phone", X.phone_no_blanks(F.col("phone")))
+    order of their first request after the current highest id. Requests without
+    a phone are refused."""
+    ch = changes.withColumn("phone", X.phone_no_blanks(F.col("phone"))).filter(F.col("phone") != "")
     return upsert(members.select("id", "phone", "name", "shipping_company", "member_number"), ch,
                   ["phone"], ["shipping_company", "member_number"], start_id=start_id)
 

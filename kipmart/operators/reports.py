@@ -271,36 +271,40 @@ def _period_agg(df: DataFrame, key, *labels) -> DataFrame:
             .orderBy("period_key"))
 
 
+def _labelled(per: DataFrame, label) -> DataFrame:
+    """The period's label, made from its key: text inside the aggregate would
+    turn it into a sort-based one."""
+    rest = [c for c in per.columns if c != "period_key"]
+    return per.select("period_key", label.alias("period_label"), *rest)
+
+
 def preorder_by_day(T, month: str | None, as_of: _dt.date | None = None) -> DataFrame:
     """Pre-order activity per day of one month."""
     m = cal.month_or_current(month, as_of or _dt.date.today())
     df = _preorder_per_order(T, "strict_month", m)
-    return _period_agg(df, F.to_date("created_at"),
-                       F.first(cal.day_label(F.col("created_at"))).alias("period_label"))
+    return _labelled(_period_agg(df, F.to_date("created_at")), cal.day_label(F.col("period_key")))
 
 
 def preorder_by_week(T, year: int) -> DataFrame:
     """Per ISO week of orders placed in calendar ``year`` (V7, V8). The label
     is taken from the group's first observed day, as the reference does."""
     df = _preorder_per_order(T, "year", year)
-    return _period_agg(
-        df, cal.iso_week_key(F.col("created_at")),
-        F.min_by(cal.week_label(F.col("created_at")), F.col("created_at")).alias("period_label"),
-        F.min(F.to_date("created_at")).alias("week_start"))
+    per = _period_agg(df, cal.iso_week_key(F.col("created_at")), F.min(F.to_date("created_at")).alias("week_start"))
+    return _labelled(per, cal.week_label(F.col("week_start")))
 
 
 def preorder_by_year(T) -> DataFrame:
     """R14."""
     df = _preorder_per_order(T)
-    return _period_agg(df, F.year("created_at"),
-                       F.first(cal.year_label(F.col("created_at"))).alias("period_label"))
+    per = _period_agg(df, F.year("created_at"))
+    return _labelled(per, cal.year_label(F.make_date(F.col("period_key"), F.lit(1), F.lit(1))))
 
 
 def preorder_by_month(T, year: int) -> DataFrame:
     """Per month of ``year`` with the Lao month label."""
     df = _preorder_per_order(T, "year", year)
-    return _period_agg(df, cal.month_key(F.col("created_at")),
-                       F.first(cal.lao_month_label(F.col("created_at"))).alias("period_label"))
+    per = _period_agg(df, cal.month_key(F.col("created_at")))
+    return _labelled(per, cal.lao_month_label(F.to_date(F.concat("period_key", F.lit("-01")))))
 
 
 def preorder_years(T) -> DataFrame:
@@ -355,5 +359,5 @@ def preorder_by_product(T) -> DataFrame:
                           F.coalesce("name_lo", "name").alias("product_name"),
                           F.col("image").alias("product_image"), "sku")
     return (per.join(p, "product_id")
-            .select("product_name", "product_image", "sku", "total_units", "order_count")
-            .orderBy(F.col("total_units").desc()))
+            .orderBy(F.col("total_units").desc(), F.col("product_id"))
+            .select("product_name", "product_image", "sku", "total_units", "order_count"))

@@ -43,6 +43,7 @@ def order_cols(a=""):
 
 
 ORDER_COLS = order_cols()
+#: Month names of the period labels.
 LAO_MONTHS_SQL = ("['ມັງກອນ','ກຸມພາ','ມີນາ','ເມສາ','ພຶດສະພາ','ມິຖຸນາ',"
                   "'ກໍລະກົດ','ສິງຫາ','ກັນຍາ','ຕຸລາ','ພະຈິກ','ທັນວາ']")
 
@@ -54,178 +55,192 @@ def q(key, views, body):
 
 
 # ------------------------------------------------------------------ reports
-_SUMMARY = f"""
-select {M('sum(total_amount)')} as total,
-       {I('count(*)')} as count,
-       {M("sum(case when payment_method='transfer' and status<>'cancelled' then total_amount else 0 end)")} as transfer_total,
-       {M("sum(case when payment_method='cod' and status<>'cancelled' then total_amount else 0 end)")} as cod_total,
-       {M("sum(case when status='cancelled' then total_amount else 0 end)")} as cancelled_total,
-       {I("count(case when status='cancelled' then 1 end)")} as cancelled_count,
-       {I("count(case when payment_method='transfer' and status<>'cancelled' then 1 end)")} as transfer_count,
-       {I("count(case when payment_method='cod' and status<>'cancelled' then 1 end)")} as cod_count
-from shop_orders where 1=1 {{cond}}
+# Rules: a live order has a status and it is not 'cancelled' (V1); money sums are
+# taken over whole tables; product reports drop lines without a product.
+_LIVE = "coalesce(status, 'cancelled') != 'cancelled'"
+_PAID = {m: f"(payment_method = '{m}' and {_LIVE})" for m in ("transfer", "cod")}
+
+
+def _money(condition):
+    """Order money under a condition; 0 without any such order."""
+    return M(f"coalesce(sum(total_amount) filter (where {condition}), 0)")
+
+
+def _orders(condition):
+    return I(f"count_if({condition})")
+
+
+def _in_month(month):
+    return f"created_at >= date '{month}-01' and created_at < date '{month}-01' + interval 1 month"
+
+
+def _summary(rows):
+    return f"""
+with picked as (from shop_orders where {rows}),
+     live as (select count(*) as n, sum(total_amount) as s from picked)
+select {M('live.s')} as total, live.n as count,
+       {_money(_PAID['transfer'])} as transfer_total, {_money(_PAID['cod'])} as cod_total,
+       {_money("status = 'cancelled'")} as cancelled_total, {_orders("status = 'cancelled'")} as cancelled_count,
+       {_orders(_PAID['transfer'])} as transfer_count, {_orders(_PAID['cod'])} as cod_count
+from picked cross join live group by live.s, live.n
 """
-q("sales_summary", ["shop_orders"], _SUMMARY.format(cond=""))
-q("sales_summary_month", ["shop_orders"],
-  _SUMMARY.format(cond=f"and strftime(created_at,'%Y-%m') = '{P.MONTH}'"))
 
-q("active_product_count", ["shop_products"],
-  f"select {I('count(*)')} as count from shop_products where status='active'")
 
-q("low_stock", ["shop_products"],
-  f"select {PRODUCT_COLS} from shop_products where stock < 5 and status='active'")
+q("sales_summary", ["shop_orders"], f"from ({_summary('true')})")
+q("sales_summary_month", ["shop_orders"], f"from ({_summary(_in_month(P.MONTH))})")
 
-q("stock_flag", ["shop_products"],
-  f"select id, {I('stock')} as stock, case when stock < 5 then 'low' else 'ok' end as stock_flag from shop_products")
+q("active_product_count", ["shop_products"], "select count_if(status = 'active') as count from shop_products")
+
+q("low_stock", ["shop_products"], f"""
+select {PRODUCT_COLS} from (from shop_products where status = 'active') where not stock >= 5
+""")
+
+q("stock_flag", ["shop_products"], f"""
+select id, {I('stock')} as stock, if(coalesce(stock >= 5, true), 'ok', 'low') as stock_flag from shop_products
+""")
 
 q("sales_monthly", ["shop_orders"], f"""
-select strftime(created_at,'%Y-%m') as month,
-       {M("sum(case when status<>'cancelled' then total_amount else 0 end)")} as total,
-       {M("sum(case when payment_method='transfer' and status<>'cancelled' then total_amount else 0 end)")} as transfer_total,
-       {M("sum(case when payment_method='cod' and status<>'cancelled' then total_amount else 0 end)")} as cod_total,
-       {I('count(*)')} as orders,
-       {I("count(case when status='cancelled' then 1 end)")} as cancelled
-from shop_orders group by 1 order by 1 desc limit 12
+select strftime(m, '%Y-%m') as month, {_money(_LIVE)} as total,
+       {_money(_PAID['transfer'])} as transfer_total, {_money(_PAID['cod'])} as cod_total,
+       count(*) as orders, {_orders("status = 'cancelled'")} as cancelled
+from (select *, date_trunc('month', created_at) as m from shop_orders)
+group by m
+qualify row_number() over (order by m desc) <= 12
+order by m desc
 """)
 
-_J1 = """from shop_items oi join shop_products p on p.id = oi.product_id
-         join shop_orders o on o.id = oi.order_id"""
+_LIVE_ORDERS = f"(select * from shop_orders where {_LIVE})"
+
+
+def _per(key, rows="true", lines="true"):
+    """Live lines summed per key, before any product is looked at."""
+    return f"""(select {key}, product_id, sum(quantity) as units, sum(quantity * price) as value
+   from (select i.*, h.created_at from shop_items i join {_LIVE_ORDERS} h on i.order_id = h.id where {lines})
+   where {rows} group by all)"""
+
+
+_COSTS = f"""select s.*, s.units * coalesce(p.cost_price, 0) as cost, p.id, p.name, p.sku, p.image, p.cost_price
+   from {{sums}} s join shop_products p on s.product_id = p.id"""
 
 q("top_products", ["shop_items", "shop_products", "shop_orders"], f"""
-select p.id, p.name, p.sku, p.image,
-       {I('sum(oi.quantity)')} as total_qty, {M('sum(oi.quantity * oi.price)')} as total_revenue
-{_J1}
-where o.status <> 'cancelled'
-group by p.id, p.name, p.sku, p.image
-order by total_qty desc, p.id limit 10
-""")
-
-_PROFIT_OVERALL = f"""
-select {M('coalesce(sum(oi.quantity * oi.price), 0)')} as revenue,
-       {M('coalesce(sum(oi.quantity * coalesce(p.cost_price, 0)), 0)')} as cost,
-       {M('coalesce(sum(oi.quantity * oi.price), 0) - coalesce(sum(oi.quantity * coalesce(p.cost_price, 0)), 0)')} as profit,
-       {I('coalesce(sum(oi.quantity), 0)')} as units_sold
-{_J1}
-where o.status <> 'cancelled' {{cond}}
+select id, name, sku, image, {I('units')} as total_qty, {M('value')} as total_revenue
+from ({_COSTS.format(sums=_per("0 as k"))})
+order by units desc, id fetch first 10 rows only
+""")
+
+
+def _profit_total(rows):
+    return f"""
+select {M('coalesce(sum(value), 0)')} as revenue, {M('coalesce(sum(cost), 0)')} as cost,
+       {M('coalesce(sum(value - cost), 0)')} as profit, {I('coalesce(sum(units), 0)')} as units_sold
+from ({_COSTS.format(sums=_per("0 as k", rows))})
 """
-q("profit_overall", ["shop_items", "shop_products", "shop_orders"], _PROFIT_OVERALL.format(cond=""))
-q("profit_overall_month", ["shop_items", "shop_products", "shop_orders"],
-  _PROFIT_OVERALL.format(cond=f"and strftime(o.created_at,'%Y-%m') = '{P.MONTH}'"))
+
+
+q("profit_overall", ["shop_items", "shop_products", "shop_orders"], _profit_total("true"))
+q("profit_overall_month", ["shop_items", "shop_products", "shop_orders"], _profit_total(_in_month(P.MONTH)))
 
 q("profit_by_product", ["shop_items", "shop_products", "shop_orders"], f"""
-select p.id, p.name, p.sku, p.image, {M('p.cost_price')} as cost_price,
-       {I('sum(oi.quantity)')} as qty,
-       {M('sum(oi.quantity * oi.price)')} as revenue,
-       {M('sum(oi.quantity * coalesce(p.cost_price, 0))')} as cost,
-       {M('sum(oi.quantity * oi.price) - sum(oi.quantity * coalesce(p.cost_price, 0))')} as profit
-{_J1}
-where o.status <> 'cancelled'
-group by p.id, p.name, p.sku, p.image, p.cost_price
-order by sum(oi.quantity * oi.price) - sum(oi.quantity * coalesce(p.cost_price, 0)) desc, p.id
-limit 15
+select id, name, sku, image, {M('cost_price')} as cost_price, {I('units')} as qty, {M('value')} as revenue,
+       {M('cost')} as cost, {M('value - cost')} as profit
+from ({_COSTS.format(sums=_per("0 as k"))})
+qualify row_number() over (order by value - cost desc, id) <= 15
+order by value - cost desc, id
 """)
 
 q("profit_by_month", ["shop_items", "shop_products", "shop_orders"], f"""
-select strftime(o.created_at,'%Y-%m') as month,
-       {M('sum(oi.quantity * oi.price)')} as revenue,
-       {M('sum(oi.quantity * coalesce(p.cost_price, 0))')} as cost,
-       {M('sum(oi.quantity * oi.price) - sum(oi.quantity * coalesce(p.cost_price, 0))')} as profit
-{_J1}
-where o.status <> 'cancelled'
-group by 1 order by 1 desc limit 12
+select strftime(m, '%Y-%m') as month, {M('sum(value)')} as revenue, {M('sum(cost)')} as cost,
+       {M('sum(value - cost)')} as profit
+from ({_COSTS.format(sums=_per("date_trunc('month', created_at) as m"))})
+group by m
+qualify row_number() over (order by m desc) <= 12
+order by m desc
 """)
 
 q("status_counts", ["shop_orders"], f"""
-select status, {I('count(*)')} as cnt, {M('sum(total_amount)')} as total from shop_orders group by status
+select distinct status, count(*) over same as cnt, {M('sum(total_amount) over same')} as total
+from shop_orders window same as (partition by status)
 """)
 
 q("sales_daily", ["shop_orders"], f"""
-select {D('created_at')} as day,
-       {M("sum(case when status<>'cancelled' then total_amount else 0 end)")} as total,
-       {I('count(*)')} as orders,
-       {I("count(case when status='cancelled' then 1 end)")} as cancelled
-from shop_orders where strftime(created_at,'%Y-%m') = '{P.MONTH}'
-group by 1 order by 1
+select {D('d')} as day, {_money(_LIVE)} as total, count(*) as orders, {_orders("status = 'cancelled'")} as cancelled
+from (select *, cast(created_at as date) as d from shop_orders where {_in_month(P.MONTH)})
+group by d order by d
 """)
 
 q("day_orders", ["shop_orders"], f"""
 select id, order_number, customer_name, customer_phone, {M('total_amount')} as total_amount,
        payment_method, status, {TS('created_at')} as created_at
-from shop_orders where cast(created_at as date) = date '{P.DAY}'
-order by created_at desc, id
+from shop_orders
+where created_at >= timestamp '{P.DAY}' and created_at < timestamp '{P.DAY}' + interval 1 day
+order by shop_orders.created_at desc, id
 """)
 
-_J5 = """from shop_items oi join shop_orders o on o.id = oi.order_id
-         where oi.is_preorder = 1 and o.status <> 'cancelled'"""
-_PERIOD_MEASURES = f"""{I('count(distinct o.id)')} as order_count,
-       {I('coalesce(sum(oi.quantity), 0)')} as total_units,
-       {M('coalesce(sum(oi.quantity * oi.price), 0)')} as total_value"""
+# pre-orders: one row per live order with pre-order lines, then periods of those
+_PRE = f"""(select h.id as order_id, h.created_at as placed, h.customer_phone, t.units, t.value, t.lines
+   from {_LIVE_ORDERS} h join (select order_id, sum(quantity) as units, sum(quantity * price) as value,
+                                      count(*) as lines from shop_items where is_preorder = 1 group by order_id) t
+     on t.order_id = h.id)"""
+_PERIOD_SUMS = f"count(*) as order_count, {I('sum(units)')} as total_units, {M('sum(value)')} as total_value"
 
 q("preorder_by_day", ["shop_items", "shop_orders"], f"""
-select {D('o.created_at')} as period_key, min(strftime(o.created_at, '%d/%m/%Y')) as period_label,
-       {_PERIOD_MEASURES}
-{_J5} and strftime(o.created_at,'%Y-%m') = '{P.MONTH}'
-group by 1 order by 1
+select {D('d')} as period_key, strftime(d, '%d/%m/%Y') as period_label, {_PERIOD_SUMS}
+from (select *, cast(placed as date) as d from {_PRE} where {_in_month(P.MONTH).replace('created_at', 'placed')})
+group by d order by d
 """)
 
+# V8: in the week label, a week of the year before counts as 0 and one of the next as 53
 q("preorder_by_week", ["shop_items", "shop_orders"], f"""
-select {I('isoyear(o.created_at) * 100 + weekofyear(o.created_at)')} as period_key,
-       min('ອາທິດ ' || cast(case when isoyear(o.created_at) < year(o.created_at) then 0
-                                 when isoyear(o.created_at) > year(o.created_at) then 53
-                                 else weekofyear(o.created_at) end as varchar)
-           || ' /' || cast(year(o.created_at) as varchar)) as period_label,
-       {D('min(cast(o.created_at as date))')} as week_start,
-       {_PERIOD_MEASURES}
-{_J5} and year(o.created_at) = {P.YEAR}
-group by 1 order by 1
+select {I('k')} as period_key,
+       'ອາທິດ ' || (case sign(k // 100 - year(w)) when -1 then 0 when 1 then 53 else k % 100 end) || ' /' || year(w)
+         as period_label,
+       {D('w')} as week_start, order_count, total_units, total_value
+from (select isoyear(placed) * 100 + weekofyear(placed) as k, min(cast(placed as date)) as w, {_PERIOD_SUMS}
+      from {_PRE} where year(placed) = {P.YEAR} group by k)
+order by k
 """)
 
 q("preorder_by_year", ["shop_items", "shop_orders"], f"""
-select {I('year(o.created_at)')} as period_key,
-       min(cast(year(o.created_at) as varchar) || ' ປີ') as period_label,
-       {_PERIOD_MEASURES}
-{_J5}
-group by 1 order by 1
+select y as period_key, y || ' ປີ' as period_label, {_PERIOD_SUMS}
+from (select *, year(placed) as y from {_PRE}) group by y order by y
 """)
 
 q("preorder_by_month", ["shop_items", "shop_orders"], f"""
-select strftime(o.created_at, '%Y-%m') as period_key,
-       min(list_extract({LAO_MONTHS_SQL}, month(o.created_at)) || ' ' || cast(year(o.created_at) as varchar)) as period_label,
-       {_PERIOD_MEASURES}
-{_J5} and year(o.created_at) = {P.YEAR}
-group by 1 order by 1
+select strftime(m, '%Y-%m') as period_key,
+       {LAO_MONTHS_SQL}[month(m)] || ' ' || year(m) as period_label, {_PERIOD_SUMS}
+from (select *, date_trunc('month', placed) as m from {_PRE} where year(placed) = {P.YEAR}) group by m order by m
 """)
 
-q("preorder_years", ["shop_items", "shop_orders"], f"""
-select distinct {I('year(o.created_at)')} as y {_J5} order by y desc
-""")
+q("preorder_years", ["shop_items", "shop_orders"], f"select year(placed) as y from {_PRE} group by y order by y desc")
 
 q("preorder_summary", ["shop_items", "shop_orders"], f"""
-select {I('count(*)')} as total_lines,
-       {I('coalesce(sum(oi.quantity), 0)')} as total_units,
-       {M('coalesce(sum(oi.quantity * oi.price), 0)')} as total_value,
-       {I('count(distinct oi.product_id)')} as unique_products,
-       {I('count(distinct o.customer_phone)')} as unique_customers
-{_J5}
+select {I('coalesce(sum(lines), 0)')} as total_lines, {I('coalesce(sum(units), 0)')} as total_units,
+       {M('coalesce(sum(value), 0)')} as total_value,
+       (select count(*) from (select distinct product_id from shop_items i semi join {_LIVE_ORDERS} h
+          on i.order_id = h.id where i.is_preorder = 1 and product_id is not null)) as unique_products,
+       count(distinct customer_phone) as unique_customers
+from {_PRE}
 """)
 
 q("preorder_lines", ["shop_items", "shop_products", "shop_orders"], f"""
-select oi.id, oi.quantity, {M('oi.price')} as price, p.id as product_id,
-       coalesce(p.name_lo, p.name) as product_name, p.image as product_image, p.sku,
-       o.id as order_id, o.order_number, o.customer_name, o.customer_phone,
-       o.status, o.payment_method, {TS('o.created_at')} as created_at
-{_J1}
-where oi.is_preorder = 1 and o.status <> 'cancelled'
-order by o.created_at desc, oi.id
+select i.id, i.quantity, {M('i.price')} as price, i.product_id,
+       ifnull(p.name_lo, p.name) as product_name, p.image as product_image, p.sku,
+       i.order_id, h.order_number, h.customer_name, h.customer_phone,
+       h.status, h.payment_method, {TS('h.created_at')} as created_at
+from {_LIVE_ORDERS} h, (from shop_items where is_preorder = 1) i, shop_products p
+where i.order_id = h.id and i.product_id = p.id
+order by h.created_at desc, i.id
 """)
 
 q("preorder_by_product", ["shop_items", "shop_products", "shop_orders"], f"""
-select coalesce(p.name_lo, p.name) as product_name, p.image as product_image, p.sku,
-       {I('sum(oi.quantity)')} as total_units, {I('count(distinct o.id)')} as order_count
-{_J1}
-where oi.is_preorder = 1 and o.status <> 'cancelled'
-group by p.id, p.name_lo, p.name, p.image, p.sku
-order by total_units desc
+select ifnull(p.name_lo, p.name) as product_name, p.image as product_image, p.sku,
+       {I('t.units')} as total_units, t.n as order_count
+from shop_products p join (
+  select product_id, sum(units) as units, count(*) as n
+  from (select product_id, order_id, sum(quantity) as units from shop_items where is_preorder = 1 group by all)
+  where order_id in (select id from {_LIVE_ORDERS})
+  group by product_id) t on t.product_id = p.id
+order by t.units desc, p.id
 """)
 
 
@@ -286,23 +301,26 @@ def sizes_text(c):
     return "array_to_string(" + SIZES_LIST.format(c=c) + ", '|')"
 
 
-_LISTING = f"""
-select p.id, {I('p.category_id')} as category_id, p.name, p.description,
-       {M('p.price')} as price, {M('p.cost_price')} as cost_price, {I('p.stock')} as stock,
-       p.image, p.sku, {colors_text('p.colors')} as colors, {sizes_text('p.sizes')} as sizes,
-       p.status, {I('p.pre_order')} as pre_order, {I('p.sort_order')} as sort_order,
-       {D('p.created_at')} as created_at,
-       p.image as image_url, p.name as name_lo, c.name as category_name, c.name as category_name_lo,
-       cast(null as double) as old_price, false as is_new
-from shop_products p left join shop_categories c on p.category_id = c.id
-where {{cond}}
-order by p.sort_order asc nulls last, p.created_at desc, p.id
+def _listing(rows):
+    """The catalogue's products under a condition, in its order (V9)."""
+    return f"""
+select * replace ({D('created_at')} as created_at) from (
+  select id, {I('category_id')} as category_id, name, description, {M('price')} as price,
+         {M('cost_price')} as cost_price, {I('stock')} as stock, image, sku, {colors_text('colors')} as colors,
+         {sizes_text('sizes')} as sizes, status, {I('pre_order')} as pre_order, {I('sort_order')} as sort_order,
+         created_at, image as image_url, name as name_lo,
+         cast(null as double) as old_price, false as is_new
+  from shop_products where {rows})
+left join (select id as category_id, name as category_name, name as category_name_lo from shop_categories)
+  using (category_id)
+order by sort_order nulls last, created_at desc, id
 """
-q("product_listing", ["shop_products", "shop_categories"], _LISTING.format(cond="p.status = 'active'"))
-q("product_search", ["shop_products", "shop_categories"], _LISTING.format(
-    cond=f"p.status = 'active' and (p.name ilike '%{P.SEARCH}%' or p.description ilike '%{P.SEARCH}%')"))
-q("product_listing_category", ["shop_products", "shop_categories"], _LISTING.format(
-    cond=f"p.category_id = {P.CATEGORY}"))
+
+
+q("product_listing", ["shop_products", "shop_categories"], _listing("status = 'active'"))
+q("product_search", ["shop_products", "shop_categories"], _listing(
+    f"status = 'active' and concat_ws(chr(10), name, description) ilike '%{P.SEARCH}%'"))
+q("product_listing_category", ["shop_products", "shop_categories"], _listing(f"category_id = {P.CATEGORY}"))
 q("product_listing_total", ["shop_products"],
   f"select {I('count(*)')} as total from shop_products p where p.status = 'active'")
 
@@ -407,7 +425,7 @@ select id, coalesce(strftime(created_at, '%d/%m/%Y %H:%M:%S'), '—') as created
 """)
 
 q("order_numbers", ["shop_orders"], """
-select id, 'BUN-' || strftime(created_at, '%Y%m%d') || '-' || right(lpad(upper(hex(id)), 7, '0'), 7) as order_number
+select id, 'BUN-' || strftime(created_at, '%Y%m%d') || '-' || format('{:07X}', id) as order_number
 from shop_orders
 """)
 
@@ -508,7 +526,7 @@ PLACED = """(select request_id, name, phone, member_id,
 _AS_OF_DAY = P.AS_OF.strftime("%Y%m%d")
 _AS_OF_TS = P.AS_OF.strftime("%Y-%m-%d %H:%M:%S")
 q("orders_placed", ["req_orders", "shop_orders"], f"""
-select request_id, id, 'BUN-{_AS_OF_DAY}-' || right(lpad(upper(hex(id)), 7, '0'), 7) as order_number,
+select request_id, id, 'BUN-{_AS_OF_DAY}-' || format('{{:07X}}', id) as order_number,
        trim(coalesce(name, '')) as customer_name,
        regexp_replace(trim(coalesce(phone, '')), '[^0-9]', '', 'g') as customer_phone,
        '' as customer_address, it + fee as total_amount, it as items_total, fee as shipping_fee,
@@ -689,7 +707,8 @@ CART_REPLAY = f"""(
 q("cart_replay", ["cart_events"],
   f"select cart_id, product_id, color, {I('qty')} as qty, {M('price')} as price from {CART_REPLAY} r")
 q("cart_totals", ["cart_events"], f"""
-select cart_id, {I('sum(qty)')} as count, {M('sum(price * qty)')} as total from {CART_REPLAY} r group by cart_id
+select cart_id, {I('sum(case when qty is null or qty = 0 then 1 else qty end)')} as count,
+       {M('sum(price * case when qty is null or qty = 0 then 1 else qty end)')} as total from {CART_REPLAY} r group by cart_id
 """)
 q("cart_key_slug", ["cart_events"], """
 select cart_id, product_id, color,
@@ -713,9 +732,11 @@ where e.action = 'add'
 group by 1, 2, 3
 """)
 q("carrier_map", ["carrier_events"], """
-select * from (select user_id, carrier, arg_max(member_number, seq) as member_number
-               from carrier_events group by 1, 2) t
-where trim(coalesce(member_number, '')) <> ''
+select user_id, carrier, trim(member_number) as member_number from (
+  select user_id, carrier, member_number,
+         row_number() over (partition by user_id, carrier order by seq desc) as back
+  from carrier_events) t
+where back = 1 and trim(coalesce(member_number, '')) <> ''
 """)
 
 # ------------------------------------------------------------------ sources / scalar helpers

@@ -56,9 +56,9 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[s
     ``id_col``, numbered after the current highest id in the order of their
     first request.
     """
-    latest = latest_per_key(changes.select(*keys, *columns, seq), keys)
-    first = changes.groupBy(*keys).agg(F.min(seq).alias("__first"))
-    latest = latest.join(first, keys)
+    packed = F.struct(*[F.col(f"`{c}`") for c in columns])
+    latest = (changes.groupBy(*keys).agg(F.max_by(packed, F.col(seq)).alias("__r"), F.min(seq).alias("__first"))
+              .select(*keys, "__first", *[F.col(f"__r.`{c}`").alias(c) for c in columns]))
     updated = merge_update(base, latest.select(*keys, *columns), keys, columns)
     new = latest.join(base.select(*keys), keys, "left_anti")
     if id_col:

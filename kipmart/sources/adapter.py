@@ -41,6 +41,10 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lin
 
 VIEWS: dict[str, View] = {}
 
+#: Lines of every 53rd part name a product that does not exist (orphan lines):
+#: the part's key plus this, far above any product's id.
+ORPHAN = 10 ** 12
+
 
 def _v(name, deps, sql, spark_sql=None, spark_fn=None):
     VIEWS[name] = View(name, tuple(deps), sql.strip(), spark_sql.strip() if spark_sql else None,
@@ -48,18 +52,19 @@ def _v(name, deps, sql, spark_sql=None, spark_fn=None):
 
 
 def _shop_items(lineitem: DataFrame) -> DataFrame:
-    """Spark form of ``shop_items``: the per-order line number comes from
-    :func:`kipmart.plans.ids.number_within`, which spreads a hot order over
-    several tasks, instead of a window partitioned by order."""
-    from kipmart.plans.ids import number_within
-    order = [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-                                      "l_quantity", "l_shipdate")]
+    """Spark form of ``shop_items``: the line id comes from
+    :func:`kipmart.plans.ids.sequence_number` over a total order, which spreads a hot order
+    over several tasks and never runs out of numbers within an order."""
+    from kipmart.plans.ids import sequence_number
+    order = [F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                      "l_extendedprice", "l_quantity", "l_shipdate")]
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                          "l_extendedprice", "l_returnflag", "l_shipdate")
-    n = number_within(li, ["l_orderkey"], order, "rn")
-    return n.select((F.col("l_orderkey") * 1000 + F.col("rn")).alias("id"),
+    n = sequence_number(li, order, 1, "id")
+    return n.select("id",
                     F.col("l_orderkey").alias("order_id"),
-                    F.col("l_partkey").alias("product_id"),
+                    F.when(F.col("l_partkey") % 53 == 0, F.col("l_partkey") + ORPHAN)
+                    .otherwise(F.col("l_partkey")).alias("product_id"),
                     F.col("l_quantity").cast("bigint").alias("quantity"),
                     F.col("l_extendedprice").cast("decimal(15,2)").alias("price"),
                     F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("is_preorder"))
@@ -67,8 +72,8 @@ def _shop_items(lineitem: DataFrame) -> DataFrame:
 
 _v("shop_orders", ["orders"], """
 select o_orderkey as id,
-       concat('BUN-', replace(substr(cast(o_orderdate as string),1,10),'-',''), '-', lpad(cast(o_orderkey as string),7,'0')) as order_number,
-       concat('Customer#', lpad(cast(o_custkey as string),9,'0')) as customer_name,
+       concat('BUN-', replace(substr(cast(o_orderdate as string),1,10),'-',''), '-', lpad(cast(o_orderkey as string), cast(greatest(7, length(cast(o_orderkey as string))) as int), '0')) as order_number,
+       concat('Customer#', lpad(cast(o_custkey as string), cast(greatest(9, length(cast(o_custkey as string))) as int), '0')) as customer_name,
        case o_custkey % 4
          when 0 then concat('020', cast(55000000 + o_custkey as string))
          when 1 then concat('+85620', cast(55000000 + o_custkey as string))
@@ -92,10 +97,10 @@ from {orders}
 """)
 
 _v("shop_items", ["lineitem"], """
-select l_orderkey * 1000 + row_number() over (partition by l_orderkey
-         order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as id,
+select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+                          l_quantity, l_shipdate) as id,
        l_orderkey as order_id,
-       l_partkey as product_id,
+       case when l_partkey % 53 = 0 then l_partkey + 1000000000000 else l_partkey end as product_id,
        cast(l_quantity as bigint) as quantity,
        cast(l_extendedprice as decimal(15,2)) as price,
        case when l_returnflag = 'N' then 1 else 0 end as is_preorder
@@ -112,14 +117,14 @@ select p_partkey as id,
        case when p_partkey % 7 = 0 then null else cast(p_retailprice as decimal(12,2)) end as cost_price,
        p_size % 12 - 1 as stock,
        case when p_partkey % 5 = 0 then null else concat('uploads/prod_', cast(p_partkey as string), '.jpg') end as image,
-       concat('SKU-', lpad(cast(p_partkey as string),6,'0')) as sku,
+       concat('SKU-', lpad(cast(p_partkey as string), cast(greatest(6, length(cast(p_partkey as string))) as int), '0')) as sku,
        case p_partkey % 4 when 0 then '["ແດງ","ດຳ"]' when 1 then 'ແດງ, ,ດຳ' when 2 then '' else null end as colors,
        case p_partkey % 3 when 0 then '["S","M"]' when 1 then '' else null end as sizes,
        case when p_brand = 'Brand#25' or p_size > 45 then 'inactive' else 'active' end as status,
        cast(p_partkey % 2 as int) as pre_order,
        case when p_partkey % 3 = 0 then p_size else null end as sort_order,
        cast(concat(cast(1995 + p_partkey % 6 as string), '-0', cast(1 + p_partkey % 9 as string), '-1', cast(p_partkey % 10 as string)) as date) as created_at
-from {part} where p_partkey % 53 <> 0
+from {part}
 """)
 
 _v("shop_categories", ["part"], """
@@ -128,6 +133,7 @@ union all select 98, 'brand#1 ', 'same name as id 1 but for case and a trailing
 union all select 99, 'Empty', 'category without products'
 """)
 
+# every sixth product has no image rows
 _v("shop_product_images", ["part"], """
 select p_partkey * 10 + n as id, p_partkey as product_id, n as sort_order,
        concat('uploads/prod_', cast(p_partkey as string), case when n = 0 then '' else concat('_', cast(n as string)) end, '.jpg') as image_path
@@ -218,9 +224,11 @@ select seq, phone,
 from {otp_requests}
 """)
 
-_v("cart_events", ["events"], """
+# five products a cart, all carts together the whole range of products
+_v("cart_events", ["events", "part"], """
 select user_id as cart_id, event_id as seq, ts,
-       cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 5 as product_id,
+       1 + (user_id * 5 + cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 5)
+         % (select max(p_partkey) from {part}) as product_id,
        case when event_id % 2 = 0 then 'ແດງ' else '' end as color,
        case event_type when 'click' then 'add' when 'signup' then 'add' when 'view' then 'set'
                        when 'error' then 'remove' else 'clear' end as action,

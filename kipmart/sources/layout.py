@@ -9,8 +9,8 @@ queries filter or join on, so Parquet min/max statistics skip row groups:
   order join and the per-order aggregates read key-clustered files;
 * the dimensions (products, categories, images, members) sorted by ``id``.
 
-Range partitioning samples the key distribution, so a hot key spreads over
-several files instead of one. ``load_shop(spark, path, kind="parquet")`` reads
+Range partitioning sends equal keys to one partition, so the range key is made
+unique by the row's id: a hot key then spreads over several files. ``load_shop(spark, path, kind="parquet")`` reads
 the result.
 """
 
@@ -18,13 +18,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+#: Range keys, each ending in a unique column: equal leading keys (a hot order, a
+#: busy day) then spread over as many files as their rows need.
 CLUSTER = {
-    "shop_orders": "created_at",
-    "shop_items": "order_id",
-    "shop_products": "id",
-    "shop_categories": "id",
-    "shop_product_images": "product_id",
-    "shop_members": "id",
+    "shop_orders": ["created_at", "id"],
+    "shop_items": ["order_id", "id"],
+    "shop_products": ["id"],
+    "shop_categories": ["id"],
+    "shop_product_images": ["product_id", "id"],
+    "shop_members": ["id"],
 }
 
 
@@ -35,8 +37,8 @@ def write_shop(T, path: str, files: dict[str, int] | None = None, mode: str = "o
                by_month: bool = False) -> None:
     """Write the six shop tables of ``T`` under ``path`` (one folder each).
 
-    ``files`` gives the output file count per table (default 8); size it so a
-    file holds a few hundred MB at the target scale.
+    ``files`` gives the output file count of a table; without it the session's
+    shuffle partitions, coalesced by AQE, decide.
 
     ``by_month=True`` also partitions the two fact tables by ``order_month``
     (``yyyy-MM`` of the order's ``created_at``; order lines get it from their
@@ -52,15 +54,15 @@ def write_shop(T, path: str, files: dict[str, int] | None = None, mode: str = "o
                                    F.date_format("created_at", "yyyy-MM").alias(MONTH))
     for name, key in CLUSTER.items():
         df = T.table(name)
-        n = files.get(name, 8)
+        n = [files[name]] if name in files else []
         if by_month and name == "shop_orders":
             df = df.withColumn(MONTH, F.date_format("created_at", "yyyy-MM"))
         elif by_month and name == "shop_items":
             df = df.join(month_of, "order_id", "left")
         if by_month and name in ("shop_orders", "shop_items"):
             # each task covers a run of months, so a month folder gets few files
-            out = (df.repartitionByRange(n, F.col(MONTH), F.col(key))
-                   .sortWithinPartitions(MONTH, key).write.mode(mode).partitionBy(MONTH))
+            out = (df.repartitionByRange(*n, F.col(MONTH), *map(F.col, key))
+                   .sortWithinPartitions(MONTH, *key).write.mode(mode).partitionBy(MONTH))
         else:
-            out = df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key).write.mode(mode)
+            out = df.repartitionByRange(*n, *map(F.col, key)).sortWithinPartitions(*key).write.mode(mode)
         out.parquet(f"{root}/{name}.parquet")

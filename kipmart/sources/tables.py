@@ -81,11 +81,7 @@ class Shop:
         from kipmart.plans.materialize import write_temp_table
         from kipmart.sources.layout import CLUSTER
         key = CLUSTER[name]
-        try:
-            n = self.spark.sparkContext.defaultParallelism
-        except Exception:  # Spark Connect
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        return write_temp_table(df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key),
+        return write_temp_table(df.repartitionByRange(*map(F.col, key)).sortWithinPartitions(*key),
                                 f"kipmart-{name}")
 
     def derived(self, name: str, build):
