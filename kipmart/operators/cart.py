@@ -14,9 +14,10 @@ so it is computed with grouped aggregates and key joins instead of a window
 over each cart: the line's state after the last "kill" (clear of its cart,
 remove, set < 1) is the first add after it (creation and price), the last set
 after that add, and the adds after that set. Aggregates are partial (map-side),
-and each join meets one aggregate row per key, so a cart holding a third of
-all events is split by AQE's skew handling instead of landing in one task.
-The events are read three times; no pass sorts them.
+and the joins of events with one aggregate row per key are spread
+(:func:`kipmart.plans.spread.spread_join`), so a cart holding a third of all
+events is dealt over several tasks. The events are read four times (clears,
+kills, live events, adds after a set); no pass sorts them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kipmart.functions import text as X
+from kipmart.plans.materialize import write_temp_table
+from kipmart.plans.spread import spread_join
 
 LINE = ["cart_id", "product_id", "color"]
 
@@ -49,10 +52,9 @@ def cart_replay(events: DataFrame) -> DataFrame:
     kills = ev.filter(is_kill).groupBy(*LINE).agg(F.max("seq").alias("kill_seq"))
     cutoff = F.greatest(F.coalesce(F.col("clear_seq"), F.lit(-1)),
                         F.coalesce(F.col("kill_seq"), F.lit(-1)))
-    live = (ev.filter((act == "add") | ((act == "set") & (F.col("qty") >= 1)))
-            .join(clears, "cart_id", "left").join(kills, LINE, "left")
-            .withColumn("cut", cutoff)
-            .filter(seq > F.col("cut")))
+    live = ev.filter((act == "add") | ((act == "set") & (F.col("qty") >= 1)))
+    live = spread_join(spread_join(live, clears, ["cart_id"]), kills, LINE)
+    live = live.withColumn("cut", cutoff).filter(seq > F.col("cut"))
     is_add, is_set = act == "add", act == "set"
     stats = (live.groupBy(*LINE)
              .agg(F.max("cut").alias("cut"),
@@ -62,10 +64,12 @@ def cart_replay(events: DataFrame) -> DataFrame:
                   F.max_by(F.when(is_set, F.col("qty")), F.when(is_set, seq)).alias("set_qty"),
                   F.sum(F.when(is_add, F.col("qty"))).alias("add_qty"))
              .filter(F.col("first_add").isNotNull()))
+    # one row per line, read twice below: written once
+    stats = write_temp_table(stats, "kipmart-cart")
     # a set before the first add hit a missing line (no-op); the last set after it rules
     valid_set = F.col("set_seq") > F.col("first_add")
     reset = stats.filter(valid_set).select(*LINE, "cut", "set_seq")
-    tail = (ev.filter(is_add).join(reset, LINE)
+    tail = (spread_join(ev.filter(is_add), reset, LINE, "inner")
             .filter((seq > F.col("cut")) & (seq > F.col("set_seq")))
             .groupBy(*LINE).agg(F.sum("qty").alias("tail_qty")))
     out = stats.join(tail, LINE, "left")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from kipmart.functions import text as X
 from kipmart.plans.ids import sequence_number
+from kipmart.plans.spread import spread_join
 from kipmart.plans.upsert import latest_per_key, merge_update, split_valid
 
 # Columns added by the migrations, with their declared defaults.
@@ -181,7 +182,7 @@ def cancel_orders(T, requests: DataFrame, mode: str = "reference") -> dict:
     o = T.orders.select("id", F.col("status").alias("__status"), F.lit(True).alias("__exists"))
     first = (latest_per_key(r.select("id", "seq"), ["id"], earliest=True)
              .withColumnRenamed("seq", "__first"))
-    tagged = r.join(o, "id", "left").join(first, "id", "left")
+    tagged = spread_join(r, first.join(o, "id", "left"), ["id"])
     reason = (F.when(F.col("id") == 0, F.lit("missing id"))
               .when(F.col("__exists").isNull(), F.lit("not found"))
               .when(F.col("__status").isNull() | (F.col("__status") != "pending"), F.lit("not pending"))
@@ -191,7 +192,7 @@ def cancel_orders(T, requests: DataFrame, mode: str = "reference") -> dict:
     rejected = tagged.filter(F.col("reason").isNotNull()).select("seq", "id", "reason")
     hit = accepted.select("id", F.lit("cancelled").alias("status"))
     orders = merge_update(T.orders, hit, ["id"], ["status"])
-    li = T.items.join(accepted.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    li = spread_join(T.items, accepted.select(F.col("id").alias("order_id")), ["order_id"], "left_semi", by="id")
     if mode == "consistent":
         li = li.filter(_in_stock())
     moves = li.select("product_id", F.col("quantity").alias("delta"))
@@ -210,6 +211,14 @@ def readdress_orders(T, requests: DataFrame) -> DataFrame:
     return merge_update(base, ch, ["id"], ["customer_address"])
 
 
+def _touched(T, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The orders that requests name, and their lines: totals are recomputed
+    from those lines alone, never from the whole line table."""
+    touched = valid.select(F.col("order_id").alias("id")).distinct()
+    return touched, spread_join(T.items, touched.withColumnRenamed("id", "order_id"), ["order_id"],
+                                "left_semi", by="id")
+
+
 # ----------------------------------------------------------------------- O5
 def edit_item_quantities(T, requests: DataFrame) -> dict:
     """Set line quantities (latest valid request per line wins), then
@@ -225,10 +234,9 @@ def edit_item_quantities(T, requests: DataFrame) -> dict:
     latest = latest_per_key(valid.select("item_id", "quantity", "seq"), ["item_id"])
     ch = latest.select(F.col("item_id").alias("id"), "quantity")
     items = merge_update(T.items, ch, ["id"], ["quantity"])
-    touched = valid.select(F.col("order_id").alias("id")).distinct()
+    touched, lines = _touched(T, valid)
     orders = T.orders.join(touched, "id", "left_semi")
-    totals = order_totals(items.join(touched.withColumnRenamed("id", "order_id"), "order_id",
-                                     "left_semi"), orders)
+    totals = order_totals(merge_update(lines, ch, ["id"], ["quantity"]), orders)
     return {"items": items, "totals": totals, "rejected": rejected}
 
 
@@ -253,10 +261,9 @@ def delete_items(T, requests: DataFrame) -> dict:
     items = T.items.join(found.select(F.col("item_id").alias("id")), "id", "left_anti")
     moves = (found.filter(_in_stock())
              .select("product_id", F.col("quantity").alias("delta")))
-    touched = valid.select(F.col("order_id").alias("id")).distinct()
+    touched, lines = _touched(T, valid)
     orders = T.orders.join(touched, "id", "left_semi")
-    totals = order_totals(items.join(touched.withColumnRenamed("id", "order_id"), "order_id",
-                                     "left_semi"), orders)
+    totals = order_totals(lines.join(found.select(F.col("item_id").alias("id")), "id", "left_anti"), orders)
     return {"items": items, "moves": moves, "products": apply_stock(T.products, moves),
             "totals": totals, "rejected": rejected}
 
@@ -301,7 +308,7 @@ def replace_product_images(T, changes: DataFrame) -> DataFrame:
 
 
 PRODUCT_EDIT_COLUMNS = ["category_id", "name", "description", "price", "cost_price", "stock",
-                        "image", "sku", "colors", "sizes", "status", "pre_order"]
+                        "image", "sku", "weight", "dimensions", "colors", "sizes", "status", "pre_order"]
 
 
 def update_products(T, changes: DataFrame) -> DataFrame:
@@ -309,16 +316,18 @@ def update_products(T, changes: DataFrame) -> DataFrame:
     column; lists are stored as JSON text (absent → ``[]``), a missing cost or
     pre-order flag becomes 0. Columns not in the form (sort order, created) stay."""
     r = with_defaults(changes, {"colors": ("array<string>", None), "sizes": ("array<string>", None),
-                                "cost_price": ("decimal(12,2)", None), "pre_order": ("int", None)})
+                                "cost_price": ("decimal(12,2)", None), "pre_order": ("int", None),
+                                "weight": ("string", None), "dimensions": ("string", None)})
     r = r.select(
         _int(F.col("id")).alias("id"), "seq", F.col("category_id").cast("int").alias("category_id"),
         "name", "description", F.col("price").cast("decimal(12,2)").alias("price"),
         F.coalesce(F.col("cost_price").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")).alias("cost_price"),
-        F.col("stock").cast("int").alias("stock"), "image", "sku",
+        F.col("stock").cast("int").alias("stock"), "image", "sku", "weight", "dimensions",
         X.encode_list("colors").alias("colors"), X.encode_list("sizes").alias("sizes"), "status",
         F.coalesce(F.col("pre_order").cast("int"), F.lit(0)).alias("pre_order"))
     latest = latest_per_key(r, ["id"])
-    return merge_update(T.products, latest.drop("seq"), ["id"], PRODUCT_EDIT_COLUMNS)
+    base = with_defaults(T.products, {"weight": ("string", None), "dimensions": ("string", None)})
+    return merge_update(base, latest.drop("seq"), ["id"], PRODUCT_EDIT_COLUMNS)
 
 
 def images_from_lists(products: DataFrame, list_col: str = "extra_images") -> DataFrame:
@@ -328,18 +337,24 @@ def images_from_lists(products: DataFrame, list_col: str = "extra_images") -> Da
             .filter(~X.is_falsy(F.col("image_path"))))
 
 
-def insert_products(T, new: DataFrame, start_id: int | None = None) -> DataFrame:
+def insert_products(T, new: DataFrame, start_id: int | None = None) -> dict:
     """New products get ids after the current highest, in request
-    order; lists are stored as JSON text; missing cost/pre-order default to 0."""
+    order; lists are stored as JSON text; missing cost/pre-order default to 0.
+    Returns the new ``products`` (all stored columns), their ``images`` (the
+    non-empty paths of ``extra_images``, by position) and the whole table ``after``."""
     start = _next_id(T.products, start_id)
     r = with_defaults(new, {"colors": ("array<string>", None), "sizes": ("array<string>", None),
-                            "pre_order": ("int", None), "cost_price": ("decimal(12,2)", None)})
+                            "extra_images": ("array<string>", None), "pre_order": ("int", None),
+                            "cost_price": ("decimal(12,2)", None),
+                            **{c: ("string", None) for c in ("description", "image", "sku", "weight", "dimensions")}})
     numbered = sequence_number(r, [F.col("seq").asc()], start, "id")
-    return numbered.select(
-        "id", "category_id", "name", "price",
+    products = numbered.select(
+        "id", "category_id", "name", "description", "price",
         F.coalesce(F.col("cost_price").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")).alias("cost_price"),
-        "stock", X.encode_list("colors").alias("colors"), X.encode_list("sizes").alias("sizes"),
+        "stock", "image", "sku", "weight", "dimensions", X.encode_list("colors").alias("colors"), X.encode_list("sizes").alias("sizes"),
         F.coalesce(F.col("pre_order").cast("int"), F.lit(0)).alias("pre_order"))
+    return {"products": products, "images": images_from_lists(numbered),
+            "after": T.products.unionByName(products, allowMissingColumns=True)}
 
 
 def delete_products(T, requests: DataFrame) -> dict:
@@ -368,9 +383,10 @@ def reorder_products(T, requests: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------- U11
 def apply_category_changes(T, changes: DataFrame) -> DataFrame:
-    """Insert / update / delete requests, each checked against the table
-    before the batch. Name checks ignore case and trailing blanks (V13);
-    stored names are trimmed. Returns every request with ``status`` and
+    """Insert / update / delete requests, checked against the table before
+    the batch; of several requests that would store one name, the lowest ``seq``
+    is applied. Name checks ignore case and trailing blanks (V13); stored names
+    and descriptions are trimmed. Returns every request with ``status`` and
     ``reason``."""
     from kipmart.operators.catalog import name_key
     c = T.categories
@@ -378,7 +394,7 @@ def apply_category_changes(T, changes: DataFrame) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__min")))
     per_cat = (T.products.groupBy(F.col("category_id").alias("id"))
                .agg(F.count(F.lit(1)).alias("__products")))
-    ch = changes.withColumn("__k", name_key(F.col("name")))
+    ch = with_defaults(changes, {"description": ("string", None)}).withColumn("__k", name_key(F.col("name")))
     j = ch.join(per_name, "__k", "left").join(per_cat, "id", "left")
     n = F.coalesce(F.col("__n"), F.lit(0))
     other_same_name = (n >= 2) | ((n == 1) & (F.col("__min") != F.col("id")))
@@ -391,8 +407,29 @@ def apply_category_changes(T, changes: DataFrame) -> DataFrame:
               .when((op == "delete") & (F.col("id").isNull() | (F.col("id") == 0)), "missing id")
               .when((op == "delete") & (F.coalesce(F.col("__products"), F.lit(0)) > 0), "has products")
               .when(~op.isin("insert", "update", "delete"), "unknown op"))
+    j = j.withColumn("reason", reason)
+    stores = op.isin("insert", "update") & F.col("reason").isNull()
+    firsts = (j.filter(stores).groupBy(F.lower(X.php_trim(F.col("name"))).alias("__k"))
+              .agg(F.min("seq").alias("__first")))
+    j = j.join(firsts, "__k", "left")
+    reason = F.when(stores & (F.col("__first") < F.col("seq")), "duplicate name").otherwise(F.col("reason"))
     return j.select("seq", "op", "id",
                     F.when(op == "delete", F.col("name")).otherwise(X.php_trim(F.col("name")))
                     .alias("name"),
+                    X.php_trim(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
                     F.when(reason.isNull(), "applied").otherwise("rejected").alias("status"),
                     reason.alias("reason"))
+
+
+def categories_after_changes(T, changes: DataFrame, start_id: int | None = None) -> DataFrame:
+    """The category table after the applied requests. Renames take the
+    highest ``seq`` per category, a deleted category is gone whatever else was
+    asked of it, inserts get ids after the current highest in request order."""
+    done = apply_category_changes(T, changes).filter(F.col("status") == "applied")
+    renames = latest_per_key(done.filter(F.col("op") == "update").select("id", "name", "description", "seq"), ["id"])
+    base = with_defaults(T.categories, {"description": ("string", None)}).select("id", "name", "description")
+    kept = merge_update(base, renames, ["id"], ["name", "description"]) \
+        .join(done.filter(F.col("op") == "delete").select("id").distinct(), "id", "left_anti")
+    new = sequence_number(done.filter(F.col("op") == "insert").select("seq", "name", "description"),
+                          [F.col("seq").asc()], _next_id(T.categories, start_id), "id")
+    return kept.unionByName(new.select("id", "name", "description"))

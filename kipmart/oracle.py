@@ -640,12 +640,18 @@ from shop_products p
 left join (select * from chg_product_update u
            where seq = (select max(seq) from chg_product_update v where v.id = u.id)) c on c.id = p.id
 """)
+_NEW_IDS = "(select *, (select max(id) from shop_products) + row_number() over (order by seq) as new_id from new_products)"
 q("products_inserted", ["new_products", "shop_products"], f"""
-select {I('(select max(id) from shop_products) + row_number() over (order by seq)')} as id,
-       {I('category_id')} as category_id, name, {M('price')} as price,
-       {M('coalesce(cost_price, 0)')} as cost_price, {I('stock')} as stock,
-       '[]' as colors, '[]' as sizes, {I('0')} as pre_order
-from new_products
+select {I('new_id')} as id, {I('category_id')} as category_id, name, description, {M('price')} as price,
+       {M('ifnull(cost_price, 0)')} as cost_price, {I('stock')} as stock, image, sku, weight, dimensions,
+       ifnull(cast(to_json(colors) as varchar), '[]') as colors, ifnull(cast(to_json(sizes) as varchar), '[]') as sizes,
+       {I('0')} as pre_order
+from {_NEW_IDS}
+""")
+q("product_images_inserted", ["new_products", "shop_products"], f"""
+select {I('new_id')} as product_id, {I('k - 1')} as sort_order, extra_images[k] as image_path
+from (select new_id, extra_images, unnest(range(1, len(extra_images) + 1)) as k from {_NEW_IDS})
+where extra_images[k] not in ('', '0')
 """)
 q("products_after_delete", ["shop_products", "chg_product_delete"],
   "select id, name from shop_products where id not in (select id from chg_product_delete)")
@@ -662,21 +668,44 @@ select p.id, {I('case when c.id is not null then c.sort_order else p.sort_order
 from shop_products p left join (select id, arg_max(sort_order, seq) as sort_order from chg_sort group by id) c
   on c.id = p.id
 """)
+_CATEGORY_JUDGED = """(select t.*, case when reason is null and op in ('insert', 'update') and exists (
+           select 1 from judged f where f.reason is null and f.op in ('insert', 'update') and f.seq < t.seq
+                                    and lower(trim(f.name)) = lower(rtrim(t.name))) then 'duplicate name'
+         else reason end as verdict from judged t)"""
+_CATEGORY_FIRST = """
+with judged as (select ch.*, case op
+    when 'insert' then case when ifnull(name, '') in ('', '0') then 'name required'
+                            when taken > 0 then 'duplicate name' end
+    when 'update' then case when ifnull(id, 0) = 0 or ifnull(name, '') in ('', '0') then 'missing data'
+                            when taken_by_others > 0 then 'duplicate name' end
+    when 'delete' then case when ifnull(id, 0) = 0 then 'missing id' when used > 0 then 'has products' end
+    else 'unknown op' end as reason
+  from (select c.*,
+          (select count(*) from shop_categories k where lower(rtrim(k.name)) = lower(rtrim(c.name))) as taken,
+          (select count(*) from shop_categories k where lower(rtrim(k.name)) = lower(rtrim(c.name)) and k.id != c.id)
+            as taken_by_others,
+          (select count(*) from shop_products p where p.category_id = c.id) as used
+        from chg_categories c) ch)
+"""
 q("category_changes_applied", ["chg_categories", "shop_categories", "shop_products"], f"""
-select {I('seq')} as seq, op, {I('id')} as id, case when op = 'delete' then name else trim(name) end as name,
-       case when reason is null then 'applied' else 'rejected' end as status, reason
-from (select ch.*, case
-        when op = 'insert' and (name is null or name in ('', '0')) then 'name required'
-        when op = 'insert' and exists (select 1 from shop_categories k
-                                        where lower(rtrim(k.name)) = lower(rtrim(ch.name))) then 'duplicate name'
-        when op = 'update' and (id is null or id = 0 or name is null or name in ('', '0')) then 'missing data'
-        when op = 'update' and exists (select 1 from shop_categories k
-                                        where lower(rtrim(k.name)) = lower(rtrim(ch.name)) and k.id <> ch.id)
-             then 'duplicate name'
-        when op = 'delete' and (id is null or id = 0) then 'missing id'
-        when op = 'delete' and exists (select 1 from shop_products p where p.category_id = ch.id) then 'has products'
-        when op not in ('insert', 'update', 'delete') then 'unknown op' end as reason
-      from chg_categories ch) t
+from ({_CATEGORY_FIRST}
+select {I('seq')} as seq, op, {I('id')} as id, if(op = 'delete', name, trim(name)) as name,
+       if(verdict is null, 'applied', 'rejected') as status, verdict as reason
+from {_CATEGORY_JUDGED})
+""")
+q("categories_after_changes", ["chg_categories", "shop_categories", "shop_products"], f"""
+from ({_CATEGORY_FIRST},
+done as (select op, id, seq, trim(name) as name, trim(ifnull(description, '')) as description
+         from {_CATEGORY_JUDGED} where verdict is null),
+renamed as (select id, arg_max(name, seq) as name, arg_max(description, seq) as description
+            from done where op = 'update' group by id)
+select {I('c.id')} as id, if(r.id is null, c.name, r.name) as name,
+       if(r.id is null, c.description, r.description) as description
+from shop_categories c left join renamed r on r.id = c.id
+where c.id not in (select id from done where op = 'delete')
+union all
+select {I('(select max(id) from shop_categories) + row_number() over (order by seq)')}, name, description
+from done where op = 'insert')
 """)
 
 # ------------------------------------------------------------------ carts

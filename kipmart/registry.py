@@ -176,7 +176,12 @@ register("stock_ledger", lambda T: U.stock_ledger(_placed(T)["moves"], _cancel(T
 register("product_images_replaced", lambda T: U.replace_product_images(T, T.table("chg_product_images")))
 register("products_updated", lambda T: U.update_products(T, T.table("chg_product_update")).select(
     "id", "category_id", "name", "price", "cost_price", "stock", "colors", "sizes", "status", "pre_order"))
-register("products_inserted", lambda T: U.insert_products(T, T.table("new_products")))
+def _inserted(T):
+    return T.derived("inserted", lambda T: U.insert_products(T, T.table("new_products")))
+
+
+register("products_inserted", lambda T: _inserted(T)["products"])
+register("product_images_inserted", lambda T: _inserted(T)["images"])
 register("products_after_delete",
          lambda T: U.delete_products(T, T.table("chg_product_delete"))["products"].select("id", "name"))
 register("product_images_after_delete",
@@ -184,7 +189,9 @@ register("product_images_after_delete",
 register("stock_set", lambda T: U.set_stock(T, T.table("chg_stock")).select("id", "stock"))
 register("products_reordered",
          lambda T: U.reorder_products(T, T.table("chg_sort")).select("id", "sort_order"))
-register("category_changes_applied", lambda T: U.apply_category_changes(T, T.table("chg_categories")))
+register("category_changes_applied",
+         lambda T: U.apply_category_changes(T, T.table("chg_categories")).drop("description"))
+register("categories_after_changes", lambda T: U.categories_after_changes(T, T.table("chg_categories")))
 
 # carts
 register("cart_replay", lambda T: K.cart_replay(T.table("cart_events")))

@@ -258,7 +258,17 @@ from {shop_products} where image is null
 """)
 
 _v("new_products", ["shop_products"], """
-select id as seq, category_id, concat('new ', name) as name, price, cost_price, 5 as stock from {shop_products}
+select id as seq, category_id, concat('new ', name) as name, description, price, cost_price, 5 as stock, image,
+       concat(sku, '-N') as sku, '2 kg' as weight, '1x2x3' as dimensions,
+       case when id % 2 = 0 then ['red', 'black'] end as colors, case when id % 3 = 0 then ['S', 'M'] end as sizes,
+       [concat('uploads/more_', cast(id as string), '.jpg'), '', 'uploads/any.jpg'] as extra_images
+from {shop_products}
+""", spark_sql="""
+select id as seq, category_id, concat('new ', name) as name, description, price, cost_price, 5 as stock, image,
+       concat(sku, '-N') as sku, '2 kg' as weight, '1x2x3' as dimensions,
+       case when id % 2 = 0 then array('red', 'black') end as colors, case when id % 3 = 0 then array('S', 'M') end as sizes,
+       array(concat('uploads/more_', cast(id as string), '.jpg'), '', 'uploads/any.jpg') as extra_images
+from {shop_products}
 """)
 
 _v("chg_product_delete", ["shop_products"], """
@@ -266,11 +276,14 @@ select id, id as seq from {shop_products} where status = 'inactive'
 """)
 
 # for every category: an insert named by its description (NULL → refused),
-# a rename to the lower-cased name (clashes with the case/blank variant), a delete
+# a rename to the lower-cased name (clashes with the case/blank variant), a delete;
+# then the inserts once more (clash with the first ones), and renames to one name
 _v("chg_categories", ["shop_categories"], """
-select id * 3 as seq, 'insert' as op, cast(null as int) as id, description as name from {shop_categories}
-union all select id * 3 + 1, 'update', id, lower(name) from {shop_categories}
-union all select id * 3 + 2, 'delete', id, cast(null as string) from {shop_categories}
+select id * 3 as seq, 'insert' as op, cast(null as int) as id, description as name, concat(' of ', name) as description from {shop_categories}
+union all select id * 3 + 1, 'update', id, lower(name), cast(null as string) from {shop_categories}
+union all select id * 3 + 2, 'delete', id, cast(null as string), cast(null as string) from {shop_categories}
+union all select id * 3 + 10000, 'insert', cast(null as int), description || ' ', 'again' from {shop_categories}
+union all select id * 3 + 10001, 'update', id, concat(' Joint ', cast(id % 7 as string)), ' x ' from {shop_categories}
 """)
 
 _v("carrier_events", ["events"], """

@@ -7,33 +7,44 @@ The reference decodes one JSON body per HTTP request; here a batch of bodies
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ORDER_ITEM = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("qty", T.LongType()),
-    T.StructField("price", T.DecimalType(15, 2)),
-    T.StructField("is_preorder", T.IntegerType()),
-    T.StructField("color", T.StringType()),
-])
-
-ORDER_REQUEST = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("phone", T.StringType()),
-    T.StructField("address", T.StringType()),
-    T.StructField("member_id", T.LongType()),
-    T.StructField("items_total", T.DecimalType(15, 2)),
-    T.StructField("shipping_fee", T.LongType()),
-    T.StructField("shipping_company", T.StringType()),
-    T.StructField("member_number", T.StringType()),
-    T.StructField("payment_method", T.StringType()),
-    T.StructField("note", T.StringType()),
-    T.StructField("slip", T.StringType()),
-    T.StructField("items", T.ArrayType(ORDER_ITEM)),
-])
+from kipmart.functions import text as X
+
+#: Scalars are read as text, whatever their JSON type: the reference takes
+#: ``"qty": "2"`` as well as ``"qty": 2`` and truncates ``25.5`` to 25.
+_TEXT_ITEM = T.StructType([T.StructField(n, T.StringType())
+                           for n in ("id", "qty", "price", "is_preorder", "color")])
+CORRUPT = "_corrupt_record"
+ORDER_REQUEST = T.StructType(
+    [T.StructField(n, T.StringType()) for n in (
+        "request_id", "name", "phone", "address", "member_id", "items_total", "total", "shipping_fee",
+        "shipping_company", "member_number", "payment_method", "note", "slip")]
+    + [T.StructField("items", T.ArrayType(_TEXT_ITEM)), T.StructField(CORRUPT, T.StringType())])
+
+
+def _whole(c: Column) -> Column:
+    """``(int)`` of a given text; NULL stays NULL (``isset``)."""
+    return F.when(c.isNotNull(), X.php_intval(c))
+
+
+def _amount(c: Column) -> Column:
+    """Decimal of a given text; 0 if it is no number."""
+    return F.when(c.isNotNull(), F.coalesce(F.trim(c).try_cast("decimal(15,2)"), F.lit(0).cast("decimal(15,2)")))
+
+
+def _typed(raw: DataFrame) -> DataFrame:
+    flag = lambda c: F.when(F.coalesce(c, F.lit("")).isin("", "0", "false"), 0).otherwise(1)
+    items = F.transform("items", lambda i: F.struct(
+        _whole(i["id"]).alias("id"), _whole(i["qty"]).alias("qty"), _amount(i["price"]).alias("price"),
+        flag(i["is_preorder"]).alias("is_preorder"), i["color"].alias("color")))
+    return raw.select(
+        _whole(F.col("request_id")).alias("request_id"), "name", "phone", "address",
+        _whole(F.col("member_id")).alias("member_id"), _amount(F.col("items_total")).alias("items_total"),
+        _amount(F.col("total")).alias("total"), _whole(F.col("shipping_fee")).alias("shipping_fee"),
+        "shipping_company", "member_number", "payment_method", "note", "slip", items.alias("items"))
 
 
 def _item(c=None):
@@ -58,15 +69,33 @@ def order_request_bodies(requests: DataFrame, lines: DataFrame, per: str = "line
     return r.select(F.to_json(F.struct(*[F.col(c) for c in r.columns])).alias("body"))
 
 
+def _parsed(bodies: DataFrame, column: str) -> DataFrame:
+    body = F.col(column)
+    return bodies.select(body.alias("body"), F.from_json(
+        body, ORDER_REQUEST, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+
+
+def _bad() -> Column:
+    return F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+
+
 def parse_order_requests(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """Parse JSON bodies with :data:`ORDER_REQUEST`; unknown keys are ignored,
-    missing keys are NULL (the reference's ``isset`` defaults apply later)."""
-    return bodies.select(F.from_json(F.col(column), ORDER_REQUEST).alias("r")).select("r.*")
+    """Parse JSON bodies; unknown keys are ignored, missing keys are NULL (the
+    reference's ``isset`` defaults apply later), numbers may come as text.
+    Bodies that are no JSON object are in :func:`rejected_order_requests`."""
+    return _typed(_parsed(bodies, column).filter(~_bad()).select("r.*"))
+
+
+def rejected_order_requests(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """(body, reason) of the bodies that :func:`parse_order_requests` leaves out."""
+    empty = F.trim(F.coalesce(F.col("body"), F.lit(""))) == ""
+    return _parsed(bodies, column).filter(_bad()).select(
+        "body", F.when(empty, "empty body").otherwise("malformed JSON").alias("reason"))
 
 
 def read_order_requests(spark: SparkSession, path: str) -> DataFrame:
     """Newline-delimited JSON files of order requests."""
-    return spark.read.schema(ORDER_REQUEST).json(path)
+    return parse_order_requests(spark.read.text(path), "value")
 
 
 def order_request_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
