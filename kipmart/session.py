@@ -104,6 +104,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="kipmart-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(configured)
+        # the context uses a folder of its own below the configured one
+        return sc._jsc.sc().getCheckpointDir().get()
     else:
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

@@ -25,13 +25,36 @@ ALIASES = {
 }
 
 
+# The tables' names in the shop's database.
+JDBC_TABLES = {
+    "shop_orders": "orders",
+    "shop_items": "order_items",
+    "shop_products": "products",
+    "shop_categories": "categories",
+    "shop_product_images": "product_images",
+    "shop_members": "members",
+}
+#: Tables that one task must never read alone.
+JDBC_FACTS = ("shop_orders", "shop_items")
+
+
+def jdbc_options(name: str, jdbc: dict) -> dict:
+    """Arguments of :func:`read_jdbc` for one table. ``jdbc["bounds"]`` gives
+    (lowest, highest) id by table; order and line tables need one."""
+    bounds = jdbc.get("bounds", {}).get(name)
+    if bounds is None and name in JDBC_FACTS:
+        raise ValueError(f"give jdbc bounds (lowest and highest id) of {name}")
+    low, high = bounds or (None, None)
+    return {**{k: v for k, v in jdbc.items() if k != "bounds"}, "lower_bound": low, "upper_bound": high}
+
+
 class Shop:
     """Lazily built shop tables and change batches over one data folder.
 
     ``kind="fixture"``: derive the shop tables from the driver's tables with the
     adapter SQL. ``kind="parquet"``: the folder already holds ``shop_*`` tables.
-    ``kind="jdbc"``: read them from a database (``jdbc`` = dict of reader options;
-    large tables are split on their id column).
+    ``kind="jdbc"``: read them from a database (``jdbc`` = url, properties,
+    num_partitions, and ``bounds``: the id range of each table to split).
     """
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "fixture",
@@ -64,7 +87,7 @@ class Shop:
         if self.kind == "parquet" and name in SHOP_TABLES:
             df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         elif self.kind == "jdbc" and name in SHOP_TABLES:
-            df = read_jdbc(self.spark, name.removeprefix("shop_"), **self.jdbc)
+            df = read_jdbc(self.spark, JDBC_TABLES[name], **jdbc_options(name, self.jdbc))
         else:
             view = VIEWS[name]
             args = {d: self.table(d) for d in view.deps}
@@ -114,14 +137,20 @@ def read_jdbc(spark: SparkSession, table: str, url: str, properties: dict | None
     Without bounds the table is read by one task, which only suits small
     dimension tables.
     """
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for k, v in (properties or {}).items():
-        reader = reader.option(k, v)
+    return spark.read.format("jdbc").options(**jdbc_reader_options(
+        table, url, properties, partition_column, lower_bound, upper_bound, num_partitions)).load()
+
+
+def jdbc_reader_options(table: str, url: str, properties: dict | None = None, partition_column: str = "id",
+                        lower_bound: int | None = None, upper_bound: int | None = None,
+                        num_partitions: int = 64) -> dict[str, str]:
+    """The options of that scan. Timestamps come without a zone, as the stored
+    tables have them, so that a ``created_at`` range reaches the database."""
+    options = {"url": url, "dbtable": table, "preferTimestampNTZ": "true", **(properties or {})}
     if lower_bound is not None and upper_bound is not None:
-        reader = (reader.option("partitionColumn", partition_column)
-                  .option("lowerBound", lower_bound).option("upperBound", upper_bound)
-                  .option("numPartitions", num_partitions))
-    return reader.load()
+        options |= {"partitionColumn": partition_column, "lowerBound": str(lower_bound),
+                    "upperBound": str(upper_bound), "numPartitions": str(num_partitions)}
+    return options
 
 
 class InlineShop(Shop):

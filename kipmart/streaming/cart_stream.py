@@ -5,10 +5,9 @@
 (bounded by the distinct product/colour pairs of one cart, not by its event
 count). Each micro-batch folds the cart's new events in ``seq`` order and
 emits the touched carts' lines; a line that disappeared is emitted once with
-``qty = 0`` (a tombstone for upsert sinks). With ``idle_timeout_ms`` set, a
-cart without events for that long is evicted from state (its lines were
-already emitted; a later event starts it afresh) — off by default, since a
-stored cart does not expire in the shop.
+``qty = 0`` (a tombstone for upsert sinks). A cart never expires, as in the
+shop. Experimental: the fold runs row by row in Python, and all events of a cart
+in one micro-batch meet in one task; the batch form has neither limit.
 
 Ordering: events of one cart must arrive in ``seq`` order across
 micro-batches (within a batch they are sorted). Late events of a cart are
@@ -70,12 +69,9 @@ def _apply(lines: dict, ev) -> None:
             lines[key][0] = int(ev.qty)
 
 
-def _make_fold(idle_ms: int | None):
+def _make_fold():
     def fold_cart(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (cart_id,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
         lines, last_seq = {}, -1
         if state.exists:
             raw, last_seq = state.get
@@ -86,8 +82,6 @@ def _make_fold(idle_ms: int | None):
             _apply(lines, ev)
             last_seq = max(last_seq, int(ev.seq))
         state.update((json.dumps(lines), last_seq))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
         rows = []
         for k, (q, p) in lines.items():
             pid, color = k.split("\u0001", 1)
@@ -100,13 +94,11 @@ def _make_fold(idle_ms: int | None):
     return fold_cart
 
 
-def cart_updates(events: DataFrame, idle_timeout_ms: int | None = None) -> DataFrame:
+def cart_updates(events: DataFrame) -> DataFrame:
     """Streaming (or batch) DataFrame of cart events → cart line updates."""
     ev = events.select(*[f.name for f in EVENT_SCHEMA.fields])
-    timeout = (GroupStateTimeout.NoTimeout if idle_timeout_ms is None
-               else GroupStateTimeout.ProcessingTimeTimeout)
     return ev.groupBy("cart_id").applyInPandasWithState(
-        _make_fold(idle_timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "update", timeout)
+        _make_fold(), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
 
 def read_cart_events(spark, path: str, max_files_per_trigger: int = 100) -> DataFrame:

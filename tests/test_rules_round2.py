@@ -127,3 +127,17 @@ def test_hot_keys_are_dealt_over_tasks(spark):
         assert spread_join(big, small, ["k"], how).count() == want
     assert sorted(tuple(r) for r in spread_join(big, small, ["k"]).select("k", "seq", "n").limit(9000).collect()) == \
         sorted(tuple(r) for r in big.join(small, "k").select("k", "seq", "n").collect())
+
+
+def test_jdbc_options_of_each_table():
+    import pytest
+
+    from kipmart.sources.tables import JDBC_TABLES, jdbc_options, jdbc_reader_options
+    jdbc = {"url": "jdbc:x", "bounds": {"shop_items": (1, 900), "shop_orders": (5, 50)}}
+    items = jdbc_reader_options(JDBC_TABLES["shop_items"], **jdbc_options("shop_items", jdbc))
+    assert items["dbtable"] == "order_items" and items["lowerBound"] == "1" and items["upperBound"] == "900"
+    assert items["preferTimestampNTZ"] == "true" and items["partitionColumn"] == "id"
+    products = jdbc_reader_options(JDBC_TABLES["shop_products"], **jdbc_options("shop_products", jdbc))
+    assert products["dbtable"] == "products" and "lowerBound" not in products
+    with pytest.raises(ValueError):
+        jdbc_options("shop_orders", {"url": "jdbc:x"})
