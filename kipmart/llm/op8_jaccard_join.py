@@ -11,7 +11,7 @@ is at least ``percent``; the result is each document's connected class.
    ``n - ceil(percent n) + 1`` of each in that order (prefix filter, exact). Nodes
    meet in the buckets of those shingles. Buckets with one member go; of
    buckets with the same members one stays.
-3. *Index.* Shingles are hashed into 64 groups; a node's group counts are a
+3. *Index.* Shingles are hashed into 256 groups; a node's group counts are a
    point. The members of a bucket are searched with an R-tree over these points:
    the overlap with anything in a box is at most the sum of the coordinate
    minima of the query and the box's upper corner, and must reach
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from kipmart.llm import common, textvec
 
 K, PERCENT = 4, 85
-GROUPS = 64
+GROUPS = 256
 SKETCH_BITS, SLICES = 17, 32
 BLOCK, REACH, LEAF = 4096, 16, 64
 #: Rows of at most this many nodes are sent to all executors (8 bytes each).
@@ -96,11 +96,20 @@ def _points(first: np.ndarray, h: np.ndarray) -> np.ndarray:
     n = len(first) - 1
     text = np.repeat(np.arange(n), np.diff(first))
     return np.bincount(text * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS) \
-        .reshape(n, GROUPS).astype("<u4")
+        .reshape(n, GROUPS)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+def _binary(points: np.ndarray) -> pa.Array:
+    """Points as bytes: one a group, or four for the sets whose counts need it."""
+    wide = points.max(1, initial=0) > 255
+    return pa.array([r.astype("<u4" if w else "u1").tobytes() for r, w in zip(points, wide)], pa.binary())
+
+
+def _decoded(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = column.to_pylist()
+    if all(len(v) == GROUPS for v in values):
+        return np.frombuffer(b"".join(values), "u1").reshape(-1, GROUPS).astype(np.int32)
+    return np.stack([np.frombuffer(v, "u1" if len(v) == GROUPS else "<u4").astype(np.int32) for v in values])
 
 
 _PROFILE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()),
@@ -250,7 +259,7 @@ def search_leaves(klass: np.ndarray, points: np.ndarray, start: np.ndarray, size
     for s in np.unique(size):
         i, j = np.triu_indices(s, 1)
         base = start[size == s]
-        for part in np.array_split(base, 1 + len(base) * len(i) // 200_000):
+        for part in np.array_split(base, 1 + len(base) * len(i) // 50_000):
             a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
             other = klass[a] != klass[b]
             a, b = a[other], b[other]
@@ -314,7 +323,7 @@ def search_buckets(members: DataFrame, reach: int, percent: int, block: int = BL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches):
             token, node, klass, role = (t[c].to_numpy() for c in ("token", "node", "klass", "role"))
-            points = np.frombuffer(b"".join(t["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+            points = _decoded(t["point"])
             start = np.append(_starts(t), len(token))
             size, start = np.diff(start), start[:-1]
             small = size <= LEAF
@@ -489,8 +498,9 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-                    for c in (2, 3))
+            if not b.num_rows:
+                continue
+            x, y = _decoded(b.column(2)), _decoded(b.column(3))
             keep = pa.array((100 + percent) * np.minimum(x, y).sum(1) >= percent * (x.sum(1) + y.sum(1)))
             yield common.out_batch(schema, a=b.column(0).filter(keep), b=b.column(1).filter(keep))
 
