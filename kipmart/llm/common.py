@@ -113,6 +113,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0]:offs[-1]], offs - offs[0]
 
 
+def list_values(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as arrays (no Python objects per value)."""
+    return [v for chunk in column.chunks for v in (
+        np.split(chunk.flatten().to_numpy(zero_copy_only=False), np.cumsum(
+            chunk.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(chunk) else [])]
+
+
 def out_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch of these columns in the order of the schema."""
     return pa.RecordBatch.from_arrays(

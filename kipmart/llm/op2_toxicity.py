@@ -226,9 +226,14 @@ def fit(labels: np.ndarray, words: list[np.ndarray], heads: list[np.ndarray], st
         speed_move += pairs ** 2
         move += rate * pairs / np.sqrt(speed_move + 1e-8)
     model.weights, model.bias, model.move = theta[:-1], float(bias), move
-    everywhere = np.concatenate([[0], np.cumsum(size)])
-    x = model.summary(marginals(model.emission(*flat), everywhere, move)[0], everywhere)
-    model.curve = _logistic(x, toxic)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    summaries = []
+    for part in np.array_split(np.arange(len(size)), 1 + bounds[-1] // 200_000):
+        first = bounds[part[0]:part[-1] + 2] if len(part) else bounds[:1]
+        at = slice(first[0], first[-1])
+        p, _ = marginals(model.emission(flat[0][at], flat[1][at]), first - first[0], move)
+        summaries.append(model.summary(p, first - first[0]))
+    model.curve = _logistic(np.concatenate(summaries), toxic)
     return model
 
 
@@ -250,11 +255,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
         .select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).distinct()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(kept), "id") \
         .select("label", "text")
-    got = rows.mapInArrow(features, "label int, words array<long>, heads array<long>").toArrow().combine_chunks()
-    data = []
-    for i in range(got.num_rows):
-        w, h = (got[c][i].values.to_numpy().view(np.uint64) for c in ("words", "heads"))
-        data.append((got["label"][i].as_py(), w, h))
+    got = rows.mapInArrow(features, "label int, words array<long>, heads array<long>").toArrow()
+    words, heads = ([v.view(np.uint64) for v in common.list_values(got[c])] for c in ("words", "heads"))
+    data = list(zip(got["label"].to_pylist(), words, heads))
     data.sort(key=lambda r: (r[0], r[1].tobytes()))  # the same model in any task order
     return fit(np.array([r[0] for r in data], int), [r[1] for r in data], [r[2] for r in data])
 

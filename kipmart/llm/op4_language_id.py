@@ -183,9 +183,9 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, id:
         keep = keep | ((F.col(lang) == value) & common.hash_sample(id, count, per_language))
     sample = rows.where(keep).select(F.col(lang).alias("lang"), F.col(text).alias("text")) \
         .mapInArrow(features, "lang string, ids array<int>, counts array<int>").toArrow()
-    got = zip(sample["lang"].to_pylist(), sample["ids"].to_pylist(), sample["counts"].to_pylist())
-    data = [(a, np.array(i, int), np.array(c, int)) for a, i, c in got if i]
-    data.sort(key=lambda r: (r[0], r[1].tolist(), r[2].tolist()))  # the same model in any task order
+    got = zip(sample["lang"].to_pylist(), common.list_values(sample["ids"]), common.list_values(sample["counts"]))
+    data = [(a, i, c) for a, i, c in got if len(i)]
+    data.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # the same model in any task order
     return fit(data)
 
 

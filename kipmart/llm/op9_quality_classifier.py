@@ -185,10 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     rows = docs.select(F.col(id).alias("id"), *_columns(docs, text, n_chars)).join(F.broadcast(kept), "id") \
         .select("label", "text", "n_chars")
     got = rows.mapInArrow(features, "label int, ids array<int>, counts array<int>, stats array<double>").toArrow()
-    data = sorted(zip(got["stats"].to_pylist(), got["label"].to_pylist(), got["ids"].to_pylist(),
-                      got["counts"].to_pylist()))  # the same model in any task order
-    return fit(np.array([r[1] for r in data], float), [(np.array(r[2], int), np.array(r[3], float)) for r in data],
-               np.array([r[0] for r in data], float).reshape(len(data), len(STATISTICS)))
+    stats, ids, counts = (common.list_values(got[c]) for c in ("stats", "ids", "counts"))
+    labels = got["label"].to_pylist()
+    order = sorted(range(len(labels)), key=lambda i: (stats[i].tobytes(), labels[i], ids[i].tobytes(),
+                                                      counts[i].tobytes()))  # the same model in any task order
+    return fit(np.array([labels[i] for i in order], float), [(ids[i], counts[i]) for i in order],
+               np.array([stats[i] for i in order], float).reshape(len(order), len(STATISTICS)))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, id: str = "doc_id", text: str = "text",
