@@ -120,6 +120,11 @@ def list_values(column: pa.ChunkedArray) -> list[np.ndarray]:
             chunk.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(chunk) else [])]
 
 
+def release() -> None:
+    """Give memory that Arrow holds for later back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def out_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch of these columns in the order of the schema."""
     return pa.RecordBatch.from_arrays(

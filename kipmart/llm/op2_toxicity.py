@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kipmart.llm import common, textvec
 
-SAMPLE = 6000
+SAMPLE = 5000
 #: A feature is kept as an emission weight if this many sampled documents hold it.
 LEAST_DOCUMENTS = 3
 #: An offensive word occurs in this many toxic documents of the sample, and in
@@ -258,6 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     got = rows.mapInArrow(features, "label int, words array<long>, heads array<long>").toArrow()
     words, heads = ([v.view(np.uint64) for v in common.list_values(got[c])] for c in ("words", "heads"))
     data = list(zip(got["label"].to_pylist(), words, heads))
+    del got, words, heads
+    common.release()
     data.sort(key=lambda r: (r[0], r[1].tobytes()))  # the same model in any task order
     return fit(np.array([r[0] for r in data], int), [r[1] for r in data], [r[2] for r in data])
 

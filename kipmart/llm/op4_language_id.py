@@ -40,7 +40,7 @@ FAMILIES = {
     "uralic": ["et", "fi", "hu"],
 }
 BITS = 15
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 600
 OUT = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _FEATURES = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int32())),
                        ("counts", pa.list_(pa.int32()))])
@@ -186,6 +186,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, id:
     got = zip(sample["lang"].to_pylist(), common.list_values(sample["ids"]), common.list_values(sample["counts"]))
     data = [(a, i, c) for a, i, c in got if len(i)]
     data.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # the same model in any task order
+    del sample, got
+    common.release()
     return fit(data)
 
 

@@ -34,7 +34,7 @@ from kipmart.llm import common, textvec
 
 BITS = 15
 FACTORS = 4
-SAMPLE = 6000
+SAMPLE = 4000
 STATISTICS = ["log bytes", "log words", "log stored characters", "capitals", "digits", "symbols",
               "white space", "word length", "distinct words", "words a line", "distinct lines",
               "lines ending in a stop", "pipes", "beyond ASCII"]
@@ -187,6 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     got = rows.mapInArrow(features, "label int, ids array<int>, counts array<int>, stats array<double>").toArrow()
     stats, ids, counts = (common.list_values(got[c]) for c in ("stats", "ids", "counts"))
     labels = got["label"].to_pylist()
+    del got
+    common.release()
     order = sorted(range(len(labels)), key=lambda i: (stats[i].tobytes(), labels[i], ids[i].tobytes(),
                                                       counts[i].tobytes()))  # the same model in any task order
     return fit(np.array([labels[i] for i in order], float), [(ids[i], counts[i]) for i in order],
