@@ -32,23 +32,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
     labels = common.read(spark, sf_dir, "labels")
     return quality_model.keep_good(docs, quality_model.train(docs, labels, quality_model.learn_rows()))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
     return language_id.keep_known(docs, language_id.train(docs, language_id.learn_rows()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
     return benchmark.decontaminate(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
     return packing.pack_documents(docs)
 
 

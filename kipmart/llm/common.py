@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import posixpath
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,26 @@ from kipmart.session import ensure_checkpoint_dir
 BLOCK_BYTES = 1 << 22
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session's
+    application: its functions are imported there by name."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="kipmart-code-"), "kipmart_code.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for folder, _, names in os.walk(package):
+                for n in names:
+                    if n.endswith(".py"):
+                        path = os.path.join(folder, n)
+                        z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        sc.addPyFile(target)
+        _shipped.add(sc.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A given table, by a path that only Spark has to understand."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

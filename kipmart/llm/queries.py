@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kipmart.llm import common
 from kipmart.llm.op1_token_output import op1_token_output
 from kipmart.llm.op10_neighbour_graph import op10_neighbour_graph
 from kipmart.llm.op2_toxicity import op2_toxicity
@@ -17,7 +18,17 @@ from kipmart.llm.op7_html_extraction import op7_html_extraction
 from kipmart.llm import op8_jaccard_join as op8
 from kipmart.llm.op9_quality_classifier import op9_quality_classifier
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+_ALL: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
@@ -30,6 +41,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbour_graph": op10_neighbour_graph,
 }
 
+QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": op5.ORACLE,
