@@ -3,7 +3,8 @@
 1. *Trees.* Each page is read into a tree of elements, tolerant of missing end
    tags (:data:`CLOSES`, :data:`VOID`). Elements that never hold article text
    (scripts, styles, forms, menus, ... and those whose class, id or role names
-   such a part) are left out.
+   such a part) are left out. Inside an article a class or id must name the part
+   as a whole, and headings and inline elements stay whatever theirs are.
 2. *Templates.* Every remaining block element that stands outside an article is
    hashed by its tag and its text; Spark counts each hash once a page and host.
    Subtrees that recur on many pages of a host (``least_pages``, and the share
@@ -69,11 +70,20 @@ SIDE_PARTS = {"ad", "ads", "adsense", "advert", "advertisement", "adverts", "ale
               "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing",
               "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
               "widgets"}
+#: Of these, words that also name parts of an article's own text, so inside one
+#: they name a side part only together with another word of either list.
+AMBIGUOUS = {"alert", "copyright", "disclaimer", "discussion", "form", "notice", "notices", "related", "replies",
+             "respond", "search", "skip"}
+#: Words that stand with such a word in the name of a side part.
+FURNITURE = {"area", "bar", "block", "box", "button", "buttons", "container", "icon", "icons", "inner", "links", "list",
+             "outer", "post", "posts", "section", "signup", "slot", "unit", "wrap", "wrapper"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
 LEAST_PAGES, LEAST_SHARE = 5, 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute; read from left to right, so nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0  -     　\x1c-\x1f\x85]+")
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
@@ -92,18 +102,37 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name in lower case; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), (a or b or c).lower())
+    return out
+
+
+def _names_side_part(token: str) -> bool:
+    """Whether a class or id says as a whole that it is a side part."""
+    words = _NAME.findall(token)
+    side = SIDE_PARTS.intersection(words)
+    return bool(side) and all(w in SIDE_PARTS or w in FURNITURE for w in words) and (len(words) > 1 or not side <= AMBIGUOUS)
+
+
 def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in LEAVE_OUT or tag == "header" and not in_main:
         return True
-    if tag in MAIN or tag in ("body", "html"):
+    if tag in ("body", "html") or not attributes or attributes.isspace():
         return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and not SIDE_PARTS.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+    values = _attributes(attributes)
+    if "hidden" in values or values.get("aria-hidden") == "true":
+        return True
+    if not SIDE_PARTS.isdisjoint(values.get("role", "").split()):
+        return True
+    names = [values[n] for n in ("class", "id") if n in values]
+    if in_main or tag in MAIN:
+        # text of the article: a heading, a word or a link is no part by its name
+        return tag not in HEADINGS and tag not in INLINE and tag != "main" and \
+            any(_names_side_part(token) for value in names for token in value.split())
+    return any(not SIDE_PARTS.isdisjoint(_NAME.findall(value)) for value in names)
 
 
 def parse(page: str) -> Element:

@@ -32,6 +32,20 @@ def test_odd_markup(html, text):
     assert op7.main_text(op7.parse(html)) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<p style='overflow:hidden'>a</p>", "a"), ("<p><a href='/hidden-valley'>b</a> c</p>", "b c"),
+    ("<p title=\"the hidden truth\">d</p>", "d"), ("<a href=\"/p?id=search\">e</a>", "e"),
+    ("<div data-id='menu-3' data-class=ad>f</div>", "f"), ("<p href=/x?hidden=1 lang=en>g</p>", "g"),
+    ("<article><h2 id='related-work'>h</h2><div class=discussion>i</div><section id='search-results'>j</section>"
+     "<p>k <span class='ad'>l</span></p></article>", "h\ni\nj\nk l"),
+    ("<article><p>m</p><div class='related-posts'>n</div><div id=Comments-2>o</div><div class='x share-buttons'>p</div>"
+     "<p hidden>q</p><p aria-hidden=TRUE>r</p><div role=search>s</div></article>", "m"),
+    ("<article class='post category-social'>t</article><article class='comment'>u</article><main hidden>v</main>", "t"),
+    ("<div class=a class=menu>w</div><div title='>' CLASS=\"side menu\">x</div>", "w")])
+def test_attributes_are_read_by_name(html, text):
+    assert op7.main_text(op7.parse(html)) == text
+
+
 def test_template_goes_where_no_article_is_marked(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div><p>Shop &amp; co</p></div><div><p>Text {i}</p><p>Same</p></div></body>")
             for i in range(8)]
