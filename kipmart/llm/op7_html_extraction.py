@@ -5,19 +5,24 @@
    (scripts, styles, forms, menus, ... and those whose class, id or role names
    such a part) are left out. Inside an article a class or id must name the part
    as a whole, and headings and inline elements stay whatever theirs are.
-2. *Templates.* Every remaining block element that stands outside an article is
-   hashed by its tag and its text; Spark counts each hash once a page and host.
-   Subtrees that recur on many pages of a host (``least_pages``, and the share
-   ``least_share`` of its pages) are its template and are deleted. Inside an
-   ``article`` (or ``main``) only what names itself a side part is deleted:
-   an article that quotes a common paragraph keeps it.
+2. *Templates.* Every remaining block element is hashed by its tag and its text,
+   inside an ``article`` (or ``main``) by its place too; Spark counts on how
+   many pages of a host, of different main texts, each hash stands. Subtrees
+   that recur on many of them (``least_pages``, and the share ``least_share``,
+   inside articles ``least_share_inside``) are the host's template and are
+   deleted on every page. Inside an article a passage that is quoted here and
+   there stays, as its place or its share tells it from the template; so do
+   recurring headings, cells and terms, and articles that recur for the most
+   part (series, near copies).
 3. *Text.* Character references are decoded, white space inside a block becomes
-   one space, blocks are joined in page order by a line feed. If the page has
-   articles their text is the result, else what the templates left of the body.
-
-The hashes of a page are few (block elements outside articles) and carry no
-text, so counting shuffles little, with partial sums before it; the recurring
-hashes come back to the pages by a join on host and hash, then on the page row.
+   one space, blocks are joined in page order by a line feed. The result is what
+   the template left. Beside articles, blocks that are mostly links are left
+   out, and where the host has no known template, all that is shorter than the
+   articles is.
+
+The hashes of a page are few (block elements) and carry no text, so counting
+shuffles little; the recurring hashes come back to the pages by a join on host
+and hash, then on the page row.
 A host of a third of all pages has no group of its own: counts are summed by
 (host, hash), and joins are split by Spark where they are skewed.
 
@@ -31,8 +36,10 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 
 import pyarrow as pa
 import xxhash
@@ -79,7 +86,9 @@ FURNITURE = {"area", "bar", "block", "box", "button", "buttons", "container", "i
              "outer", "post", "posts", "section", "signup", "slot", "unit", "wrap", "wrapper"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
-LEAST_PAGES, LEAST_SHARE = 5, 0.05
+#: Recur in one place of an article (section titles, cells, terms) without being a template's.
+LABELS = HEADINGS | {"caption", "dd", "dt", "figcaption", "li", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
+LEAST_PAGES, LEAST_SHARE, LEAST_SHARE_INSIDE = 5, 0.05, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 #: One attribute; read from left to right, so nothing inside a value is taken for a name.
@@ -193,100 +202,170 @@ def _inside_main(node: Element | None) -> bool:
     return False
 
 
-def blocks_of(root: Element, gone: frozenset[int] = frozenset()) -> list[str]:
-    """Texts of the blocks below an element, in page order."""
-    out: list[str] = []
+@dataclass
+class Layout:
+    """The blocks of a page in page order."""
+    texts: list[str] = field(default_factory=list)
+    linked: list[bool] = field(default_factory=list)  # mostly the text of links
+    spans: list[tuple[Element, int, int]] = field(default_factory=list)  # block elements with text, first and one past
+
+
+def layout(root: Element) -> Layout:
+    out = Layout()
     line: list[str] = []
+    in_link: list[int] = []
 
     def flush():
         text = _SPACE.sub(" ", _html.unescape("".join(line))).strip(" ")
         if text:
-            out.append(text)
+            out.texts.append(text)
+            out.linked.append(2 * sum(in_link) > len("".join(line).strip()))
         line.clear()
+        in_link.clear()
 
-    stack: list[tuple[Element, int]] = [(root, 0)]
+    links = 0
+    stack: list[tuple[Element, int, int]] = [(root, 0, 0)]
     while stack:  # no recursion: pages may nest deeply
-        node, i = stack.pop()
+        node, i, first = stack.pop()
         if i == len(node.children):
+            if node.tag == "a":
+                links -= 1
             if node.tag not in INLINE:
                 flush()
+                if len(out.texts) > first and node.parent is not None:
+                    out.spans.append((node, first, len(out.texts)))
             continue
-        stack.append((node, i + 1))
+        stack.append((node, i + 1, first))
         child = node.children[i]
         if isinstance(child, str):
             line.append(child)
+            if links:
+                in_link.append(len(child.strip()))
         elif child.tag == "br" or child.tag == "hr":
             flush()
-        elif not child.side and id(child) not in gone:
+        elif not child.side:
             if child.tag not in INLINE:
                 flush()
-            stack.append((child, 0))
+            links += child.tag == "a"
+            stack.append((child, 0, len(out.texts)))
     flush()
     return out
 
 
-def _walk(root: Element) -> Iterator[Element]:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack += [c for c in reversed(node.children) if isinstance(c, Element) and not c.side]
-
-
-def candidates(root: Element) -> list[tuple[int, Element]]:
-    """(hash, element) of the block subtrees outside articles that have text."""
+def _hash(*parts) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(map(str, parts))) - (1 << 63)
+
+
+def _places(page: Layout) -> tuple[set[int], set[int]]:
+    """The elements (by identity) that are in an article or are one, and those
+    outside that hold one."""
+    inside, around = set(), set()
+    for node, _, _ in reversed(page.spans):  # an element stands after what it holds
+        if node.tag in MAIN or _inside_main(node.parent):
+            inside.add(id(node))
+            at = node.parent
+            while node.tag in MAIN and at is not None and id(at) not in around:
+                around.add(id(at))
+                at = at.parent
+    return inside, around - inside
+
+
+def candidates(page: Layout) -> list[tuple[tuple[int, ...], bool, int, int]]:
+    """(hashes, inside an article, first block, one past the last) of the block
+    subtrees that may be a template's. Outside articles a subtree is known by its
+    tag and text. Inside, where passages are quoted, it is known by its place as
+    well, counted from the start and from the end of what holds it."""
+    inside, around = _places(page)
+    siblings: dict[int, list[int]] = {}
+    for node, first, _ in page.spans:
+        siblings.setdefault(id(node.parent), []).append(first)
     out = []
-    for node in _walk(root):
-        if node.parent is None or node.tag in INLINE or node.tag in ("html", "body") or _inside_main(node):
+    for node, first, last in page.spans:
+        if node.tag in ("html", "body") or id(node) in around:
             continue
-        text = blocks_of(node)
-        if text:
-            out.append((xxhash.xxh3_64_intdigest("\n".join([node.tag, *text])) - (1 << 63), node))
+        text = page.texts[first:last]
+        if id(node) not in inside:
+            out.append(((_hash(node.tag, *text),), False, first, last))
+        elif node.tag not in LABELS:
+            path, at = [], node
+            while at is not None and (at is node or _inside_main(at)):
+                path.append(at.tag)
+                at = at.parent
+            own = siblings[id(node.parent)]
+            n = bisect_left(own, first)
+            out.append((tuple(_hash(end, k, "/".join(path), *text) for end, k in (("<", n), (">", len(own) - n))),
+                        True, first, last))
     return out
 
 
-def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
-    """The article's text without the subtrees that the host's template has."""
-    tops = []
-    stack = [root]
-    while stack:
-        node = stack.pop()
+def _in_article(page: Layout) -> bytearray:
+    mark = bytearray(len(page.texts))
+    for node, first, last in page.spans:
         if node.tag in MAIN:
-            tops.append(node)
-        else:
-            stack += [c for c in reversed(node.children) if isinstance(c, Element) and not c.side]
-    if tops:
-        return "\n".join(line for t in tops for line in blocks_of(t))
-    gone = frozenset(id(node) for h, node in candidates(root) if h in template) if template else frozenset()
-    return "\n".join(blocks_of(root, gone))
+            mark[first:last] = b"\1" * (last - first)
+    return mark
+
+
+def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
+    """The page's text without the subtrees that the host's template has."""
+    page = layout(root)
+    article = _in_article(page)
+    gone = bytearray(len(page.texts))
+    if template:
+        own = bytearray(len(page.texts))
+        for hashes, inside, first, last in candidates(page):
+            if not template.isdisjoint(hashes):
+                (own if inside else gone)[first:last] = b"\1" * (last - first)
+        size = [len(t) for t in page.texts]
+        # an article that recurs for the most part is a series or a copy, not a template
+        if 2 * sum(compress(size, own)) <= sum(compress(size, article)):
+            gone = bytearray(a | b for a, b in zip(gone, own))
+    left = [i for i in range(len(page.texts)) if not gone[i]]
+    if any(article):
+        beside = [i for i in left if not article[i] and not page.linked[i]]
+        held = [i for i in left if article[i]]
+        # what the known template left is the page's own; without one only text
+        # that outweighs the articles, which are teasers then
+        length = lambda at: sum(len(page.texts[i]) for i in at)
+        left = sorted(held + beside) if template or length(beside) > length(held) else held
+    return "\n".join(page.texts[i] for i in left)
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """(host, hash) of the candidates of (url, html) pages without an article,
-    once a page, and one row with a null hash a page, which counts the pages."""
-    schema = pa.schema([("host", pa.string()), ("hash", pa.int64())])
+    """(host, inside, hash, text) of the candidates of (url, html) pages, once a
+    page; ``text`` is the hash of its articles' text, or of all where it has none.
+    Rows with a null hash stand for the page, and for its articles."""
+    schema = pa.schema([("host", pa.string()), ("inside", pa.bool_()), ("hash", pa.int64()), ("text", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.blocks(batches, "html"):
-            hosts, hashes = [], []
-            for url, page in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
-                root = parse(page)
-                own = [None, *sorted({h for h, _ in candidates(root)})]
+            hosts, insides, hashes, texts = [], [], [], []
+            for url, html in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
+                page = layout(parse(html))
+                article = _in_article(page)
+                own = {(inside, h) for found, inside, _, _ in candidates(page) for h in found} | {(False, None)}
+                if any(article):
+                    own.add((True, None))
                 hosts += [host_of(url)] * len(own)
-                hashes += own
-            yield common.out_batch(schema, host=hosts, hash=hashes)
+                insides += [inside for inside, _ in own]
+                hashes += [h for _, h in own]
+                texts += [_hash(*(compress(page.texts, article) if any(article) else page.texts))] * len(own)
+            yield common.out_batch(schema, host=hosts, inside=insides, hash=hashes, text=texts)
 
-    return pages.select("url", "html").mapInArrow(run, "host string, hash long")
+    return pages.select("url", "html").mapInArrow(run, "host string, inside boolean, hash long, text long")
 
 
-def templates(hashes: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hashes) of the subtrees that recur on many pages of a host. A
+def templates(hashes: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE,
+              least_share_inside: float = LEAST_SHARE_INSIDE) -> DataFrame:
+    """(host, hashes) of the subtrees that recur on many pages of a host. Pages of
+    one text count once, as copies say nothing about what surrounds the text. A
     template has a bounded number of subtrees: each is on the share
     ``least_share`` of the host's pages at least."""
-    counts = hashes.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    n_pages = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(n_pages, "host") \
-        .where(F.col("n") >= least_share * F.col("pages"))
+    counts = hashes.distinct().groupBy("host", "inside", "hash").agg(F.count("*").alias("n"))
+    n_pages = counts.where("hash is null").select("host", "inside", F.col("n").alias("pages"))
+    share = F.when(F.col("inside"), F.lit(least_share_inside)).otherwise(F.lit(least_share))
+    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(n_pages, ["host", "inside"]) \
+        .where(F.col("n") >= share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 

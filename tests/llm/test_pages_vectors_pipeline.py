@@ -59,6 +59,29 @@ def test_template_goes_where_no_article_is_marked(spark):
     assert op7.extract(pages).count() == len(rows) and op7.extract(pages.limit(0)).count() == 0
 
 
+def test_template_goes_inside_articles_and_leaves_text_beside(spark):
+    note = "<div class='b'><p>Read our other pages too</p></div>"
+    rows = []
+    for i in range(12):
+        quote = "<p>Quoted by all</p>"
+        own = [f"<p>Own text {i} {k}, long enough to be the larger part</p>" for k in range(4)]
+        own.insert(i % 5, quote)
+        rows.append((i, f"http://a.org/{i}", f"<div>Motto</div><article><h2>Intro</h2>{''.join(own)}{note}</article>"))
+        rows.append((100 + i, f"http://b.org/{i}", f"<div>Motto</div><article>Teaser {i}</article><div><p>Body {i}</p>"
+                                                   "</div><div><a href='/'>Next one</a></div>"))
+        rows.append((200 + i, f"http://c.org/{i}", f"<article><p>Copied for the most part</p><p>No {i}</p></article>"))
+    rows += [(300 + i, f"http://d.org/{i}", "<article><p>Copy</p><p>All</p></article>") for i in range(12)]
+    rows.append((400, "http://e.org/", "<article>Teaser</article><p>The body of the page stands beside it</p>"))
+    got = {r.id: r.text for r in op7.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        want = [f"Own text {i} {k}, long enough to be the larger part" for k in range(4)]
+        want.insert(i % 5, "Quoted by all")
+        assert got[i].split("\n") == ["Intro", *want]
+        assert got[100 + i] == f"Teaser {i}\nBody {i}"
+        assert got[200 + i] == f"Copied for the most part\nNo {i}" and got[300 + i] == "Copy\nAll"
+    assert got[400] == "Teaser\nThe body of the page stands beside it"
+
+
 def test_pages_are_the_documents_they_show(spark):
     pages = {r.id: r.text for r in op7.extract(common.read(spark, SF, "pages")).collect()}
     texts = {" ".join(r.text.split()) for r in common.read(spark, SF, "documents").collect()}
