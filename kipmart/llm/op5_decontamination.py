@@ -8,9 +8,12 @@ tells whether one of the item windows (``window`` consecutive words, or a whole
 shorter item) ends there. Words that no item holds break every match, so only
 runs of known words as long as the shortest window are streamed at all.
 
-The automaton is broadcast in blocks of items of at most ``block_words`` words,
-so what is sent has a fixed size bound; more items make more blocks, whose hits
-are put together per document by word position.
+The automaton is broadcast in blocks of items of at most ``block_words`` words
+(longer items in pieces that overlap by a window less one word), packed on Spark
+and stored, so what is sent, and what the driver holds at a time, has a fixed
+size bound. If there are several blocks the document rows are numbered and
+stored first, the documents pass once for each block, and the hits of all blocks
+are put together per row by word position before anything is decided on them.
 
 ``find_hits`` gives every document's hit words as runs (first and one past the
 last word, and their byte offsets) and the items found; ``decontaminate`` cuts
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +45,9 @@ BLOCK_WORDS = 200_000
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 _WORDS = bytes(textvec.LOWER[i] if textvec.WORD[i] else 32 for i in range(256))
 RUN = "first long, last long, start long, end long"
-SCHEMA = f"id long, n_words long, n_hit long, runs array<struct<{RUN}>>, items array<long>"
+SCHEMA = f"row long, id long, n_words long, n_hit long, runs array<struct<{RUN}>>, items array<long>"
 _RUN = pa.struct([(n, pa.int64()) for n in ("first", "last", "start", "end")])
-OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
+OUT = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                  ("runs", pa.list_(_RUN)), ("items", pa.list_(pa.int64()))])
 
 
@@ -191,63 +195,98 @@ def _runs(text: bytes, stretches: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": z, "start": int(w.start[a]), "end": int(w.end[z - 1])} for a, z in stretches]
 
 
-def _item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list]:
-    """Items in blocks of at most ``block_words`` words (or one item), read
-    one partition at a time."""
-    block, size = [], 0
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
-    for r in rows.toLocalIterator():
-        words = words_of(r["t"].encode())
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["i"], words))
-        size += len(words)
-    if block:
-        yield block
-
-
-def _find_block(docs: DataFrame, block: list, window: int) -> DataFrame:
-    ids = [i for i, _ in block]
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
+#: Blocks that one task packs.
+BLOCKS_A_TASK = 8
+_ITEM = pa.schema([("block", pa.int64()), ("item", pa.int64()), ("words", pa.binary()), ("n", pa.int64())])
+ITEM = "block long, item long, words binary, n long"
+
+
+def _stored_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> tuple[DataFrame, list[int]]:
+    """(block, item, words, n) rows of at most ``block_words`` words a block, and
+    the blocks."""
+    most = max(block_words, 2 * window)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, "t"):
+            own, words = [], []
+            for i, t in zip(b.column(0).to_pylist(), common.text_bytes(b.column(1))):
+                w = words_of(t)
+                starts = [0] if len(w) <= most else range(0, len(w) - window + 1, most - window + 1)
+                for at in starts if w else ():
+                    own.append(i)
+                    words.append(w[at:at + most])
+            yield common.out_batch(_ITEM, block=[0] * len(own), item=own, words=[b" ".join(w) for w in words],
+                                   n=[len(w) for w in words])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            blocks = []
+            for n in b.column(3).to_pylist():
+                if size and size + n > most:
+                    block, size = block + 1, 0
+                size += n
+                blocks.append(block)
+            yield common.out_batch(_ITEM, block=blocks, item=b.column(1), words=b.column(2), n=b.column(3))
+
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"))
+    cut = common.stored(rows.mapInArrow(pieces, ITEM), "items")
+    total = cut.agg(F.sum("n")).first()[0] or 0
+    packed = common.stored(cut.coalesce(max(1, -(-total // (BLOCKS_A_TASK * most)))).mapInArrow(pack, ITEM), "blocks")
+    return packed, sorted(r["block"] for r in packed.select("block").distinct().collect())
+
+
+def _block(packed: DataFrame, block: int) -> list[tuple[int | None, list[bytes]]]:
+    return [(r["item"], bytes(r["words"]).split()) for r in packed.where(F.col("block") == block).collect()]
+
+
+def _find_block(docs: DataFrame, shared, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton(shared.value, window)
+        automaton, ids = SuffixAutomaton(shared.value, window), [i for i, _ in shared.value]
         for b in common.blocks(batches, "text"):
             n_words, n_hit, runs, items = [], [], [], []
-            for text in common.text_bytes(b.column(1)):
+            for text in common.text_bytes(b.column(2)):
                 hits, found, n = match(text, automaton)
                 n_words.append(n)
                 n_hit.append(sum(z - a for a, z in hits))
                 runs.append(_runs(text, hits))
                 items.append(sorted({ids[k] for k in found if ids[k] is not None}))
-            yield common.out_batch(OUT, id=b.column(0), n_words=n_words, n_hit=n_hit,
+            yield common.out_batch(OUT, row=b.column(0), id=b.column(1), n_words=n_words, n_hit=n_hit,
                                    runs=pa.array(runs, pa.list_(_RUN)), items=pa.array(items, pa.list_(pa.int64())))
 
     return docs.mapInArrow(run, SCHEMA)
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text",
-              item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, n_words, n_hit, runs, items) of every document. ``id`` should be
-    unique when the items need several blocks."""
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = [_find_block(rows, b, window) for b in _item_blocks(items, item_id, item_text, block_words)]
-    if not parts:
-        return _find_block(rows, [], window)
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
+def _find_all(docs: DataFrame, packed: DataFrame, blocks: list[int], window: int) -> DataFrame:
+    """The hits of all blocks, a row for each row of (row, id, text), whose ``row``
+    is unique and stored. One block at a time is read, sent and given up again."""
+    every = None
+    for k in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(_block(packed, k))
+        found = _find_block(docs, shared, window)
         # a block without a hit adds nothing to a document but its first part
-        every = every.unionAll(p.where("n_hit > 0"))
+        found = common.stored(found if every is None else found.where("n_hit > 0"), "hits")
+        shared.destroy()
+        every = found if every is None else every.unionAll(found)
     merge = F.udf(lambda runs: _merge_runs(runs), T.ArrayType(T._parse_datatype_string(f"struct<{RUN}>")))
-    grouped = every.groupBy("id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"),
+    grouped = every.groupBy("row").agg(
+        F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = grouped.withColumn("runs", F.when(F.size("runs") > 1, merge("runs")).otherwise(F.col("runs")))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
-    return merged.select("id", "n_words", n_hit.alias("n_hit"), "runs", "items")
+    return merged.select("row", "id", "n_words", n_hit.alias("n_hit"), "runs", "items")
+
+
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text",
+              item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, n_words, n_hit, runs, items) of every document row."""
+    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    packed, blocks = _stored_blocks(items, item_id, item_text, window, block_words)
+    if len(blocks) > 1:
+        rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        return _find_all(rows, packed, blocks, window).drop("row")
+    shared = docs.sparkSession.sparkContext.broadcast(_block(packed, blocks[0]) if blocks else [])
+    return _find_block(rows, shared, window).drop("row")
 
 
 def _merge_runs(runs: list) -> list:
@@ -261,26 +300,26 @@ def _merge_runs(runs: list) -> list:
     return [tuple(r) for r in out]
 
 
-def cut_text(text: bytes, automata: list[SuffixAutomaton], coverage: float) -> bytes | None:
+def _cut_runs(text: bytes, runs: list[dict]) -> bytes:
+    at, keep = 0, []
+    for r in runs:
+        keep.append(text[at:r["start"]])
+        at = r["end"]
+    return b"".join([*keep, text[at:]])
+
+
+def cut_text(text: bytes, automaton: SuffixAutomaton, coverage: float) -> bytes | None:
     """The text without its hit spans; None if more than the share ``coverage`` of
     its words is hit. Cutting goes on until nothing is hit: what stood before
     and after a span may together be a window."""
     first = True
     while True:
-        hits, n = [], 0
-        for a in automata:
-            h, _, n = match(text, a)
-            hits += h
-        hits = _merge(hits)
+        hits, _, n = match(text, automaton)
         if first and sum(z - a for a, z in hits) > coverage * n:
             return None
         if not hits:
             return text
-        first, at, keep = False, 0, []
-        for r in _runs(text, hits):
-            keep.append(text[at:r["start"]])
-            at = r["end"]
-        text = b"".join([*keep, text[at:]])
+        first, text = False, _cut_runs(text, _runs(text, hits))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.5,
@@ -288,16 +327,61 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
                   block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns, without their hit spans, and without the
     documents of which more than the share ``coverage`` of the words is hit. A changed
-    text gets its new length in the column ``n_chars``, if there is one. Items
-    beyond one broadcast block are handled block after block, each pass on what
-    the one before left."""
+    text gets its new length in the column ``n_chars``, if there is one. The result
+    is the same however many blocks the items need."""
     at, columns = docs.columns.index(text), docs.columns
     ids = items.select(F.lit(None).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    for block in _item_blocks(ids, "item_id", "text", block_words):
-        docs = _cut_block(docs, block, window, coverage, at, columns.index(n_chars) if n_chars in columns else None)
+    packed, blocks = _stored_blocks(ids, "item_id", "text", window, block_words)
+    if len(blocks) > 1:
+        return _cut_all(docs, packed, blocks, window, coverage, text, n_chars)
+    if blocks:
+        length_at = columns.index(n_chars) if n_chars in columns else None
+        docs = _cut_block(docs, _block(packed, blocks[0]), window, coverage, at, length_at)
     return docs
 
 
+def _cut_all(docs: DataFrame, packed: DataFrame, blocks: list[int], window: int, coverage: float, text: str,
+             n_chars: str) -> DataFrame:
+    """Coverage and cuts by the hits of all blocks together; changed texts are
+    searched again until nothing is hit in them."""
+    # the columns in one struct, so that none of them meets a name of this module
+    whole = common.stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    texts = whole.select("row", F.lit(None).cast("long").alias("id"), F.col("doc").getField(text).alias("text"))
+    schema = pa.schema([("row", pa.int64()), ("text", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, "text"):
+            yield common.out_batch(schema, row=b.column(0), text=[
+                _cut_runs(t, runs).decode() for t, runs in zip(common.text_bytes(b.column(1)), b.column(2).to_pylist())])
+
+    gone, rounds = None, []
+    while True:
+        hits = common.stored(_find_all(texts, packed, blocks, window).where("n_hit > 0")
+                             .select("row", "n_words", "n_hit", "runs"), "hits")
+        if gone is None:
+            too_many = F.col("n_hit") > F.lit(coverage) * F.col("n_words")
+            gone, hits = hits.where(too_many).select("row"), hits.where(~too_many)
+        if hits.isEmpty():
+            break
+        changed = common.stored(texts.join(hits, "row").select("row", "text", "runs")
+                                .mapInArrow(cut, "row long, text string"), "changed")
+        rounds.append(changed.withColumn("round", F.lit(len(rounds))))
+        texts = changed.select("row", F.lit(None).cast("long").alias("id"), "text")
+    kept = whole.join(gone, "row", "left_anti")
+    if not rounds:
+        return kept.select("doc.*")
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionAll(r)
+    last = every.groupBy("row").agg(F.max_by("text", "round").alias("new"))
+    new, out = F.col("new"), []
+    for f in docs.schema.fields:
+        old = F.col("doc").getField(f.name)
+        changed = {text: new, n_chars: F.length(new)}.get(f.name)
+        out.append((old if changed is None else F.when(new.isNotNull(), changed.cast(f.dataType)).otherwise(old)).alias(f.name))
+    return kept.join(last, "row", "left").select(*out)
+
+
 def _cut_block(docs: DataFrame, block: list, window: int, coverage: float, at: int, length_at: int | None) -> DataFrame:
     shared, name = docs.sparkSession.sparkContext.broadcast(block), docs.columns[at]
 
@@ -305,7 +389,7 @@ def _cut_block(docs: DataFrame, block: list, window: int, coverage: float, at: i
         automaton = SuffixAutomaton(shared.value, window)
         for b in common.blocks(batches, name):
             old = b.column(at).to_pylist()
-            new = [None if t is None else cut_text(t.encode(), [automaton], coverage) for t in old]
+            new = [None if t is None else cut_text(t.encode(), automaton, coverage) for t in old]
             stays = [t is None or n is not None for t, n in zip(old, new)]
             texts = [None if n is None else n.decode() for n in new]
             arrays = list(b.columns)

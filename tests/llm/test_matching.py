@@ -59,6 +59,25 @@ def test_hits_like_brute_force(spark, block_words):
             assert not brute_hits(kept[k], items, 4)[1] or block_words == 15
 
 
+def test_many_blocks_decide_like_one(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    items = [(k, text(rng.choice([3, 5, 9, 40]))) for k in range(8)] + [(20, "p q r s"), (21, "t u v w")]
+    docs = [(k % 7 if k % 5 else None, text(rng.randint(0, 40)) + rng.choice(["", " x p q r s y t u v w z"])) for k in range(60)]
+    # 40 % by each of two blocks; a cut of one item's span that joins the words of another
+    docs += [(100, "p q r s o t u v w o"), (101, "o o o o o o o t u p q r s v w"), (100, None), (None, None), (None, "p q r s")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    rows = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in docs], "doc_id long, text string, n_chars int, row string")
+    order = lambda rows: sorted(map(str, rows))
+    one, many = (order(op5.find_hits(rows, frame, window=4, block_words=b).collect()) for b in (200_000, 15))
+    assert one == many and len(many) == len(docs)
+    one, many = (op5.decontaminate(rows, frame, window=4, coverage=0.6, block_words=b) for b in (200_000, 15))
+    assert many.schema == one.schema and order(many.collect()) == order(one.collect())
+    kept = [(r.doc_id, r.text) for r in many.collect()]
+    assert 100 not in {i for i, t in kept if t} and sum(t is None for _, t in kept) == 2
+    assert all(not brute_hits(t, items, 4)[1] for _, t in kept) and all(r.n_chars == len(r.text or "") for r in many.collect())
+
+
 def test_hits_of_odd_and_no_rows(spark):
     items = spark.createDataFrame([(1, "one two three"), (None, "déjà vu")], "item_id long, text string")
     got = op5.find_hits(docs_of(spark, ODD), items).collect()
