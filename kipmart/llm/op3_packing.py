@@ -6,11 +6,13 @@ partition packs its own by best-fit decreasing and certifies its bin count with
 a lower bound from dual feasible functions (see :func:`lower_bound`). A
 partition whose count meets its bound still gives up its emptiest bin (the rounded-up
 rest of its bound); one with a gap gives up more of its emptiest bins. The
-documents of the given-up bins are exchanged: dealt over a sixteenth of the
-partitions and packed again, until one partition is left, whose bins all stay.
-So the sequences exceed the bound of the whole by little, no task ever
-holds more than ``rows_per_task`` pieces (and far fewer after the first round),
-and the number of rounds grows with the logarithm of the input.
+documents of the given-up bins are counted, dealt over as many partitions as
+``rows_per_task`` asks for, and packed again, until one partition is left, whose
+bins all stay. A round that saves less than ``LEAST_SAVED`` of the bins it got shows
+that its gap is the bound's, not the packing's: from then on a partition gives up
+its emptiest bin only (unless one task can hold all), and all bins stay once
+that brings the partitions down no further. So no task holds more than about
+``rows_per_task`` pieces in any round, whatever the lengths are.
 
 ``token_pieces`` makes the pieces, ``pack`` places any (length) rows, and
 ``sequences`` puts the token ids of the pieces together in their order.
@@ -39,10 +41,11 @@ from kipmart.llm.wordcoder import coder
 
 CAPACITY = 2048
 ROWS_PER_TASK = 50_000
-#: Partitions of a round for each one of the next.
-FOLD = 16
+#: Share of the exchanged bins that a round must save for as many to be exchanged again.
+LEAST_SAVED = 0.01
 #: Emptiest bins given up for each bin over the bound.
 GIVE_UP = 8
+GIVEN = "given up by op3"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                  ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -81,7 +84,9 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """A number of bins that no packing can undercut. ``counts``: number of
     items by length. The largest over all thresholds a of two dual feasible
     functions: lengths over capacity - a count as a whole bin and those under a as
-    nothing; and, for lengths over half, the same with the room they leave."""
+    nothing; and, for lengths over half, the same with the room they leave; and
+    of the rounding functions, by which a length counts as ``floor((k + 1) * length /
+    capacity)`` of k parts of a bin, or as itself if nothing is rounded."""
     size = np.arange(len(counts))
     n, s = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * size)])
     best = -(-int(s[-1]) // capacity)
@@ -93,7 +98,11 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     small = s[np.minimum(half + 1, top)] - s[np.minimum(a, top)]
     spill = np.maximum(0, -(-(small - (middle_n * capacity - middle_s)) // capacity))
     cut = -(-(s[np.minimum(capacity - a + 1, top)] - s[np.minimum(a, top)]) // capacity) + large
-    return max(best, int((large + middle_n + spill).max()), int(cut.max()))
+    best = max(best, int((large + middle_n + spill).max()), int(cut.max()))
+    for k in range(1, 101):
+        parts, rest = np.divmod((k + 1) * size, capacity)
+        best = max(best, -(-int((counts * np.where(rest, parts * (k + 1), parts * k)).sum()) // (k * (k + 1))))
+    return best
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,24 +129,23 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(loads, np.int64)
 
 
-def _place(table: pa.Table, capacity: int, last: bool, prefix: int) -> pa.Table:
-    """One partition's round: sequence_id and offset of each row; null for the
-    rows of the bins that are given up."""
+def _place(table: pa.Table, capacity: int, prefix: int) -> pa.Table:
+    """One partition's round: sequence_id and offset of each row, and whether its
+    bin is kept (0), the emptiest (1) or another one that is given up (2)."""
     lengths = table["length"].to_numpy()
     if len(lengths) and (lengths.min() < 1 or lengths.max() > capacity):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     order = np.argsort(-lengths, kind="stable")
     bins, offsets, loads = best_fit(lengths[order], capacity)
-    keep = np.ones(len(loads), bool)
-    if not last:
-        gap = len(loads) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        emptiest = np.argsort(loads, kind="stable")[:1 + GIVE_UP * gap]
-        keep[emptiest[loads[emptiest] < capacity]] = False
+    given = np.zeros(len(loads), np.int32)
+    gap = len(loads) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    emptiest = np.argsort(loads, kind="stable")[:1 + GIVE_UP * gap]
+    emptiest = emptiest[loads[emptiest] < capacity]
+    given[emptiest[:1]], given[emptiest[1:]] = 1, 2
     seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     seq[order], off[order] = bins, offsets
-    gone = ~keep[seq]
-    return table.append_column("sequence_id", pa.array(prefix + seq, mask=gone)) \
-        .append_column("offset", pa.array(off, mask=gone))
+    return table.append_column("sequence_id", pa.array(prefix + seq)).append_column("offset", pa.array(off)) \
+        .append_column(GIVEN, pa.array(given[seq]))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -145,26 +153,39 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = ROWS_
     written once under ``spark.checkpoint.dir``."""
     pieces = pieces.drop("sequence_id", "offset")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()),
-                           T.StructField("offset", T.LongType())])
-    done, rows, level = None, pieces, 0
+                           T.StructField("offset", T.LongType()), T.StructField(GIVEN, T.IntegerType())])
+    done, rows, level, before, wide = None, pieces, 0, None, True
     tasks = max(1, -(-rows.count() // rows_per_task))
+    given, first = F.col(f"`{GIVEN}`"), (F.col("offset") == 0).cast("long")  # one row of each bin
     while True:
-        last, n = tasks == 1, level
+        n = level
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
             got = [b for b in batches if b.num_rows]
             if got:
                 table = pa.Table.from_batches(got)
-                yield from _place(table, capacity, last, (n << 56) + (TaskContext.get().partitionId() << 32)) \
+                yield from _place(table, capacity, (n << 56) + (TaskContext.get().partitionId() << 32)) \
                     .combine_chunks().to_batches()
 
         placed = common.stored(rows.repartition(tasks).mapInArrow(run, schema), f"packed-{level}")
-        kept = placed.where(F.col("sequence_id").isNotNull())
+        bins, emptiest, bins_emptiest, left, bins_left = (x or 0 for x in placed.agg(
+            F.sum(first), F.sum((given == 1).cast("long")), F.sum(F.when(given == 1, first)),
+            F.sum((given > 0).cast("long")), F.sum(F.when(given > 0, first))).first())
+        if before is not None and before - bins < LEAST_SAVED * before:
+            wide = False
+        all_fit = left <= rows_per_task
+        if not (wide or all_fit):
+            left, bins_left = emptiest, bins_emptiest
+        n_next = -(-left // rows_per_task)
+        # with the emptiest bins only, ever fewer partitions must be left
+        last = tasks == 1 or not left or not wide and n_next >= tasks
+        stays = F.lit(True) if last else given == 0 if wide or all_fit else given != 1
+        kept = placed.where(stays).drop(GIVEN)
         done = kept if done is None else done.unionAll(kept)
         if last:
             return done
-        rows, tasks, level = placed.where(F.col("sequence_id").isNull()).select(*pieces.columns), -(-tasks // FOLD), level + 1
+        rows, tasks, before, level = placed.where(~stays).select(*pieces.columns), n_next, bins_left, level + 1
 
 
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from helpers import ODD, SF, docs_of
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kipmart.llm import common
@@ -116,6 +117,30 @@ def test_packing(spark, rows_per_task):
     assert sure["lower_bound"] <= sure["sequences"] <= sure["lower_bound"] + 2
 
 
+def test_rounding_bounds():
+    assert op3.lower_bound(np.bincount([700, 800, 900, 1000] * 50, minlength=2049), 2048) == 100
+    assert op3.lower_bound(np.bincount([1024] * 9, minlength=2049), 2048) == 5
+
+
+@pytest.mark.parametrize("kind", ["two a bin", "third copies", "small"])
+def test_no_task_gets_more_than_its_rows(spark, monkeypatch, kind):
+    rng = np.random.RandomState(6)
+    lengths = {"two a bin": rng.randint(700, 1001, 3000),
+               "third copies": np.where(np.arange(3000) % 3 == 0, 700, rng.randint(300, 1001, 3000)),
+               "small": rng.randint(1, 60, 3000)}[kind]
+    frame = spark.createDataFrame([(i, int(k)) for i, k in enumerate(lengths)], "doc_id long, length long")
+    sizes = []
+    keep = common.stored
+    monkeypatch.setattr(op3.common, "stored", lambda df, name: sizes.append((df.groupBy(F.spark_partition_id()).count().agg(
+        F.max("count")).first()[0])) or keep(df, name))
+    rows = op3.pack(frame, rows_per_task=200).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(rows.doc_id) == list(range(3000))
+    total = rows.groupby("sequence_id").length
+    assert total.sum().max() <= 2048 and (rows.offset == total.cumsum() - rows.length).all()
+    assert max(sizes) <= 240  # dealt in turn by each source partition, so not to the row
+    assert total.ngroups <= len(op3.best_fit(np.sort(lengths)[::-1], 2048)[2]) * 1.02 + 1
+
+
 def test_pieces_and_sequences_of_odd_texts(spark):
     tok = library("word_bpe_49k.json")
     pieces = common.stored(op3.token_pieces(docs_of(spark, ODD), with_ids=True), "pieces")
