@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kipmart.llm import common
 from kipmart.llm.op1_token_output import op1_token_output
 from kipmart.llm.op10_neighbour_graph import op10_neighbour_graph
+from kipmart.llm import op11_importance_resampling as op11
+from kipmart.llm import op12_source_divergence as op12
+from kipmart.llm import op13_secret_scan as op13
 from kipmart.llm.op2_toxicity import op2_toxicity
 from kipmart.llm.op3_packing import op3_packing
 from kipmart.llm.op4_language_id import op4_language_id
@@ -39,6 +42,9 @@ _ALL: dict[str, Query] = {
     "op8_jaccard_join": op8.op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_neighbour_graph": op10_neighbour_graph,
+    "op11_importance_resampling": op11.op11_importance_resampling,
+    "op12_source_divergence": op12.op12_source_divergence,
+    "op13_secret_scan": op13.op13_secret_scan,
 }
 
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
@@ -47,4 +53,7 @@ QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": op5.ORACLE,
     "op8_jaccard_join": op8.ORACLE,
+    "op11_importance_resampling": op11.ORACLE,
+    "op12_source_divergence": op12.ORACLE,
+    "op13_secret_scan": op13.ORACLE,
 }

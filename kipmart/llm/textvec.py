@@ -95,6 +95,12 @@ def words(buffer: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD) -> W
     return Words(start, end, range_hash(buffer, start, end), np.searchsorted(start, offsets))
 
 
+def bounds(buffer: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the words of every text, without hashes."""
+    start, end = _edges(kind[buffer], offsets)
+    return start, end, np.searchsorted(start, offsets)
+
+
 def letter_groups(buffer: np.ndarray, offsets: np.ndarray, size: int,
                   bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the ``size`` bytes from each place, in ``bits`` bits; whether
