@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from kipmart import oracle, registry
 from kipmart.sources.adapter import RAW_TABLES
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle.oracle_sql()
 
 
 def _norm(v):
@@ -43,6 +44,10 @@ def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(ORACLE) <= set(QUERIES)
 
 
+def test_entry_has_every_shop_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["month", "revenue", "cost", "profit"]

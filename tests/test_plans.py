@@ -5,12 +5,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from kipmart import registry
 from kipmart.operators import reports as R
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
+QUERIES = registry.queries()
 
 
 def _plan(df, mode="formatted"):
