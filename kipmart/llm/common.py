@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import posixpath
 import tempfile
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from kipmart.session import ensure_checkpoint_dir
 
 #: Text handled at a time inside a task; only a longer single text is handled alone.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
+#: Blocks of the tokenizing operators, which hash each distinct piece once a block.
+TOKEN_BLOCK_BYTES = 1 << 22
 
 
 _shipped: set[str] = set()
@@ -67,14 +70,6 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_stored(df: DataFrame) -> None:
-    """Delete what :func:`stored` wrote for this DataFrame, once it is used up."""
-    spark = df.sparkSession
-    for f in {posixpath.dirname(x) for x in df.inputFiles()}:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def parallelism(spark: SparkSession) -> int:
     """Tasks for steps that Spark would not size by itself."""
     return max(spark.sparkContext.defaultParallelism,
@@ -119,6 +114,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str,
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +139,12 @@ def list_values(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def release() -> None:
-    """Give memory that Arrow holds for later back to the system."""
+    """Give memory that Arrow and the C library hold for later back to the
+    system: Python workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def out_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -60,7 +60,7 @@ def append_end(ids: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tupl
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json",
                  end_id: int | None = 0, id: str = "doc_id", text: str = "text",
-                 block_bytes: int = common.BLOCK_BYTES) -> None:
+                 block_bytes: int = common.TOKEN_BLOCK_BYTES) -> None:
     """Encode every document and write the token files under ``path``."""
     from pyspark import TaskContext
 

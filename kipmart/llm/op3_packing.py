@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacit
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(common.vocabulary(vocabulary))
-        for b in common.blocks(batches, "text"):
+        for b in common.blocks(batches, "text", common.TOKEN_BLOCK_BYTES):
             ids, offs = append_end(*code.encode(*common.text_buffer(b.column(1))), end_id)
             size = np.diff(offs)
             n = -(-size // capacity)  # a document without any id has no piece

@@ -26,7 +26,7 @@ OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.in
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id: str = "doc_id",
-                 text: str = "text", block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
+                 text: str = "text", block_bytes: int = common.TOKEN_BLOCK_BYTES) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row's whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

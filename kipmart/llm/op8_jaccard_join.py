@@ -259,7 +259,7 @@ def search_leaves(klass: np.ndarray, points: np.ndarray, start: np.ndarray, size
     for s in np.unique(size):
         i, j = np.triu_indices(s, 1)
         base = start[size == s]
-        for part in np.array_split(base, 1 + len(base) * len(i) // 50_000):
+        for part in np.array_split(base, 1 + len(base) * len(i) // 12_000):
             a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
             other = klass[a] != klass[b]
             a, b = a[other], b[other]

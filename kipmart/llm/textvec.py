@@ -25,16 +25,21 @@ INK = np.ones(256, bool)
 INK[[9, 10, 11, 12, 13, 32]] = False
 _EXACT_BYTE = np.random.RandomState(17).randint(1, 1 << 62, 256).astype(np.uint64)
 _BYTE = _EXACT_BYTE[LOWER]
+KEEP_POWERS = 1 << 22
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int, which: int) -> np.ndarray:
-    """Powers 0 to n of the odd multiplier, or of its inverse, modulo 2**64."""
-    if len(_powers[which]) <= n:
-        step = np.full(max(n, 1 << 20) + 1, (_ODD, _INVERSE)[which], np.uint64)
+    """Powers 0 to n of the odd multiplier, or of its inverse, modulo 2**64; kept
+    for blocks of usual size, not for a single very long text."""
+    powers = _powers[which]
+    if len(powers) <= n:
+        step = np.full(n + (n >> 3) + 1, (_ODD, _INVERSE)[which], np.uint64)
         step[0] = 1
-        _powers[which] = np.cumprod(step, dtype=np.uint64)
-    return _powers[which][:n + 1]
+        powers = np.cumprod(step, dtype=np.uint64)
+        if n <= KEEP_POWERS:
+            _powers[which] = powers
+    return powers[:n + 1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
