@@ -70,6 +70,28 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A table under ``spark.checkpoint.dir`` that grows by whole results. It is
+    read as one scan however many were added, so rounds that read it share
+    their plans' generated code."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.paths, self.schema = spark, temp_path(spark, name), [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes ``df``; gives what was added."""
+        self.paths.append(f"{self.root}/{len(self.paths)}")
+        self.schema = df.schema
+        df.write.parquet(self.paths[-1])
+        return self._read(self.paths[-1:])
+
+    def all(self) -> DataFrame | None:
+        return self._read(self.paths) if self.paths else None
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks for steps that Spark would not size by itself."""
     return max(spark.sparkContext.defaultParallelism,

@@ -39,7 +39,6 @@ hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -455,21 +454,20 @@ def _all_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, perc
     hubs = found.join(degree, "node").groupBy("token").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     star = found.join(hubs, "token").where("hub <> node") \
         .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    links, tested, sets, reach = [], [], [], REACH
-    pairs = common.stored(_bounded(star.distinct(), nodes, percent), "pairs")
+    spark = docs.sparkSession
+    links, tested, sets, reach = *(common.Growing(spark, n) for n in ("links", "pairs", "sets")), REACH
+    pairs = tested.add(_bounded(star.distinct(), nodes, percent))
     while True:
         if not pairs.isEmpty():
-            tested.append(pairs)
             ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            for s in sets:
-                ends = ends.join(s.select("node"), "node", "left_anti")
+            if sets.paths:
+                ends = ends.join(sets.all().select("node"), "node", "left_anti")
             ids = common.stored(nodes.select("node", "id").join(ends, "node").select("id").distinct(), "ids")
-            sets.append(common.stored(sets_of(docs, ids, k), "sets"))
-            links.append(common.stored(verify(pairs, _union(sets), percent), "links"))
+            sets.add(sets_of(docs, ids, k))
+            links.add(verify(pairs, sets.all(), percent))
         # classes so far; of the buckets, only those with several classes and,
         # after the first search, with pairs that were not named yet
-        some = [x for x in links if not x.isEmpty()]
-        klass = common.stored(classes(_union(some)), "klass") if some else None
+        klass = common.stored(classes(links.all()), "klass") if links.paths and not links.all().isEmpty() else None
         members = found if klass is None else found.join(klass, "node", "left")
         members = members.withColumn("klass", F.coalesce("klass", "node") if klass is not None else F.col("node"))
         open_ = members.groupBy("token").agg(F.min("klass").alias("lo"), F.max("klass").alias("hi")).where("lo <> hi")
@@ -479,17 +477,11 @@ def _all_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, perc
         found = members.join(named.where("cut is not null").select(F.col("cut").alias("token")).distinct(), "token") \
             .select("token", "node")
         fresh = named.where("a is not null").select("a", "b").distinct()
-        for t in tested:
-            fresh = fresh.join(t, ["a", "b"], "left_anti")
-        pairs = common.stored(fresh, "pairs")
+        pairs = tested.add(fresh.join(tested.all(), ["a", "b"], "left_anti"))
         if pairs.isEmpty() and named.where("cut is not null").isEmpty():
             break
         reach *= 4
-    return _union(links) if links else None
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionAll, parts)
+    return links.all()
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

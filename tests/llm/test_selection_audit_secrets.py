@@ -50,6 +50,16 @@ def test_secret_scan_is_native(spark):
     assert not re.search(r"Python|Pandas|Arrow|Exchange", plan)
 
 
+@pytest.mark.parametrize("name", [*NEW, "op1_token_output", "op5_decontamination", "op6_token_counts"])
+def test_plans_have_no_cross_join_or_row_udf(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", plan)
+    # windows: by group of sources, or over one row for each part
+    for line in plan.splitlines():
+        if "windowspecdefinition" in line:
+            assert re.search(r"windowspecdefinition\((lang#\d+, source#|part#|__pid#)", line), line
+
+
 # ---- operator 11
 
 def test_range_crc32():
