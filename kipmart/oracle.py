@@ -459,6 +459,47 @@ from {OTP_LATEST} o
 left join (select phone, max(attempted_at) as at from {OTP_CHECKED} c where valid group by phone) v
   on v.phone = o.phone
 """)
+# in the order of events: per attempt the newest request of its phone, then whoever
+# matched that request's code first
+OTP_AS_OF = f"""(
+  with r as (select {NOBLANK.format(c='phone')} as p, trim(otp) as code, requested_at, seq as code_seq from otp_requests),
+  a as (select seq, {NOBLANK.format(c='phone')} as phone, otp, attempted_at from otp_attempt_log),
+  n as (select a.*, r.code_seq, r.code, r.requested_at,
+               row_number() over (partition by a.seq order by r.requested_at desc, r.code_seq desc) as back
+        from a left join r on r.p = a.phone and r.p <> '' and r.requested_at <= a.attempted_at),
+  m as (select *, coalesce(length(trim(otp)) = 6 and trim(otp) = code and attempted_at < requested_at + interval 5 minute, false) as ok
+        from n where back = 1)
+  select seq, phone, otp, attempted_at, code_seq,
+         ok and not exists (select 1 from m e where e.ok and e.code_seq = m.code_seq
+                            and (e.attempted_at < m.attempted_at or (e.attempted_at = m.attempted_at and e.seq < m.seq))) as valid
+  from m)"""
+q("otp_attempts_as_of", ["otp_requests", "otp_attempt_log"],
+  f"select seq, phone, otp, {TS('attempted_at')} as attempted_at, code_seq, valid from {OTP_AS_OF} t")
+q("otps_after_log", ["otp_requests", "otp_attempt_log"], f"""
+select phone, otp, {TS('requested_at + interval 5 minute')} as expires_at
+from (select {NOBLANK.format(c='phone')} as phone, otp, requested_at, seq from otp_requests) r
+where phone <> '' and not exists (
+    select 1 from (select {NOBLANK.format(c='phone')} as p, requested_at as t, seq as s from otp_requests) l
+    where l.p = r.phone and (l.t > r.requested_at or (l.t = r.requested_at and l.s > r.seq)))
+  and seq not in (select code_seq from {OTP_AS_OF} t where valid)
+""")
+q("otp_tokens_checked", ["otp_requests", "otp_attempt_log", "token_attempts"], f"""
+select * from (
+  with arm as (
+    select {DIGITS.format(c='phone')} as p, requested_at as t, 0 as kind, seq as s, requested_at + interval 5 minute as until, null as token
+    from otp_requests
+    union all
+    select {DIGITS.format(c='phone')}, attempted_at, 1, seq, attempted_at + interval 10 minute, 'T' || seq from {OTP_AS_OF} o where valid),
+  a as (select seq, {DIGITS.format(c='phone')} as phone, trim(token) as token, attempted_at from token_attempts),
+  e as (select a.*, (select arg_max(until, (t, kind, s)) from arm where p = a.phone and t <= a.attempted_at) as until,
+               (select arg_max(s, (t, s)) from arm where p = a.phone and t <= a.attempted_at and kind = 1) as issue_seq
+        from a),
+  m as (select e.*, coalesce(phone <> '' and e.token = 'T' || issue_seq and until > attempted_at, false) as ok from e)
+  select seq, phone, token, {TS('attempted_at')} as attempted_at, issue_seq,
+         ok and not exists (select 1 from m x where x.ok and x.issue_seq = m.issue_seq
+                            and (x.attempted_at < m.attempted_at or (x.attempted_at = m.attempted_at and x.seq < m.seq))) as valid
+  from m) t
+""")
 q("known_phone_requests", ["otp_requests", "shop_members"], f"""
 select seq, phone from (select seq, {DIGITS.format(c='phone')} as phone from otp_requests) r
 where length(phone) >= 8 and phone in (select phone from shop_members)
@@ -708,6 +749,65 @@ select {I('(select max(id) from shop_categories) + row_number() over (order by s
 from done where op = 'insert')
 """)
 
+# ------------------------------------------------------------------ one log of order changes
+# The plain fold: an order's events one by one; its lines are a map.
+_LINE_T = "map(bigint, struct(q bigint, price decimal(15,2), product bigint, pre bigint))"
+_MOVES_T = "struct(product bigint, d bigint)[]"
+ORDER_FOLD = f"""(with recursive e as (
+    select *, row_number() over (partition by coalesce(nullif(order_id, 0), seq // 1000000) order by seq) as i,
+           coalesce(nullif(order_id, 0), seq // 1000000) as own, coalesce(quantity, 1) as n
+    from order_log),
+  fold as (
+    select o.id, o.status, 0::bigint as i, null::bigint as items, false as touched,
+           coalesce(l.m, map {{}}::{_LINE_T}) as m, []::{_MOVES_T} as moves, 0::bigint as seq, '' as op, null::varchar as reason
+    from shop_orders o left join (
+      select order_id, map_from_entries(list({{'k': id, 'v': {{'q': quantity, 'price': price, 'product': product_id, 'pre': is_preorder}}}}))::{_LINE_T} as m
+      from shop_items group by order_id) l on l.order_id = o.id
+    union all
+    select s.id,
+      case when s.reason is not null or s.op not in ('cancel', 'status') then s.status when s.op = 'cancel' then 'cancelled' else s.new_status end,
+      s.i, case when s.reason is null and s.op in ('edit', 'delete')
+                then cast(trunc(coalesce(list_sum([x.value.q * x.value.price for x in map_entries(s.m2)]), 0)) as bigint) else s.items end,
+      s.touched or (s.reason is null and s.op in ('edit', 'delete')), s.m2,
+      case when s.reason is not null then s.moves
+           when s.op = 'cancel' then list_concat(s.moves, [{{'product': x.value.product, 'd': x.value.q}} for x in map_entries(s.m)])
+           when s.op = 'delete' and s.m[s.item_id].pre = 0 then list_append(s.moves, {{'product': s.m[s.item_id].product, 'd': s.m[s.item_id].q}})
+           else s.moves end,
+      s.seq, s.op, s.reason
+    from (
+      select g.*, case when reason is not null then g.m
+                       when op = 'edit' and g.m[item_id].q is not null then map_concat(g.m, map([item_id],
+                         [{{'q': n, 'price': g.m[item_id].price, 'product': g.m[item_id].product, 'pre': g.m[item_id].pre}}]))::{_LINE_T}
+                       when op = 'delete' then map_from_entries(list_filter(map_entries(g.m), lambda x: x.key <> item_id))::{_LINE_T}
+                       else g.m end as m2
+      from (
+        select f.id, f.status, e.i, f.items, f.touched, f.m, f.moves, e.seq, e.op, e.item_id, e.n, e.status as new_status,
+          case when e.op in ('edit', 'delete') and (coalesce(e.item_id, 0) = 0 or coalesce(e.order_id, 0) = 0) then 'missing data'
+               when e.op = 'edit' and e.n < 1 then 'missing data'
+               when e.op = 'delete' and f.m[e.item_id].q is null then 'not found'
+               when e.op = 'cancel' and e.order_id = 0 then 'missing id'
+               when e.op = 'cancel' and coalesce(f.status, '') <> 'pending' then 'not pending' end as reason
+        from fold f join e on e.own = f.id and e.i = f.i + 1) g) s)
+  select * from fold)"""
+_FOLDED = f"(select * from {ORDER_FOLD} a qualify row_number() over (partition by id order by i desc) = 1)"
+_LOG = ["order_log", "shop_orders", "shop_items"]
+q("order_log_replayed", _LOG, f"""
+select f.id, f.status, f.items as items_total,
+       {M('case when touched then f.items + cast(trunc(coalesce(o.shipping_fee, 0)) as bigint) else o.total_amount end')} as total_amount
+from {_FOLDED} f join shop_orders o using (id)
+""")
+q("order_log_lines", _LOG, f"""
+select x.key as id, f.id as order_id, {I('x.value.q')} as quantity from {_FOLDED} f, unnest(map_entries(f.m)) t(x)
+""")
+q("order_log_stock", [*_LOG, "shop_products"], f"""
+select p.id, {I('p.stock + coalesce(d.n, 0)')} as stock from shop_products p left join (
+  select x.product as id, sum(x.d) as n from {_FOLDED} f, unnest(f.moves) t(x) group by x.product) d using (id)
+""")
+q("order_log_rejected", _LOG, f"""
+select seq, op, reason from {ORDER_FOLD} a where reason is not null
+union all select seq, op, 'not found' from order_log where op = 'cancel' and order_id not in (select id from shop_orders)
+""")
+
 # ------------------------------------------------------------------ carts
 # Window restatement of the fold (different from the aggregate plan in Spark).
 _LINE = "partition by cart_id, product_id, color"
@@ -735,6 +835,32 @@ CART_REPLAY = f"""(
   from qty q join price p using (cart_id, product_id, color))"""
 q("cart_replay", ["cart_events"],
   f"select cart_id, product_id, color, {I('qty')} as qty, {M('price')} as price from {CART_REPLAY} r")
+# the plain fold: events of a cart one by one, its lines in a map
+q("cart_running", ["cart_events"], f"""
+select * from (with recursive e as (
+    select cart_id, seq, action, product_id, coalesce(color, '') as color, qty, cast(price as decimal(20,2)) as price,
+           cast(product_id as varchar) || '|' || coalesce(color, '') as line,
+           row_number() over (partition by cart_id order by seq) as i
+    from cart_events),
+  fold as (
+    select cart_id, 0::bigint as seq, '' as action, null::bigint as product_id, null::varchar as color, ''::varchar as line,
+           0::bigint as i, map {{}}::map(varchar, struct(q bigint, p decimal(20,2))) as m from e where i = 1
+    union all
+    select e.cart_id, e.seq, e.action, e.product_id, e.color, e.line, e.i,
+      case when e.action = 'clear' then map {{}}::map(varchar, struct(q bigint, p decimal(20,2)))
+           when e.action = 'add' then map_concat(m, map([e.line],
+             [{{'q': coalesce(m[e.line].q, 0) + e.qty, 'p': coalesce(m[e.line].p, e.price)}}]))
+           when e.action = 'set' and e.qty >= 1 then
+             case when m[e.line].q is null then m else map_concat(m, map([e.line], [{{'q': e.qty, 'p': m[e.line].p}}])) end
+           else map_from_entries(list_filter(map_entries(m), lambda x: x.key <> e.line)) end
+    from fold join e on e.cart_id = fold.cart_id and e.i = fold.i + 1),
+  pieces as (select *, [{{'n': case when x.value.q <> 0 then x.value.q else 1 end, 'p': x.value.p}} for x in map_entries(m)] as l from fold where i > 0)
+  select cart_id, seq, action, case when action <> 'clear' then product_id end as product_id,
+         case when action <> 'clear' then color end as color,
+         case when action <> 'clear' then m[line].q end as qty, case when action <> 'clear' then {M('m[line].p')} end as price,
+         {I("coalesce(list_sum([x.n for x in l]), 0)")} as count, {M("coalesce(list_sum([x.n * x.p for x in l]), 0)")} as total
+  from pieces) t
+""")
 q("cart_totals", ["cart_events"], f"""
 select cart_id, {I('sum(case when qty is null or qty = 0 then 1 else qty end)')} as count,
        {M('sum(price * case when qty is null or qty = 0 then 1 else qty end)')} as total from {CART_REPLAY} r group by cart_id

@@ -17,6 +17,7 @@ from kipmart.operators import cart as K
 from kipmart.operators import catalog as C
 from kipmart.operators import changes as U
 from kipmart.operators import members as M
+from kipmart.operators import orderlog as L
 from kipmart.operators import orders as O
 from kipmart.operators import reports as R
 from kipmart.plans.wire import as_json, to_wire
@@ -125,6 +126,15 @@ register("latest_otp_per_phone", _otps)
 register("otp_attempts_checked", _checked)
 register("otps_remaining", lambda T: M.otps_remaining(_otps(T), _checked(T)))
 register("otps_rearmed", lambda T: M.otps_rearmed(_otps(T), _checked(T)))
+
+def _as_of(T):
+    return T.derived("otp_as_of", lambda T: M.otp_attempts_as_of(T.table("otp_requests"), T.table("otp_attempt_log")))
+
+
+register("otp_attempts_as_of", _as_of)
+register("otps_after_log", lambda T: M.otps_after_log(T.table("otp_requests"), _as_of(T)))
+register("otp_tokens_checked", lambda T: M.otp_tokens_checked(
+    T.table("otp_requests"), M.otp_tokens_issued(_as_of(T)), T.table("token_attempts")))
 register("known_phone_requests",
          lambda T: M.known_phone_requests(T.table("otp_requests"), T.members).select("seq", "phone"))
 register("new_phone_requests",
@@ -152,6 +162,14 @@ def _delete(T):
     return T.derived("delete", lambda T: U.delete_items(T, T.table("chg_item_delete")))
 
 
+def _log(T):
+    return T.derived("order_log_replayed", lambda T: L.replay_order_log(T, T.table("order_log")))
+
+
+register("order_log_replayed", lambda T: _log(T)["orders"])
+register("order_log_lines", lambda T: _log(T)["items"].select("id", "order_id", "quantity"))
+register("order_log_stock", lambda T: _log(T)["products"].select("id", "stock"))
+register("order_log_rejected", lambda T: _log(T)["rejected"])
 register("orders_with_shipping_defaults", U.orders_with_shipping_defaults)
 register("order_totals_recomputed", U.order_totals_recomputed)
 register("order_total_mismatch", U.order_total_mismatch)
@@ -195,6 +213,7 @@ register("categories_after_changes", lambda T: U.categories_after_changes(T, T.t
 
 # carts
 register("cart_replay", lambda T: K.cart_replay(T.table("cart_events")))
+register("cart_running", lambda T: K.cart_running(T.table("cart_events")))
 register("cart_totals", lambda T: K.cart_totals(K.cart_replay(T.table("cart_events"))))
 register("cart_key_slug", lambda T: K.cart_key_slug(K.cart_replay(T.table("cart_events"))))
 register("cart_lines_normalised",

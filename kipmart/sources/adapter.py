@@ -176,6 +176,22 @@ from {shop_items} i join {shop_products} p on p.id = i.product_id
 where p.status = 'inactive'
 """)
 
+# one log: two cancels an order, status changes between them, edits and deletes of
+# lines (some twice, some malformed), all mixed by seq
+_v("order_log", ["shop_orders", "shop_items"], """
+select id * 1000000 + (id % 9) * 1000 + 990 as seq, 'cancel' as op, id as order_id, cast(null as bigint) as item_id,
+       cast(null as bigint) as quantity, cast(null as string) as status from {shop_orders}
+union all select id * 1000000 + (3 + id % 5) * 1000 + 991, 'cancel', id, null, null, null from {shop_orders}
+union all select id * 1000000 + 3992, 'status', id, null, null, 'pending' from {shop_orders} where id % 3 = 0
+union all select id * 1000000 + 5993, 'status', id, null, null, 'confirmed' from {shop_orders} where id % 5 = 0
+union all select id, 'cancel', 1000000000 + id, null, null, null from {shop_orders} where id % 50 = 0
+union all select order_id * 1000000 + (id % 9) * 1000 + (id % 450) * 2, 'edit', case when id % 60 = 0 then 0 else order_id end, id, id % 6, null
+from {shop_items} where id % 4 = 0
+union all select order_id * 1000000 + (id % 8) * 1000 + (id % 450) * 2 + 1, 'delete', order_id, id, null, null
+from {shop_items} where id % 7 = 0
+union all select order_id * 1000000 + 9000 + (id % 450) * 2 + 1, 'delete', order_id, id, null, null from {shop_items} where id % 14 = 0
+""")
+
 _v("chg_status", ["shop_orders"], """
 select id, case id % 3 when 0 then 'confirmed' when 1 then 'cancelled' else 'anything' end as status, id as seq
 from {shop_orders} where status = 'pending'
@@ -224,6 +240,20 @@ select seq, phone,
 from {otp_requests}
 """)
 
+# every attempt, and for most requests one more with their code, typed with a blank
+_v("otp_attempt_log", ["otp_attempts", "otp_requests"], """
+select seq, phone, otp, attempted_at from {otp_attempts}
+union all select seq + 1000000000, concat(' ', phone), otp, requested_at + interval 3 minutes from {otp_requests} where seq % 4 <> 1
+""")
+
+# completions: with the token of that attempt, or a wrong one, after 6 or 11 minutes; twice
+_v("token_attempts", ["otp_attempt_log"], """
+select seq * 2 as seq, phone, case when seq % 5 = 4 then 'T0' else concat(' T', cast(seq as string)) end as token,
+       case when seq % 7 = 3 then attempted_at + interval 11 minutes else attempted_at + interval 6 minutes end as attempted_at
+from {otp_attempt_log}
+union all select seq * 2 + 1, phone, concat('T', cast(seq as string)), attempted_at + interval 8 minutes from {otp_attempt_log}
+""")
+
 # five products a cart, all carts together the whole range of products
 _v("cart_events", ["events", "part"], """
 select user_id as cart_id, event_id as seq, ts,
