@@ -15,6 +15,7 @@ from kipmart import params as P
 from kipmart.functions import text as X
 from kipmart.operators import cart as K
 from kipmart.operators import catalog as C
+from kipmart.operators import categorylog as G
 from kipmart.operators import changes as U
 from kipmart.operators import members as M
 from kipmart.operators import orderlog as L
@@ -211,6 +212,14 @@ register("category_changes_applied",
          lambda T: U.apply_category_changes(T, T.table("chg_categories")).drop("description"))
 register("categories_after_changes", lambda T: U.categories_after_changes(T, T.table("chg_categories")))
 
+
+def _category_log(T):
+    return T.derived("category_log_replayed", lambda T: G.replay_category_log(T, T.table("category_log")))
+
+
+register("category_log_judged", lambda T: _category_log(T)["requests"])
+register("categories_replayed", lambda T: _category_log(T)["categories"])
+
 # carts
 register("cart_replay", lambda T: K.cart_replay(T.table("cart_events")))
 register("cart_running", lambda T: K.cart_running(T.table("cart_events")))

@@ -316,6 +316,16 @@ union all select id * 3 + 10000, 'insert', cast(null as int), description || ' '
 union all select id * 3 + 10001, 'update', id, concat(' Joint ', cast(id % 7 as string)), ' x ' from {shop_categories}
 """)
 
+# the same and then: every category's old name inserted again, every category renamed to
+# the next one's old name, renames and deletes of categories that this log inserts
+_v("category_log", ["chg_categories", "shop_categories"], """
+select seq, op, id, name, description from {chg_categories}
+union all select id * 3 + 20000, 'insert', cast(null as int), name, 'once more' from {shop_categories}
+union all select id * 3 + 20001, 'update', id, concat('Brand#', cast(id + 1 as string)), ' next ' from {shop_categories}
+union all select id * 3 + 30000, 'update', 100 + id % 9, concat('New ', cast(id % 4 as string)), cast(null as string) from {shop_categories}
+union all select id * 3 + 30001, 'delete', 100 + id % 9, cast(null as string), cast(null as string) from {shop_categories} where id % 2 = 0
+""")
+
 _v("carrier_events", ["events"], """
 select user_id, event_id as seq, case event_id % 2 when 0 then 'anousith' else 'houngaloun' end as carrier,
        case when event_type = 'error' then '' else concat('N-', cast(event_id as string)) end as member_number

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kipmart.operators import cart as K
+from kipmart.operators import categorylog as G
 from kipmart.operators import members as M
 from kipmart.operators import orderlog as L
 from kipmart.plans import scan
@@ -303,3 +304,78 @@ def test_order_log_like_a_fold(spark, many_parts, seed):
     want = fold_log(orders, items, products, log)
     assert replay(spark, orders, items, products, log) == want
     assert Counter(r[2] for r in want[3]).keys() >= {"not pending", "not found", "missing data"}
+
+
+class Shop:
+    def __init__(self, spark, categories, used=()):
+        self.categories = spark.createDataFrame(categories, "id int, name string, description string")
+        self.products = spark.createDataFrame([(k, c) for k, c in enumerate(used)], "id long, category_id int")
+
+
+CATEGORY_LOG = "seq long, op string, id int, name string, description string"
+
+
+def trimmed(s):
+    return s.strip(" \t\n\r\0\x0b") if s is not None else None
+
+
+def fold_categories(categories, used, log):
+    table, free, out = {i: (n, d) for i, n, d in categories}, max([0, *[c[0] for c in categories]]) + 1, []
+    key = lambda n: n.rstrip(" ").lower() if n is not None else None
+    for seq, op, i, name, text in sorted(log, key=lambda r: r[0]):
+        taken = [k for k, v in table.items() if name is not None and key(v[0]) == key(name) and (op == "insert" or k != i)]
+        why = None
+        if op in ("insert", "update") and name in (None, "", "0"):
+            why = "name required" if op == "insert" else "missing data"
+        elif op == "update" and not i:
+            why = "missing data"
+        elif op in ("insert", "update") and taken:
+            why = "duplicate name"
+        elif op == "delete":
+            why = "missing id" if not i else "has products" if i in used else None
+        elif op not in ("insert", "update"):
+            why = "unknown op"
+        if not why and op == "insert":
+            table[free], free = (trimmed(name), trimmed(text or "")), free + 1
+        elif not why and op == "update" and i in table:
+            table[i] = (trimmed(name), trimmed(text or ""))
+        elif not why and op == "delete":
+            table.pop(i, None)
+        out.append((seq, why))
+    return sorted(out), table
+
+
+def replay_categories(spark, categories, used, log):
+    got = G.replay_category_log(Shop(spark, categories, used), spark.createDataFrame(log, CATEGORY_LOG))
+    return (sorted((r.seq, r.reason) for r in got["requests"].collect()),
+            {r.id: (r.name, r.description) for r in got["categories"].collect()}, got["rounds"])
+
+
+def test_category_chain_by_hand(spark):
+    table = [(1, "A", ""), (2, "B", ""), (3, "C", None), (4, "c ", "twice in the table")]
+    log = [(1, "update", 1, "B", None),        # B is taken
+           (2, "update", 2, " Bee ", "x "),    # frees B
+           (3, "update", 1, "b  ", None),      # now free
+           (4, "insert", None, "a", "new"),    # and A is, so 5
+           (5, "update", 5, "A", None),        # its own name in capitals
+           (6, "delete", 4, None, None), (7, "update", 3, "C", None),   # the other holder is gone
+           (8, "delete", 3, None, None),       # has products
+           (9, "delete", 5, None, None), (10, "update", 5, "Late", None),  # gone: applied to nothing
+           (11, "insert", None, "late", None), (12, "insert", None, "LATE ", None),
+           (13, "update", 6, "B", None), (14, "delete", 0, None, None), (15, "insert", None, "0", None), (16, "x", 1, "n", None)]
+    reasons, after, rounds = replay_categories(spark, table, [3], log)
+    assert dict(reasons) == {**dict.fromkeys(range(1, 17)), 1: "duplicate name", 8: "has products", 12: "duplicate name",
+                             13: "duplicate name", 14: "missing id", 15: "name required", 16: "unknown op"}
+    assert after == {1: ("b", ""), 2: ("Bee", "x"), 3: ("C", ""), 6: ("late", "")}
+    assert 2 <= rounds <= 8 and (reasons, after) == fold_categories(table, [3], log)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_categories_like_a_fold(spark, many_parts, seed):
+    rng = random.Random(seed)
+    names = ["hot"] * 4 + ["Hot ", " hot", "b", "C", "c", "dd", "", "0", None]
+    table = [(k, rng.choice(["hot", "b", "c", "e", None]), "d") for k in range(1, 7)]
+    log = [(seq, rng.choice(["insert", "update", "update", "delete"]), rng.choice([None, 0, *range(1, 12)]), rng.choice(names),
+            rng.choice([None, " t "])) for seq in range(120)]
+    assert replay_categories(spark, table, [2, 2, 5], log)[:2] == fold_categories(table, [2, 5], log)
+    assert replay_categories(spark, table, [], log[:0])[:2] == ([], {i: (n, d) for i, n, d in table})
