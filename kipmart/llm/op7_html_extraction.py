@@ -1,24 +1,28 @@
 """HTML extraction (operator 7): main text by removal of site templates.
 
 1. *Trees.* Each page is read into a tree of elements, tolerant of missing end
-   tags (:data:`CLOSES`, :data:`VOID`). Elements that never hold article text
-   (scripts, styles, forms, menus, ... and those whose class, id or role names
-   such a part) are left out. Inside an article a class or id must name the part
-   as a whole, and headings and inline elements stay whatever theirs are.
-2. *Templates.* Every remaining block element is hashed by its tag and its text,
-   inside an ``article`` (or ``main``) by its place too; Spark counts on how
-   many pages of a host, of different main texts, each hash stands. Subtrees
-   that recur on many of them (``least_pages``, and the share ``least_share``,
-   inside articles ``least_share_inside``) are the host's template and are
-   deleted on every page. Inside an article a passage that is quoted here and
-   there stays, as its place or its share tells it from the template; so do
-   recurring headings, cells and terms, and articles that recur for the most
-   part (series, near copies).
-3. *Text.* Character references are decoded, white space inside a block becomes
-   one space, blocks are joined in page order by a line feed. The result is what
-   the template left. Beside articles, blocks that are mostly links are left
-   out, and where the host has no known template, all that is shorter than the
-   articles is.
+   tags (:data:`CLOSES`, :data:`VOID`). Only what a browser shows no text of
+   (scripts, styles, controls) is left out at once.
+2. *Templates.* Every block element, menus and footers too, is hashed by its tag
+   and its text, inside an ``article`` (or ``main``) by its place too; Spark counts
+   on how many pages of a host, of different main texts, each hash stands. Subtrees
+   that recur on ``least_pages`` and a share ``least_share`` of them, or on
+   ``many_pages`` however large the host (inside articles on ``least_share_inside``),
+   are the host's template and are deleted on every page. Inside an article a
+   passage that is quoted here and there stays, as its place or its share tells it
+   from the template; so do recurring headings, cells and terms, and articles that
+   recur for the most part (series, near copies).
+3. *Names.* Of what the template left, parts that differ from page to page
+   (adverts, comments), and all side parts of hosts with few pages, are told by
+   their names. Menus, asides, footers and hidden elements go. A class or id that
+   names a side part as a whole goes unless it holds an article and most of the
+   page's text; one that only has such a word in it, and a form, unless it holds an
+   article or most of the text. Inside an article a class or id must name the
+   part as a whole, and headings and inline elements stay whatever theirs are.
+4. *Text.* Character references are decoded, white space inside a block becomes
+   one space, blocks are joined in page order by a line feed. Beside articles,
+   blocks that are mostly links are left out, and where the host has no known
+   template, all that is shorter than the articles is.
 
 The hashes of a page are few (block elements) and carry no text, so counting
 shuffles little; the recurring hashes come back to the pages by a join on host
@@ -65,10 +69,11 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
           "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
           "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
           "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"})}
+#: Without text of the page's own.
+LEAVE_OUT = {"audio", "button", "canvas", "datalist", "embed", "head", "iframe", "input", "link", "map", "meta",
+             "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title", "video"}
 #: Never part of the article.
-LEAVE_OUT = {"aside", "audio", "button", "canvas", "datalist", "dialog", "embed", "footer", "form", "head", "iframe",
-             "input", "link", "map", "menu", "meta", "nav", "noscript", "object", "script", "search", "select", "style",
-             "svg", "template", "textarea", "title", "video"}
+SIDE_TAGS = {"aside", "dialog", "footer", "menu", "nav", "search"}
 #: Words of a class, id or role that name a part which is not the article.
 SIDE_PARTS = {"ad", "ads", "adsense", "advert", "advertisement", "adverts", "alert", "banner", "breadcrumb",
               "breadcrumbs", "comment", "comments", "commentlist", "complementary", "contentinfo", "cookie", "cookies",
@@ -88,7 +93,12 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
 #: Recur in one place of an article (section titles, cells, terms) without being a template's.
 LABELS = HEADINGS | {"caption", "dd", "dt", "figcaption", "li", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
-LEAST_PAGES, LEAST_SHARE, LEAST_SHARE_INSIDE = 5, 0.05, 0.5
+LEAST_PAGES, LEAST_SHARE, LEAST_SHARE_INSIDE, MANY_PAGES = 5, 0.05, 0.5, 50
+#: So many template hashes of all hosts are sent to all executors; more are joined.
+MOST_SHARED = 1_000_000
+#: What an element's names say: nothing; a word of a side part; a side part as a whole;
+#: a side part whatever it holds.
+PLAIN, WORD, WHOLE, ALWAYS = range(4)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 #: One attribute; read from left to right, so nothing inside a value is taken for a name.
@@ -102,7 +112,7 @@ _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 class Element:
     tag: str
     parent: "Element | None" = None
-    side: bool = False  # names itself a part that is not the article
+    side: int = PLAIN
     children: list = field(default_factory=list)
 
 
@@ -126,22 +136,23 @@ def _names_side_part(token: str) -> bool:
     return bool(side) and all(w in SIDE_PARTS or w in FURNITURE for w in words) and (len(words) > 1 or not side <= AMBIGUOUS)
 
 
-def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in LEAVE_OUT or tag == "header" and not in_main:
-        return True
+def _side(tag: str, attributes: str, in_main: bool) -> int:
+    if tag in SIDE_TAGS or tag == "header" and not in_main:
+        return ALWAYS
+    by_tag = WORD if tag == "form" and not in_main else ALWAYS if tag == "form" else PLAIN
     if tag in ("body", "html") or not attributes or attributes.isspace():
-        return False
+        return by_tag
     values = _attributes(attributes)
-    if "hidden" in values or values.get("aria-hidden") == "true":
-        return True
-    if not SIDE_PARTS.isdisjoint(values.get("role", "").split()):
-        return True
+    if "hidden" in values or values.get("aria-hidden") == "true" or not SIDE_PARTS.isdisjoint(values.get("role", "").split()):
+        return ALWAYS
     names = [values[n] for n in ("class", "id") if n in values]
+    whole = any(_names_side_part(token) for value in names for token in value.split())
     if in_main or tag in MAIN:
         # text of the article: a heading, a word or a link is no part by its name
-        return tag not in HEADINGS and tag not in INLINE and tag != "main" and \
-            any(_names_side_part(token) for value in names for token in value.split())
-    return any(not SIDE_PARTS.isdisjoint(_NAME.findall(value)) for value in names)
+        return ALWAYS if whole and tag not in HEADINGS and tag not in INLINE and tag != "main" else by_tag
+    if whole:
+        return WHOLE
+    return max(by_tag, WORD if any(not SIDE_PARTS.isdisjoint(_NAME.findall(value)) for value in names) else PLAIN)
 
 
 def parse(page: str) -> Element:
@@ -183,7 +194,7 @@ def parse(page: str) -> Element:
                     at = node.parent
                 node = node.parent
         new = Element(tag, at)
-        new.side = _is_side(tag, m[3], _inside_main(at))
+        new.side = _side(tag, m[3], _inside_main(at))
         at.children.append(new)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
@@ -243,7 +254,7 @@ def layout(root: Element) -> Layout:
                 in_link.append(len(child.strip()))
         elif child.tag == "br" or child.tag == "hr":
             flush()
-        elif not child.side:
+        elif child.tag not in LEAVE_OUT and not (child.side and child.tag in INLINE):
             if child.tag not in INLINE:
                 flush()
             links += child.tag == "a"
@@ -298,21 +309,19 @@ def candidates(page: Layout) -> list[tuple[tuple[int, ...], bool, int, int]]:
     return out
 
 
-def _in_article(page: Layout) -> bytearray:
+def _in_article(page: Layout, but: bytearray) -> bytearray:
+    """The blocks of articles, ``but`` for those."""
     mark = bytearray(len(page.texts))
     for node, first, last in page.spans:
         if node.tag in MAIN:
             mark[first:last] = b"\1" * (last - first)
-    return mark
+    return bytearray(a & ~b for a, b in zip(mark, but))
 
 
-def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
-    """The page's text without the subtrees that the host's template has."""
-    page = layout(root)
-    article = _in_article(page)
-    gone = bytearray(len(page.texts))
+def _of_template(page: Layout, template: frozenset[int], article: bytearray) -> bytearray:
+    """The blocks that the host's template has."""
+    gone, own = bytearray(len(page.texts)), bytearray(len(page.texts))
     if template:
-        own = bytearray(len(page.texts))
         for hashes, inside, first, last in candidates(page):
             if not template.isdisjoint(hashes):
                 (own if inside else gone)[first:last] = b"\1" * (last - first)
@@ -320,7 +329,38 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
         # an article that recurs for the most part is a series or a copy, not a template
         if 2 * sum(compress(size, own)) <= sum(compress(size, article)):
             gone = bytearray(a | b for a, b in zip(gone, own))
-    left = [i for i in range(len(page.texts)) if not gone[i]]
+    return gone
+
+
+def _by_name(page: Layout, gone: bytearray) -> bytearray:
+    """The blocks of parts that are none of the article by their names, outer
+    parts first; ``gone`` blocks count for nothing."""
+    size = [0 if g else len(t) for t, g in zip(page.texts, gone)]
+    total, mark = sum(size), bytearray(len(page.texts))
+    holds = [first for node, first, _ in page.spans if node.tag in MAIN]
+    holds.sort()
+    for node, first, last in reversed(page.spans):  # an element stands after what it holds
+        if not node.side or mark[first]:
+            continue
+        k = bisect_left(holds, first)
+        article = k < len(holds) and holds[k] < last
+        most = 2 * sum(size[first:last]) > total
+        if node.side == ALWAYS or not (article and most if node.side == WHOLE else article or most):
+            mark[first:last] = b"\1" * (last - first)
+    return mark
+
+
+def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
+    """The page's text without the subtrees that the host's template has, and
+    without what is a side part by its name."""
+    return "\n".join(_main_blocks(layout(root), template))
+
+
+def _main_blocks(page: Layout, template: frozenset[int]) -> list[str]:
+    gone = _of_template(page, template, _in_article(page, _by_name(page, bytearray(len(page.texts)))))
+    named = _by_name(page, gone)
+    article = _in_article(page, named)
+    left = [i for i in range(len(page.texts)) if not gone[i] and not named[i]]
     if any(article):
         beside = [i for i in left if not article[i] and not page.linked[i]]
         held = [i for i in left if article[i]]
@@ -328,13 +368,13 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
         # that outweighs the articles, which are teasers then
         length = lambda at: sum(len(page.texts[i]) for i in at)
         left = sorted(held + beside) if template or length(beside) > length(held) else held
-    return "\n".join(page.texts[i] for i in left)
+    return [page.texts[i] for i in left]
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
     """(host, inside, hash, text) of the candidates of (url, html) pages, once a
-    page; ``text`` is the hash of its articles' text, or of all where it has none.
-    Rows with a null hash stand for the page, and for its articles."""
+    page; ``text`` is the hash of its main text as far as names tell it. Rows with
+    a null hash stand for the page, and for its articles."""
     schema = pa.schema([("host", pa.string()), ("inside", pa.bool_()), ("hash", pa.int64()), ("text", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,35 +382,34 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
             hosts, insides, hashes, texts = [], [], [], []
             for url, html in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
                 page = layout(parse(html))
-                article = _in_article(page)
+                article = any(node.tag in MAIN for node, _, _ in page.spans)
                 own = {(inside, h) for found, inside, _, _ in candidates(page) for h in found} | {(False, None)}
-                if any(article):
+                if article:
                     own.add((True, None))
                 hosts += [host_of(url)] * len(own)
                 insides += [inside for inside, _ in own]
                 hashes += [h for _, h in own]
-                texts += [_hash(*(compress(page.texts, article) if any(article) else page.texts))] * len(own)
+                texts += [_hash(*_main_blocks(page, frozenset()))] * len(own)
             yield common.out_batch(schema, host=hosts, inside=insides, hash=hashes, text=texts)
 
     return pages.select("url", "html").mapInArrow(run, "host string, inside boolean, hash long, text long")
 
 
 def templates(hashes: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE,
-              least_share_inside: float = LEAST_SHARE_INSIDE) -> DataFrame:
+              least_share_inside: float = LEAST_SHARE_INSIDE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(host, hashes) of the subtrees that recur on many pages of a host. Pages of
-    one text count once, as copies say nothing about what surrounds the text. A
-    template has a bounded number of subtrees: each is on the share
-    ``least_share`` of the host's pages at least."""
+    one text count once, as copies say nothing about what surrounds the text."""
     counts = hashes.distinct().groupBy("host", "inside", "hash").agg(F.count("*").alias("n"))
     n_pages = counts.where("hash is null").select("host", "inside", F.col("n").alias("pages"))
-    share = F.when(F.col("inside"), F.lit(least_share_inside)).otherwise(F.lit(least_share))
+    enough = F.when(F.col("inside"), least_share_inside * F.col("pages")) \
+        .otherwise(F.least(least_share * F.col("pages"), F.lit(float(many_pages))))
     often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(n_pages, ["host", "inside"]) \
-        .where(F.col("n") >= share * F.col("pages"))
+        .where(F.col("n") >= enough)
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html",
-            least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+            least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, most_shared: int = MOST_SHARED) -> DataFrame:
     """(id, url, text) of every page."""
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     found = common.stored(templates(subtree_hashes(rows), least_pages, least_share), "templates")
@@ -378,7 +417,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     # executors only if they are few, else joined
     n = found.agg(F.sum(F.size("hashes"))).first()[0] or 0
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    if n <= 1_000_000:
+    if n <= most_shared:
         shared = pages.sparkSession.sparkContext.broadcast(
             {r["host"]: frozenset(r["hashes"]) for r in found.toLocalIterator()})
 

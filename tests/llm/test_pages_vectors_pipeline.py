@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,77 @@ def test_template_goes_inside_articles_and_leaves_text_beside(spark):
     assert got[400] == "Teaser\nThe body of the page stands beside it"
 
 
+TEXT = "A long enough text of the page itself that says what the page is about."
+
+
+@pytest.mark.parametrize("html,text", [
+    # names with a word of a side part hold the article, or most of the text
+    (f'<div class="layout has-sidebar"><article><p>{TEXT}</p></article><div class="sidebar">links</div></div>', TEXT),
+    (f'<div id="content" class="no-sidebar"><p>{TEXT}</p></div><footer>foot</footer>', TEXT),
+    (f'<div class="post related-science"><p>{TEXT}</p></div>', TEXT),
+    (f'<div class="search-results"><p>{TEXT}</p><div class="ads">buy</div></div>', TEXT),
+    (f'<form action="/x"><div><p>{TEXT}</p></div><input value="v"><button>Go</button></form>', TEXT),
+    (f'<div id="sidebar-wrapper"><article><p>{TEXT}</p></article></div><nav>menu</nav>', TEXT),
+    # side parts stay out however much they hold
+    (f'<article><p>{TEXT}</p></article><div class="comments"><p>{TEXT * 3}</p></div>', TEXT),
+    (f'<article><p>{TEXT}</p><div class="comment-list"><p>{TEXT * 3}</p></div></article>', TEXT),
+    (f'<p>{TEXT}</p><aside><article><p>{TEXT * 3}</p></article></aside>', TEXT),
+    (f'<p>{TEXT}</p><div hidden><p>{TEXT * 3}</p></div>', TEXT),
+    (f'<p>{TEXT}</p><form class="search"><label>Find</label></form>', TEXT)])
+def test_names_of_wrappers(html, text):
+    assert op7.main_text(op7.parse(html)) == text
+
+
+def site(rng, hosts=4, pages=60):
+    """Pages with menus, teasers and footers under neutral names, quoted passages and few-page hosts."""
+    word = lambda n: " ".join(rng.choice(["on", "the", "red", "fox", "sea", "old", "ink"]) + str(rng.randint(0, 99)) for _ in range(n))
+    quote, rows = word(20), []
+    for h in range(hosts):
+        menu, foot = word(5), word(8)
+        for k in range(pages if h else 3):
+            body = "".join(f"<p>{word(15)}</p>" for _ in range(rng.randint(1, 4))) + (f"<p>{quote}</p>" if k % 4 == 0 else "")
+            inner = f"<article><h1>{word(4)}</h1>{body}</article>" if h % 2 else f"<div class=x>{body}</div>"
+            rows.append((len(rows), f"http://h{h}.org/{k}", f"<div class=top><ul><li>{menu}</li></ul></div>{inner}"
+                         f"<div class=low>{foot}</div><nav>{menu}</nav>"))
+    return rows + [(9000, None, "<p>x</p>"), (9001, "", None), (9002, "http://h1.org/z", rows[-1][2])]
+
+
+def test_templates_like_a_plain_counter(spark):
+    rows = site(random.Random(3))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    seen, pages = {}, {}
+    for _, url, html in rows:
+        page, host = op7.layout(op7.parse(html or "")), op7.host_of(url)
+        own = tuple(op7.main_text(op7.parse(html or "")).split("\n"))
+        with_article = any(n.tag in op7.MAIN for n, _, _ in page.spans)
+        for inside in {False, with_article}:
+            pages.setdefault((host, inside), set()).add(own)
+        for found, inside, _, _ in op7.candidates(page):
+            for x in found:
+                seen.setdefault((host, inside, x), set()).add(own)
+    want = {}
+    for (host, inside, x), texts in seen.items():
+        n = len(pages[host, inside])
+        if len(texts) >= 5 and len(texts) >= (0.5 * n if inside else min(0.05 * n, 50)):
+            want.setdefault(host, set()).add(x)
+    got = {r.host: set(r.hashes) for r in op7.templates(op7.subtree_hashes(frame)).collect()}
+    assert got == want and set(got) == {"h1.org", "h2.org", "h3.org"}
+    # the template decides: what has no telling name goes on hosts with enough pages
+    text = {r.id: r.text for r in op7.extract(frame).collect()}
+    named = {i: op7.main_text(op7.parse(h or "")) for i, _, h in rows}
+    changed = [i for i, u, _ in rows if text[i] != named[i]]
+    assert changed and all(op7.host_of(u) == "h2.org" for i, u, _ in rows if i in changed and i != 9002)
+    assert all("<" not in t for t in text.values())
+    joined = {r.id: (r.url, r.text) for r in op7.extract(frame, most_shared=0).collect()}
+    assert joined == {i: (u, text[i]) for i, u, _ in rows}
+
+
+def test_a_template_does_not_grow_with_the_host(spark):
+    hashes = [("h", False, None, k) for k in range(3000)] + [("h", False, 7, k) for k in range(60)] + [("h", False, 8, k) for k in range(40)]
+    found = op7.templates(spark.createDataFrame(hashes, "host string, inside boolean, hash long, text long")).collect()
+    assert [(r.host, r.hashes) for r in found] == [("h", [7])]
+
+
 def test_pages_are_the_documents_they_show(spark):
     pages = {r.id: r.text for r in op7.extract(common.read(spark, SF, "pages")).collect()}
     texts = {" ".join(r.text.split()) for r in common.read(spark, SF, "documents").collect()}
