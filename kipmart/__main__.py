@@ -27,6 +27,7 @@ def main(argv=None) -> int:
     r.add_argument("--out", required=True)
     r.add_argument("--format", default="parquet", choices=["parquet", "json", "csv"])
     r.add_argument("--master", default=None)
+    r.add_argument("--profile", default="local", choices=["local", "cluster"])
     e = sub.add_parser("explain")
     e.add_argument("key")
     e.add_argument("--data", required=True)
@@ -38,7 +39,7 @@ def main(argv=None) -> int:
         for k in sorted(qs):
             print(k)
         return 0
-    spark = build_session(a.master)
+    spark = build_session(a.master, profile=getattr(a, "profile", "local"))
     if a.cmd == "explain":
         qs[a.key](spark, a.data).explain("formatted")
         return 0

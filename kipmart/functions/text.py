@@ -64,8 +64,9 @@ def decode_colors(x) -> Column:
     """JSON list; else a JSON object's values; else a comma list with
     blanks trimmed and empty/'0' items dropped; falsy → empty list."""
     c = _c(x)
-    as_list = F.from_json(c, "array<string>")
-    as_map = F.map_values(F.from_json(c, "map<string,string>"))
+    first = F.left(F.ltrim(c), F.lit(1))  # only what looks like JSON is parsed as such
+    as_list = F.when(first == "[", F.from_json(c, "array<string>"))
+    as_map = F.when(first == "{", F.map_values(F.from_json(c, "map<string,string>")))
     parts = F.filter(F.transform(F.split(c, ","), lambda s: php_trim(s)),
                      lambda s: ~s.isin("", "0"))
     return (F.when(is_falsy(c), F.array().cast("array<string>"))

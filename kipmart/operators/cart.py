@@ -14,10 +14,11 @@ so it is computed with grouped aggregates and key joins instead of a window
 over each cart: the line's state after the last "kill" (clear of its cart,
 remove, set < 1) is the first add after it (creation and price), the last set
 after that add, and the adds after that set. Aggregates are partial (map-side),
-and the joins of events with one aggregate row per key are spread
+and in the joins of events with one aggregate row per key hot keys are spread
 (:func:`kipmart.plans.spread.spread_join`), so a cart holding a third of all
-events is dealt over several tasks. The events are read four times (clears,
-kills, live events, adds after a set); no pass sorts them.
+events is dealt over several tasks. The events are read six times: clears, kills,
+live events, adds after a set, and once each to count hot carts and hot lines; no
+pass sorts them. ``cart_running`` gives the state after every event instead.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ LINE = ["cart_id", "product_id", "color"]
 def cart_replay(events: DataFrame) -> DataFrame:
     """Final cart lines: cart_id, product_id, color, qty, price.
 
-    Three passes over the events, each an aggregate joined back by key:
+    Three steps, each an aggregate joined back by key:
 
     1. per cart the last ``clear``; per line the last kill (``remove``,
        ``set`` < 1);
@@ -55,7 +56,7 @@ def cart_replay(events: DataFrame) -> DataFrame:
     cutoff = F.greatest(F.coalesce(F.col("clear_seq"), F.lit(-1)),
                         F.coalesce(F.col("kill_seq"), F.lit(-1)))
     live = ev.filter((act == "add") | ((act == "set") & (F.col("qty") >= 1)))
-    live = spread_join(spread_join(live, clears, ["cart_id"]), kills, LINE)
+    live = spread_join(spread_join(live, clears, ["cart_id"], counted=ev), kills, LINE, counted=ev)
     live = live.withColumn("cut", cutoff).filter(seq > F.col("cut"))
     is_add, is_set = act == "add", act == "set"
     stats = (live.groupBy(*LINE)
@@ -71,7 +72,7 @@ def cart_replay(events: DataFrame) -> DataFrame:
     # a set before the first add hit a missing line (no-op); the last set after it rules
     valid_set = F.col("set_seq") > F.col("first_add")
     reset = stats.filter(valid_set).select(*LINE, "cut", "set_seq")
-    tail = (spread_join(ev.filter(is_add), reset, LINE, "inner")
+    tail = (spread_join(ev.filter(is_add), reset, LINE, "inner", counted=ev)
             .filter((seq > F.col("cut")) & (seq > F.col("set_seq")))
             .groupBy(*LINE).agg(F.sum("qty").alias("tail_qty")))
     out = stats.join(tail, LINE, "left")

@@ -182,14 +182,18 @@ def check_stock(T, requests: DataFrame) -> DataFrame:
     return wanted.join(p, "id").select("request_id", "id", "name", "stock")
 
 
-def stock_check_requests(T) -> DataFrame:
-    """Stock-check requests derived from the incoming order lines: one request
-    per line, whose id text names the product, a zero (dropped) and the
-    product again (duplicates are harmless). No grouping is needed."""
-    pid = F.col("product_id").cast("string")
-    return (T.table("req_order_items")
-            .select(F.concat(F.col("request_id").cast("string"), F.lit("-"), pid).alias("request_id"),
-                    F.concat_ws(",", pid, F.lit("0"), pid).alias("ids")))
+def stock_check_requests(T, most_ids: int = 100) -> DataFrame:
+    """Stock-check requests derived from the incoming orders: one for each order
+    (for every ``most_ids`` of its lines, if it has more), whose id text names its
+    products, a zero (dropped) and its first product again (duplicates are
+    harmless)."""
+    from kipmart.sources.requests import _chunks
+    lines = _chunks(T.table("req_order_items").select("request_id", F.col("product_id").cast("string").alias("id")),
+                    ["request_id"], most_ids)
+    ids = F.array_sort(F.collect_list("id"))
+    return (lines.groupBy("request_id", "chunk").agg(ids.alias("ids"))
+            .select(F.concat(F.col("request_id").cast("string"), F.lit("-"), F.col("chunk").cast("string")).alias("request_id"),
+                    F.concat_ws(",", F.col("ids"), F.lit("0"), F.element_at("ids", 1)).alias("ids")))
 
 
 # ---------------------------------------------------------------- T9 / T10

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from kipmart.functions import text as X
 from kipmart.plans.ids import sequence_number
+from kipmart.plans.materialize import write_temp_table
 from kipmart.plans.spread import spread_join
 from kipmart.plans.upsert import latest_per_key, merge_update, split_valid
 
@@ -173,6 +174,17 @@ def place_orders(T, requests: DataFrame, lines: DataFrame, as_of: _dt.datetime,
             "products": apply_stock(T.products, moves)}
 
 
+def tables_after_placing(T, placed: dict, start_line: int | None = None) -> dict:
+    """The order and line tables after :func:`place_orders`. New lines get ids
+    after the current highest, by order and what they hold. Columns that only the new
+    rows have are NULL in the old ones."""
+    lines = placed["lines"]
+    order = [F.col(c) for c in ("order_id", "product_id", "quantity", "price", "is_preorder")]
+    return {"orders": T.orders.unionByName(placed["orders"].drop("request_id"), allowMissingColumns=True),
+            "items": T.items.unionByName(sequence_number(lines, order, _next_id(T.items, start_line), "id"),
+                                         allowMissingColumns=True)}
+
+
 # ----------------------------------------------------------------------- O3
 def cancel_orders(T, requests: DataFrame, mode: str = "reference") -> dict:
     """O3: customer cancels. A request is applied when the order exists and is
@@ -425,7 +437,8 @@ def categories_after_changes(T, changes: DataFrame, start_id: int | None = None)
     """The category table after the applied requests. Renames take the
     highest ``seq`` per category, a deleted category is gone whatever else was
     asked of it, inserts get ids after the current highest in request order."""
-    done = apply_category_changes(T, changes).filter(F.col("status") == "applied")
+    # judged once; renames, deletes and inserts read the result
+    done = write_temp_table(apply_category_changes(T, changes).filter(F.col("status") == "applied"), "kipmart-judged")
     renames = latest_per_key(done.filter(F.col("op") == "update").select("id", "name", "description", "seq"), ["id"])
     base = with_defaults(T.categories, {"description": ("string", None)}).select("id", "name", "description")
     kept = merge_update(base, renames, ["id"], ["name", "description"]) \

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kipmart.functions import text as X
+from kipmart.operators.changes import with_defaults
 from kipmart.plans.materialize import write_temp_table
 from kipmart.plans.scan import asof_join, running_last, sorted_parts
 from kipmart.plans.upsert import latest_per_key, upsert
@@ -172,14 +173,31 @@ def new_phone_requests(requests: DataFrame, members: DataFrame) -> DataFrame:
     return r.join(members.select("phone"), "phone", "left_anti")
 
 
+UPSERTED = ["shipping_company", "member_number"]
+
+
 def members_upserted(members: DataFrame, changes: DataFrame, start_id: int | None = None) -> DataFrame:
     """Upsert by unique phone. Known phones get the latest carrier and
     member number; unknown phones are inserted with new ids, numbered in the
     order of their first request after the current highest id. Requests without
-    a phone are refused."""
+    a phone are refused. If the requests have ``changed_at``, ``updated_at`` is the time
+    of the last one that changed something: inserted the row, or set a value
+    other than the one that stood then (requests in ``seq`` order)."""
     ch = changes.withColumn("phone", X.phone_no_blanks(F.col("phone"))).filter(F.col("phone") != "")
-    return upsert(members.select("id", "phone", "name", "shipping_company", "member_number"), ch,
-                  ["phone"], ["shipping_company", "member_number"], start_id=start_id)
+    out = upsert(members.select("id", "phone", "name", *UPSERTED), ch, ["phone"], UPSERTED, start_id=start_id)
+    if "changed_at" not in changes.columns:
+        return out
+    base = with_defaults(members, {"updated_at": ("timestamp_ntz", None)}).select("phone", "updated_at", F.struct(*UPSERTED).alias("__base"))
+    values = F.struct(*UPSERTED)
+    given = ch.select("phone", "seq", "changed_at", values.alias("now"))
+    # the request before: places are doubled, so a request looks just before itself
+    seen = asof_join(given.withColumn("at", 2 * F.col("seq") - 1), given.select("phone", (2 * F.col("seq")).alias("at"), "now"),
+                     ["phone"], ["at"], "last").join(base.select("phone", "__base"), "phone", "left")
+    stood = F.coalesce(F.col("last.now"), F.col("__base"))
+    moved = F.when(stood.isNull() | ~stood.eqNullSafe(F.col("now")), F.col("seq"))
+    times = seen.groupBy("phone").agg(F.max_by("changed_at", moved).alias("__at"))
+    return out.join(times, "phone", "left").join(base.select("phone", "updated_at"), "phone", "left") \
+        .select("id", "phone", "name", *UPSERTED, F.coalesce("__at", "updated_at").alias("updated_at"))
 
 
 def member_display_name(members: DataFrame) -> DataFrame:

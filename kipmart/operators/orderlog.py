@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from kipmart.operators.changes import _in_stock, _int, apply_stock, with_defaults
 from kipmart.plans.materialize import write_temp_table
 from kipmart.plans.scan import Maps, asof_join, local_scan, with_carry
+from kipmart.plans.upsert import latest_per_key, merge_update
 
 # What an event makes of a pending order (``p_``) and of another (``o_``): whether it
 # is pending then, and the event that made it so (-1: none, it stays as it was).
@@ -127,12 +128,10 @@ def replay_order_log(T, log: DataFrame) -> dict:
         (F.col("since") < F.col("seq")) & (F.col("end_seq").isNull() | (F.col("end_seq") > F.col("seq"))))
     back = lines.filter(F.col("end_seq").isNotNull() & _in_stock()).withColumn("seq", F.col("end_seq")) \
         .withColumn("why", F.lit("delete"))
-    final = lines.filter(F.col("end_seq").isNull()).withColumn("seq", F.lit(None).cast("bigint")).withColumn("why", F.lit("final"))
-    cols = ["item_id", "order_id", "product_id", "price", "is_preorder", "quantity", "why",
-            F.coalesce("seq", F.lit(2 ** 63 - 1)).alias("at")]
-    edits = edits.join(of_line, "item_id").filter("line_since < at").select("item_id", "at", F.col("quantity").alias("q"))
-    then = asof_join(asks.select(cols).unionByName(back.select(cols)).unionByName(final.select(cols)), edits,
-                     ["item_id"], ["at"], "edit")
+    cols = ["item_id", "order_id", "product_id", "price", "quantity", "why", F.col("seq").alias("at")]
+    edits = write_temp_table(edits.join(of_line, "item_id").filter("line_since < at")
+                             .select("item_id", "at", F.col("quantity").alias("q")), "kipmart-edits")
+    then = asof_join(asks.select(cols).unionByName(back.select(cols)), edits, ["item_id"], ["at"], "edit")
     then = write_temp_table(then.withColumn("quantity", F.coalesce("edit.q", "quantity")).drop("edit"), "kipmart-moments")
     moves = then.filter(F.col("why").isin("cancel", "delete")).select("product_id", F.col("quantity").alias("delta"))
     sums = then.filter(F.col("why") == "total").groupBy("order_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("__sum"))
@@ -144,8 +143,9 @@ def replay_order_log(T, log: DataFrame) -> dict:
         F.col("__items").alias("items_total"),
         F.coalesce((F.col("__items") + _int(F.coalesce("shipping_fee", F.lit(0)))).cast("decimal(15,2)"),
                    F.col("total_amount")).alias("total_amount"))
-    left = then.filter(F.col("why") == "final").select(F.col("item_id").alias("id"), "order_id", "product_id", "quantity", "price",
-                                                       "is_preorder")
+    left = merge_update(T.items.join(ended.withColumnRenamed("item_id", "id"), "id", "left_anti"), latest_per_key(
+        edits.select(F.col("item_id").alias("id"), "at", F.col("q").alias("quantity")), ["id"], seq="at"), ["id"], ["quantity"]) \
+        .select("id", "order_id", "product_id", "quantity", "price", "is_preorder")
     rejected = judged.filter(F.col("reason").isNotNull()).select("seq", "op", "reason")
     for part in (lost, late, gone):
         rejected = rejected.unionByName(part)

@@ -113,3 +113,12 @@ def display_dates(T) -> DataFrame:
 def order_numbers(T) -> DataFrame:
     """O2: the number of every order."""
     return T.orders.select("id", X.order_number(F.col("created_at"), F.col("id")).alias("order_number"))
+
+
+def orders_from_json(encoded: DataFrame, column: str = "json") -> DataFrame:
+    """S4, read back: the columns of order rows that were written as JSON texts."""
+    fields = {"id": "bigint", "order_number": "string", "customer_phone": "string", "total_amount": "decimal(15,2)",
+              "payment_method": "string", "status": "string", "member_id": "bigint", "created_at": "string"}
+    schema = ", ".join(f"{n} {t}" for n, t in fields.items())
+    return encoded.select(F.explode(F.array(F.from_json(F.col(column), schema))).alias("r")).select(
+        *[F.col(f"r.{n}") for n in fields if n != "created_at"], F.left(F.replace(F.col("r.created_at"), F.lit("T"), F.lit(" ")), F.lit(19)).alias("created_at"))

@@ -334,10 +334,14 @@ select p.id as product_id,
 from shop_products p
 """)
 
+q("product_single", ["shop_products", "shop_categories", "shop_product_images"], f"""
+select l.*, g.gallery as images from ({_listing("true")}) l join ({Q['product_gallery'][1]}) g on g.product_id = l.id
+""")
 q("check_stock", ["req_order_items", "shop_products"], f"""
-select distinct cast(r.request_id as varchar) || '-' || cast(r.product_id as varchar) as request_id,
+select distinct cast(r.request_id as varchar) || '-' || cast((n - 1) // 100 as varchar) as request_id,
        p.id, p.name, {I('p.stock')} as stock
-from req_order_items r join shop_products p on p.id = r.product_id
+from (select *, row_number() over (partition by request_id order by cast(product_id as varchar)) as n from req_order_items) r
+join shop_products p on p.id = r.product_id
 where r.product_id <> 0
 """)
 
@@ -511,15 +515,24 @@ where length(phone) >= 8 and phone not in (select phone from shop_members)
 _MEMBER_CH = f"""(select {NOBLANK.format(c='phone')} as phone, arg_max(shipping_company, seq) as sc,
           arg_max(member_number, seq) as mn, min(seq) as first_seq
    from chg_members group by 1)"""
+# what stood before a request: the request before, else the stored row
+_MEMBER_TOUCH = f"""(select phone, arg_max(changed_at, seq) as at from (
+    select c.*, lag(sc) over w as psc, lag(mn) over w as pmn, row_number() over w as n, m.id as known,
+           m.shipping_company as bsc, m.member_number as bmn
+    from (select {NOBLANK.format(c='phone')} as phone, shipping_company as sc, member_number as mn, changed_at, seq from chg_members) c
+    left join shop_members m on m.phone = c.phone window w as (partition by c.phone order by seq)) x
+  where case when n > 1 then sc is distinct from psc or mn is distinct from pmn
+             when known is not null then sc is distinct from bsc or mn is distinct from bmn else true end
+  group by phone)"""
 q("members_upserted", ["shop_members", "chg_members"], f"""
 select m.id, m.phone, m.name,
        case when c.phone is not null then c.sc else m.shipping_company end as shipping_company,
-       case when c.phone is not null then c.mn else m.member_number end as member_number
-from shop_members m left join {_MEMBER_CH} c on c.phone = m.phone
+       case when c.phone is not null then c.mn else m.member_number end as member_number, {TS('t.at')} as updated_at
+from shop_members m left join {_MEMBER_CH} c on c.phone = m.phone left join {_MEMBER_TOUCH} t on t.phone = m.phone
 union all
-select {I('(select max(id) from shop_members) + row_number() over (order by first_seq, phone)')},
-       phone, cast(null as varchar), sc, mn
-from {_MEMBER_CH} c where phone not in (select phone from shop_members)
+select {I('(select max(id) from shop_members) + row_number() over (order by first_seq, c.phone)')},
+       c.phone, cast(null as varchar), sc, mn, {TS('t.at')}
+from {_MEMBER_CH} c left join {_MEMBER_TOUCH} t on t.phone = c.phone where c.phone not in (select phone from shop_members)
 """)
 q("member_display_name", ["shop_members"], """
 select id, case when name is null or name in ('', '0') then phone else name end as display_name from shop_members
@@ -577,9 +590,20 @@ select request_id, id, 'BUN-{_AS_OF_DAY}-' || format('{{:07X}}', id) as order_nu
        'pending' as status, '{_AS_OF_TS}' as created_at
 from {PLACED} p
 """)
+q("orders_after_placing", ["req_orders", "shop_orders"], f"""
+select id, customer_phone, status, {M('total_amount')} as total_amount, {TS('created_at')} as created_at from shop_orders
+union all
+select id, regexp_replace(trim(coalesce(phone, '')), '[^0-9]', '', 'g'), 'pending', {M('it + fee')}, '{_AS_OF_TS}' from {PLACED} p
+""")
 PLACED_LINES = f"""(select p.id as order_id, i.product_id, i.quantity, i.price,
           case when coalesce(cast(i.is_preorder as varchar), '') in ('', '0') then 0 else 1 end as is_preorder
    from req_order_items i join {PLACED} p on p.request_id = i.request_id)"""
+q("items_after_placing", ["req_orders", "req_order_items", "shop_orders", "shop_items"], f"""
+select id, order_id, product_id, quantity, {M('price')} as price, {I('is_preorder')} as is_preorder from shop_items
+union all
+select {I('(select max(id) from shop_items) + row_number() over (order by order_id, product_id, quantity, price, is_preorder)')},
+       order_id, product_id, quantity, {M('price')}, {I('is_preorder')} from {PLACED_LINES} l
+""")
 q("order_lines_placed", ["req_orders", "req_order_items", "shop_orders"], f"""
 select order_id, product_id, quantity, {M('price')} as price, {I('is_preorder')} as is_preorder
 from {PLACED_LINES} l
@@ -933,6 +957,11 @@ select r.request_id, r.name, r.phone, i.product_id, i.quantity as qty, {M('i.pri
        {I('i.is_preorder')} as is_preorder
 from req_orders r join req_order_items i on i.request_id = r.request_id
 """)
+q("orders_as_json", ["shop_orders"], f"""
+select id, order_number, customer_phone, {M('total_amount')} as total_amount, payment_method, status, member_id,
+       {TS('created_at')} as created_at
+from shop_orders
+""")
 q("escaped_text", [], """
 select doc_id, replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
                        '"', '&quot;') as escaped

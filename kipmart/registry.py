@@ -95,7 +95,7 @@ register("product_listing_category",
 register("product_listing_total", C.product_listing_total)
 register("product_gallery", lambda T: C.product_gallery(T).select(
     "product_id", F.array_join("images", "|").alias("gallery")))
-register("product_single", lambda T: C.product_single(T))
+register("product_single", lambda T: C.listing_as_text(C.product_single(T)).withColumn("images", F.array_join("images", "|")))
 register("check_stock", lambda T: C.check_stock(T, C.stock_check_requests(T)))
 register("product_colors", C.product_colors)
 register("product_sizes", C.product_sizes)
@@ -244,7 +244,11 @@ def _parsed_requests(T):
 register("order_requests_parsed", _parsed_requests)
 register("escaped_text", lambda T: T.table("documents").select(
     "doc_id", X.html_escape(F.col("text")).alias("escaped")))
-register("orders_as_json", lambda T: as_json(T.orders), wire=False)
+register("orders_as_json", lambda T: O.orders_from_json(as_json(T.orders)))
+register("orders_after_placing", lambda T: U.tables_after_placing(T, _placed(T))["orders"].select(
+    "id", "customer_phone", "status", "total_amount", "created_at"))
+register("items_after_placing", lambda T: U.tables_after_placing(T, _placed(T))["items"].select(
+    "id", "order_id", "product_id", "quantity", "price", "is_preorder"))
 register("fit_ratio", lambda T: T.table("image_sizes").select(
     "id", X.fit_ratio(F.col("w"), F.col("h")).alias("ratio"),
     X.js_round(F.col("w") * X.fit_ratio(F.col("w"), F.col("h"))).alias("w2"),

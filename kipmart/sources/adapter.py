@@ -210,7 +210,7 @@ union all select id, cast(id % 11 as int), id + 1000000 from {shop_products} whe
 _v("chg_members", ["events"], """
 select concat('020', cast(55000000 + user_id * 20 as string)) as phone,
        case event_id % 2 when 0 then 'anousith' else 'houngaloun' end as shipping_company,
-       concat('M-', cast(event_id as string)) as member_number, event_id as seq
+       concat('M-', cast(event_id - event_id % 3 as string)) as member_number, event_id as seq, ts as changed_at
 from {events} where event_type = 'purchase'
 """)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kipmart.functions import text as X
+from kipmart.plans.ids import number_within
 
 #: Scalars are read as text, whatever their JSON type: the reference takes
 #: ``"qty": "2"`` as well as ``"qty": 2`` and truncates ``25.5`` to 25.
@@ -52,27 +53,30 @@ def _item(c=None):
                     "is_preorder")
 
 
-def order_request_bodies(requests: DataFrame, lines: DataFrame, per: str = "line") -> DataFrame:
+def _chunks(lines: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The lines with ``chunk``: 0 for the first ``most`` of a request, and so on."""
+    numbered = number_within(lines, keys, [F.col(c) for c in lines.columns if c not in keys], "__n")
+    return numbered.withColumn("chunk", F.floor((F.col("__n") - 1) / F.lit(most)).cast("int")).drop("__n")
+
+
+def order_request_bodies(requests: DataFrame, lines: DataFrame, most_items: int = 100) -> DataFrame:
     """Encode request rows and their lines as JSON bodies in the shape the
-    checkout page posts (header fields plus an ``items`` list).
-
-    ``per="line"``: one body per line (an ``items`` list of one) — no grouping,
-    so no body grows with the data. ``per="request"``: one body per request
-    with all its lines nested; use it only where a request's size is bounded
-    (a real checkout body is capped by the web server's upload limit).
-    """
-    if per == "request":
-        items = lines.groupBy("request_id").agg(F.collect_list(_item()).alias("items"))
-        r = requests.join(items, "request_id", "left")
-    else:
-        r = requests.join(lines.select("request_id", F.array(_item()).alias("items")), "request_id")
+    checkout page posts (header fields plus an ``items`` list). A request's
+    lines are one list; one of more than ``most_items`` lines is split over several
+    bodies (a real body is capped by the web server's upload limit), so no body grows
+    with the data. Requests without lines have an empty list."""
+    items = _chunks(lines, ["request_id"], most_items).groupBy("request_id", "chunk").agg(F.collect_list(_item()).alias("items"))
+    r = requests.join(items.drop("chunk"), "request_id", "left")
+    r = r.withColumn("items", F.coalesce("items", F.array().cast(r.schema["items"].dataType)))
     return r.select(F.to_json(F.struct(*[F.col(c) for c in r.columns])).alias("body"))
 
 
 def _parsed(bodies: DataFrame, column: str) -> DataFrame:
+    """(body, r): each body parsed once. The list of one keeps the parse apart
+    from what reads its fields, so the planner does not repeat it for each."""
     body = F.col(column)
-    return bodies.select(body.alias("body"), F.from_json(
-        body, ORDER_REQUEST, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    parsed = F.from_json(body, ORDER_REQUEST, {"columnNameOfCorruptRecord": CORRUPT})
+    return bodies.select(body.alias("body"), F.explode(F.array(parsed)).alias("r"))
 
 
 def _bad() -> Column:

@@ -9,7 +9,7 @@ from kipmart.functions.banners import can_add_slide, normalise_banners
 from kipmart.operators import cart as K
 from kipmart.operators import changes as U
 from kipmart.operators import members as M
-from kipmart.plans.spread import spread_join
+from kipmart.plans.spread import hot_keys, spread_join
 from kipmart.sources.requests import parse_order_requests, rejected_order_requests
 from kipmart.sources.tables import InlineShop
 
@@ -116,16 +116,19 @@ def test_hot_keys_are_dealt_over_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = spread_join(big, small, ["k"])
+        joined = spread_join(big, small, ["k"], rows_per_task=500)
         assert joined.count() == 9000
         per = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).alias("hot")).collect()
         assert max(r.hot for r in per) < 0.75 * 3000 and sum(1 for r in per if r.hot) > 1
+        parts = joined.sparkSession.range(1).select(hot_keys(big, ["k"], 500).alias("m")).first().m
+        assert list(parts.values()) == [7]  # one key of 3,001 rows; the others are left alone
+        assert not spark.range(1).select(hot_keys(big, ["k"]).alias("m")).first().m
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     for how, want in (("inner", 9000), ("left_semi", 9000), ("left_anti", 0)):
-        assert spread_join(big, small, ["k"], how).count() == want
-    assert sorted(tuple(r) for r in spread_join(big, small, ["k"]).select("k", "seq", "n").limit(9000).collect()) == \
+        assert spread_join(big, small, ["k"], how, rows_per_task=500).count() == want
+    assert sorted(tuple(r) for r in spread_join(big, small, ["k"], rows_per_task=500).select("k", "seq", "n").limit(9000).collect()) == \
         sorted(tuple(r) for r in big.join(small, "k").select("k", "seq", "n").collect())
 
 
