@@ -335,12 +335,15 @@ def _of_template(page: Layout, template: frozenset[int], article: bytearray) ->
 def _by_name(page: Layout, gone: bytearray) -> bytearray:
     """The blocks of parts that are none of the article by their names, outer
     parts first; ``gone`` blocks count for nothing."""
+    mark = bytearray(len(page.texts))
+    sides = [span for span in page.spans if span[0].side]
+    if not sides:
+        return mark
     size = [0 if g else len(t) for t, g in zip(page.texts, gone)]
-    total, mark = sum(size), bytearray(len(page.texts))
-    holds = [first for node, first, _ in page.spans if node.tag in MAIN]
-    holds.sort()
-    for node, first, last in reversed(page.spans):  # an element stands after what it holds
-        if not node.side or mark[first]:
+    total = sum(size)
+    holds = sorted(first for node, first, _ in page.spans if node.tag in MAIN)
+    for node, first, last in reversed(sides):  # an element stands after what it holds
+        if mark[first]:
             continue
         k = bisect_left(holds, first)
         article = k < len(holds) and holds[k] < last
@@ -357,8 +360,12 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
 
 
 def _main_blocks(page: Layout, template: frozenset[int]) -> list[str]:
-    gone = _of_template(page, template, _in_article(page, _by_name(page, bytearray(len(page.texts)))))
+    gone = bytearray(len(page.texts))
     named = _by_name(page, gone)
+    if template:
+        gone = _of_template(page, template, _in_article(page, named))
+        if any(gone):
+            named = _by_name(page, gone)
     article = _in_article(page, named)
     left = [i for i in range(len(page.texts)) if not gone[i] and not named[i]]
     if any(article):
