@@ -957,6 +957,13 @@ select r.request_id, r.name, r.phone, i.product_id, i.quantity as qty, {M('i.pri
        {I('i.is_preorder')} as is_preorder
 from req_orders r join req_order_items i on i.request_id = r.request_id
 """)
+q("orders_mixed_versions", ["shop_orders"], f"""
+select id, status, cast(0 as double) as items_total,
+       {M("if(year(created_at) < 1996, 0, shipping_fee)")} as shipping_fee,
+       if(year(created_at) < 1996, null, shipping_company) as shipping_company,
+       if(year(created_at) < 1996, 'transfer', payment_method) as payment_method, {TS('created_at')} as created_at
+from shop_orders
+""")
 q("orders_as_json", ["shop_orders"], f"""
 select id, order_number, customer_phone, {M('total_amount')} as total_amount, payment_method, status, member_id,
        {TS('created_at')} as created_at

@@ -21,8 +21,10 @@ from kipmart.operators import members as M
 from kipmart.operators import orderlog as L
 from kipmart.operators import orders as O
 from kipmart.operators import reports as R
+from kipmart.plans.materialize import write_temp_table
 from kipmart.plans.wire import as_json, to_wire
 from kipmart.sources import requests as S
+from kipmart.sources.layout import mixed_versions
 from kipmart.sources.tables import load_shop
 
 REGISTRY: dict[str, Callable] = {}
@@ -244,6 +246,17 @@ def _parsed_requests(T):
 register("order_requests_parsed", _parsed_requests)
 register("escaped_text", lambda T: T.table("documents").select(
     "doc_id", X.html_escape(F.col("text")).alias("escaped")))
+
+def _mixed_versions(T):
+    """Orders up to 1995 as they were stored before the shipping migration, later ones after it."""
+    early = F.col("created_at") < F.lit("1996-01-01").cast("timestamp_ntz")
+    old = write_temp_table(T.orders.filter(early).drop("shipping_fee", "shipping_company", "payment_method"), "kipmart-v1")
+    new = write_temp_table(T.orders.filter(~early), "kipmart-v2")
+    return mixed_versions([old, new], U.ORDER_DEFAULTS)
+
+
+register("orders_mixed_versions", lambda T: _mixed_versions(T).select(
+    "id", "status", "items_total", "shipping_fee", "shipping_company", "payment_method", "created_at"))
 register("orders_as_json", lambda T: O.orders_from_json(as_json(T.orders)))
 register("orders_after_placing", lambda T: U.tables_after_placing(T, _placed(T))["orders"].select(
     "id", "customer_phone", "status", "total_amount", "created_at"))

@@ -66,3 +66,43 @@ def write_shop(T, path: str, files: dict[str, int] | None = None, mode: str = "o
         else:
             out = df.repartitionByRange(*n, *map(F.col, key)).sortWithinPartitions(*key).write.mode(mode)
         out.parquet(f"{root}/{name}.parquet")
+
+
+def overwrite_touched(spark, path: str, changes, columns: list[str], keys: list[str] | None = None, part: str = MONTH) -> list:
+    """S7 on a table stored by ``part``: overwrite ``columns`` of the rows that
+    ``changes`` (one row per key) names, writing only the folders that hold such a
+    row. Returns these folders' values (a bounded list: one for each month).
+
+    The touched folders' new rows are written apart first, then put in place of
+    those folders alone (dynamic partition overwrite), so other folders keep their
+    files, and a run that is repeated gives the same table."""
+    from kipmart.plans.materialize import write_temp_table
+    from kipmart.plans.upsert import merge_update
+    keys = keys or ["id"]
+    stored = spark.read.parquet(path)
+    touched = [r[0] for r in stored.join(changes.select(*keys), keys, "left_semi").select(part).distinct().collect()]
+    if not touched:
+        return []
+    here = F.col(part).isin([v for v in touched if v is not None])
+    if None in touched:
+        here = F.coalesce(here, F.lit(True))
+    merged = write_temp_table(merge_update(stored.filter(here), changes, keys, columns), "kipmart-touched")
+    (merged.select(stored.columns).repartitionByRange(F.col(part), *map(F.col, keys)).sortWithinPartitions(part, *keys)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path))
+    return sorted(touched, key=lambda v: (v is None, v))
+
+
+def mixed_versions(versions: list, defaults: dict):
+    """One table from tables written before and after a migration. A column that
+    a version lacks gets its declared default there; a stored NULL stays NULL."""
+    from functools import reduce
+
+    from kipmart.operators.changes import with_defaults
+    full = [with_defaults(v, defaults) for v in versions]
+    names = [c for i, v in enumerate(full) for c in v.columns if not any(c in w.columns for w in full[:i])]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), full).select(names)
+
+
+def read_versions(spark, folders: list[str], defaults: dict):
+    """:func:`mixed_versions` of Parquet folders, one for each version."""
+    return mixed_versions([spark.read.parquet(f) for f in folders], defaults)

@@ -379,3 +379,17 @@ def test_categories_like_a_fold(spark, many_parts, seed):
             rng.choice([None, " t "])) for seq in range(120)]
     assert replay_categories(spark, table, [2, 2, 5], log)[:2] == fold_categories(table, [2, 5], log)
     assert replay_categories(spark, table, [], log[:0])[:2] == ([], {i: (n, d) for i, n, d in table})
+
+
+def test_updated_at_moves_on_change(spark):
+    members = spark.createDataFrame([(1, "0201", "n", "a", "1", at(0)), (2, "0202", None, "a", None, at(1)), (3, "0203", None, None, None, None)],
+                                    "id long, phone string, name string, shipping_company string, member_number string, updated_at timestamp_ntz")
+    changes = spark.createDataFrame([
+        ("0201", "a", "1", 1, at(10)),   # nothing new
+        ("0202", "a", None, 2, at(11)), ("0202", "b", None, 3, at(12)), ("0202", "b", None, 4, at(13)),
+        ("02 04", "x", "9", 5, at(14)), ("0204", "x", "9", 6, at(15)),  # inserted, then the same again
+        ("0205", "x", None, 7, at(16)), ("0205", "y", None, 8, at(17)), ("", "z", "z", 9, at(18))],
+        "phone string, shipping_company string, member_number string, seq long, changed_at timestamp_ntz")
+    got = {r.phone: (r.id, r.shipping_company, r.updated_at) for r in M.members_upserted(members, changes).collect()}
+    assert got == {"0201": (1, "a", at(0)), "0202": (2, "b", at(12)), "0203": (3, None, None),
+                   "0204": (4, "x", at(14)), "0205": (5, "y", at(17))}
