@@ -407,6 +407,8 @@ def templates(hashes: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     """(host, hashes) of the subtrees that recur on many pages of a host. Pages of
     one text count once, as copies say nothing about what surrounds the text."""
     counts = hashes.distinct().groupBy("host", "inside", "hash").agg(F.count("*").alias("n"))
+    # few rows, read twice: the pages are parsed once for them
+    counts = common.stored(counts.where(F.col("hash").isNull() | (F.col("n") >= least_pages)), "counts")
     n_pages = counts.where("hash is null").select("host", "inside", F.col("n").alias("pages"))
     enough = F.when(F.col("inside"), least_share_inside * F.col("pages")) \
         .otherwise(F.least(least_share * F.col("pages"), F.lit(float(many_pages))))
