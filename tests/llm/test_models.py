@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -136,3 +137,46 @@ def test_words_of_a_block():
     w = textvec.words(np.frombuffer(data, np.uint8), offs)
     assert [data[a:z].decode() for a, z in zip(w.start, w.end)] == ["Ab", "c", "c", "ab", "é", "E"]
     assert w.counts.tolist() == [2, 0, 2, 2] and w.hash[0] == w.hash[3] and w.hash[1] == w.hash[2]
+
+
+def language_by_hand(model, text):
+    """Votes and margins of one text by plain loops."""
+    data = text.encode()
+    total = [0.0] * len(model.slopes)
+    for g in op4._groups(np.frombuffer(data, np.uint8), np.array([0, len(data)])):
+        for place in range(len(data)):
+            for k in range(len(total)):
+                total[k] += float(model.weights[g[place], k])
+    p = [1 / (1 + math.exp(-min(max(t / max(len(data), 1) * s, -30), 30))) for t, s in zip(total, model.slopes)]
+    nf = len(model.families)
+    family = max(range(nf), key=lambda f: (total[f], -f))
+    own = [x for x in model.languages if op4.family_of(x) == model.families[family]]
+    votes, sure = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0)
+    for (a, b), q in zip(model.pairs, p[nf:]):
+        if a in own:
+            votes[a if q >= 0.5 else b] += 1
+            sure[a] += q / (len(own) - 1)
+            sure[b] += (1 - q) / (len(own) - 1)
+    if len(own) == 1:
+        sure[own[0]] = 1.0
+    best = max(own, key=lambda x: (votes[x] + 1e-3 * sure[x], -own.index(x)))
+    return best, p[family] / max(sum(p[:nf]), 1e-12) * sure[best]
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_language_votes_like_plain_loops(tied):
+    rng = np.random.RandomState(5)
+    languages = ["de", "en", "es", "fr", "it", "nl", "xx"]
+    families = sorted({op4.family_of(x) for x in languages})
+    pairs = [(a, b) for a, b in itertools.combinations(languages, 2) if op4.family_of(a) == op4.family_of(b)]
+    n = len(families) + len(pairs)
+    weights = (np.zeros if tied else lambda s: rng.randn(*s))(((1 << op4.BITS) + 1, n)).astype(np.float32)
+    weights[-1] = 0
+    model = op4.LanguageModel(languages, families, pairs, weights, rng.rand(n) * 3 + 0.1)
+    texts = ["".join(rng.choice(list("abc éñ日 X"), rng.randint(1, 60))) for _ in range(60)] + ["", "a", "ab", "x" * 3000]
+    buffer = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    lang, score = model.predict(buffer, offsets)
+    for t, i, s in zip(texts, lang, score):
+        want, sure = language_by_hand(model, t)
+        assert languages[i] == want and abs(s - sure) < 1e-6, t
