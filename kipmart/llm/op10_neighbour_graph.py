@@ -1,19 +1,29 @@
 """Approximate nearest neighbours (operator 10): NN-descent, greedy graph search.
 
-*Build.* Vectors are scaled to length 1. A start graph comes from a few random
-directions: rows in the order of their projection are cut into blocks of
-``block`` rows, inside which each takes its nearest (a block matrix product).
-Then NN-descent: each round joins every node with its neighbours and (the
-nearest) reverse neighbours, compares the members of each such neighbourhood
-with each other, and gives each member the better of them. Rounds end when the
-sum of all similarities hardly grows, or after ``rounds``.
-
-*Search.* Queries start from their own neighbours in the graph and walk
-greedily: each round expands the best ``beam`` unexpanded candidates of each
-query by a join with the graph, scores their neighbours, and keeps the best
-``pool`` candidates; it ends when no query has a better unexpanded candidate.
+*Nodes.* Equal vectors are one node, whatever their number; a node is expanded
+to its rows of the smallest ids at the end. So a group of copies takes no room
+in neighbour lists, and its ties go to the smaller ids exactly.
+
+*Build.* Vectors are scaled to length 1. A start graph comes from random
+directions (more of them for more nodes): nodes in the order of their projection
+are cut into parts of ``block`` nodes, which planes between random nodes cut on
+to leaves; inside a leaf each node takes its nearest (a matrix product). Then
+NN-descent: each round joins every node with its neighbours and (the nearest)
+reverse neighbours, compares the members of each such neighbourhood with each
+other, and gives each member the better of them. A pair is compared again only
+if one of its two edges came in the round before. Rounds go on until no more
+than the share ``least`` of all edges changes.
+
+*Search.* Query nodes start from their own neighbours in the graph and walk
+greedily: each round expands the best unexpanded candidates of each query (half
+a ``pool``) by a join with the graph, scores their neighbours, and keeps the best
+``pool`` candidates; it ends when no query has an unexpanded candidate left.
+How large a pool is needed depends on the vectors: a sample of 200 queries is
+compared with all nodes, and where less than the share ``recall`` of their
+nearest was found, all queries search again with twice the pool.
 Scores of the result are computed anew on the original vectors in double
-precision.
+precision. ``exhaustive=True`` compares the queries with all nodes in blocks
+instead, so nothing is missed.
 
 Joins carry float32 vectors; all work is Spark joins, groupings and Arrow blocks
 of bounded size (a neighbourhood has at most ``2 * degree`` members, the caps
@@ -22,10 +32,11 @@ is measured in the tests).
 
 Defined cases: null, zero and non-finite vectors (or ones with a null
 component) take no part, neither do vectors whose length differs from the most
-usual one; equal vectors all take part and ties go to the smaller id; a query
-row is never its own result; repeated ids are one row each by their smallest
-vector; fewer candidates than asked are all returned; empty tables give an
-empty result; other columns are not read.
+usual one; rows that share an id are rows of their own, each a candidate and,
+if the id is asked for, a query; ties go to the smaller id; a query row is never
+its own result; fewer candidates than asked are all returned; empty tables give
+an empty result; other columns are not read. Vectors of one direction but other
+lengths are nodes of their own.
 """
 
 from __future__ import annotations
@@ -40,19 +51,24 @@ from pyspark.sql import functions as F
 
 from kipmart.llm import common
 
-DEGREE, TREES, BLOCK_ROWS, ROUNDS = 32, 8, 2048, 4
-POOL, BEAM, SEARCH_ROUNDS = 128, 32, 4
+DEGREE, BLOCK_ROWS, LEAF_ROWS, LEAST = 32, 16384, 512, 0.01
+POOL, RECALL = 256, 0.95
+#: Queries that are also compared with every node, to choose the pool.
+SAMPLE = 200
+#: Rows of a result gathered before they leave a task.
+OUT_ROWS = 1 << 16
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
-    """(id, v) of the vectors that take part, as double arrays."""
+    """(row, id, v) of the rows that take part, as double arrays; ``row`` numbers them."""
     v = F.col(vector).cast("array<double>")
     ok = (F.col(id).isNotNull() & v.isNotNull() & (F.size(v) > 0)
           & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
           & F.exists(v, lambda x: x != 0))
-    rows = vectors.where(ok).groupBy(F.col(id).cast("long").alias("id")).agg(F.min(v).alias("v"))
+    rows = vectors.where(ok).select(F.col(id).cast("long").alias("id"), v.alias("v"))
     size = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").limit(1).select("s")
-    return rows.join(F.broadcast(size), F.size("v") == F.col("s")).drop("s")
+    return rows.withColumn("row", F.monotonically_increasing_id()) \
+        .join(F.broadcast(size), F.size("v") == F.col("s")).select("row", "id", "v")
 
 
 def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -84,6 +100,23 @@ _EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float32(
 EDGE = "src long, dst long, sim float"
 
 
+def _gathered(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Edges of many small blocks in batches of some size."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= OUT_ROWS:
+            yield _edges(held)
+            held, n = [], 0
+    if n:
+        yield _edges(held)
+
+
+def _edges(held: list[tuple]) -> pa.RecordBatch:
+    return common.out_batch(_EDGE, **{f.name: np.concatenate(c) for f, c in zip(_EDGE, zip(*held))})
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest others of each row of a block."""
     sim = x @ x.T
@@ -99,14 +132,29 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     """The k best distinct edges of each source (at most a few neighbour lists
     a node come here, so a node's rows are few)."""
     w = W.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return edges.groupBy("src", "dst").agg(F.max("sim").alias("sim")) \
+    return edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")) \
         .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
-def start_graph(points: DataFrame, degree: int, trees: int, block: int, n_rows: int, seed: int = 3) -> DataFrame:
-    """Edges to the nearest inside blocks along random directions."""
+def _leaves(at: np.ndarray, x: np.ndarray, leaf: int, random: np.random.RandomState) -> Iterator[np.ndarray]:
+    """Parts of at most ``leaf`` rows, halved by the plane between two random rows."""
+    todo = [at]
+    while todo:
+        at = todo.pop()
+        if len(at) <= leaf:
+            yield at
+            continue
+        a, b = random.choice(len(at), 2, replace=False)
+        half = np.argsort(x[at] @ (x[at[a]] - x[at[b]]), kind="stable")
+        todo += [at[half[:len(at) // 2]], at[half[len(at) // 2:]]]
+
+
+def start_graph(points: DataFrame, degree: int, block: int, leaf: int, n_rows: int, seed: int = 3) -> DataFrame:
+    """(src, dst, sim, fresh): edges to the nearest inside leaves. One direction
+    for each halving that leads from all nodes to a leaf, at least 4."""
     first = points.first()
     dim = len(first["u"]) // 4 if first else 1
+    trees = max(4, int(np.ceil(np.log2(max(n_rows, 1) / leaf))))
     directions = np.random.RandomState(seed).normal(size=(trees, dim)).astype("<f4")
     schema = pa.schema([("tree", pa.int32()), ("p", pa.float32()), ("id", pa.int64()), ("u", pa.binary())])
 
@@ -125,57 +173,59 @@ def start_graph(points: DataFrame, degree: int, trees: int, block: int, n_rows:
             tree, p, ids = (table[c].to_numpy() for c in ("tree", "p", "id"))
             x = _matrix(table["u"])
             order = np.lexsort((ids, p, tree))
-            for t in np.unique(tree):
-                own = order[tree[order] == t]
-                n = max(1, round(len(own) / block))  # a range partition may hold more than a block
-                for at in np.array_split(own, n):
-                    s, d, v = _nearest(ids[at], x[at], degree // 2)
-                    yield common.out_batch(_EDGE, src=s, dst=d, sim=v)
+            yield from _gathered(
+                _nearest(ids[at], x[at], max(4, degree // 4)) for t in np.unique(tree)
+                for at in _leaves(order[tree[order] == t], x, leaf, np.random.RandomState(seed + 1 + int(t))))
 
     n = max(1, -(-n_rows * trees // block))
     edges = points.mapInArrow(project, "tree int, p float, id long, u binary") \
         .repartitionByRange(n, "tree", "p", "id").mapInArrow(local, EDGE)
-    return _best(edges, degree)
+    return _best(edges.withColumn("fresh", F.lit(True)), degree)
 
 
 def _neighbourhoods(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
-    """(mid, id, u, worst) rows: each node's neighbours and nearest reverse
-    neighbours, with their vectors and the worst similarity in their list."""
+    """(mid, id, fresh, u, worst) rows: each node's neighbours and nearest reverse
+    neighbours, with their vectors and the worst similarity in their list, where
+    any of these edges is new."""
     worst = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("k")) \
         .select(F.col("src").alias("id"), F.when(F.col("k") < degree, F.lit(-2.0)).otherwise(F.col("worst"))
                 .cast("float").alias("worst"))
     w = W.partitionBy("mid").orderBy(F.desc("sim"), "id")
-    ahead = graph.select(F.col("src").alias("mid"), F.col("dst").alias("id"))
-    back = graph.select(F.col("dst").alias("mid"), F.col("src").alias("id"), "sim") \
-        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= degree).select("mid", "id")
-    members = ahead.unionAll(back).distinct()
+    ahead = graph.select(F.col("src").alias("mid"), F.col("dst").alias("id"), "fresh")
+    back = graph.select(F.col("dst").alias("mid"), F.col("src").alias("id"), "sim", "fresh") \
+        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= degree).select("mid", "id", "fresh")
+    members = ahead.unionAll(back).withColumn("live", F.max("fresh").over(W.partitionBy("mid"))).where("live") \
+        .groupBy("mid", "id").agg(F.max("fresh").alias("fresh"))
     return members.join(points.join(worst, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float"))), "id")
 
 
 def descend(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
-    """One round: better edges found in neighbourhoods, merged with the graph."""
+    """One round: better edges found in neighbourhoods, merged with the graph;
+    only edges that were not in it are ``fresh`` in the result."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x, worst in _by_mid(batches):
+    def better(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for ids, fresh, x, worst in _by_mid(batches):
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
-            a, b = np.nonzero(sim > worst[:, None])
+            a, b = np.nonzero((sim > worst[:, None]) & (fresh[:, None] | fresh))
             if len(a):
-                yield common.out_batch(_EDGE, src=ids[a], dst=ids[b], sim=sim[a, b])
+                yield ids[a], ids[b], sim[a, b]
 
     n = common.parallelism(graph.sparkSession)
-    fresh = _neighbourhoods(graph, points, degree).select("mid", "id", "u", "worst") \
-        .repartition(n, "mid").sortWithinPartitions("mid").mapInArrow(local, EDGE)
+    found = _neighbourhoods(graph, points, degree).select("mid", "id", "fresh", "u", "worst") \
+        .repartition(n, "mid").sortWithinPartitions("mid").mapInArrow(lambda b: _gathered(better(b)), EDGE)
+    turned = graph.where("fresh").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim")
+    old = graph.select("src", "dst", "sim").withColumn("fresh", F.lit(False))
     # each map task's best edges of a node first: the shuffle then carries few
-    return _best(graph.select("src", "dst", "sim").unionAll(fresh), degree)
+    return _best(old.unionAll(found.unionAll(turned).withColumn("fresh", F.lit(True))), degree)
 
 
-def _by_mid(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _by_mid(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     held: list[pa.RecordBatch] = []
 
     def out():
         t = pa.Table.from_batches(held)
-        return t["id"].to_numpy(), _matrix(t["u"]), t["worst"].to_numpy()
+        return t["id"].to_numpy(), t["fresh"].to_numpy(), _matrix(t["u"]), t["worst"].to_numpy()
 
     key = None
     for b in batches:
@@ -193,49 +243,58 @@ def _by_mid(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield out()
 
 
-def build(points: DataFrame, degree: int = DEGREE, trees: int = TREES, block: int = BLOCK_ROWS,
-          rounds: int = ROUNDS) -> DataFrame:
-    """(src, dst, sim): the neighbour graph of (id, u) rows."""
+def build(points: DataFrame, degree: int = DEGREE, block: int = BLOCK_ROWS, leaf: int = LEAF_ROWS,
+          least: float = LEAST) -> DataFrame:
+    """(src, dst, sim, fresh): the neighbour graph of (id, u) rows."""
     n = points.count()
-    graph, total = common.stored(start_graph(points, degree, trees, block, n), "graph"), None
-    for _ in range(rounds):
-        better = common.stored(descend(graph, points, degree), "graph")
-        gain = better.agg(F.sum("sim")).first()[0] or 0.0
-        graph = better
-        if total is not None and gain - total <= 0.002 * abs(gain):
-            break
-        total = gain
-    return graph
-
-
-def search(graph: DataFrame, points: DataFrame, queries: DataFrame, pool: int = POOL, beam: int = BEAM,
-           rounds: int = SEARCH_ROUNDS) -> DataFrame:
-    """(query_id, id, sim) candidates of (query_id, u) rows that are nodes."""
+    graph = common.stored(start_graph(points, degree, block, leaf, n), "graph")
+    while True:
+        graph = common.stored(descend(graph, points, degree), "graph")
+        if graph.where("fresh").count() <= least * degree * n:
+            return graph
+
+
+def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int, degree: int = DEGREE, pool: int = POOL,
+           recall: float = RECALL) -> DataFrame:
+    """(query_id, id, sim) candidates of (query_id, u) rows that are nodes; ``pool``
+    is doubled until the sampled queries find the share ``recall`` of their k nearest."""
+    both = common.stored(graph.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionAll(
+        _reverse(graph, degree)).distinct(), "both")
+    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE)
+    w = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
+    truth = common.stored(all_nodes(points, common.stored(sample, "sample"), k)
+                          .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id"), "truth")
+    wanted, n = truth.count() * recall, points.count()
+    while True:
+        found = _walk(graph, both, points, queries, pool)
+        if pool >= n or found.join(F.broadcast(truth), ["query_id", "id"]).count() >= wanted:
+            return found
+        pool *= 2
+
+
+def _walk(graph: DataFrame, both: DataFrame, points: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
+    turn = W.partitionBy("query_id", "done").orderBy(F.desc("sim"), "id")
     q = queries.select("query_id", F.col("u").alias("q"))
-    both = graph.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionAll(
-        _reverse(graph)).distinct()
-    found = graph.join(queries.select(F.col("query_id").alias("src")), "src") \
-        .select(F.col("src").alias("query_id"), F.col("dst").alias("id"), "sim", F.lit(False).alias("done"))
-    found = common.stored(found, "found")
-    for _ in range(rounds):
-        ranked = found.withColumn("open", F.row_number().over(
-            W.partitionBy("query_id", "done").orderBy(F.desc("sim"), "id")))
-        grow = ~F.col("done") & (F.col("open") <= beam)
-        marked = common.stored(ranked.withColumn("grow", grow).select("query_id", "id", "sim", "done", "grow"), "marked")
-        wanted = marked.where("grow").join(both, F.col("id") == F.col("node")).select("query_id", F.col("next").alias("id"))
-        wanted = wanted.where("query_id <> id").distinct().join(marked, ["query_id", "id"], "left_anti")
-        scored = wanted.join(points, "id").join(q, "query_id").select("query_id", "id", "u", "q") \
+
+    def kept(rows: DataFrame) -> DataFrame:
+        """The best of each query; of those not expanded yet, the best half a pool comes next."""
+        best = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
+        return common.stored(best.withColumn("grow", ~F.col("done") & (F.row_number().over(turn) <= pool // 2)).drop("rank"), "found")
+
+    found = kept(graph.join(queries.select(F.col("query_id").alias("src")), "src")
+                 .select(F.col("src").alias("query_id"), F.col("dst").alias("id"), "sim", F.lit(False).alias("done")))
+    while not found.where("grow").isEmpty():
+        wanted = found.where("grow").join(both, F.col("id") == F.col("node")).select("query_id", F.col("next").alias("id"))
+        wanted = wanted.where("query_id <> id").distinct().join(found, ["query_id", "id"], "left_anti")
+        fresh = wanted.join(points, "id").join(q, "query_id").select("query_id", "id", "u", "q") \
             .mapInArrow(_score, "query_id long, id long, sim float")
-        known = marked.select("query_id", "id", "sim", (F.col("done") | F.col("grow")).alias("done"))
-        found = common.stored(known.unionAll(scored.withColumn("done", F.lit(False)))
-                              .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool).drop("rank"), "found")
-        if found.where("not done").isEmpty():
-            break
+        found = kept(found.select("query_id", "id", "sim", (F.col("done") | F.col("grow")).alias("done"))
+                     .unionAll(fresh.withColumn("done", F.lit(False))))
     return found.select("query_id", "id", "sim")
 
 
-def _reverse(graph: DataFrame, degree: int = DEGREE) -> DataFrame:
+def _reverse(graph: DataFrame, degree: int) -> DataFrame:
     w = W.partitionBy("dst").orderBy(F.desc("sim"), "src")
     return graph.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= degree) \
         .select(F.col("dst").alias("node"), F.col("src").alias("next"))
@@ -249,15 +308,48 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                    sim=np.einsum("ij,ij->i", _matrix(b.column(2)), _matrix(b.column(3))))
 
 
-def exact(candidates: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest of the candidates by cosine in
-    double precision on the original vectors. Candidates are first cut to the
-    best by float32 similarity, with a margin far above its error."""
+#: Cosines of float32 vectors of length 1 are nearer than this to the exact ones.
+MARGIN = 1e-4
+
+
+def all_nodes(points: DataFrame, queries: DataFrame, k: int, part_rows: int = 65536, query_rows: int = 4096) -> DataFrame:
+    """(query_id, id, sim): each query's k nearest nodes, and those as near within
+    the margin, by comparing it with every node: each part of the nodes meets each
+    block of the queries once, in a task of bounded size."""
+    parts = -(-points.count() // part_rows) or 1
+    blocks = -(-queries.count() // query_rows) or 1
+    some = points.select("id", "u", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"),
+                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
+    asked = queries.select("query_id", "u", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("part"),
+                           F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+
+    def meet(nodes: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if nodes.num_rows and queries.num_rows:
+            ids, x = nodes["id"].to_numpy(), _matrix(nodes["u"])
+            qs, y = queries["query_id"].to_numpy(), _matrix(queries["u"])
+            for a in range(0, len(qs), 256):
+                sim = y[a:a + 256] @ x.T
+                sim[qs[a:a + 256, None] == ids] = -2
+                edge = -np.partition(-sim, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(sim), -1.5)
+                at, to = np.nonzero(sim >= np.maximum(edge - MARGIN, -1.5)[:, None])
+                out.append((qs[a + at], ids[to], sim[at, to]))
+        table = pa.Table.from_batches([_edges(out)] if out else [], schema=_EDGE)
+        return table.rename_columns(["query_id", "id", "sim"])
+
+    return some.groupBy("part", "block").cogroup(asked.groupBy("part", "block")) \
+        .applyInArrow(meet, "query_id long, id long, sim float")
+
+
+def scored(found: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the found nodes that may be among the k nearest, with the cosine in double precision of the original
+    vectors. Candidates are first cut to the best by float32 similarity, with a
+    margin far above its error."""
     w = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    near = candidates.withColumn("rank", F.row_number().over(w)).withColumn(
+    near = found.withColumn("rank", F.row_number().over(w)).withColumn(
         "edge", F.max(F.when(F.col("rank") == k, F.col("sim"))).over(W.partitionBy("query_id"))) \
-        .where(F.col("edge").isNull() | (F.col("sim") >= F.col("edge") - 1e-4)).select("query_id", "id")
-    pairs = near.join(rows, "id").join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")
+        .where(F.col("edge").isNull() | (F.col("sim") >= F.col("edge") - MARGIN)).select("query_id", "id")
+    pairs = near.join(nodes, "id").join(nodes.select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,20 +360,43 @@ def exact(candidates: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 yield common.out_batch(schema, query_id=b.column(0), id=b.column(1),
                                        score=dot / (np.sqrt(nx) * np.sqrt(ny)))
 
-    scored = pairs.select("query_id", "id", "v", "w").mapInArrow(cosine, "query_id long, id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", "id", "score")
+    return pairs.select("query_id", "id", "v", "w").mapInArrow(cosine, "query_id long, id long, score double")
+
+
+def of_rows(pairs: DataFrame, members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score): scored pairs of nodes as results of the query
+    rows. A node stands for its k + 1 first rows, of which one may be the query."""
+    first = W.partitionBy("node").orderBy("id", "row")
+    few = members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
+    best = W.partitionBy("query_node").orderBy(F.desc("score"), "id", "row")
+    lists = pairs.select(F.col("query_id").alias("query_node"), F.col("id").alias("node"), "score").join(few, "node") \
+        .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1) \
+        .groupBy("query_node").agg(F.array_sort(F.collect_list(F.struct("n", "row", "id", "score"))).alias("near"))
+    lists = common.stored(lists, "lists")
+    others = F.slice(F.filter("near", lambda x: x["row"] != F.col("query_row")), 1, k)
+    return asked.select("query_id", F.col("row").alias("query_row"), F.col("node").alias("query_node")) \
+        .join(lists, "query_node").select("query_id", F.posexplode(others).alias("at", "x")) \
+        .select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("id"), F.col("x.score").alias("score"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding",
-            **settings) -> DataFrame:
+            degree: int = DEGREE, pool: int = POOL, recall: float = RECALL,
+            exhaustive: bool = False, **settings) -> DataFrame:
     """(query_id, rank, id, score) of the query rows against all other rows."""
     rows = common.stored(usable(vectors, id, vector), "vectors")
-    points = common.stored(_prepared(rows), "points")
-    graph = build(points, **settings)
-    queries = points.withColumnRenamed("id", "query_id").where(is_query)
-    return exact(search(graph, points, queries), rows, k)
+    nodes = common.stored(rows.groupBy("v").agg(F.min("row").alias("id")), "nodes")
+    members = common.stored(rows.join(nodes.withColumnRenamed("id", "node"), "v").select("node", "row", "id"), "members")
+    points = common.stored(_prepared(nodes.select("id", "v")), "points")
+    asked = members.withColumnRenamed("id", "query_id").where(is_query)
+    queries = common.stored(points.join(asked.select(F.col("node").alias("id")), "id", "left_semi")
+                            .withColumnRenamed("id", "query_id"), "queries")
+    if exhaustive:
+        found = all_nodes(points, queries, k)
+    else:
+        found = search(build(points, degree, **settings), points, queries, k, degree, pool, recall)
+    own = queries.select("query_id", F.col("query_id").alias("id"))
+    own_score = scored(own.withColumn("sim", F.lit(1.0).cast("float")), nodes, k)
+    return of_rows(scored(found, nodes, k).unionAll(own_score), members, asked, k)
 
 
 def op10_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

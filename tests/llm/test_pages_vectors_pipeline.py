@@ -192,6 +192,55 @@ def test_odd_vectors(spark):
     assert op10.nearest(frame.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_copies_and_repeated_ids(spark):
+    """A third of the rows share a vector (their ids the largest and smallest mixed), ids repeat."""
+    rng = np.random.RandomState(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(i, [1.0] * 8) for i in range(1000, 400, -3)]
+    rows += [(7, [1.0] * 8), (7, [1.0] * 8), (100, rng.normal(size=8).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in op10.nearest(frame, F.col("query_id") % 50 == 0, block=200, leaf=32).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        want = []
+        for at in [j for j, (i, _) in enumerate(rows) if i == q]:
+            sim = x @ x[at]
+            best = sorted((-round(s, 9), i) for j, (s, (i, _)) in enumerate(zip(sim, rows)) if j != at)[:5]
+            want += [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+        assert sorted((a, b, round(c, 9)) for a, b, c in got.pop(q)) == sorted(want)
+    assert not got
+
+
+def test_exhaustive_search_is_brute_force_in_blocks(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.RandomState(6).normal(size=(300, 6)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    points = op10._prepared(frame.toDF("id", "v"))
+    found = op10.all_nodes(points, points.withColumnRenamed("id", "query_id").where("query_id % 7 = 0"), 4, part_rows=40, query_rows=9)
+    near = {}
+    for r in found.collect():
+        near.setdefault(r.query_id, []).append((-r.sim, r.id))
+    want = brute_nearest(rows, 4, [i for i, _ in rows if i % 7 == 0])
+    assert {q: [i for _, i in sorted(v)[:4]] for q, v in near.items()} == want
+    got = op10.nearest(frame, F.col("query_id") % 7 == 0, k=4, exhaustive=True).collect()
+    assert {q: [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
+
+
+def test_pool_grows_until_the_sample_is_found(spark):
+    """Unlike vectors, hardly linked: a small pool misses many, the sample makes it grow."""
+    x = np.random.RandomState(7).normal(size=(3000, 48))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = brute_nearest(rows, 5, [i for i, _ in rows if i % 50 == 0])
+
+    def recall(**settings):
+        got = op10.nearest(frame, F.col("query_id") % 50 == 0, degree=12, pool=16, block=500, leaf=64, **settings).collect()
+        return np.mean([len({r.id for r in got if r.query_id == q} & set(w)) / 5 for q, w in want.items()])
+
+    assert recall(recall=0.0) < 0.9 <= recall(recall=0.95)
+
+
 def test_pipeline(spark):
     docs = common.read(spark, SF, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "decontamination", "packing"]
