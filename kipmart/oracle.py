@@ -320,6 +320,13 @@ order by sort_order nulls last, created_at desc, id
 q("product_listing", ["shop_products", "shop_categories"], _listing("status = 'active'"))
 q("product_search", ["shop_products", "shop_categories"], _listing(
     f"status = 'active' and concat_ws(chr(10), name, description) ilike '%{P.SEARCH}%'"))
+q("product_search_bulk", ["shop_products"], """
+select * from (with w as (select name, unnest(string_split(name, ' ')) as word from shop_products),
+asked as (select word as search from w union select left(word, 2) from w union select upper(name) from w
+          union select left(name, 2) || '%' || right(name, 3) from w union select left(name, 1) || '_' from w union select '')
+select search, id, name from asked, shop_products
+where status = 'active' and (name ilike '%' || search || '%' or description ilike '%' || search || '%'))
+""")
 q("product_listing_category", ["shop_products", "shop_categories"], _listing(f"category_id = {P.CATEGORY}"))
 q("product_listing_total", ["shop_products"],
   f"select {I('count(*)')} as total from shop_products p where p.status = 'active'")

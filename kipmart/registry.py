@@ -21,6 +21,7 @@ from kipmart.operators import members as M
 from kipmart.operators import orderlog as L
 from kipmart.operators import orders as O
 from kipmart.operators import reports as R
+from kipmart.operators import search as H
 from kipmart.plans.materialize import write_temp_table
 from kipmart.plans.wire import as_json, to_wire
 from kipmart.sources import requests as S
@@ -92,6 +93,7 @@ register("category_name_conflicts", C.category_name_conflicts)
 register("category_list_numbered", C.category_list_numbered)
 register("product_listing", lambda T: C.listing_as_text(C.product_listing(T)))
 register("product_search", lambda T: C.listing_as_text(C.product_listing(T, search=P.SEARCH)))
+register("product_search_bulk", lambda T: H.product_search_bulk(T, H.search_requests(T)))
 register("product_listing_category",
          lambda T: C.listing_as_text(C.product_listing(T, active_only=False, category=P.CATEGORY)))
 register("product_listing_total", C.product_listing_total)
