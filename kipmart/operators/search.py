@@ -12,7 +12,8 @@ scans but joins over a posting table of the products' letters.
   its products; each is then checked with the whole pattern.
 
 A product that matches has every gram of the pattern, so none is lost, also for
-patterns under three letters and with wildcards (V14). All steps are equi-joins
+patterns under three letters and with wildcards (V14). The patterns' grams and the
+postings are written once under ``spark.checkpoint.dir``. All steps are equi-joins
 on grams: a hot one is the result's own size where a pattern is no longer than
 its gram, and AQE splits it, as both sides come straight from a shuffle.
 """
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kipmart.plans.materialize import write_temp_table
+
 #: Letters of a gram at most.
 GRAM = 3
 
@@ -61,9 +64,12 @@ def product_search_bulk(T, requests: DataFrame) -> DataFrame:
     p = T.products.where(F.col("status") == "active").select("id", "name", "description")
     asked = requests.where(F.col("search").isNotNull()).select("search").distinct() \
         .withColumn("pattern", like_pattern(F.col("search")))
-    wanted = asked.select("search", "pattern", F.explode(pattern_grams(F.col("pattern"))).alias("gram"))
-    postings = p.select("id", F.explode(F.array_union(text_grams(F.col("name")), text_grams(F.col("description")))).alias("gram")) \
-        .join(wanted.select("gram").distinct(), "gram", "left_semi")
+    wanted = write_temp_table(
+        asked.select("search", "pattern", F.explode(pattern_grams(F.col("pattern"))).alias("gram")), "kipmart-searches")
+    grams = F.array_union(text_grams(F.col("name")), text_grams(F.col("description")))
+    postings = write_temp_table(
+        p.select("id", F.explode(grams).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"),
+        "kipmart-postings")
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("search", "pattern") \
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")) \
