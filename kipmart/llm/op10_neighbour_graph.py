@@ -342,9 +342,9 @@ def all_nodes(points: DataFrame, queries: DataFrame, k: int, part_rows: int = 65
 
 
 def scored(found: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score): the found nodes that may be among the k nearest, with the cosine in double precision of the original
-    vectors. Candidates are first cut to the best by float32 similarity, with a
-    margin far above its error."""
+    """(query_id, id, score): the found nodes that may be among the k nearest, with the
+    cosine in double precision of the original vectors. Candidates are first cut to
+    the best by float32 similarity, with a margin far above its error."""
     w = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     near = found.withColumn("rank", F.row_number().over(w)).withColumn(
         "edge", F.max(F.when(F.col("rank") == k, F.col("sim"))).over(W.partitionBy("query_id"))) \
