@@ -116,23 +116,35 @@ def replay_order_log(T, log: DataFrame) -> dict:
     deletes = deletes.join(ended, "item_id", "left").withColumn(
         "__done", found & F.coalesce(F.col("seq") == F.col("end_seq"), F.lit(False)))
     gone = deletes.filter(~F.col("__done")).select("seq", "op", F.lit("not found").alias("reason"))
-    edits = good.filter(op == "edit").select("item_id", F.col("seq").alias("at"), "quantity")
     touches = good.filter(op == "edit").select("order_id", "seq") \
         .unionByName(deletes.filter("__done").select("order_id", "seq")).groupBy("order_id").agg(F.max("seq").alias("seq"))
     touches = touches.join(known.select("order_id", F.col("since").alias("__s")), "order_id").filter("__s < seq").drop("__s")
-
-    # quantities at the moments that count
-    lines = items.withColumnRenamed("id", "item_id").join(ended, "item_id", "left")
+    touches = write_temp_table(touches, "kipmart-touches")
+    edits = good.filter(op == "edit").select("item_id", F.col("seq").alias("at"), F.col("quantity").alias("q"))
+    edits = write_temp_table(edits.join(of_line, "item_id").filter("line_since < at").select("item_id", "at", "q"), "kipmart-edits")
+
+    # quantities at the moments that count: of all lines of an order (cancel, total), and
+    # of a line at its own end (delete; ``__end`` 1). Lines without an edit keep theirs.
+    marks = ended.withColumn("edited", F.lit(False)).unionByName(
+        edits.select("item_id", F.lit(None).cast("bigint").alias("end_seq"), F.lit(True).alias("edited"))) \
+        .groupBy("item_id").agg(F.max("end_seq").alias("end_seq"), F.max("edited").alias("edited"))
+    back = F.col("end_seq").isNotNull() & _in_stock()
+    lines = items.withColumnRenamed("id", "item_id").join(marks, "item_id", "left") \
+        .withColumn("__end", F.explode(F.when(back, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     moments = cancels.withColumn("why", F.lit("cancel")).unionByName(touches.withColumn("why", F.lit("total")))
-    asks = lines.join(moments, "order_id").filter(
-        (F.col("since") < F.col("seq")) & (F.col("end_seq").isNull() | (F.col("end_seq") > F.col("seq"))))
-    back = lines.filter(F.col("end_seq").isNotNull() & _in_stock()).withColumn("seq", F.col("end_seq")) \
-        .withColumn("why", F.lit("delete"))
-    cols = ["item_id", "order_id", "product_id", "price", "quantity", "why", F.col("seq").alias("at")]
-    edits = write_temp_table(edits.join(of_line, "item_id").filter("line_since < at")
-                             .select("item_id", "at", F.col("quantity").alias("q")), "kipmart-edits")
-    then = asof_join(asks.select(cols).unionByName(back.select(cols)), edits, ["item_id"], ["at"], "edit")
-    then = write_temp_table(then.withColumn("quantity", F.coalesce("edit.q", "quantity")).drop("edit"), "kipmart-moments")
+    at_end = F.col("__end") == 1
+    asks = lines.join(moments.withColumn("__end", F.lit(0)), ["order_id", "__end"], "left").filter(
+        at_end | ((F.col("since") < F.col("seq")) & (F.col("end_seq").isNull() | (F.col("end_seq") > F.col("seq")))))
+    edited, total = F.coalesce("edited", F.lit(False)), ~at_end & (F.col("why") == "total")
+    asks = write_temp_table(asks.select(
+        F.when(at_end, "delete").otherwise(F.col("why")).alias("why"), "quantity",
+        F.when(total, F.col("order_id")).alias("order_id"), F.when(total, F.col("price")).alias("price"),
+        F.when(~total, F.col("product_id")).alias("product_id"), F.when(edited, F.col("item_id")).alias("item_id"),
+        F.when(edited, F.when(at_end, F.col("end_seq")).otherwise(F.col("seq"))).alias("at"), edited.alias("edited")), "kipmart-asks")
+    cols = ["why", "order_id", "price", "product_id", "quantity"]
+    seen = asof_join(asks.filter("edited").select("item_id", "at", *cols), edits, ["item_id"], ["at"], "edit")
+    then = asks.filter("not edited").select(cols).unionByName(
+        seen.withColumn("quantity", F.coalesce("edit.q", "quantity")).select(cols))
     moves = then.filter(F.col("why").isin("cancel", "delete")).select("product_id", F.col("quantity").alias("delta"))
     sums = then.filter(F.col("why") == "total").groupBy("order_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("__sum"))
     totals = touches.select("order_id").join(sums, "order_id", "left").select(

@@ -5,8 +5,9 @@ by range over key and order together, so a hot key lies over several tasks; each
 task computes its own part, and what a part leaves behind is carried over
 its border through one row per part.
 
-* :func:`running_last`: the last value seen so far (JVM windows inside a part);
-  :func:`asof_join` builds on it.
+* :func:`running_last`: the last value seen so far (JVM windows inside a part).
+* :func:`asof_join`: the same for two tables sorted together, inside a part while it
+  is written, so its rows are shuffled once.
 * :func:`local_scan`: prefixes of composed maps. Every event is a map of states
   to states; maps are composed along the key with an associative function, in
   doubling steps over whole arrays. :func:`carried` composes over the borders
@@ -43,15 +44,50 @@ def running_last(parts: DataFrame, keys: list[str], value: Column, name: str) ->
     row, among the rows of its key; null if none. ``parts`` from
     :func:`sorted_parts`."""
     here = Window.partitionBy(PID, *keys).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    return _over_borders(parts.withColumn(name, F.last(value, ignorenulls=True).over(here)), parts, keys, value, name)
+
+
+def _over_borders(out: DataFrame, parts: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """``out`` with ``name`` filled, where its own part has no ``value`` of the key yet,
+    with that of the ``parts`` before."""
     key = F.struct(*[F.col(k) for k in keys])
     last = F.max_by(F.struct(key.alias("k"), value.alias("v")), F.when(value.isNotNull(), F.col(POS)))
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     # one row per part; keys are sorted, so an older key's value can't be followed by this key's
     carry = parts.groupBy(PID).agg(last.alias("__own")).select(
         PID, F.last("__own", ignorenulls=True).over(before).alias("__carry"))
-    out = parts.withColumn(name, F.last(value, ignorenulls=True).over(here)).join(F.broadcast(carry), PID)
     carried = F.when(F.col("__carry.k").eqNullSafe(key), F.col("__carry.v"))
-    return out.withColumn(name, F.coalesce(F.col(name), carried)).drop("__carry")
+    return out.join(F.broadcast(carry), PID).withColumn(name, F.coalesce(F.col(name), carried)).drop("__carry")
+
+
+def _last_in_part(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Rows sorted by ``keys`` with ``name``: the last ``value`` that is not null, up to and
+    with the row, among the rows of its key in the same task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # key and value at the end of the batch before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = [b.column(b.schema.get_field_index(k)) for k in keys]
+            values, place = b.column(b.schema.get_field_index(value)), np.arange(b.num_rows)
+            fresh = np.zeros(b.num_rows, bool)
+            for c in of:
+                differs = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+                null = c.is_null().to_numpy(zero_copy_only=False)
+                fresh[1:] |= differs | (null[1:] != null[:-1])
+            start = np.maximum.accumulate(np.where(fresh, place, 0))
+            at = np.maximum.accumulate(np.where(values.is_valid().to_numpy(zero_copy_only=False), place, -1))
+            at = np.where(at >= start, at, -1)
+            pool = values
+            if held is not None and held[0] == [c[0].as_py() for c in of]:
+                at[(at < 0) & (start == 0)] = b.num_rows
+                pool = pa.concat_arrays([values, held[1]])
+            last = pool.take(pa.array(at, mask=at < 0))
+            held = [c[-1].as_py() for c in of], last.take(pa.array([b.num_rows - 1]))
+            yield pa.RecordBatch.from_arrays([*b.columns, last], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, df.schema[value].dataType)]))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: list[str], name: str) -> DataFrame:
@@ -61,14 +97,17 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: list[str],
     times right rows come first, then by the rest of ``at``. Null keys match
     nothing; null times are before all others."""
     fields = [c for c in right.columns if c not in keys]
-    rows = left.select(*keys, *at, F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"),
+    rest = [c for c in left.columns if c not in [*keys, *at]]
+    rows = left.select(*keys, *at, F.lit(1).alias("__side"), F.struct(F.lit(True).alias("__here"), *rest).alias("__left"),
                        F.lit(None).cast(right.select(F.struct(*fields).alias("r")).schema["r"].dataType).alias("__right"))
     marks = right.dropna(subset=keys).select(
         *keys, *at, F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"),
         F.struct(*fields).alias("__right"))
-    parts = sorted_parts(rows.unionByName(marks), keys, [F.col(at[0]), F.col("__side"), *[F.col(c) for c in at[1:]]])
-    return running_last(parts, keys, F.col("__right"), "__found").where(F.col("__side") == 1) \
-        .select("__left.*", F.col("__found").alias(name))
+    srt = rows.unionByName(marks).orderBy(*keys, at[0], "__side", *at[1:]).withColumns(_positions(PID, POS))
+    parts = write_temp_table(_last_in_part(srt, keys, "__right", "__found"), "kipmart-scan")
+    own = [F.col(c).cast(left.schema[c].dataType).alias(c) if c in [*keys, *at] else F.col(f"__left.{c}") for c in left.columns]
+    return _over_borders(parts.where(F.col("__side") == 1), parts, keys, F.col("__right"), "__found") \
+        .select(*own, F.col("__found").alias(name))
 
 
 def segmented(maps: Maps, fresh: np.ndarray, compose: Callable[[Maps, Maps], Maps]) -> Maps:

@@ -28,6 +28,8 @@ class View:
     sql: str
     spark_sql: str | None = None
     spark_fn: Callable[..., DataFrame] | None = None
+    #: the Spark form comes out of a sort by range in the stored order
+    in_order: bool = False
 
     def text(self, engine: str) -> str:
         if engine == "spark" and self.spark_sql is not None:
@@ -46,9 +48,9 @@ VIEWS: dict[str, View] = {}
 ORPHAN = 10 ** 12
 
 
-def _v(name, deps, sql, spark_sql=None, spark_fn=None):
+def _v(name, deps, sql, spark_sql=None, spark_fn=None, in_order=False):
     VIEWS[name] = View(name, tuple(deps), sql.strip(), spark_sql.strip() if spark_sql else None,
-                       spark_fn)
+                       spark_fn, in_order)
 
 
 def _shop_items(lineitem: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppke
        cast(l_extendedprice as decimal(15,2)) as price,
        case when l_returnflag = 'N' then 1 else 0 end as is_preorder
 from {lineitem}
-""", spark_fn=_shop_items)
+""", spark_fn=_shop_items, in_order=True)
 
 _v("shop_products", ["part"], """
 select p_partkey as id,

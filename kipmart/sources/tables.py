@@ -104,8 +104,9 @@ class Shop:
         from kipmart.plans.materialize import write_temp_table
         from kipmart.sources.layout import CLUSTER
         key = CLUSTER[name]
-        return write_temp_table(df.repartitionByRange(*map(F.col, key)).sortWithinPartitions(*key),
-                                f"kipmart-{name}")
+        if not VIEWS[name].in_order:
+            df = df.repartitionByRange(*map(F.col, key))
+        return write_temp_table(df.sortWithinPartitions(*key), f"kipmart-{name}")
 
     def derived(self, name: str, build):
         """A result derived from these tables, built once per namespace (e.g. a
