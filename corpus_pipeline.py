@@ -30,30 +30,39 @@ from kipmart.llm import op9_quality_classifier as quality_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows that Spark hands to a Python worker at once: whole documents, held in both
+#: processes, in and out.
+BATCH_ROWS = 2000
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def _prepare(spark: SparkSession) -> None:
     common.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     labels = common.read(spark, sf_dir, "labels")
     return quality_model.keep_good(docs, quality_model.train(docs, labels, quality_model.learn_rows()))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    _prepare(spark)
     return language_id.keep_known(docs, language_id.train(docs, language_id.learn_rows()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    _prepare(spark)
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    _prepare(spark)
     return benchmark.decontaminate(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    _prepare(spark)
     return packing.pack_documents(docs)
 
 

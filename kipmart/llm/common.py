@@ -23,6 +23,10 @@ BLOCK_BYTES = 1 << 20
 TOKEN_BLOCK_BYTES = 1 << 22
 
 
+#: What a worker keeps from task to task of the tokenizing operators (see
+#: ``wordcoder.coder``); it goes when the blocks of another step begin.
+coders: dict = {}
+
 _shipped: set[str] = set()
 
 
@@ -125,6 +129,9 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str,
            block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in blocks balanced by the bytes of their texts, so that a
     task's memory does not depend on how long the texts of a batch are."""
+    if block_bytes == BLOCK_BYTES:
+        coders.clear()
+        release()
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -26,6 +26,8 @@ INK[[9, 10, 11, 12, 13, 32]] = False
 _EXACT_BYTE = np.random.RandomState(17).randint(1, 1 << 62, 256).astype(np.uint64)
 _BYTE = _EXACT_BYTE[LOWER]
 KEEP_POWERS = 1 << 22
+#: Bytes that :func:`range_hash` works on at a time (8 bytes of memory for each, several times).
+HASHED_AT_ONCE = 1 << 19
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -57,11 +59,20 @@ def kind_of(values: list[int]) -> np.ndarray:
 
 
 def range_hash(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, exact: bool = False) -> np.ndarray:
-    """64-bit hashes of byte ranges; ASCII letters in lower case unless ``exact``."""
-    n = len(buffer)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_EXACT_BYTE if exact else _BYTE)[buffer] * _power(n, 0)[:n], out=total[1:])
-    return mix((total[end] - total[start]) * _power(n, 1)[start])
+    """64-bit hashes of byte ranges in ascending order; ASCII letters in lower case
+    unless ``exact``. A hash does not depend on the range's place, so a large
+    block is hashed a part at a time."""
+    out, values = np.empty(len(start), np.uint64), _EXACT_BYTE if exact else _BYTE
+    first = np.searchsorted(start, np.arange(0, len(buffer) + 1 + HASHED_AT_ONCE, HASHED_AT_ONCE))
+    for a, z in zip(first, first[1:]):
+        if z > a:
+            low = start[a]
+            part, begin = buffer[low:end[z - 1]], start[a:z] - low
+            n = len(part)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(values[part] * _power(n, 0)[:n], out=total[1:])
+            out[a:z] = mix((total[end[a:z] - low] - total[begin]) * _power(n, 1)[begin])
+    return out
 
 
 @dataclass

@@ -29,7 +29,7 @@ import struct
 import numpy as np
 import pandas as pd
 
-from kipmart.llm import textvec
+from kipmart.llm import common, textvec
 
 #: Pieces a worker keeps (about 150 bytes each); a quarter more wait for a
 #: second block that holds them.
@@ -156,11 +156,9 @@ class WordCoder:
         return np.diff(np.concatenate([[0], np.cumsum(size[which])])[first])
 
 
-_CODERS: dict[str, WordCoder] = {}
-
-
 def coder(path: str) -> WordCoder:
-    """The worker's coder of a vocabulary file, made once."""
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
-    return _CODERS[path]
+    """The worker's coder of a vocabulary file, made once for tasks that follow
+    each other: a worker that goes on to another step drops it."""
+    if path not in common.coders:
+        common.coders[path] = WordCoder(path)
+    return common.coders[path]
