@@ -166,22 +166,31 @@ def profit_by_product(T, month: str | None = None, n: int = 15) -> DataFrame:
             .limit(n))
 
 
-def _month_product_base(T) -> DataFrame:
-    """Live lines collapsed to one row per (month, product), with cost."""
+def _month_lines(T) -> DataFrame:
+    """Lines of live orders with the order's month."""
     o = (T.orders.filter(_live())
          .select(F.col("id").alias("order_id"), cal.month_key(F.col("created_at")).alias("month")))
-    lines = T.items.select("order_id", "product_id", "quantity", "price").join(o, "order_id")
+    return T.items.select("order_id", "product_id", "quantity", "price").join(o, "order_id")
+
+
+def _month_product_base(T) -> DataFrame:
+    """Live lines collapsed to one row per (month, product), with cost."""
     q = F.col("quantity")
-    per = lines.groupBy("month", "product_id").agg(
+    per = _month_lines(T).groupBy("month", "product_id").agg(
         F.sum(q).alias("qty"), F.sum(q * F.col("price")).alias("revenue"))
     return _with_cost(per, T)
 
 
 def profit_by_month(T, n: int = 12) -> DataFrame:
-    """Profit per month over all time, newest ``n`` months."""
-    j = _month_product_base(T)
-    return (j.groupBy("month")
-            .agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"))
+    """Profit per month over all time, newest ``n`` months. Lines meet their
+    product one by one: nearly each is its own (month, product), and groups of
+    those would only fill a task's memory; months are few."""
+    p = T.products.select(F.col("id").alias("product_id"), "cost_price")
+    lines = _month_lines(T).join(p, "product_id")
+    q = F.col("quantity")
+    return (lines.groupBy("month")
+            .agg(F.sum(q * F.col("price")).alias("revenue"),
+                 F.sum(q * F.coalesce(F.col("cost_price"), F.lit(0))).alias("cost"))
             .withColumn("profit", F.col("revenue") - F.col("cost"))
             .orderBy(F.col("month").desc())
             .limit(n))
