@@ -8,14 +8,20 @@ is at least ``percent``; the result is each document's connected class.
    documents (a fixed table of 2**17 counters) gives a common order of the
    shingles, rare ones first.
 2. *Blocking.* Sets as similar as asked share a shingle among the first
-   ``n - ceil(percent n) + 1`` of each in that order (prefix filter, exact). Nodes
-   meet in the buckets of those shingles. Buckets with one member go; of
-   buckets with the same members one stays.
+   ``n - ceil(percent n) + 1`` of each in that order (prefix filter, exact), and
+   the smaller of the two has it among its first ``n - ceil(2p/(1+p) n) + 1``. Nodes
+   meet in the buckets of those shingles. Buckets with one member go, and those
+   without a member that has the shingle so early; of buckets with the same
+   members the first in the order stays.
 3. *Index.* Shingles are hashed into 256 groups; a node's group counts are a
    point. The members of a bucket are searched with an R-tree over these points:
    the overlap with anything in a box is at most the sum of the coordinate
    minima of the query and the box's upper corner, and must reach
-   p/(1+p) * (both sizes). Only members of different classes are sought.
+   p/(1+p) * (both sizes). Only members of different classes are sought. The
+   places of a bucket's shingle in two sets bound the overlap too, as nothing before
+   it is shared: a pair is named by the first bucket it shares alone, which each
+   member knows from its ``EARLIER`` first buckets (a pair whose first is a later
+   one may be named again).
 4. *Verification.* Surviving pairs are compared by their whole sets; links join
    classes (alternating star contraction, in Spark).
 
@@ -52,6 +58,8 @@ K, PERCENT = 4, 85
 GROUPS = 256
 SKETCH_BITS, SLICES = 17, 32
 BLOCK, REACH, LEAF = 4096, 16, 64
+#: Buckets by which a node knows that a pair was met before.
+EARLIER = 32
 #: Rows of at most this many nodes are sent to all executors (8 bytes each).
 BROADCAST_ROWS = 2_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -151,6 +159,17 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (-(-percent * n // 100)) + 1
 
 
+def own_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """Length of the prefix in which the smaller of two sets has their first
+    shared shingle."""
+    return n - (-(-2 * percent * n // (100 + percent))) + 1
+
+
+def least_shared(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that linked sets of these sizes share at least."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def least_size(percent: int) -> int:
     """Smallest set that can link with another set: a set of n, with one more."""
     n = 1
@@ -160,10 +179,13 @@ def least_size(percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(token, node, n): the first shingles of each set, once a task."""
+    """(token, node, n, place, own): the first shingles of each set with their
+    places in the order, once a task; ``own`` if also the smaller set of a pair
+    may first share it."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     least = least_size(percent)
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
+                        ("place", pa.int32()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = shared.value, set()
@@ -184,9 +206,11 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataF
             kept = np.where(use, n, 0)
             rank = np.arange(len(h)) - np.repeat(np.cumsum(kept) - kept, kept)
             early = rank < prefix_length(n, percent)[text]
-            yield common.out_batch(schema, token=h[early].view(np.int64), node=node[text[early]], n=n[text[early]])
+            text, rank = text[early], rank[early]
+            yield common.out_batch(schema, token=h[early].view(np.int64), node=node[text], n=n[text],
+                                   place=rank.astype(np.int32), own=rank < own_length(n, percent)[text])
 
-    return docs.mapInArrow(run, "token long, node long, n long")
+    return docs.mapInArrow(run, "token long, node long, n long, place int, own boolean")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -195,15 +219,23 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def buckets(prefix_rows: DataFrame) -> DataFrame:
-    """(token, node, n) of buckets with several members; of buckets with the
-    same members only that of the smallest token."""
-    per = prefix_rows.select("token", "node").groupBy("token").agg(
-        F.count("*").alias("k"),
-        F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("node").bitwiseAND(0xFFFFFFFF)).alias("x"),
-        F.sum(F.shiftrightunsigned(F.xxhash64("node"), 32)).alias("y"))
-    several = per.where("lo <> hi").groupBy("lo", "hi", "k", "x", "y").agg(F.min("token").alias("token")).select("token")
+    """(node, n, tokens) of nodes in buckets with several members: the buckets
+    of each as (place, token) in the order; of buckets with the same members only
+    the first."""
+    several = prefix_rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("own").alias("own")) \
+        .where("own and lo <> hi").select("token")
     several = common.stored(several, "tokens")
-    return prefix_rows.join(_small(several, several.count()), "token")
+    rows = prefix_rows.join(_small(several, several.count()), "token").select("token", "node", "n", "place")
+    rows = common.stored(rows, "shared")
+    # members have the shingles of buckets with the same members in the same order
+    first = rows.groupBy("token").agg(
+        F.count("*").alias("k"), F.sum("place").alias("place"),
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("node").bitwiseAND(0xFFFFFFFF)).alias("x"),
+        F.sum(F.shiftrightunsigned(F.xxhash64("node"), 32)).alias("y")) \
+        .groupBy("lo", "hi", "k", "x", "y").agg(F.min_by("token", "place").alias("token")).select("token")
+    first = common.stored(first, "first")
+    return rows.join(_small(first, first.count()), "token") \
+        .groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("tokens"))
 
 
 class RTree:
@@ -250,41 +282,66 @@ def _pairs_of(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
 
-def search_leaves(klass: np.ndarray, points: np.ndarray, start: np.ndarray, size: np.ndarray,
-                  percent: int) -> tuple[np.ndarray, np.ndarray]:
+class Bucketed:
+    """Rows of buckets: class, point, size, place of the bucket's shingle, and
+    the buckets that a row's node had before (``early``)."""
+
+    def __init__(self, klass: np.ndarray, points: np.ndarray, place: np.ndarray, early: list[np.ndarray]) -> None:
+        self.klass, self.points, self.place, self.early = klass, points, place, early
+        self.size, self.sets = points.sum(1), {}
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the shingles from the bucket's on are enough for a link."""
+        least = least_shared(self.size[a], self.size[b], percent)
+        return (self.klass[a] != self.klass[b]) & (self.size[a] - self.place[a] >= least) \
+            & (self.size[b] - self.place[b] >= least)
+
+    def first_met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether no earlier bucket of both is known."""
+        return np.fromiter((self._early(i).isdisjoint(self._early(j)) for i, j in zip(a, b)), bool, len(a))
+
+    def _early(self, i: int) -> frozenset:
+        if i not in self.sets:
+            self.sets[i] = frozenset(self.early[i].tolist())
+        return self.sets[i]
+
+
+def search_leaves(rows: Bucketed, start: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of different classes that may link, in groups no larger than
     a leaf of the tree (given by first row and size), all groups at once."""
-    out_a, out_b, total = [], [], points.sum(1)
+    out_a, out_b, points, total = [], [], rows.points, rows.size
     for s in np.unique(size):
         i, j = np.triu_indices(s, 1)
         base = start[size == s]
         for part in np.array_split(base, 1 + len(base) * len(i) // 12_000):
             a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-            other = klass[a] != klass[b]
-            a, b = a[other], b[other]
-            near = (100 * np.minimum(total[a], total[b]) >= percent * np.maximum(total[a], total[b]))
+            near = rows.may_link(a, b, percent)
             a, b = a[near], b[near]
             ok = (100 + percent) * np.minimum(points[a], points[b]).sum(1) >= percent * (total[a] + total[b])
+            a, b = a[ok], b[ok]
+            ok = rows.first_met(a, b)
             out_a.append(a[ok])
             out_b.append(b[ok])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def search_tree(klass: np.ndarray, points: np.ndarray, role: np.ndarray, reach: int,
+def search_tree(rows: Bucketed, of: np.ndarray, role: np.ndarray, reach: int,
                 percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row pairs: the likeliest partners of another class of each query, and
-    whether some query has more. ``role``: 1 for queries, 0 for members that are
-    only searched, 2 for both."""
-    tree_of = np.flatnonzero(role != 1)
-    tree, a, b, cut = RTree(points[tree_of]), [], [], False
-    for i in np.flatnonzero(role != 0):
-        at, bound = tree.search(points[i], percent)
+    """Row pairs among the rows ``of`` a bucket: the likeliest partners of another
+    class of each query, and whether some query has more. ``role``: 1 for queries,
+    0 for members that are only searched, 2 for both."""
+    tree_of = of[role != 1]
+    tree, a, b, cut = RTree(rows.points[tree_of]), [], [], False
+    for i in of[role != 0]:
+        at, bound = tree.search(rows.points[i], percent)
         at = tree_of[at]
-        other = klass[at] != klass[i]
-        at, bound = at[other], bound[other]
+        ok = rows.may_link(np.full(len(at), i), at, percent)
+        at, bound = at[ok], bound[ok]
+        ok = rows.first_met(np.full(len(at), i), at)
+        at, bound = at[ok], bound[ok]
         if len(at) > reach:
-            likely = bound / (points[i].sum() + points[at].sum(1) - bound)
+            likely = bound / (rows.size[i] + rows.size[at] - bound)
             at, cut = at[np.argsort(-likely, kind="stable")[:reach]], True
         a.append(np.full(len(at), i))
         b.append(at)
@@ -292,10 +349,11 @@ def search_tree(klass: np.ndarray, points: np.ndarray, role: np.ndarray, reach:
     return np.concatenate([none, *a]), np.concatenate([none, *b]), cut
 
 
-def search_buckets(members: DataFrame, reach: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, cut) from (token, node, klass, point) rows of buckets with
-    several classes: pairs to compare; and rows with the ``cut`` token of buckets in
-    which a member has more partners than named."""
+def search_buckets(members: DataFrame, nodes: DataFrame, reach: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, cut) from (token, node, klass, place, nth) rows of buckets with
+    several classes and the (node, point, early) rows of their nodes: pairs to
+    compare; and rows with the ``cut`` token of buckets in which a member has more
+    partners than named."""
     per_class = members.groupBy("token", "klass").count()
     per = per_class.groupBy("token").agg(F.max_by("klass", F.struct("count", "klass")).alias("major"),
                                          F.max("count").alias("n_major"), F.sum("count").alias("n_all"))
@@ -315,23 +373,25 @@ def search_buckets(members: DataFrame, reach: int, percent: int, block: int = BL
         i.alias("i"), F.col("home").alias("j"), F.lit(0).alias("role")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role")))
     tasks = F.when(F.col("n_all") <= block, whole).when(minor, F.concat(as_query, minor_target)).otherwise(major_target)
-    spread = rows.withColumn("home", home).select("token", "node", "klass", "point", F.explode(tasks).alias("t")) \
-        .select("token", "t.i", "t.j", "t.role", "node", "klass", "point")
+    spread = rows.withColumn("home", home).select("token", "node", "klass", "place", "nth", F.explode(tasks).alias("t")) \
+        .join(nodes, "node").select("token", "t.i", "t.j", "t.role", "node", "klass", "place",
+                                    F.slice("early", F.lit(1), F.col("nth")).alias("early"), "point")
     n = common.parallelism(members.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches):
             token, node, klass, role = (t[c].to_numpy() for c in ("token", "node", "klass", "role"))
-            points = _decoded(t["point"])
+            in_bucket = Bucketed(klass, _decoded(t["point"]), t["place"].to_numpy().astype(np.int64),
+                                 common.list_values(t["early"]))
             start = np.append(_starts(t), len(token))
             size, start = np.diff(start), start[:-1]
             small = size <= LEAF
-            a, b = search_leaves(klass, points, start[small], size[small], percent)
+            a, b = search_leaves(in_bucket, start[small], size[small], percent)
             found, cuts = [_pairs_of(node, a, b)], []
             for k, n in zip(start[~small], size[~small]):
-                at = slice(k, k + n)
-                a, b, cut = search_tree(klass[at], points[at], role[at], reach, percent)
-                found.append(_pairs_of(node[at], a, b))
+                at = np.arange(k, k + n)
+                a, b, cut = search_tree(in_bucket, at, role[at], reach, percent)
+                found.append(_pairs_of(node, a, b))
                 if cut:
                     cuts.append(token[k])
             pairs = np.unique(np.concatenate([np.stack(x, 1) for x in found]), axis=0)
@@ -433,10 +493,12 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, id: str
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     profiles = common.stored(profile(docs, k), "profiles")
     rows = profiles.where("n is not null")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("point").alias("point"))
     prefix_rows = common.stored(prefixes(docs, sketch_of(profiles), k, percent), "prefixes")
-    found = common.stored(buckets(prefix_rows).select("token", "node").distinct(), "buckets")
-    links = _all_links(docs, nodes, found, k, percent, block)
+    found = common.stored(buckets(prefix_rows), "buckets")
+    nodes = rows.join(_small(found.select("node"), found.count()), "node", "left_semi") \
+        .groupBy("node").agg(F.min("id").alias("id"), F.first("point").alias("point")) \
+        .join(found.select("node", F.slice("tokens.token", 1, EARLIER).alias("early")), "node")
+    links = _all_links(docs, common.stored(nodes, "nodes"), found, k, percent, block)
     of_node = rows.select("id", "n", "node")
     if links is not None:
         klass = classes(links)
@@ -450,32 +512,37 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, id: str
 
 def _all_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, percent: int, block: int) -> DataFrame | None:
     """Links that connect every class; None without any."""
-    degree = found.groupBy("node").agg(F.count("*").alias("degree"))
-    hubs = found.join(degree, "node").groupBy("token").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    star = found.join(hubs, "token").where("hub <> node") \
-        .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    found = found.select("node", "n", F.size("tokens").alias("degree"), F.posexplode("tokens").alias("nth", "t")) \
+        .select("t.token", "node", "n", "t.place", "nth", "degree")
+    hubs = found.groupBy("token").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
+    star = found.join(hubs, "token").where("hub.node <> node") \
+        .where(F.least("hub.n", "n") * 100 >= F.greatest("hub.n", "n") * percent) \
+        .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
+    found = found.select("token", "node", "place", "nth")
     spark = docs.sparkSession
     links, tested, sets, reach = *(common.Growing(spark, n) for n in ("links", "pairs", "sets")), REACH
     pairs = tested.add(_bounded(star.distinct(), nodes, percent))
     while True:
         if not pairs.isEmpty():
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            if sets.paths:
-                ends = ends.join(sets.all().select("node"), "node", "left_anti")
-            ids = common.stored(nodes.select("node", "id").join(ends, "node").select("id").distinct(), "ids")
+            ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+            new = ends.join(sets.all().select("node"), "node", "left_anti") if sets.paths else ends
+            ids = common.stored(nodes.select("node", "id").join(new, "node").select("id").distinct(), "ids")
             sets.add(sets_of(docs, ids, k))
-            links.add(verify(pairs, sets.all(), percent))
+            # only the sets of this round's pairs are shuffled
+            links.add(verify(pairs, sets.all().join(_small(ends, ends.count()), "node", "left_semi"), percent))
         # classes so far; of the buckets, only those with several classes and,
         # after the first search, with pairs that were not named yet
         klass = common.stored(classes(links.all()), "klass") if links.paths and not links.all().isEmpty() else None
         members = found if klass is None else found.join(klass, "node", "left")
         members = members.withColumn("klass", F.coalesce("klass", "node") if klass is not None else F.col("node"))
         open_ = members.groupBy("token").agg(F.min("klass").alias("lo"), F.max("klass").alias("hi")).where("lo <> hi")
-        members = common.stored(members.join(open_.select("token"), "token")
-                                .join(nodes.select("node", "point"), "node").select("token", "node", "klass", "point"), "members")
-        named = common.stored(search_buckets(members, reach, percent, block), "named")
+        open_ = common.stored(open_.select("token"), "open")
+        members = common.stored(members.join(_small(open_, open_.count()), "token"), "members")
+        ends = members.select("node").distinct()
+        of_members = nodes.select("node", "point", "early").join(_small(ends, ends.count()), "node", "left_semi")
+        named = common.stored(search_buckets(members, of_members, reach, percent, block), "named")
         found = members.join(named.where("cut is not null").select(F.col("cut").alias("token")).distinct(), "token") \
-            .select("token", "node")
+            .select("token", "node", "place", "nth")
         fresh = named.where("a is not null").select("a", "b").distinct()
         pairs = tested.add(fresh.join(tested.all(), ["a", "b"], "left_anti"))
         if pairs.isEmpty() and named.where("cut is not null").isEmpty():

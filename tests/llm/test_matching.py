@@ -137,6 +137,45 @@ def test_classes_like_brute_force(spark, monkeypatch, block, leaf, reach):
     assert got == brute_classes(docs, 4, 85)
 
 
+@pytest.mark.parametrize("earlier", [0, 1, 32])
+def test_pairs_are_named_once_whatever_they_share(spark, monkeypatch, earlier):
+    """Like but unlinked documents share hundreds of buckets: a pair comes out of
+    one of them, not of each."""
+    rng = random.Random(4)
+    base, docs = [f"w{rng.randint(0, 10**6)}" for _ in range(2000)], []
+    for i in range(8):
+        w = list(base)
+        for j in rng.sample(range(len(w)), 22 if i < 2 else 30):
+            w[j] = f"x{i} {j}"
+        docs.append((i, " ".join(w)))
+    docs += [(i + 20, t) for i, t in family_docs(9, 6)]
+    named, stored = [], op8.common.stored
+
+    def counted(df, name, **options):
+        out = stored(df, name, **options)
+        if name == "named":
+            named.extend((r.a, r.b) for r in out.where("a is not null").collect())
+        return out
+
+    monkeypatch.setattr(op8.common, "stored", counted)
+    monkeypatch.setattr(op8, "EARLIER", earlier)
+    got = {r.id: (r.n, r.klass) for r in op8.jaccard_classes(docs_of(spark, docs)).collect()}
+    assert got == brute_classes(docs, 4, 85)
+    assert len({x for p in named for x in p}) >= 6
+    if earlier == 32:
+        assert len(named) == len(set(named))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_first_shared_shingle_is_in_the_own_prefix_of_the_smaller(percent):
+    for n in range(1, 60):
+        for m in range(n, 60):
+            least = int(op8.least_shared(np.int64(n), np.int64(m), percent))
+            assert least == min(c for c in range(n + m + 1) if 100 * c >= percent * (n + m - c))
+            if least <= n:  # such a pair can link: with n - least shingles before the first shared one
+                assert n - least < op8.own_length(np.int64(n), percent) and m - least < op8.prefix_length(np.int64(m), percent)
+
+
 def test_one_of_each_class_stays(spark):
     docs = family_docs(3, 5) + [(800, None)]
     want = {k for _, k in brute_classes(docs, 5, 80).values()}
