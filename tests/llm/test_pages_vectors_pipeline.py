@@ -241,6 +241,64 @@ def test_pool_grows_until_the_sample_is_found(spark):
     assert recall(recall=0.0) < 0.9 <= recall(recall=0.95)
 
 
+def test_vectors_are_shuffled_with_their_node_or_query_only(spark):
+    """Not with each of their neighbours in each round of the descent and of the search."""
+    x = np.random.RandomState(8).normal(size=(3000, 64))
+    path = common.temp_path(spark, "test")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(path)
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = shuffled()
+    assert op10.nearest(spark.read.parquet(path), F.col("query_id") % 50 == 0, block=500, leaf=64).count() == 300
+    assert sum(n for s, n in shuffled().items() if s not in before) < 10 * x.size * 4
+
+
+def test_recall_over_many_cells_of_clusters(spark):
+    rng = np.random.RandomState(9)
+    x = rng.normal(size=(60, 24))[rng.randint(0, 60, 4000)] + 0.3 * rng.normal(size=(4000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in op10.nearest(frame, F.col("query_id") % 50 == 0, pool=64, block=200, leaf=50).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    want = brute_nearest(rows, 5, [i for i, _ in rows if i % 50 == 0])
+    assert set(got) == set(want) and all(set(g) == {1, 2, 3, 4, 5} for g in got.values())
+    assert np.mean([len(set(got[q].values()) & set(w)) / 5 for q, w in want.items()]) >= 0.9
+
+
+def test_parts_stay_small_when_no_plane_divides_them(spark):
+    """Nodes of one direction: a plane has all of them on one side."""
+    rows = [(i, [float(i + 1)] * 4) for i in range(1500)] + [(i, [1.0, 0.0, float(i), 0.0]) for i in range(1500, 1600)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    cells = op10.cells_of(frame, len(rows), 100)
+    parts = op10.build(frame, cells, 8, 32).select("part", "n", F.length("ids").alias("bytes")).collect()
+    assert sum(r.n for r in parts) == len(rows) and all(r.bytes == 8 * r.n for r in parts)
+    assert len({r.part for r in parts}) == len(parts) and max(r.n for r in parts) <= 300
+    got = op10.nearest(frame.toDF("vec_id", "embedding"), F.col("query_id") == 1500, k=3, block=100, leaf=32).collect()
+    assert sorted((r["rank"], r.id) for r in got) == [(1, 1501), (2, 1502), (3, 1503)]
+
+
+def test_best_edges_of_each_node():
+    rng = np.random.RandomState(10)
+    src, dst = rng.randint(0, 40, 3000), rng.randint(0, 40, 3000)
+    sim = np.round(rng.rand(40, 40), 1).astype("f4")[src, dst] * 2 - 1
+    fresh = rng.rand(3000) < 0.5
+    got = op10._best(40, 7, src, dst, sim, fresh)
+    for i in range(40):
+        edges = {}
+        for d, s, f in zip(dst[src == i], sim[src == i], fresh[src == i]):
+            edges[d] = (-s, d, f and edges.get(d, (0, 0, True))[2])
+        want = sorted(edges.values())[:7]
+        assert [(d, f) for _, d, f in want] == list(zip(got.to[i], got.fresh[i]))
+        assert np.allclose([-s for s, _, _ in want], got.sim[i], atol=1e-6)
+
+
 def test_pipeline(spark):
     docs = common.read(spark, SF, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "decontamination", "packing"]
