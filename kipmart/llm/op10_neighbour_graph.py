@@ -4,8 +4,9 @@
 of hash); a node is expanded to its rows of the smallest ids at the end. So a group
 of copies takes no room in neighbour lists, and its ties go to the smaller ids exactly.
 
-*Parts.* Planes, fitted to a bounded sample of the nodes, cut all nodes into cells of
-about ``block``; a cell of more than twice that is dealt into several parts by a hash.
+*Parts.* A node is in the cell of the nearest of some centres, fitted to a bounded sample
+of the nodes (k-means), one for each ``block`` nodes; a cell of more than twice that is
+dealt into several parts by a hash.
 Every node is in one part; a vector is shuffled to its part once, and a part is
 worked on by one task in arrays.
 
@@ -18,7 +19,7 @@ member the better of them. A pair is compared again only if one of its two edges
 came in the round before. Rounds go on until no more than the share ``least`` of all
 edges changes.
 
-*Search.* A query goes to the cells with the nearest representatives, its own first.
+*Search.* A query goes to the cells of the nearest centres.
 In a part it starts from its own neighbours, if it is there, and the best of some
 entry nodes, and walks greedily: each round expands the best unexpanded candidates
 (half a pool), scores their neighbours, and keeps the best candidates; it ends when
@@ -65,8 +66,8 @@ POOL, RECALL = 256, 0.95
 CELL_POOL = 32
 #: Queries that are also compared with every node, to choose the pool.
 SAMPLE = 200
-#: Nodes that the planes are fitted to, a cell and in all; representatives of a cell at most.
-FIT_ROWS, MOST_FIT_ROWS, SHOWN = 256, 1 << 16, 64
+#: Nodes that the centres are fitted to, a cell and in all, and rounds of fitting.
+FIT_ROWS, MOST_FIT_ROWS, FIT_ROUNDS = 256, 1 << 16, 10
 #: Rows of a result gathered before they leave a task.
 OUT_ROWS = 1 << 16
 #: Better edges gathered before they are merged with the lists.
@@ -154,77 +155,44 @@ def _gathered(parts: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBa
 
 @dataclass
 class Cells:
-    """Planes that lead a vector to its cell; ``child`` is the next plane, or -1 - cell."""
+    """The cells of the nearest centre."""
 
-    planes: np.ndarray
-    cut: np.ndarray
-    child: np.ndarray
-    #: Representatives of the cells, as many of each, one cell after the other.
-    shown: np.ndarray
+    centres: np.ndarray
     #: A cell's parts are numbered from first[cell] to first[cell + 1] - 1.
     first: np.ndarray
 
+    def _blocks(self, u: np.ndarray) -> Iterator[np.ndarray]:
+        """How near the centres are, some rows at a time."""
+        rows = max(1, (1 << 22) // len(self.centres))
+        return (u[a:a + rows] @ self.centres.T for a in range(0, len(u), rows))
+
     def of(self, u: np.ndarray) -> np.ndarray:
-        at = np.full(len(u), 0 if len(self.planes) else -1)
-        while len(open_ := np.flatnonzero(at >= 0)):
-            plane = at[open_]
-            side = np.einsum("ij,ij->i", u[open_], self.planes[plane]) >= self.cut[plane]
-            at[open_] = self.child[plane, side.astype(int)]
-        return -1 - at
+        if len(self.centres) == 1:
+            return np.zeros(len(u), np.int64)
+        return np.concatenate([near.argmax(1) for near in self._blocks(u)])
 
     def visited(self, u: np.ndarray, probes: int) -> np.ndarray:
-        """The cells that each vector visits, its own among them."""
-        cells = len(self.first) - 1
+        """The cells that each vector visits, the nearest ones."""
+        cells = len(self.centres)
         if probes >= cells:
             return np.tile(np.arange(cells), (len(u), 1))
-        own, out = self.of(u), []
-        for a in range(0, len(u), 256):
-            near = (u[a:a + 256] @ self.shown.T).reshape(-1, cells, len(self.shown) // cells).max(2)
-            near[np.arange(len(near)), own[a:a + 256]] = 2
-            out.append(np.argpartition(-near, probes - 1, axis=1)[:, :probes])
-        return np.concatenate(out) if out else np.zeros((0, probes), np.int64)
-
-
-def _halves(x: np.ndarray, share: float, random: np.random.RandomState) -> tuple[np.ndarray, np.float32]:
-    """A plane between two centres that has the share of the rows below it."""
-    a, b = x[random.choice(len(x), 2, replace=len(x) < 2)]
-    for _ in range(4):
-        w = (b - a).astype("<f4")
-        if not w.any():
-            w = random.normal(size=x.shape[1]).astype("<f4")
-        p = x @ w
-        cut = np.quantile(p, share).astype("<f4")
-        low = p < cut
-        if low.all() or not low.any():
-            break
-        a, b = x[low].mean(0), x[~low].mean(0)
-    return w, cut
+        return np.concatenate([np.argpartition(-near, probes - 1, axis=1)[:, :probes] for near in self._blocks(u)])
 
 
 def fitted(x: np.ndarray, cells: int, seed: int = 3) -> Cells:
-    """Cells of about equal numbers of the rows."""
-    random = np.random.RandomState(seed)
-    dim = x.shape[1] if len(x) else 1
-    planes, cut, child, shown = [], [], [], []
-    most = max(1, min(SHOWN, MOST_FIT_ROWS // cells))
-    todo = [(x, cells, None)]
-    while todo:
-        rows, n, to = todo.pop()
-        if n == 1 or not len(rows):
-            at, rows = -1 - len(shown), rows if len(rows) else np.zeros((1, dim), "<f4")
-            shown.append(rows[np.linspace(0, len(rows) - 1, most).astype(int)])
-        else:
-            at = len(planes)
-            w, c = _halves(rows, (n // 2) / n, random)
-            high = np.einsum("ij,ij->i", rows, np.broadcast_to(w, rows.shape)) >= c
-            planes.append(w)
-            cut.append(c)
-            child.append([0, 0])
-            todo += [(rows[high], n - n // 2, (at, 1)), (rows[~high], n // 2, (at, 0))]
-        if to:
-            child[to[0]][to[1]] = at
-    return Cells(np.array(planes, "<f4").reshape(-1, dim), np.array(cut, "<f4"), np.array(child, np.int64).reshape(-1, 2),
-                 np.concatenate(shown), np.arange(len(shown) + 1))
+    """Centres of the rows, unit vectors, by k-means."""
+    cells = max(1, min(cells, len(x)))
+    found = Cells(np.zeros((1, 1), "<f4"), np.arange(cells + 1))
+    if cells > 1:
+        found.centres = x[np.random.RandomState(seed).choice(len(x), cells, replace=False)]
+        for _ in range(FIT_ROUNDS):
+            at = found.of(x)
+            order = np.argsort(at, kind="stable")
+            here, start = np.unique(at[order], return_index=True)
+            centres = found.centres.copy()  # one that is nearest to none stays
+            centres[here] = np.add.reduceat(x[order], start)
+            found.centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), np.float32(1e-9))
+    return found
 
 
 def cells_of(nodes: DataFrame, n: int, block: int) -> Cells:
@@ -232,6 +200,7 @@ def cells_of(nodes: DataFrame, n: int, block: int) -> Cells:
     wanted = max(1, -(-n // block))
     if wanted == 1:
         return fitted(np.zeros((0, 1), "<f4"), 1)
+    # a bounded sample comes to the driver
     some = nodes.where(common.hash_sample("id", n, min(FIT_ROWS * wanted, MOST_FIT_ROWS)))
     rows = sorted(_prepared(some).collect(), key=lambda r: r["id"])
     cells = fitted(np.frombuffer(b"".join(r["u"] for r in rows), "<f4").reshape(len(rows), -1), wanted)

@@ -272,8 +272,8 @@ def test_recall_over_many_cells_of_clusters(spark):
     assert np.mean([len(set(got[q].values()) & set(w)) / 5 for q, w in want.items()]) >= 0.9
 
 
-def test_parts_stay_small_when_no_plane_divides_them(spark):
-    """Nodes of one direction: a plane has all of them on one side."""
+def test_parts_stay_small_when_no_centre_divides_them(spark):
+    """Nodes of one direction are nearest to the same centre."""
     rows = [(i, [float(i + 1)] * 4) for i in range(1500)] + [(i, [1.0, 0.0, float(i), 0.0]) for i in range(1500, 1600)]
     frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
     cells = op10.cells_of(frame, len(rows), 100)
